@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, token_counts
+from cubeloom.llm import bpe, line_rules, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -17,6 +17,14 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_by_section(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -27,6 +35,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_url_templates": op5_url_templates,
+        "op7_line_rules": op7_line_rules,
         "op9_token_counts": op9_token_counts,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }

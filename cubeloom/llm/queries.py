@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, line_rules, token_counts, url_filter
+from cubeloom.llm import bpe, html_text, line_rules, quality, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -17,6 +17,14 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +43,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_html_text": op3_html_text,
+        "op4_quality": op4_quality,
         "op5_url_templates": op5_url_templates,
         "op7_line_rules": op7_line_rules,
         "op9_token_counts": op9_token_counts,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, html_text, line_rules, quality, token_counts, url_filter
+from cubeloom.llm import bpe, html_text, line_rules, positional_index, quality, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op4_quality": op4_quality,
         "op5_url_templates": op5_url_templates,
+        "op6_benchmark_index": op6_benchmark_index,
         "op7_line_rules": op7_line_rules,
         "op9_token_counts": op9_token_counts,
         "op10_bpe_round_trip": op10_bpe_round_trip,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, html_text, line_rules, positional_index, quality, token_counts, url_filter
+from cubeloom.llm import bpe, html_text, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_html_text": op3_html_text,
         "op4_quality": op4_quality,
         "op5_url_templates": op5_url_templates,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, html_text, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
+from cubeloom.llm import bpe, html_text, jaccard_join, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_by_section(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_templates": op5_url_templates,
         "op6_benchmark_index": op6_benchmark_index,
         "op7_line_rules": op7_line_rules,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_token_counts": op9_token_counts,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }

@@ -35,7 +35,7 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
         spark.conf.set(_BATCH_BYTES, str(size))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write *df* to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
     Shuffle files of the write are dropped when it ends, where the session lets them be.
@@ -46,7 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)

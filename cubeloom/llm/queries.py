@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, html_text, jaccard_join, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
+from cubeloom.llm import bpe, brown_lm, html_text, jaccard_join, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
 from cubeloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_lm": op1_brown_lm,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_html_text": op3_html_text,
         "op4_quality": op4_quality,

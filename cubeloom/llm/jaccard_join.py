@@ -7,11 +7,15 @@ differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
 
 1. Documents with equal sets are one node, named by its smallest id.
 2. Set sizes fall into bands.  With ``d`` the largest difference that a pair in
-   the band may have, a sketch has ``d + 1`` blocks of 64 bits; every shingle
-   flips one bit.  The Hamming distance of two sketches is at most the
-   difference of the sets, so a linked pair has an equal block (pigeonhole).
-   A set is sketched for its own band, and for the next one if a partner can
-   be in it.
+   the band may have, a sketch has ``d + 1 + slack`` blocks of parity bits;
+   every shingle flips one bit of one block.  The Hamming distance of two
+   sketches is at most the difference of the sets, so a linked pair has
+   ``slack + 1`` equal blocks or more (pigeonhole).  The blocks are very wide
+   (2**64 bits); a block is held as the XOR of its set bits' fingerprints.  A
+   set is sketched for its own band and for further ones that a partner can be in.
+   Every set leaves out its ``slack`` most popular blocks, ordered by how many
+   sets have them: the least popular of a pair's equal blocks has ``slack``
+   before it on both sides, so both keep it.  Empty and common blocks go that way.
 3. Equal blocks join sets into groups.  Instead of all pairs of a group, all
    its members are verified against one leader (the set with the most popular
    blocks).  Verification intersects the sets themselves.
@@ -86,47 +90,52 @@ def bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return low[:-1], 2 * (low[1:] - 1) * (100 - percent) // (100 + percent)
 
 
-def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and key of every sketch block of *sets*."""
+def slack_of(differ: np.ndarray) -> np.ndarray:
+    """Blocks that a sketch has beyond the pigeonhole's need: a quarter, and one."""
+    return 1 + (differ + 1) // 4
+
+
+def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set number, key and band of every sketch block of *sets*; a band's number is packed with its slack."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     low, differ = bands(sizes, percent)
     own = np.searchsorted(low, sizes, side="right") - 1
     reach = np.minimum(np.searchsorted(low, sizes * 100 // percent, side="right") - 1, len(low) - 1)
-    numbers, keys = [], []
+    numbers, keys, packed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for up in range(int((reach - own).max(initial=0)) + 1):
         chosen = np.flatnonzero((sizes > 0) & (own + up <= reach))
         chosen = chosen[differ[own[chosen] + up] > 0]
         if not len(chosen):
             continue
         band = own[chosen] + up
-        blocks = differ[band] + 1
+        slack = slack_of(differ[band])
+        blocks = differ[band] + 1 + slack
         offset = np.cumsum(blocks) - blocks
         flat = np.concatenate([sets[i] for i in chosen])
         of = np.repeat(np.arange(len(chosen)), sizes[chosen])
         place = offset[of] + (flat % blocks[of].astype(np.uint64)).astype(np.int64)
         sketch = np.zeros(int(blocks.sum()), dtype=np.uint64)
-        np.bitwise_xor.at(sketch, place, np.uint64(1) << (mix(flat) >> np.uint64(58)))
+        np.bitwise_xor.at(sketch, place, mix(flat ^ _FACTOR))
         owner = np.repeat(np.arange(len(chosen)), blocks)
         label = (band[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(sketch)) - offset[owner]).astype(np.uint64)
         numbers.append(chosen[owner])
         keys.append(mix(sketch ^ mix(label + np.uint64(1))))
-    if not keys:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(numbers), np.concatenate(keys)
+        packed.append((band << 20 | slack)[owner])
+    return np.concatenate(numbers), np.concatenate(keys), np.concatenate(packed)
 
 
 def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, set_a, set_b, blocks``: set size, 128-bit name of the set, keys of its blocks."""
+    """``doc_id, text_key, n_shingles, set_a, set_b, blocks, bands``: set size, 128-bit name of the set, keys and bands of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(raw, shingle) for raw in text_bytes(batch.column(2))]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             names = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            number, key = block_keys(sets, percent)
+            number, key, band = block_keys(sets, percent)
             order = np.argsort(number, kind="stable")
             cuts = np.searchsorted(number[order], np.arange(len(sets) + 1))
-            key = key[order].view(np.int64)
+            key, band = key[order].view(np.int64), band[order].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -135,11 +144,12 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     pa.array(names[:, 0].copy()),
                     pa.array(names[:, 1].copy()),
                     pa.array([key[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64())),
+                    pa.array([band[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "blocks"],
+                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "blocks", "bands"],
             )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, blocks array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, blocks array<long>, bands array<int>")
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -197,12 +207,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     named = sketched.filter("doc_id is not null and n_shingles > 0")
     nodes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key"))
 
-    blocks = named.select("set_a", F.explode("blocks").alias("block"))
+    blocks = named.select("set_a", F.explode(F.arrays_zip("blocks", "bands")).alias("x")).select("set_a", F.col("x.blocks").alias("block"), F.col("x.bands").alias("band"))
     shared = materialise(
         blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity")).filter("a != b").select("block", "popularity"),
         "join-shared",
     )
-    groups = materialise(blocks.join(shared, "block").groupBy("block", "set_a").agg(F.max("popularity").alias("popularity")), "join-groups")
+    common = blocks.join(shared, "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
+    place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
+    groups = materialise(common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1))).select("block", "set_a", "popularity"), "join-groups")
     members = groups.select("set_a").distinct().join(nodes, "set_a")
     sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle), "join-sets").dropDuplicates(["set_a"])
     node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-nodes")

@@ -235,6 +235,19 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of *documents*, with all their columns, whose text scores *threshold* or more."""
+    bound_batches(documents.sparkSession)
+    shipped = documents.sparkSession.sparkContext.broadcast(machine)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(shipped.value, text_bytes(batch.column(at))) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     scored = score(documents, fit(documents, labels, **options))

@@ -35,6 +35,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubeloom.llm.common import materialise
+
 #: (verdict, host, path): the rules of the registered query.
 RULES = (
     ("block", "net", "/"),
@@ -71,7 +73,7 @@ def path_templates(urls: DataFrame, levels: int = 4, min_share: float = 0.05, mi
 
     Segments below *levels* don't split a template any further.
     """
-    tree = urls.withColumn("segments", F.split(F.col("path"), "/")).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
+    tree = materialise(urls.withColumn("segments", F.split(F.col("path"), "/")).withColumn("parent", F.lit("")).withColumn("template", F.lit("")), "url-tree")
     for level in range(1, levels + 1):
         tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
         total = tree.filter("segment is not null").groupBy("host", "template").agg(F.sum("n").alias("total"))
@@ -90,6 +92,7 @@ def path_templates(urls: DataFrame, levels: int = 4, min_share: float = 0.05, mi
             .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))))
             .drop("literal", "segment")
         )
+        tree = materialise(tree, "url-tree")  # else each level's plan holds that of the level above three times
     return tree.drop("segments")
 
 

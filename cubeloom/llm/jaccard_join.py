@@ -21,7 +21,9 @@ differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
    blocks).  Verification intersects the sets themselves.
 4. While a group still has members of different components, up to
    ``leaders`` more of its members, from its smaller components first, are
-   verified against the members of other components.  When no group is left, no
+   compared with the members of other components: by short sketches of 1024
+   bits, whose Hamming distance again is at most the difference of the sets;
+   pairs that pass are verified.  When no group is left, no
    link between different components can exist, so the components are exact.
 
 Scale: blocks that only one text has are dropped by a partial aggregation
@@ -153,14 +155,26 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """``set_a, shingles``: the sets themselves, packed, of ``set_a, text``."""
+    """``set_a, shingles, n, bits``: the sets themselves, packed, their sizes and short sketches, of ``set_a, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [shingle_set(raw, shingle).tobytes() for raw in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_a", "shingles"])
+            sets = [shingle_set(raw, shingle) for raw in text_bytes(batch.column(1))]
+            short = np.zeros((len(sets), 16), dtype=np.uint64)
+            for row, found in zip(short, sets):
+                place = mix(found ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)
+                np.bitwise_xor.at(row, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(list(short.view(np.int64)), pa.list_(pa.int64())),
+                ],
+                names=["set_a", "shingles", "n", "bits"],
+            )
 
-    return docs.select("set_a", "text").mapInArrow(run, "set_a long, shingles binary")
+    return docs.select("set_a", "text").mapInArrow(run, "set_a long, shingles binary, n long, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,24 +195,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.select("left", "right", "x", "y").mapInArrow(run, "left long, right long")
 
 
-def _next_pairs(members: DataFrame, done: DataFrame | None, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components in groups that have several, and the leaders (``block, set_a``) they come from.
+def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Possible pairs across components in groups that have several, and the leaders (``block, set_a``) they come from.
 
     *members*: ``block, set_a, component``.  The largest component of a group needs no leaders.
     """
     parts = members.groupBy("block", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("block").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("n")).filter("n > 1")
-    few = members.join(mixed.select("block", F.col("largest.component").alias("main")), "block").filter("component != main")
+    mixed = parts.groupBy("block").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
+    inside = members.join(mixed.select("block", F.col("largest.component").alias("main")), "block")
+    inside = materialise(inside.join(sets.select("set_a", "n", "bits"), "set_a").join(parts, ["block", "component"]), "join-mixed")
+    few = inside.filter("component != main")
     if done is not None:
         few = few.join(done, ["block", "set_a"], "left_anti")
-    few = few.join(parts, ["block", "component"])
     rank = F.row_number().over(Window.partitionBy("block").orderBy("size", "component", "set_a"))
-    chosen = materialise(few.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("block", F.col("set_a").alias("leader"), F.col("component").alias("other")), "join-leaders")
-    pairs = chosen.join(members, "block").filter("component != other").select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= leaders)
+    chosen = materialise(chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "join-leaders")
+    apart = F.aggregate(F.zip_with("bits", "own_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    possible = (inside["block"] == chosen["block"]) & (F.col("component") != F.col("other")) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    pairs = chosen.join(inside, possible).select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
     return pairs, chosen.select("block", F.col("leader").alias("set_a"))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 64) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 256) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     bound_batches(documents.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -216,7 +234,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
     groups = materialise(common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1))).select("block", "set_a", "popularity"), "join-groups")
     members = groups.select("set_a").distinct().join(nodes, "set_a")
-    sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle), "join-sets").dropDuplicates(["set_a"])
+    sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
     node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-nodes")
 
     scores = groups.groupBy("set_a").agg(F.sum("popularity").alias("score"))
@@ -229,7 +247,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
         links = materialise(found if links is None else links.unionByName(found), "join-links")
         parts = components(links)
         placed = node_of.join(parts, "node", "left").select("set_a", F.coalesce("component", "node").alias("component"))
-        pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), done, leaders)
+        pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), sets, done, leaders, percent)
         if used.isEmpty():
             break
         pairs = materialise(pairs, "join-pairs")

@@ -36,6 +36,7 @@ judged; an empty table gives an empty table; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +46,21 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm.common import bound_batches, materialise, text_bytes
 
-_FAR = np.int64(1) << 40
+_LAST = np.uint64(2**64 - 1)
 _ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 class _Names(dict):
-    """128-bit fingerprint of words as two numbers; emptied at half a million words."""
+    """128-bit fingerprint by word; emptied at 400,000 words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 400_000:
             self.clear()
-        name = self[word] = xxhash.xxh3_128_intdigest(word)
+        name = self[word] = xxhash.xxh3_128_digest(word)
         return name
 
 
-class _ShortNames(dict):
-    """The lower half of a word's fingerprint."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        name = self[word] = xxhash.xxh3_128_intdigest(word) & 0xFFFFFFFFFFFFFFFF
-        return name
-
-
-_NAMES, _SHORT = _Names(), _ShortNames()
+_NAMES = _Names()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,45 +113,44 @@ def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.n
 
 def representatives(names: np.ndarray, doc: np.ndarray, window: int, phrase: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all windows (of word *names*, by document number *doc*) and the phrase that stands for each."""
-    n = len(names)
-    if n < window:
+    n, m, reach = len(names), len(names) - window + 1, window - phrase
+    if m <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    place = np.arange(n - window + 1)
-    place = place[doc[place] == doc[place + window - 1]]
     symbols = (names, np.arange(n), np.arange(n), np.arange(1, n + 1), doc)
-    best = np.full(len(place), np.iinfo(np.uint64).max, dtype=np.uint64)
-    where = np.full(len(place), -1, dtype=np.int64)
-    open_ = np.arange(len(place))
     levels = []
     for r in range(rounds):
         symbols = one_round(*symbols, _ROUND_SALTS[r % len(_ROUND_SALTS)])
-        levels.append(symbols)
-    for name, start, low, high, _ in reversed(levels):
-        rank = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-        lows, highs = np.full(n, -1, dtype=np.int64), np.full(n, _FAR, dtype=np.int64)
-        rank[start], lows[start], highs[start] = mix(name), low, high
-        highs = np.maximum(highs, np.arange(n) + phrase)
-        i = place[open_]
-        top, to = best[open_], where[open_]
-        for offset in range(window - phrase + 1):
-            p = i + offset
-            better = (lows[p] >= i) & (highs[p] <= i + window) & (rank[p] < top)
-            top = np.where(better, rank[p], top)
-            to = np.where(better, p, to)
-        best[open_], where[open_] = top, to
-        open_ = open_[to < 0]
-    keys = np.empty(len(place), dtype=np.uint64)
-    found = where >= 0
-    keys[found] = fold(names, phrase)[where[found]]
-    alone = place[~found]
-    keys[~found] = fold(names, window)[alone] if len(alone) else keys[~found]
+        levels.append(symbols[:4])
+    pick = np.full(m, -1, dtype=np.int8)
+    for name, start, low, high in reversed(levels):
+        # A symbol is settled in the windows that begin so many words before it; its phrase must fit as well.
+        rank = np.full(n, _LAST, dtype=np.uint64)
+        least, most = np.full(n, 127, dtype=np.int8), np.full(n, -1, dtype=np.int8)
+        rank[start] = mix(name)
+        least[start] = np.minimum(start - low, 127)
+        most[start] = np.clip(start + window - high, -1, reach)
+        top, to = np.full(m, _LAST, dtype=np.uint64), np.full(m, -1, dtype=np.int8)
+        for offset in range(reach + 1):
+            ok = (least[offset : offset + m] <= offset) & (most[offset : offset + m] >= offset)
+            found = np.where(ok, rank[offset : offset + m], _LAST)
+            np.putmask(to, found < top, np.int8(offset))
+            np.minimum(top, found, out=top)
+        pick = np.where(pick < 0, to, pick)
+    place = np.flatnonzero(doc[:m] == doc[window - 1 :])
+    pick = pick[place]
+    keys = fold(names, phrase)[place + np.maximum(pick, 0)]
+    alone = pick < 0
+    if alone.any():
+        keys[alone] = fold(names, window)[place[alone]]
     return place, keys
 
 
-def _flat(texts: list[bytes]) -> tuple[list[list[bytes]], list[int], np.ndarray]:
+def _flat(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Words by text, the document number of each word, and the two halves of its name."""
     words = [raw.split() for raw in texts]
     sizes = [len(w) for w in words]
-    return words, sizes, np.repeat(np.arange(len(words)), sizes)
+    both = np.frombuffer(b"".join(map(_NAMES.__getitem__, chain.from_iterable(words))), dtype="<u8").reshape(-1, 2)
+    return sizes, np.repeat(np.arange(len(words)), sizes), both[:, 0].copy(), both[:, 1]
 
 
 def document_phrases(docs: DataFrame, window: int, phrase: int, rounds: int) -> DataFrame:
@@ -168,10 +158,9 @@ def document_phrases(docs: DataFrame, window: int, phrase: int, rounds: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, sizes, doc = _flat(text_bytes(batch.column(1)))
-            names = np.concatenate([np.fromiter(map(_SHORT.__getitem__, w), dtype=np.uint64, count=len(w)) for w in words]) if words else np.zeros(0, np.uint64)
+            sizes, doc, names, _ = _flat(text_bytes(batch.column(1)))
             place, keys = representatives(names, doc, window, phrase, rounds)
-            cuts = np.searchsorted(doc[place] if len(place) else place, np.arange(len(words) + 1))
+            cuts = np.searchsorted(doc[place], np.arange(len(sizes) + 1))
             lists = [np.unique(keys[a:b]).view(np.int64) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["text_key", "phrases"])
 
@@ -183,28 +172,25 @@ def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, sizes, doc = _flat(text_bytes(batch.column(2)))
-            whole = [[_NAMES[x] for x in w] for w in words]
-            short = np.array([x & 0xFFFFFFFFFFFFFFFF for w in whole for x in w], dtype=np.uint64)
-            upper = np.array([x >> 64 for w in whole for x in w], dtype=np.uint64)
+            sizes, doc, short, upper = _flat(text_bytes(batch.column(2)))
             place, keys = representatives(short, doc, window, phrase, rounds)
-            owner = doc[place] if len(place) else place
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1))
+            owner = doc[place]
+            cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
             wanted = batch.column(3)
             mask = np.zeros(len(place), dtype=bool)
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     mask[a:b] = np.isin(keys[a:b], np.array(wanted[k].as_py(), dtype=np.int64).view(np.uint64))
             place, owner = place[mask], owner[mask]
-            begins = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, dtype=np.int64)
+            begins = np.cumsum([0, *sizes])
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(fold(short, window)[place].view(np.int64) if len(place) else place),
-                    pa.array(fold(upper, window)[place].view(np.int64) if len(place) else place),
+                    pa.array(fold(short, window)[place].view(np.int64)),
+                    pa.array(fold(upper, window)[place].view(np.int64)),
                     batch.column(0).take(at),
                     batch.column(1).take(at),
-                    pa.array((place - begins[owner]).astype(np.int32) if len(place) else place.astype(np.int32)),
+                    pa.array((place - begins[owner]).astype(np.int32)),
                 ],
                 names=["name_a", "name_b", "doc_id", "text_key", "start"],
             )
@@ -213,12 +199,12 @@ def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) ->
 
 
 def cut_words(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, n_words, n_removed, text`` of ``doc_id, text, whole, starts``: what is left, joined by one space."""
+    """``doc_id, text_key, n_words, n_removed, text`` of ``doc_id, text_key, text, whole, starts``: what is left, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, texts = [], [], []
-            for raw, whole, starts in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3)):
+            for raw, whole, starts in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4)):
                 words = raw.split()
                 counts.append(len(words))
                 if whole:
@@ -232,16 +218,19 @@ def cut_words(docs: DataFrame, window: int) -> DataFrame:
                 removed.append(counts[-1] - len(words))
                 texts.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "text"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
+                names=["doc_id", "text_key", "n_words", "n_removed", "text"],
             )
 
-    return docs.select("doc_id", "text", "whole", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return docs.select("doc_id", "text_key", "text", "whole", "starts").mapInArrow(run, "doc_id long, text_key long, n_words long, n_removed long, text string")
 
 
 def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds: int = 2) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, text`` (the words that stay, joined by one space)."""
-    bound_batches(documents.sparkSession)
+    """One row per document: ``doc_id, text_key, n_words, n_removed, text``.
+
+    *text* has the words that stay, joined by one space; *text_key* is the ``xxhash64`` of the text before.
+    """
+    bound_batches(documents.sparkSession, rows=1000)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
@@ -251,7 +240,8 @@ def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds:
         single.groupBy("phrase").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a != b").select("phrase"),
         "dedup-shared",
     )
-    wanted = single.join(shared, "phrase").groupBy("text_key").agg(F.collect_set("phrase").alias("phrases"))
+    hits = materialise(single.join(shared, "phrase"), "dedup-hits")  # by itself, so that Spark can split a skewed phrase
+    wanted = hits.groupBy("text_key").agg(F.collect_set("phrase").alias("phrases"))
 
     # Copies of whole texts: the smallest document of a text stands for it.
     ids = docs.filter("doc_id is not null").select("doc_id", "text_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
@@ -261,7 +251,9 @@ def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds:
 
     names = ["name_a", "name_b"]
     least = windows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    repeated = windows.join(least, names).filter("least < doc_id").groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
+    least = materialise(least, "dedup-least")
+    found = materialise(windows.join(least, names).filter("least < doc_id").select("doc_id", "text_key", "start"), "dedup-repeated")
+    repeated = found.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
     copies = ids.join(first, ["text_key", "digest"]).filter("first < doc_id").select("doc_id", "text_key").distinct()
     size = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     verdicts = materialise(

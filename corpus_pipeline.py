@@ -42,8 +42,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that a smaller document has in a repeated window."""
-    cut = substring_dedup.deduplicate(docs).filter("n_removed > 0").select("doc_id", F.col("text").alias("__cut"))
-    joined = docs.join(cut, "doc_id", "left")
+    cut = substring_dedup.deduplicate(docs).filter("n_removed > 0").select("doc_id", F.col("text_key").alias("__key"), F.col("text").alias("__cut")).dropDuplicates(["doc_id", "__key"])
+    joined = docs.withColumn("__key", F.xxhash64("text")).join(cut, ["doc_id", "__key"], "left")
     changed = F.col("__cut").isNotNull()
     return joined.select(
         *(

@@ -86,7 +86,7 @@ def scoped(nodes: DataFrame, names: DataFrame, include: list[str] = (), exclude:
 
     Words are regular expressions on names, or ``rank,word`` for one rank.
     """
-    named = nodes.join(names.select("taxid", "name"), "taxid")
+    named = nodes.select("taxid", "rank").join(names.select("taxid", "name"), "taxid")
 
     def chosen(words: list[str], ids: list[int]) -> DataFrame:
         hit = F.col("taxid").isin(list(ids))

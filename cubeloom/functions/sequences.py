@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bases that each letter of the public nucleotide code stands for.
 CODES = {
@@ -82,7 +83,7 @@ def expanded(primer: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base62(sequence: pd.Series) -> pd.Series:
     """A plain sequence, read as a number to base 4 with a leading 1, to base 62; others stay as they are."""
     order = str.maketrans("ACGT", "0123")
@@ -99,7 +100,7 @@ def base62(sequence: pd.Series) -> pd.Series:
     return sequence.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def from_base62(packed: pd.Series) -> pd.Series:
     """The sequence that :func:`base62` has packed."""
 
@@ -117,7 +118,7 @@ def from_base62(packed: pd.Series) -> pd.Series:
     return packed.map(one)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def kept_length(qual: pd.Series, least: pd.Series, tail: pd.Series) -> pd.Series:
     """The length left after trimming the 3' end.
 

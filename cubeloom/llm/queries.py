@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cubeloom.llm import bpe, brown_lm, html_text, jaccard_join, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
 from cubeloom.llm.common import table
+from cubeloom.llm.oracle import ORACLES
 
 
 def byte_bpe_path() -> str:
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

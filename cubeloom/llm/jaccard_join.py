@@ -57,10 +57,10 @@ _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
 class _Names(dict):
-    """64-bit fingerprint by word; emptied at half a million words."""
+    """64-bit fingerprint by word; emptied at 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         name = self[word] = xxhash.xxh3_64_intdigest(word)
         return name
@@ -218,7 +218,7 @@ def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, lea
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 256) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    bound_batches(documents.sparkSession)
+    bound_batches(documents.sparkSession, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketched = materialise(sketches(docs, shingle, percent), "join-sketches")

@@ -98,14 +98,14 @@ class Machine:
 
 
 class _Slots(dict):
-    """Hash slot by word; emptied when it has half a million words."""
+    """Hash slot by word; emptied when it has 200,000 words."""
 
     def __init__(self, n_hash: int):
         super().__init__()
         self.n_hash = n_hash
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         slot = self[word] = zlib.crc32(word) % self.n_hash
         return slot

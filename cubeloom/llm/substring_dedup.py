@@ -51,10 +51,10 @@ _ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 class _Names(dict):
-    """128-bit fingerprint by word; emptied at 400,000 words."""
+    """128-bit fingerprint by word; emptied at 200,000 words."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         name = self[word] = xxhash.xxh3_128_digest(word)
         return name
@@ -230,7 +230,7 @@ def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds:
 
     *text* has the words that stay, joined by one space; *text_key* is the ``xxhash64`` of the text before.
     """
-    bound_batches(documents.sparkSession, rows=1000)
+    bound_batches(documents.sparkSession, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 

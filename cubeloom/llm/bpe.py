@@ -40,7 +40,7 @@ SPLIT_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LONG_WORD = 256
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 _NONE = 1 << 30
 
 

@@ -99,7 +99,7 @@ def path_templates(urls: DataFrame, levels: int = 4, min_share: float = 0.05, mi
 def judged_templates(tree: DataFrame, z_merge: float = 1.96, prior_weight: float = 10.0, reject_share: float = 0.5) -> DataFrame:
     """Per template its merged branch, pooled labels, smoothed share of bad ones, and whether it is rejected."""
     leaves = tree.groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    overall = leaves.agg((F.sum("bad") / F.sum("labelled")).alias("share"))
+    overall = leaves.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("share"))
     smoothed = (F.col("bad") + prior_weight * F.col("prior")) / (F.col("labelled") + prior_weight)
     weight = F.col("labelled") + prior_weight
     leaves = leaves.crossJoin(overall.select(F.coalesce("share", F.lit(0.0)).alias("prior"))).withColumn("share", smoothed).withColumn("weight", weight)

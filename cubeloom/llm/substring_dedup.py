@@ -79,36 +79,44 @@ def fold(names: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, salt: int):
-    """A round of run and pair naming; ``[low, high)`` are the words that settle each symbol."""
-    if not len(names):
-        return names, starts, low, high, doc
-    new = np.ones(len(names), dtype=bool)
-    new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(names)) - 1
-    length = last - at + 1
+def fold_at(names: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """As :func:`fold`, from the positions *place* only."""
+    out = np.zeros(len(place), dtype=np.uint64)
+    for k in range(width):
+        out = (out ^ names[place + k]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, salt: int):
+    """A round of run and pair naming over texts one after another.
+
+    ``[low, high)`` are the words that settle each symbol, *first* marks the
+    first symbol of a text.  Both bounds grow along the symbols of a text.
+    """
+    new = first.copy()
+    new[1:] |= names[1:] != names[:-1]
+    if not new.all():
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(names)) - 1
+        length = (last - at + 1).astype(np.uint64)
+        names = np.where(length > 1, mix(names[at] + mix(length)), names[at])
+        starts, low, high, first = starts[at], low[at], high[last], first[at]
+    final = np.append(first[1:], True)
     # A run is settled with the symbols beside it; a text's edge never is.
-    edge_low, edge_high = low - 1, high + 1
-    before = np.maximum(at - 1, 0)
-    after = np.minimum(last + 1, len(names) - 1)
-    run_low = np.where((at > 0) & (doc[before] == doc[at]), np.minimum(low[before], low[at]), edge_low[at])
-    run_high = np.where((last + 1 < len(names)) & (doc[after] == doc[at]), np.maximum(high[after], high[last]), edge_high[last])
-    names, starts, doc = np.where(length > 1, mix(names[at] + mix(length.astype(np.uint64))), names[at]), starts[at], doc[at]
+    low = np.where(first, low - 1, np.append(low[:1], low[:-1]))
+    high = np.where(final, high + 1, np.append(high[1:], high[-1:]))
     right = (mix(names ^ np.uint64(salt)) & np.uint64(1)).astype(bool)
-    joined = np.zeros(len(names), dtype=bool)
-    joined[:-1] = ~right[:-1] & right[1:] & (doc[1:] == doc[:-1])
-    second = np.zeros(len(names), dtype=bool)
-    second[1:] = joined[:-1]
-    step = np.where(right, -1, 1)
-    beside = np.clip(np.arange(len(names)) + step, 0, len(names) - 1)
-    same = doc[beside] == doc
-    out_low = np.where(same, np.minimum(run_low, run_low[beside]), run_low)
-    out_high = np.where(same, np.maximum(run_high, run_high[beside]), run_high)
-    following = np.append(names[1:], names[-1:])
-    named = np.where(joined, mix(names * np.uint64(3) + mix(following)), names)
-    keep = ~second
-    return named[keep], starts[keep], out_low[keep], out_high[keep], doc[keep]
+    joined = ~right & ~final
+    joined[:-1] &= right[1:]
+    # A left symbol is settled with what follows, a right one with what comes before.
+    high, low = np.where(right | final, high, np.append(high[1:], high[-1:])), np.where(right & ~first, np.append(low[:1], low[:-1]), low)
+    pair = np.flatnonzero(joined)
+    names = names.copy()
+    names[pair] = mix(names[pair] * np.uint64(3) + mix(names[pair + 1]))
+    keep = np.ones(len(names), dtype=bool)
+    keep[pair + 1] = False
+    return names[keep], starts[keep], low[keep], high[keep], first[keep]
 
 
 def representatives(names: np.ndarray, doc: np.ndarray, window: int, phrase: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +124,8 @@ def representatives(names: np.ndarray, doc: np.ndarray, window: int, phrase: int
     n, m, reach = len(names), len(names) - window + 1, window - phrase
     if m <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    symbols = (names, np.arange(n), np.arange(n), np.arange(1, n + 1), doc)
+    words = np.arange(n + 1, dtype=np.int32)
+    symbols = (names, words[:-1], words[:-1], words[1:], np.append(True, doc[1:] != doc[:-1]))
     levels = []
     for r in range(rounds):
         symbols = one_round(*symbols, _ROUND_SALTS[r % len(_ROUND_SALTS)])
@@ -141,7 +150,7 @@ def representatives(names: np.ndarray, doc: np.ndarray, window: int, phrase: int
     keys = fold(names, phrase)[place + np.maximum(pick, 0)]
     alone = pick < 0
     if alone.any():
-        keys[alone] = fold(names, window)[place[alone]]
+        keys[alone] = fold_at(names, place[alone], window)
     return place, keys
 
 
@@ -175,19 +184,18 @@ def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) ->
             sizes, doc, short, upper = _flat(text_bytes(batch.column(2)))
             place, keys = representatives(short, doc, window, phrase, rounds)
             owner = doc[place]
-            cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            # Keys are told apart by their document; a chance agreement only adds a window to verify.
             wanted = batch.column(3)
-            mask = np.zeros(len(place), dtype=bool)
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    mask[a:b] = np.isin(keys[a:b], np.array(wanted[k].as_py(), dtype=np.int64).view(np.uint64))
+            of = np.repeat(np.arange(len(sizes)), np.diff(wanted.offsets.to_numpy()))
+            flat = wanted.flatten().to_numpy().view(np.uint64)
+            mask = np.isin(keys ^ mix(owner.astype(np.uint64)), flat ^ mix(of.astype(np.uint64)))
             place, owner = place[mask], owner[mask]
             begins = np.cumsum([0, *sizes])
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(fold(short, window)[place].view(np.int64)),
-                    pa.array(fold(upper, window)[place].view(np.int64)),
+                    pa.array(fold_at(short, place, window).view(np.int64)),
+                    pa.array(fold_at(upper, place, window).view(np.int64)),
                     batch.column(0).take(at),
                     batch.column(1).take(at),
                     pa.array((place - begins[owner]).astype(np.int32)),

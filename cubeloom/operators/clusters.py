@@ -163,3 +163,21 @@ def spike_in_variants(hits: DataFrame) -> DataFrame:
     scored = hits.select("query", "target", F.when(F.col("cigar") == "=", 1.0).otherwise(equal / F.nullif(columns, F.lit(0))).alias("identity"))
     order = Window.partitionBy("query").orderBy(F.desc("identity"), "target")
     return scored.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def cleaned_reference(sequences: DataFrame, max_count: int | None = None, max_share: float = 0.0) -> DataFrame:
+    """Reference sequences without chimeras of one another: checked again until few enough are found."""
+    now = written(sequences, "reference")
+    while True:
+        found = written(two_parent_chimeras(now).select("name"), "chimeras")
+        n = found.count()
+        if n == 0 or (max_count is not None and n <= max_count) or n <= max_share * now.count():
+            return now
+        now = written(now.join(found, "name", "left_anti"), "reference")
+
+
+def without_chimeras(members: DataFrame, flagged: list[DataFrame]) -> DataFrame:
+    """Members of items (``otuname``) that no list of chimeras (``name``) has."""
+    for names in flagged:
+        members = members.join(names.select(F.col("name").alias("otuname")).distinct(), "otuname", "left_anti")
+    return members

@@ -182,3 +182,50 @@ def tag_halves(cube: DataFrame) -> DataFrame:
     """``samplename, forward, reverse`` of samples whose tag is ``forward+reverse``."""
     tag = sample_part(F.col("samplename"), "tag")
     return cube.select("samplename").distinct().select("samplename", F.split_part(tag, F.lit("+"), F.lit(1)).alias("forward"), F.split_part(tag, F.lit("+"), F.lit(2)).alias("reverse"))
+
+
+def _nelder_mead(cost, start: tuple[float, float], limit: float, steps: int = 300) -> tuple[float, float]:
+    """The least cost on ``[0, limit]`` squared by a simplex of three points."""
+    clip = lambda p: tuple(min(max(x, 0.0), limit) for x in p)
+    points = [clip(start), clip((start[0] * 2, start[1])), clip((start[0], start[1] * 2))]
+    for _ in range(steps):
+        points.sort(key=cost)
+        (x1, y1), (x2, y2), (x3, y3) = points
+        cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+        along = lambda k: clip((cx + k * (cx - x3), cy + k * (cy - y3)))  # noqa: E731, B023
+        tried = along(1.0)
+        if cost(tried) < cost(points[0]):
+            further = along(2.0)
+            points[2] = min(tried, further, key=cost)
+        elif cost(tried) < cost(points[1]):
+            points[2] = tried
+        elif cost(inner := along(-0.5)) < cost(points[2]):
+            points[2] = inner
+        else:
+            points = [points[0]] + [((x1 + x) / 2, (y1 + y) / 2) for x, y in points[1:]]
+    return min(points, key=cost)
+
+
+def estimated_jump_rates(cube: DataFrame, blanks: DataFrame, edges: DataFrame, limit: float = 0.1) -> DataFrame:
+    """``blank, reverse_rate, forward_rate, residual``: rates that best explain a blank's reads by jumps from its neighbours.
+
+    One equation has two unknown rates: only the residual is determined, the
+    rates depend on the start (0.001 each).
+    """
+    reads = cube.groupBy("samplename").agg(F.sum("nreads").alias("reads"))
+    from_others = edges.join(reads.withColumnRenamed("samplename", "dst"), "dst").groupBy("src", "jump").agg(F.sum("reads").alias("reads"))
+    sums = from_others.groupBy("src").agg(*[F.coalesce(F.sum(F.when(F.col("jump") == j, F.col("reads"))), F.lit(0)).alias(j) for j in ("reversejump", "forwardjump")])
+    own = blanks.select("samplename").distinct().join(reads, "samplename", "left").na.fill(0, ["reads"])
+    rows = own.join(sums.withColumnRenamed("src", "samplename"), "samplename")
+
+    @F.pandas_udf("reverse_rate double, forward_rate double, residual double")
+    def fit(x: pd.Series, r: pd.Series, f: pd.Series) -> pd.DataFrame:
+        out = []
+        for own_reads, reverse, forward in zip(x, r, f):
+            cost = lambda p: abs(own_reads - p[0] * reverse - p[1] * forward)  # noqa: E731, B023
+            best = _nelder_mead(cost, (0.001, 0.001), limit)
+            out.append((*best, cost(best)))
+        return pd.DataFrame(out, columns=["reverse_rate", "forward_rate", "residual"])
+
+    found = rows.select(F.col("samplename").alias("blank"), fit("reads", "reversejump", "forwardjump").alias("x"))
+    return found.select("blank", "x.reverse_rate", "x.forward_rate", "x.residual")

@@ -119,3 +119,8 @@ def representatives(cube: DataFrame, assignment: DataFrame, top_n: int | None =
         return chosen
     largest = named.groupBy("taxon").agg(F.sum("total").alias("total")).orderBy(F.desc("total"), "taxon").limit(top_n)
     return chosen.join(largest.select("taxon"), "taxon", "left_semi")
+
+
+def members_in(members: DataFrame, cube: DataFrame) -> DataFrame:
+    """Members (``otuname, samplename, …``) of the cells that a filtered cube still has."""
+    return members.join(cube.select("samplename", "otuname"), ["samplename", "otuname"], "left_semi")

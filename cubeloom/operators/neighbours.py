@@ -112,3 +112,10 @@ def merged_caches(caches: list[DataFrame], prefer: str = "small", stop: bool = F
     if stop:
         grouped = grouped.filter(F.when(F.col("kinds") > 1, F.raise_error(F.concat(F.lit("caches differ for "), "key"))).otherwise(F.lit(True)))
     return grouped.select("key", F.explode_outer("accs").alias("acc"))
+
+
+def candidates_by_bucket(hits: DataFrame, path: str, most: int = 10000, buckets: int = 64) -> None:
+    """Each query's best *most* hits, written in buckets of queries, so that a later search reads its own bucket only."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "acc")
+    kept = best_per_accession(hits).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+    kept.withColumn("bucket", F.pmod(F.xxhash64("query"), F.lit(buckets)).cast("int")).write.partitionBy("bucket").parquet(path)

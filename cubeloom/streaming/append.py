@@ -43,7 +43,7 @@ def upsert_cache(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
 def versions(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
     """The numbers of a cache's versions, in order."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(path).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path")
         numbers = sorted({int(r[0]) for r in files.select(F.regexp_extract("path", r"/v=(\d+)/", 1)).collect() if r[0]})
     except Exception as error:  # a cache that no batch has written yet
         if "PATH_NOT_FOUND" not in str(error):

@@ -32,7 +32,6 @@ empty test set matches nothing; columns other than ids and texts are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm.common import binary_list, bound_batches
+from cubeloom.llm.common import binary_list, bound_batches, lean
 
 #: The public byte-level pattern that splits a text before the merges.
 SPLIT_PATTERN = (
@@ -199,7 +199,7 @@ def encode(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
                 packed.append(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=[*kept, "n_tokens", "token_ids"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_column: str = "token_ids") -> DataFrame:
@@ -215,7 +215,7 @@ def decode(df: DataFrame, path: str, ids_column: str = "token_ids") -> DataFrame
             texts = [model.decode(np.frombuffer(x, dtype="<u4").tolist()) if x else "" for x in packed]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, crc_fold, materialise, text_bytes
+from cubeloom.llm.common import bound_batches, crc_fold, lean, materialise, text_bytes
 
 ENDINGS = 512
 _END = ENDINGS  # the end token's unit; units of their own follow
@@ -96,7 +96,7 @@ def encode_chunks(documents: DataFrame, chunk_rows: int) -> DataFrame:
                 names=["chunk_id", "doc_ids", "held", "sizes", "tokens", "words", "counts", "endings"],
             )
 
-    return documents.mapInArrow(run, _CHUNK)
+    return documents.mapInArrow(lean(run), _CHUNK)
 
 
 def with_ends(values: np.ndarray, sizes: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def unit_bigrams(chunks: DataFrame, units: dict[bytes, int], n_units: int, buffe
         yield rows()
 
     needed = chunks.select("held", "sizes", "tokens", "words", "endings")
-    return needed.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return needed.mapInArrow(lean(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:

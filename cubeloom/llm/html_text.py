@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches
+from cubeloom.llm.common import bound_batches, lean
 
 _SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button|audio|video|datalist"
 _TOKEN = re.compile(
@@ -258,4 +258,4 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return source.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

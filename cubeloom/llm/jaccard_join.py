@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import binary_list, bound_batches, materialise, text_bytes
+from cubeloom.llm.common import binary_list, bound_batches, lean, materialise, text_bytes
 from cubeloom.llm.components import components
 from cubeloom.llm.substring_dedup import mix
 
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "blocks", "bands"],
             )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, blocks array<long>, bands array<int>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, blocks array<long>, bands array<int>")
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -174,7 +174,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["set_a", "shingles", "n", "bits"],
             )
 
-    return docs.select("set_a", "text").mapInArrow(run, "set_a long, shingles binary, n long, bits array<long>")
+    return docs.select("set_a", "text").mapInArrow(lean(run), "set_a long, shingles binary, n long, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["left", "right"])
 
-    return sides.select("left", "right", "x", "y").mapInArrow(run, "left long, right long")
+    return sides.select("left", "right", "x", "y").mapInArrow(lean(run), "left long, right long")
 
 
 def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:

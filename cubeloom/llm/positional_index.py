@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, materialise, text_bytes
+from cubeloom.llm.common import bound_batches, lean, materialise, text_bytes
 
 #: Bytes that belong to no word become spaces, A-Z becomes a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -104,7 +104,7 @@ def build_index(documents: DataFrame, number: dict[bytes, int], gap: int) -> Dat
             )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(source.mapInArrow(run, _SHARD), "positional-index")
+    return materialise(source.mapInArrow(lean(run), _SHARD), "positional-index")
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def search(index: DataFrame, block: TestBlock, frequency: np.ndarray, span: int
             columns = dict(zip(batch.schema.names, batch.columns)) | {"marks": pa.array(marks, pa.binary()), "owners": pa.array(owners, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return index.mapInArrow(run, _SHARD)
+    return index.mapInArrow(lean(run), _SHARD)
 
 
 def matches(index: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def matches(index: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_hit", "item_ids"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<long>")
+    return index.mapInArrow(lean(run), "doc_id long, n_words long, n_hit long, item_ids array<long>")
 
 
 def _blocks(benchmark: DataFrame, block_items: int, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, crc_fold, text_bytes
+from cubeloom.llm.common import bound_batches, crc_fold, lean, text_bytes
 
 _SEPARATORS = bytes(range(9, 14)) + b" "
 _KINDS = {
@@ -217,7 +217,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, n_hash: i
                 names=["doc_id", "label", "slots", "values", "stats"],
             )
 
-    sample = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, slots binary, values binary, stats array<double>")
+    sample = texts.select("doc_id", "text", "label").mapInArrow(lean(run), "doc_id long, label int, slots binary, values binary, stats array<double>")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["slots"])))[: 2 * max_rows]
     return _fit(rows, n_hash, n_bins, rank, epochs, seed)
 
@@ -232,7 +232,7 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
             found = scores(shipped.value, text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
@@ -245,7 +245,7 @@ def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3) ->
         for batch in batches:
             yield batch.filter(pa.array(scores(shipped.value, text_bytes(batch.column(at))) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, materialise, text_bytes
+from cubeloom.llm.common import bound_batches, lean, materialise, text_bytes
 
 _LAST = np.uint64(2**64 - 1)
 _ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -173,7 +173,7 @@ def document_phrases(docs: DataFrame, window: int, phrase: int, rounds: int) ->
             lists = [np.unique(keys[a:b]).view(np.int64) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["text_key", "phrases"])
 
-    return docs.select("text_key", "text").mapInArrow(run, "text_key long, phrases array<long>")
+    return docs.select("text_key", "text").mapInArrow(lean(run), "text_key long, phrases array<long>")
 
 
 def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) -> DataFrame:
@@ -203,7 +203,7 @@ def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) ->
                 names=["name_a", "name_b", "doc_id", "text_key", "start"],
             )
 
-    return docs.select("doc_id", "text_key", "text", "phrases").mapInArrow(run, "name_a long, name_b long, doc_id long, text_key long, start int")
+    return docs.select("doc_id", "text_key", "text", "phrases").mapInArrow(lean(run), "name_a long, name_b long, doc_id long, text_key long, start int")
 
 
 def cut_words(docs: DataFrame, window: int) -> DataFrame:
@@ -230,7 +230,7 @@ def cut_words(docs: DataFrame, window: int) -> DataFrame:
                 names=["doc_id", "text_key", "n_words", "n_removed", "text"],
             )
 
-    return docs.select("doc_id", "text_key", "text", "whole", "starts").mapInArrow(run, "doc_id long, text_key long, n_words long, n_removed long, text string")
+    return docs.select("doc_id", "text_key", "text", "whole", "starts").mapInArrow(lean(run), "doc_id long, text_key long, n_words long, n_removed long, text string")
 
 
 def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds: int = 2) -> DataFrame:

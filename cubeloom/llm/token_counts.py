@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.bpe import BpeModel, broadcast_model, model_of
-from cubeloom.llm.common import bound_batches
+from cubeloom.llm.common import bound_batches, lean
 
 RULES = ("largest", "first", "split")
 
@@ -103,4 +103,4 @@ def count_by_section(df: DataFrame, path: str, rule: str = "largest") -> DataFra
             )
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, section long, n_chars long, n_tokens {kind}, n_crossing long")
+    return source.mapInArrow(lean(run), f"doc_id long, section long, n_chars long, n_tokens {kind}, n_crossing long")

@@ -218,9 +218,29 @@ def decode(df: DataFrame, path: str, ids_column: str = "token_ids") -> DataFrame
     return df.mapInArrow(lean(run), schema)
 
 
+def round_trip(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
+    """As :func:`decode` of :func:`encode`, in one pass: *df* without its text, with ``n_tokens``, ``token_ids`` and ``decoded``."""
+    bound_batches(df.sparkSession)
+    shipped = broadcast_model(df.sparkSession, path)
+    added = [T.StructField("n_tokens", T.LongType(), False), T.StructField("token_ids", T.BinaryType(), False), T.StructField("decoded", T.StringType(), False)]
+    fields = [f for f in with_columns(df, added).fields if f.name != text_column]
+    kept = [f.name for f in fields[:-3]]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_column}`").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(shipped)
+        for batch in batches:
+            packed = [model.encode(text) if text else b"" for text in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [model.decode(np.frombuffer(ids, dtype="<u4").tolist()) for ids in packed]
+            columns = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, "n_tokens", "token_ids", "decoded"])
+
+    return source.mapInArrow(lean(run), T.StructType(fields))
+
+
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
     """Per document its token count and the digests of its tokens and of their decoded text."""
-    coded = decode(encode(df.select("doc_id", "text"), path), path)
+    coded = round_trip(df.select("doc_id", "text"), path)
     return coded.select(
         "doc_id",
         "n_tokens",

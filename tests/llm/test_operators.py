@@ -384,6 +384,8 @@ def test_tokens_equal_the_library(spark, odd, small, library):
             text = library.decode(ids, skip_special_tokens=False)
             expected.append((hashlib.sha256(text.encode()).hexdigest(), d, hashlib.sha256(packed).hexdigest(), len(ids)))
         assert rows_of(bpe.round_trip_digests(docs, queries.byte_bpe_path())) == expected
+        twice = bpe.decode(bpe.encode(docs.select("doc_id", "text"), queries.byte_bpe_path()), queries.byte_bpe_path())
+        assert rows_of(twice) == rows_of(bpe.round_trip(docs.select("doc_id", "text"), queries.byte_bpe_path()))
 
 
 def test_random_words_equal_the_library(library):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions.names import any_word
 from cubeloom.operators.hierarchy import closure, rank_index
 from cubeloom.schemas import RANK_INDEX, RANKS
+from cubeloom.session import written
 
 
 def _visible(lineage: DataFrame, names: DataFrame | None, hidden: list[str]) -> DataFrame:
@@ -54,6 +55,7 @@ def votes(neighbours: DataFrame, lineage: DataFrame, nodes: DataFrame, names: Da
     counted = cast.groupBy("query", "rank_idx", "taxid").agg(F.count("*").alias("votes"))
     order = Window.partitionBy("query", "rank_idx").orderBy(F.desc("votes"), "taxid")
     winners = counted.withColumn("all", F.sum("votes").over(Window.partitionBy("query", "rank_idx"))).withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+    winners = written(winners, "winners")  # the walk up from them would repeat the votes
     # Pending neighbours: all that cast no vote, with their first visible taxon further up.
     pending = pairs.join(winners.select("query", "rank_idx", F.col("taxid").alias("winner")), "query").join(cast.select("query", "rank_idx", "acc"), ["query", "rank_idx", "acc"], "left_anti")
     first = (
@@ -98,6 +100,7 @@ def consensus(voted: DataFrame, nodes: DataFrame, max_opposer_share: float = 0.0
         & ((F.col("opposers") == 0) | (F.col("votes") / F.col("opposers") >= min_ratio))
     )
     best = voted.filter(ok).groupBy("query").agg(F.max(F.struct("rank_idx", "taxid")).alias("best")).select("query", "best.rank_idx", "best.taxid")
+    best = written(best, "consensus")
     ranked = nodes.select(F.col("taxid").alias("ancestor"), rank_index(F.col("rank")).alias("rank_idx")).filter("rank_idx > 0")
     above = best.drop("rank_idx").join(closure(nodes, best.select("taxid").distinct()), "taxid").join(ranked, "ancestor")
     filled = above.select("query", "rank_idx", F.col("ancestor").alias("taxid"))

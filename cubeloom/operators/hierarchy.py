@@ -43,6 +43,7 @@ def closure(nodes: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``taxid, ancestor, depth`` of all proper ancestors that are nodes; of *starts* (``taxid``) only, if given."""
     up = nodes.select(F.col("taxid").alias("ancestor"), F.col("parent").alias("next"))
     begin = nodes if starts is None else nodes.join(starts.select("taxid").distinct(), "taxid", "left_semi")
+    up = written(up, "parents")
     step = written(begin.select("taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).join(up, "ancestor"), "closure")
     levels = []
     while not step.isEmpty():

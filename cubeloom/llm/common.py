@@ -50,6 +50,20 @@ def binary_list(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+@contextlib.contextmanager
+def smaller_splits(spark: SparkSession, factor: int) -> Iterator[None]:
+    """Read files in splits of a *factor*-th of the session's size, for scans whose rows are exploded that much."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    digits = before.lower().rstrip("bkmg")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(before.lower()[len(digits) : len(digits) + 1], 1)
+    spark.conf.set(key, str(max(1 << 20, int(digits) * unit // factor)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that hands the memory it freed back to the system when its partition ends.
 

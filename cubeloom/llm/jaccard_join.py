@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import binary_list, bound_batches, lean, materialise, text_bytes
+from cubeloom.llm.common import binary_list, bound_batches, lean, materialise, smaller_splits, text_bytes
 from cubeloom.llm.components import components
 from cubeloom.llm.substring_dedup import mix
 
@@ -226,13 +226,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     nodes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key"))
 
     blocks = named.select("set_a", F.explode(F.arrays_zip("blocks", "bands")).alias("x")).select("set_a", F.col("x.blocks").alias("block"), F.col("x.bands").alias("band"))
-    shared = materialise(
-        blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity")).filter("a != b").select("block", "popularity"),
-        "join-shared",
-    )
+    counted = blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity"))
+    spark = documents.sparkSession
+    with smaller_splits(spark, 6):  # a row holds hundreds of blocks
+        shared = materialise(counted.filter("a != b").select("block", "popularity"), "join-shared")
     common = blocks.join(shared, "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
     place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
-    groups = materialise(common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1))).select("block", "set_a", "popularity"), "join-groups")
+    kept = common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1)))
+    with smaller_splits(spark, 6):
+        groups = materialise(kept.select("block", "set_a", "popularity"), "join-groups")
     members = groups.select("set_a").distinct().join(nodes, "set_a")
     sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
     node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-nodes")

@@ -130,25 +130,80 @@ def denoised(sequences: DataFrame, links: DataFrame, alpha: float = 2.0) -> Data
     return greedy_centroids(sequences, skewed).withColumnRenamed("centroid", "denoised")
 
 
-def two_parent_chimeras(sequences: DataFrame, min_skew: float = 2.0, chunks: int = 4) -> DataFrame:
-    """``name, left_parent, right_parent``: sequences whose chunks are those of one larger sequence first, of another after.
+def _part(sequence: Column, side: Column, n: Column) -> Column:
+    """The fingerprint (128 bits) of the first (``side`` true) or last *n* letters."""
+    letters = F.when(side, F.substring(sequence, F.lit(1), n)).otherwise(F.substring(sequence, F.length(sequence) - n + 1, n))
+    return F.struct(side.alias("head"), n.alias("n"), F.xxhash64(letters).alias("h"), F.xxhash64(F.lit(1), letters).alias("g"))
 
-    A sequence (``name, seq, size``) is divided into equal chunks; a parent has
-    *min_skew* times its size and equal chunks at the same places.  It is a chimera if a
-    parent has all chunks up to a place, another all after it, and none has all.
+
+def _holders(parents: DataFrame, probes: DataFrame) -> DataFrame:
+    """``part, holders``: the five largest parents (then first names) that begin or end with each part of *probes*."""
+    asked = [(r["head"], r["n"]) for r in probes.select("part.head", "part.n").distinct().collect()]
+    places = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(n).alias("n")) for h, n in sorted(asked)]) if asked else F.array().cast("array<struct<h:boolean,n:int>>")
+    fits = parents.select("parent", "parent_size", F.col("seq"), F.explode(F.filter(places, lambda p: p["n"] <= F.length("seq"))).alias("p"))
+    parts = fits.select(_part(F.col("seq"), F.col("p.h"), F.col("p.n")).alias("part"), F.struct((-F.col("parent_size")).alias("s"), F.col("parent"), F.xxhash64("seq").alias("letters")).alias("holder"))
+    near = parts.join(probes.select("part").distinct(), "part", "left_semi")
+    # Limits of five are taken in each task before the shuffle, so a part that all parents have makes few rows.
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("holder"))).filter("r <= 5")
+    return top.groupBy("part").agg(F.sort_array(F.collect_list("holder")).alias("holders"))
+
+
+def _held(probes: DataFrame, parents: DataFrame, min_skew: float) -> DataFrame:
+    """``name, at`` with ``lefts`` and ``rights``: the largest parents of each probed break's two sides."""
+    found = probes.join(_holders(parents, probes), "part")
+    fit = F.filter("holders", lambda p: (p["parent"] != F.col("name")) & (-p["s"] >= min_skew * F.col("size")))
+    sides = found.select("name", "at", "part.head", fit.alias("fit")).filter(F.size("fit") > 0)
+    return sides.groupBy("name", "at").agg(F.max(F.when(F.col("head"), F.col("fit"))).alias("lefts"), F.max(F.when(~F.col("head"), F.col("fit"))).alias("rights"))
+
+
+def _pair() -> Column:
+    """The first left and right parent (``l, r``) with different letters; null if there are none."""
+    both = F.flatten(F.transform("lefts", lambda x: F.transform(F.col("rights"), lambda y: F.struct(x.alias("l"), y.alias("r")))))
+    return F.get(F.filter(both, lambda p: p["l"]["letters"] != p["r"]["letters"]), F.lit(0))
+
+
+def two_parent_chimeras(sequences: DataFrame, min_skew: float = 2.0) -> DataFrame:
+    """``name, left_parent, right_parent``: sequences that begin as one larger sequence and end as another.
+
+    A parent of a sequence (``name, seq, size``) has *min_skew* times its size and
+    any length.  A sequence is a chimera if at some break the letters before it begin one parent
+    and those after it end a parent with other letters, and no parent begins or ends with all of it.  Of several
+    breaks the one nearest the middle (then the first) is taken, of several parents the largest (then first name).
+
+    The middle is tried first: a break after it needs a parent with the first half, one before
+    it a parent with the second half, so only sequences with either half are tried at their other breaks.
+    Parts of sequences are matched to the few largest parents that have them, so rows grow with the letters, not with pairs.
     """
-    width = F.length("seq") / chunks
-    parts = sequences.select("name", "size", F.length("seq").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: F.substring(F.col("seq"), (i * width + 1).cast("int"), width.cast("int")))).alias("at", "chunk"))
-    other = parts.select(F.col("name").alias("parent"), F.col("size").alias("parent_size"), "n", "at", "chunk")
-    hits = parts.join(other, ["n", "at", "chunk"]).filter((F.col("parent") != F.col("name")) & (F.col("parent_size") >= min_skew * F.col("size")))
-    runs = hits.groupBy("name", "parent").agg(F.sort_array(F.collect_set("at")).alias("places"))
-    lead = F.size(F.filter("places", lambda p, i: p == i))
-    tail = F.size(F.filter("places", lambda p, i: p == chunks - F.size("places") + i))
-    scored = runs.select("name", "parent", lead.alias("lead"), tail.alias("tail"))
-    whole = scored.filter(F.col("lead") == chunks).select("name").distinct()
-    best = scored.groupBy("name").agg(F.max(F.struct("lead", "parent")).alias("l"), F.max(F.struct("tail", "parent")).alias("t"))
-    found = best.filter((F.col("l.lead") + F.col("t.tail") >= chunks) & (F.col("l.lead") > 0) & (F.col("t.tail") > 0) & (F.col("l.parent") != F.col("t.parent")))
-    return found.join(whole, "name", "left_anti").select("name", F.col("l.parent").alias("left_parent"), F.col("t.parent").alias("right_parent"))
+    n, mid = F.length("seq"), F.expr("length(seq) div 2").cast("int")
+    whole = sequences.select(F.col("name").alias("parent"), F.col("size").alias("parent_size"), "seq")
+    copies = Window.partitionBy("seq").orderBy(F.desc("parent_size"), "parent")
+    # Two of equal sequences suffice: one may be the sequence that is asked for.
+    parents = whole.withColumn("r", F.row_number().over(copies)).filter("r <= 2").drop("r")
+    bounds = sequences.agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    parents = written(parents.join(F.broadcast(bounds)).filter(F.col("parent_size") >= min_skew * F.col("least")).select("parent", "parent_size", "seq"), "parents")
+    asked = sequences.join(F.broadcast(bounds)).filter((n >= 2) & (F.col("most") >= min_skew * F.col("size"))).select("name", "size", "seq")
+
+    def sides(at: Column) -> Column:
+        return F.array(F.struct(at.alias("at"), _part(F.col("seq"), F.lit(True), at).alias("part")), F.struct(at.alias("at"), _part(F.col("seq"), F.lit(False), n - at).alias("part")))
+
+    ends = F.array(*[F.struct(F.lit(0).alias("at"), _part(F.col("seq"), F.lit(h), n).alias("part")) for h in (True, False)])
+    probes = written(asked.select("name", "size", F.explode(F.concat(sides(mid), ends)).alias("p")).select("name", "size", "p.at", "p.part"), "probes")
+    held = _held(probes, parents, min_skew).withColumn("pair", _pair())
+    first = held.groupBy("name").agg(
+        F.max(F.when(F.col("at") > 0, F.col("pair"))).alias("pair"),
+        F.max(F.col("at") == 0).alias("whole"),
+        F.max((F.col("at") > 0) & F.col("lefts").isNotNull()).alias("has_left"),
+        F.max((F.col("at") > 0) & F.col("rights").isNotNull()).alias("has_right"),
+    )
+    first = written(first.filter("not whole"), "middles")
+    rest = asked.join(first.filter("pair is null").select("name", "has_left", "has_right"), "name")
+    breaks = F.filter(F.sequence(F.lit(1), n - 1), lambda at: (F.col("has_left") & (at > mid)) | (F.col("has_right") & (at < mid)))
+    more = rest.select("name", "size", F.explode(F.flatten(F.transform(breaks, sides))).alias("p")).select("name", "size", "p.at", "p.part")
+    lengths = rest.select("name", mid.alias("mid"))
+    others = _held(written(more, "probes"), parents, min_skew).withColumn("pair", _pair()).filter("pair is not null").join(lengths, "name")
+    others = others.groupBy("name").agg(F.min_by("pair", F.struct(F.abs(F.col("at") - F.col("mid")), "at")).alias("pair"))
+    found = first.filter("pair is not null").select("name", "pair").unionByName(others)
+    return found.select("name", F.col("pair.l.parent").alias("left_parent"), F.col("pair.r.parent").alias("right_parent"))
 
 
 def spike_in_variants(hits: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def remap_reads(spark, d):
 
 @query("chimera_flag")
 def chimera_flag(spark, d):
-    seqs = fx.seq_d(spark, d).filter("doc_id < 200").select("name", "seq", (F.lit(100) + F.col("doc_id") % 7).alias("size"))
+    seqs = fx.seq_d(spark, d).select("name", "seq", (F.lit(100) + F.col("doc_id") % 7).alias("size"))
     other = seqs.select(F.expr("concat('d', cast(substr(name, 2) as bigint) + 1)").alias("name"), F.col("seq").alias("tail"))
     made = seqs.join(other, "name").select(F.concat(F.lit("x"), "name").alias("name"), F.concat(F.substring("seq", 1, 16), F.expr("substr(tail, 17)")).alias("seq"), F.lit(10).cast("long").alias("size"))
     return clusters.two_parent_chimeras(seqs.unionByName(made))

@@ -8,6 +8,7 @@ from cubeloom.functions import sequences as sq
 from cubeloom.operators import clusters, demux, reads
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
+from cubeloom.session import written
 
 _Q = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
 _READS = f"{fx.cte('seq_d')}, r AS (SELECT *, {_Q} AS q FROM seq_d)"
@@ -202,9 +203,13 @@ def containment_cluster(spark, d):
 @query("remap_reads")
 def remap_reads(spark, d):
     seqs = fx.seq_d(spark, d)
-    targets = seqs.filter("doc_id % 20 = 0").select("name", "seq")
+    # The first name of equal targets wins a tie, and equal reads have one answer: each sequence is searched once.
+    targets = written(reads.dereplicate(seqs.select("name", "seq")).select(F.col("representative").alias("name"), "seq"), "targets")
     changed = seqs.filter("doc_id % 20 = 0").select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.substring("seq", 1, 15), F.lit("A"), F.expr("substr(seq, 17)")).alias("seq"))
-    return clusters.best_match(clusters.shared_kmer_hits(changed, targets, k=8, min_shared=4, min_identity=0.95))
+    asked = written(reads.dereplicate(changed).select(F.col("representative").alias("name"), "seq"), "asked")
+    best = clusters.best_match(clusters.shared_kmer_hits(asked, targets, k=8, min_shared=4, min_identity=0.95))
+    found = best.join(asked.select(F.col("name").alias("query"), "seq"), "query").select("seq", "target", "identity")
+    return changed.join(found, "seq").select(F.col("name").alias("query"), "target", "identity")
 
 
 @query("chimera_flag")

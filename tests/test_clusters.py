@@ -63,3 +63,25 @@ def test_chimera_flag_takes_all_documents(spark, tmp_path):
     made = [(f"x{n}", s[:16] + of[f"d{int(n[1:]) - 1}"][16:], 10) for n, s, _ in seqs if f"d{int(n[1:]) - 1}" in of]
     found = catalogue.queries()["chimera_flag"](spark, str(tmp_path))
     assert {r.name: (r.left_parent, r.right_parent) for r in found.collect()} == _chimeras(seqs + made)
+
+
+def _documents(spark, path, texts: list[str]) -> str:
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_remap_reads_searches_all_documents(spark, tmp_path):
+    draw = random.Random(10)
+    d = _documents(spark, tmp_path, [f"text {draw.randint(0, 50)}" for _ in range(120)])
+    seqs = [(r.doc_id, r.name, r.seq) for r in fx.seq_d(spark, d).collect()]
+    expected = {}
+    grams = lambda s: {s[i : i + 8] for i in range(len(s) - 7)}
+    for i, _, seq in seqs:
+        read = seq[:15] + "A" + seq[16:]
+        hits = [(-clusters.identity(read, t), n) for _, n, t in seqs if len(grams(read) & grams(t)) >= 4] if i % 20 == 0 else []
+        if hits and -min(hits)[0] >= 0.95:
+            expected[f"r{i}"] = (min(hits)[1], round(-min(hits)[0], 9))
+    assert any(int(target[1:]) % 20 for target, _ in expected.values())
+    found = catalogue.queries()["remap_reads"](spark, d)
+    assert sorted((r.query, r.target, round(r.identity, 9)) for r in found.collect()) == sorted((q, *x) for q, x in expected.items())

@@ -165,28 +165,40 @@ def demultiplex(spark, d):
     return demux.assign_tags(some, demux.tag_table(heads), "run1", "p", least_quality=6, jumped=False).select("doc_id", "samplename")
 
 
-def _small(spark, d):
-    """Prefixes of sequences, which have neighbours, with their numbers."""
-    return reads.dereplicate(fx.seq_d(spark, d).select("name", F.substring("seq", 1, 7).alias("seq"))).select(F.col("representative").alias("name"), "seq", "size")
-
-
-def _hamming_links(small):
-    """Links between sequences that differ in one place, by masking each place."""
+def _with_errors(spark, d):
+    """The distinct sequences with their numbers, each also with one letter changed (a quarter as often)."""
+    true = reads.dereplicate(fx.seq_d(spark, d)).select(F.col("representative").alias("name"), "seq", "size")
+    at = (1 + F.crc32(F.col("seq").cast("binary")) % F.length("seq")).cast("int")
+    letter = F.translate(F.substring("seq", at, F.lit(1)), "ACGT", "CGTA")
+    wrong = F.concat(F.substring("seq", F.lit(1), at - 1), letter, F.substring("seq", at + 1, F.length("seq")))
+    changed = true.select(F.concat(F.lit("v"), "name").alias("name"), wrong.alias("seq"), "size")
+    both = true.withColumn("size", F.col("size") * 4).unionByName(changed)
+    return written(both.groupBy("seq").agg(F.min("name").alias("name"), F.sum("size").alias("size")), "reads")
+
+
+def _hamming_links(distinct):
+    """Links between different sequences of one length that differ in one place, by masking each place.
+
+    A masked sequence is named by 128 bits; no more sequences share it than there are letters.
+    """
     places = F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i")
-    masked = small.select("name", "seq", places).select("name", F.concat(F.expr("substr(seq, 1, i - 1)"), F.lit("."), F.expr("substr(seq, i + 1)")).alias("key"))
-    return masked.join(masked.withColumnRenamed("name", "target"), "key").filter("name != target").select(F.col("name").alias("query"), "target").distinct()
+    masked = distinct.select("name", "seq", places).select("name", F.concat(F.expr("substr(seq, 1, i - 1)"), F.lit("."), F.expr("substr(seq, i + 1)")).alias("key"))
+    groups = masked.groupBy(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g")).agg(F.collect_list("name").alias("names")).filter(F.size("names") > 1)
+    pairs = groups.select(F.explode("names").alias("query"), "names").select("query", F.explode("names").alias("target"))
+    return pairs.filter("query != target")
 
 
 @query("centroid_cluster")
 def centroid_cluster(spark, d):
-    small = _small(spark, d)
-    return clusters.greedy_centroids(small, _hamming_links(small))
+    distinct = _with_errors(spark, d)
+    return clusters.greedy_centroids(distinct, _hamming_links(distinct))
 
 
 @query("denoise")
 def denoise(spark, d):
-    small = _small(spark, d).withColumn("size", F.col("size") * F.col("size") * F.col("size"))
-    return clusters.denoised(small, _hamming_links(small).withColumn("distance", F.lit(1)), alpha=0.5)
+    distinct = _with_errors(spark, d)
+    cubed = distinct.withColumn("size", F.col("size") * F.col("size") * F.col("size"))
+    return clusters.denoised(cubed, _hamming_links(distinct).withColumn("distance", F.lit(1)), alpha=0.5)
 
 
 @query(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 from cubeloom.operators import clusters
 from cubeloom.plans import catalogue
 from cubeloom.plans import fixtures as fx
-from tests.conftest import SMALL
+from cubeloom.plans import sequence_queries as queries
 
 
 def _chimeras(table: list[tuple[str, str, int]], skew: float = 2.0) -> dict[str, tuple[str, str]]:
@@ -85,3 +86,37 @@ def test_remap_reads_searches_all_documents(spark, tmp_path):
     assert any(int(target[1:]) % 20 for target, _ in expected.values())
     found = catalogue.queries()["remap_reads"](spark, d)
     assert sorted((r.query, r.target, round(r.identity, 9)) for r in found.collect()) == sorted((q, *x) for q, x in expected.items())
+
+
+def _one_apart(a: str, b: str) -> bool:
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+
+
+def test_links_join_what_differs_in_one_place(spark):
+    draw = random.Random(11)
+    seqs = sorted({"".join(draw.choice("ACG") for _ in range(draw.choice([4, 5]))) for _ in range(80)})
+    expected = sorted((a, b) for a in seqs for b in seqs if _one_apart(a, b))
+    found = queries._hamming_links(spark.createDataFrame([(s, s) for s in seqs], "name string, seq string"))
+    assert sorted((r.query, r.target) for r in found.collect()) == expected
+
+
+def test_clusters_and_denoising_take_whole_sequences(spark, tmp_path):
+    draw = random.Random(12)
+    d = _documents(spark, tmp_path, [f"text {draw.randint(0, 60)}" for _ in range(120)])
+    table: dict[str, list] = {}
+    for r in fx.seq_d(spark, d).collect():
+        at = zlib.crc32(r.seq.encode()) % 32
+        wrong = r.seq[:at] + dict(zip("ACGT", "CGTA"))[r.seq[at]] + r.seq[at + 1 :]
+        for name, seq, size in ((r.name, r.seq, 4), ("v" + r.name, wrong, 1)):
+            first, total = table.get(seq, (name, 0))
+            table[seq] = (min(first, name), total + size)
+    for query, power, skew in (("centroid_cluster", 1, 0), ("denoise", 3, 2**1.5)):
+        chosen: dict[str, str] = {}
+        rows = sorted(((-(size**power), name, seq) for seq, (name, size) in table.items()))
+        for size, name, seq in rows:
+            near = [n for s, n, other in rows if chosen.get(n) == n and _one_apart(seq, other) and s <= skew * size]
+            chosen[name] = near[0] if near else name
+        assert len(set(chosen.values())) < len(chosen)
+        found = catalogue.queries()[query](spark, d)
+        other = "centroid" if query == "centroid_cluster" else "denoised"
+        assert {r["name"]: r[other] for r in found.collect()} == chosen

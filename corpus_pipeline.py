@@ -10,9 +10,11 @@ before it kept; all but the last return the columns of ``documents``.
 4. ``decontamination``: documents that hold a passage of the benchmark go.
 5. ``tokens``: byte-level BPE of each text, and the digest of its decoding.
 
-Null texts are empty texts and stay what they are where nothing is removed;
-rows that share an id are one document to stage 2, which keeps one of them;
-rows with a null id are never near duplicates.
+Null texts are empty texts and stay what they are where nothing is removed.
+Stages 2 and 4 tell documents by id and text: different texts with one id, or
+with a null id, are documents of their own; of rows that repeat both, stage 2
+keeps one.  Texts without words are no near duplicates and all stay.  An empty
+table gives an empty table; further columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -26,18 +28,32 @@ from cubeloom.llm import bpe, jaccard_join, positional_index, quality, substring
 from cubeloom.llm.common import shared_dir, table
 from cubeloom.llm.queries import byte_bpe_path
 
+KEY = "__document_key"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """*docs* with a key for every id and text, so that different texts with one id, or none, are documents of their own."""
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.col("text")))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    groups = jaccard_join.near_duplicates(docs, shingle=5, percent=80)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest id; all without words."""
+    keyed = _keyed(docs)
+    groups = jaccard_join.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), shingle=5, percent=80)
+    linked = groups.filter("n_shingles > 0").select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Ids before null ids; of rows that repeat an id and a text the one whose further columns are smallest.
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY, F.struct(F.lit(0).alias("none"), *others).alias("rest"))
+    first = keyed.join(linked, KEY).groupBy("component_id").agg(F.min(rank).alias("first"))
+    first = first.select(F.col(f"first.{KEY}").alias(KEY), F.col("first.rest").alias("__rest"))
+    rows = keyed.withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = rows.filter("__words").join(first, KEY).filter(F.struct(F.lit(0).alias("none"), *others).eqNullSafe(F.col("__rest"))).dropDuplicates([KEY])
+    return kept.select(*docs.columns).unionByName(rows.filter(~F.coalesce("__words", F.lit(False))).select(*docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +75,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = positional_index.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = positional_index.find_contamination(keyed.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,10 +25,11 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
         spark.conf.set(_BATCH_BYTES, str(size))
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy", row_group: int | None = None) -> DataFrame:
     """Write *df* to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
     Shuffle files of the write are dropped when it ends, where the session lets them be.
+    *row_group*: bytes of a Parquet row group, for tables whose rows are exploded when they are read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +37,8 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        writer = df.write.option("compression", compression)
+        (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)

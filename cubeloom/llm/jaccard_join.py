@@ -6,13 +6,14 @@ their sets is ``percent`` / 100 or more; sets of ``a`` and ``b`` shingles then
 differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
 
 1. Documents with equal sets are one node, named by its smallest id.
-2. Set sizes fall into bands.  With ``d`` the largest difference that a pair in
-   the band may have, a sketch has ``d + 1 + slack`` blocks of parity bits;
+2. Set sizes fall into bands; a pair belongs to the band of its smaller set.
+   With ``d`` the largest difference that a linked pair of the band may have, a
+   sketch has ``d + 1 + slack`` blocks of parity bits;
    every shingle flips one bit of one block.  The Hamming distance of two
    sketches is at most the difference of the sets, so a linked pair has
    ``slack + 1`` equal blocks or more (pigeonhole).  The blocks are very wide
    (2**64 bits); a block is held as the XOR of its set bits' fingerprints.  A
-   set is sketched for its own band and for further ones that a partner can be in.
+   set is sketched for its own band and for lower ones that a smaller partner can be in.
    Every set leaves out its ``slack`` most popular blocks, ordered by how many
    sets have them: the least popular of a pair's equal blocks has ``slack``
    before it on both sides, so both keep it.  Empty and common blocks go that way.
@@ -20,15 +21,16 @@ differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
    its members are verified against one leader (the set with the most popular
    blocks).  Verification intersects the sets themselves.
 4. While a group still has members of different components, up to
-   ``leaders`` more of its members, from its smaller components first, are
+   ``leaders`` more of its members (four times as many each round, so that the
+   rounds stay few), from its smaller components first, are
    compared with the members of other components: by short sketches of 1024
    bits, whose Hamming distance again is at most the difference of the sets;
    pairs that pass are verified.  When no group is left, no
    link between different components can exist, so the components are exact.
 
 Scale: blocks that only one text has are dropped by a partial aggregation
-before anything is joined; a group emits at most ``leaders`` times its members a
-round; leaders are picked by a limited rank that Spark applies before the
+before anything is joined; a round compares at most its number of leaders times
+a group's members, inside the join, and emits only pairs that short sketches let pass; leaders are picked by a limited rank that Spark applies before the
 shuffle; skewed groups are split by Spark's skew join (no hints); sets are
 computed again for the members of groups only, and joined to the pairs.
 
@@ -52,7 +54,7 @@ from cubeloom.llm.common import binary_list, bound_batches, lean, materialise, s
 from cubeloom.llm.components import components
 from cubeloom.llm.substring_dedup import mix
 
-BAND_RATIO = 1.3
+BAND_RATIO = 1.6
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -84,17 +86,18 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
 
 
 def bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower edges of the bands up to the largest of *sizes*, and the largest difference within each band."""
+    """Lower edges of the bands up to the largest of *sizes*, and the largest difference of a linked pair whose smaller set is in the band."""
     edges = [1]
-    while edges[-1] <= max(1, int(sizes.max(initial=1))) * 100 // percent + 1:
+    while edges[-1] <= max(1, int(sizes.max(initial=1))):
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
     low = np.array(edges)
-    return low[:-1], 2 * (low[1:] - 1) * (100 - percent) // (100 + percent)
+    top = low[1:] - 1
+    return low[:-1], (top + top * 100 // percent) * (100 - percent) // (100 + percent)
 
 
 def slack_of(differ: np.ndarray) -> np.ndarray:
-    """Blocks that a sketch has beyond the pigeonhole's need: a quarter, and one."""
-    return 1 + (differ + 1) // 4
+    """Blocks that a sketch has beyond the pigeonhole's need: an eighth, and one."""
+    return 1 + differ // 8
 
 
 def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,14 +105,14 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     low, differ = bands(sizes, percent)
     own = np.searchsorted(low, sizes, side="right") - 1
-    reach = np.minimum(np.searchsorted(low, sizes * 100 // percent, side="right") - 1, len(low) - 1)
+    reach = np.searchsorted(low, -(-sizes * percent // 100), side="right") - 1  # the band of the smallest partner
     numbers, keys, packed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for up in range(int((reach - own).max(initial=0)) + 1):
-        chosen = np.flatnonzero((sizes > 0) & (own + up <= reach))
-        chosen = chosen[differ[own[chosen] + up] > 0]
+    for down in range(int((own - reach).max(initial=0)) + 1):
+        chosen = np.flatnonzero((sizes > 0) & (own - down >= reach))
+        chosen = chosen[differ[own[chosen] - down] > 0]
         if not len(chosen):
             continue
-        band = own[chosen] + up
+        band = own[chosen] - down
         slack = slack_of(differ[band])
         blocks = differ[band] + 1 + slack
         offset = np.cumsum(blocks) - blocks
@@ -218,42 +221,50 @@ def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, lea
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 256) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    bound_batches(documents.sparkSession, rows=500)
+    spark = documents.sparkSession
+    bound_batches(spark, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    sketched = materialise(sketches(docs, shingle, percent), "join-sketches")
+    # Small row groups: a row holds hundreds of blocks, and a split can't be smaller than a row group.
+    sketched = materialise(sketches(docs, shingle, percent), "join-sketches", row_group=4 << 20)
     named = sketched.filter("doc_id is not null and n_shingles > 0")
-    nodes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key"))
+    first = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    nodes = materialise(first.select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key")), "join-nodes")
 
     blocks = named.select("set_a", F.explode(F.arrays_zip("blocks", "bands")).alias("x")).select("set_a", F.col("x.blocks").alias("block"), F.col("x.bands").alias("band"))
     counted = blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity"))
-    spark = documents.sparkSession
-    with smaller_splits(spark, 6):  # a row holds hundreds of blocks
+    with smaller_splits(spark, 4):
         shared = materialise(counted.filter("a != b").select("block", "popularity"), "join-shared")
     common = blocks.join(shared, "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
     place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
     kept = common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1)))
-    with smaller_splits(spark, 6):
+    with smaller_splits(spark, 4):
         groups = materialise(kept.select("block", "set_a", "popularity"), "join-groups")
-    members = groups.select("set_a").distinct().join(nodes, "set_a")
+    members = materialise(groups.select("set_a").distinct().join(nodes, "set_a"), "join-members")
     sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
-    node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-nodes")
+    node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-node-of")
 
     scores = groups.groupBy("set_a").agg(F.sum("popularity").alias("score"))
     leader = groups.join(scores, "set_a").groupBy("block").agg(F.max(F.struct("score", "set_a")).alias("top")).select("block", F.col("top.set_a").alias("leader"))
     pairs = groups.join(leader, "block").filter("set_a != leader").select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
-    links, done = None, None
+    links, done, parts = None, None, None
     while True:
         found = verified(pairs, sets, percent)
         found = found.join(node_of.select(F.col("set_a").alias("left"), F.col("node").alias("a")), "left").join(node_of.select(F.col("set_a").alias("right"), F.col("node").alias("b")), "right").select("a", "b")
-        links = materialise(found if links is None else links.unionByName(found), "join-links")
-        parts = components(links)
+        found = materialise(found, "join-links")
+        if parts is None or not found.isEmpty():
+            # Stars of the rounds before stand for their links.
+            links = found if parts is None else found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            parts = components(links)
         placed = node_of.join(parts, "node", "left").select("set_a", F.coalesce("component", "node").alias("component"))
         pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), sets, done, leaders, percent)
         if used.isEmpty():
             break
+        leaders *= 4
         pairs = materialise(pairs, "join-pairs")
         done = used if done is None else done.unionByName(used)
-    result = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left").join(parts, "node", "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"))
+    # One row per set on the one side, written; the copies of a set are on the other, where Spark can split a skewed key.
+    owners = materialise(nodes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "join-owners")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    linked = sketched.filter(~alone).select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(sketched.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -3,29 +3,29 @@
 Texts are rewritten in rounds: runs of one symbol get one name, then the
 symbols are dealt into left and right ones by a salted bit of their names and
 each left-right pair gets one name.  Names are fingerprints of what they
-stand for, so all tasks of a Spark round name equal runs and pairs equally
-without a dictionary.  A symbol is *settled* in a window of text if all words
-that decided it (its own and those beside it) lie in the window; equal windows
-have the same settled symbols.  Every window of ``window`` words is therefore
-represented by its settled symbol of the highest round (the smallest name
-among equals), carried on to a phrase of ``phrase`` words; a window without
-one, as within a long run, stands for itself.
-
-1. One pass over the texts: the distinct phrases of every document, written.
-2. Phrases that different texts share reveal the candidates (a shuffle of
-   phrase fingerprints; exact copies of a text are one text here).
-3. Only the windows of shared phrases are verified: their 128-bit names are
-   grouped, and the smallest document of each name is joined back.  A window
-   is repeated if that document is smaller than its own.
+stand for, shared by all tasks: a round needs no dictionary, so it is a map, and
+the rounds of a text run one after another in one pass.  A symbol is *settled*
+in a window of text if all words that decided it (its own and those beside it)
+lie in the window; equal windows have the same settled symbols.  ``group``
+settled neighbours of the highest round are named once more; every window of
+``window`` words is represented by the smallest such name of the highest round
+that has one.  A window without any, as within a long run, is named by its own words.
+
+1. One pass over the texts: the distinct representatives of every document, written.
+2. Symbols that different texts share reveal the candidates (a shuffle of
+   symbol names; exact copies of a text are one text here).
+3. Only the windows under shared symbols are verified: 128-bit names of their
+   words are grouped, and the smallest document of each name is joined back.  A
+   window is repeated if that document is smaller than its own.
 4. The words of repeated windows are removed in one more pass.
 
 A copy of a whole text that a smaller document has is removed as a whole (if it
 has a window at all) and takes no part in step 3.
 
-Scale: phrases and windows are counted with partial aggregation and joined by
-key without a hint, so a hot phrase is pre-aggregated and a skewed join key is
-split by Spark.  Lists per document are bounded by its length.  All stages
-between two written tables can be recomputed from them.
+Scale: symbols and windows are counted with partial aggregation and joined by
+key without a hint, from written tables, so a hot symbol is pre-aggregated and a
+skewed join key is split by Spark.  Lists per document are bounded by its length.
+All stages between two written tables can be recomputed from them.
 
 Defined cases: a null text has no words; a text of fewer than ``window`` words
 has no window and keeps all; rows with the same id are not smaller than each
@@ -88,11 +88,11 @@ def fold_at(names: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, salt: int):
-    """A round of run and pair naming over texts one after another.
+def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, total: int, salt: int):
+    """A round of run and pair naming over texts one after another, of *total* words.
 
     ``[low, high)`` are the words that settle each symbol, *first* marks the
-    first symbol of a text.  Both bounds grow along the symbols of a text.
+    first symbol of a text.  Both bounds grow along the symbols.
     """
     new = first.copy()
     new[1:] |= names[1:] != names[:-1]
@@ -104,8 +104,8 @@ def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.n
         starts, low, high, first = starts[at], low[at], high[last], first[at]
     final = np.append(first[1:], True)
     # A run is settled with the symbols beside it; a text's edge never is.
-    low = np.where(first, low - 1, np.append(low[:1], low[:-1]))
-    high = np.where(final, high + 1, np.append(high[1:], high[-1:]))
+    low = np.where(first, starts - 1, np.append(low[:1], low[:-1]))
+    high = np.where(final, np.append(starts[1:], total) + 1, np.append(high[1:], high[-1:]))
     right = (mix(names ^ np.uint64(salt)) & np.uint64(1)).astype(bool)
     joined = ~right & ~final
     joined[:-1] &= right[1:]
@@ -119,38 +119,46 @@ def one_round(names: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.n
     return names[keep], starts[keep], low[keep], high[keep], first[keep]
 
 
-def representatives(names: np.ndarray, doc: np.ndarray, window: int, phrase: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all windows (of word *names*, by document number *doc*) and the phrase that stands for each."""
-    n, m, reach = len(names), len(names) - window + 1, window - phrase
+def least_in(rank: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest of ``rank[begin:end]`` for each of many ranges, the largest number for an empty one."""
+    out = np.full(len(begin), _LAST, dtype=np.uint64)
+    size, reach, table = end - begin, 1, rank
+    longest = int(size.max(initial=0))
+    while reach <= longest:
+        chosen = np.flatnonzero((size >= reach) & (size < 2 * reach))
+        out[chosen] = np.minimum(table[begin[chosen]], table[end[chosen] - reach])
+        # Two halves of a range twice as long; ranges that would pass the end are never asked for.
+        table = np.minimum(table[:-reach], table[reach:]) if len(table) > reach else table
+        reach *= 2
+    return out
+
+
+def representatives(names: np.ndarray, doc: np.ndarray, window: int, group: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all windows (of word *names*, by document number *doc*) and the symbol that stands for each."""
+    n, m = len(names), len(names) - window + 1
     if m <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    words = np.arange(n + 1, dtype=np.int32)
+    words = np.arange(n + 1, dtype=np.int64)
     symbols = (names, words[:-1], words[:-1], words[1:], np.append(True, doc[1:] != doc[:-1]))
     levels = []
     for r in range(rounds):
-        symbols = one_round(*symbols, _ROUND_SALTS[r % len(_ROUND_SALTS)])
-        levels.append(symbols[:4])
-    pick = np.full(m, -1, dtype=np.int8)
-    for name, start, low, high in reversed(levels):
-        # A symbol is settled in the windows that begin so many words before it; its phrase must fit as well.
-        rank = np.full(n, _LAST, dtype=np.uint64)
-        least, most = np.full(n, 127, dtype=np.int8), np.full(n, -1, dtype=np.int8)
-        rank[start] = mix(name)
-        least[start] = np.minimum(start - low, 127)
-        most[start] = np.clip(start + window - high, -1, reach)
-        top, to = np.full(m, _LAST, dtype=np.uint64), np.full(m, -1, dtype=np.int8)
-        for offset in range(reach + 1):
-            ok = (least[offset : offset + m] <= offset) & (most[offset : offset + m] >= offset)
-            found = np.where(ok, rank[offset : offset + m], _LAST)
-            np.putmask(to, found < top, np.int8(offset))
-            np.minimum(top, found, out=top)
-        pick = np.where(pick < 0, to, pick)
+        symbols = one_round(*symbols, n, _ROUND_SALTS[r % len(_ROUND_SALTS)])
+        levels.append((symbols[0], symbols[2], symbols[3]))
     place = np.flatnonzero(doc[:m] == doc[window - 1 :])
-    pick = pick[place]
-    keys = fold(names, phrase)[place + np.maximum(pick, 0)]
-    alone = pick < 0
-    if alone.any():
-        keys[alone] = fold_at(names, place[alone], window)
+    keys, open_ = np.full(len(place), _LAST, dtype=np.uint64), np.arange(len(place))
+    for name, low, high in reversed(levels):
+        many = len(name) - group + 1
+        if many <= 0 or not len(open_):
+            continue
+        rank = mix(fold(name, group)[:many])
+        # Symbols that are settled in a window lie one after another: those that need no word before it and none after it.
+        before = np.cumsum(np.bincount(np.clip(low[:many] + 1, 0, m), minlength=m + 1))
+        within = np.cumsum(np.bincount(np.clip(high[group - 1 :] - window, 0, m), minlength=m + 1))
+        at = place[open_]
+        keys[open_] = least_in(rank, before[at], within[at])
+        open_ = open_[keys[open_] == _LAST]
+    if len(open_):
+        keys[open_] = mix(fold_at(names, place[open_], window))
     return place, keys
 
 
@@ -162,27 +170,27 @@ def _flat(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.nda
     return sizes, np.repeat(np.arange(len(words)), sizes), both[:, 0].copy(), both[:, 1]
 
 
-def document_phrases(docs: DataFrame, window: int, phrase: int, rounds: int) -> DataFrame:
-    """``text_key, phrases``: the distinct phrases that stand for a text's windows."""
+def document_symbols(docs: DataFrame, window: int, group: int, rounds: int) -> DataFrame:
+    """``text_key, symbols``: the distinct symbols that stand for a text's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, doc, names, _ = _flat(text_bytes(batch.column(1)))
-            place, keys = representatives(names, doc, window, phrase, rounds)
+            place, keys = representatives(names, doc, window, group, rounds)
             cuts = np.searchsorted(doc[place], np.arange(len(sizes) + 1))
             lists = [np.unique(keys[a:b]).view(np.int64) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["text_key", "phrases"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["text_key", "symbols"])
 
-    return docs.select("text_key", "text").mapInArrow(lean(run), "text_key long, phrases array<long>")
+    return docs.select("text_key", "text").mapInArrow(lean(run), "text_key long, symbols array<long>")
 
 
-def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) -> DataFrame:
-    """``name_a, name_b, doc_id, text_key, start`` of the windows whose phrase is among ``phrases``."""
+def candidate_windows(docs: DataFrame, window: int, group: int, rounds: int) -> DataFrame:
+    """``name_a, name_b, doc_id, text_key, start`` of the windows whose symbol is among ``symbols``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, doc, short, upper = _flat(text_bytes(batch.column(2)))
-            place, keys = representatives(short, doc, window, phrase, rounds)
+            place, keys = representatives(short, doc, window, group, rounds)
             owner = doc[place]
             # Keys are told apart by their document; a chance agreement only adds a window to verify.
             wanted = batch.column(3)
@@ -203,7 +211,7 @@ def candidate_windows(docs: DataFrame, window: int, phrase: int, rounds: int) ->
                 names=["name_a", "name_b", "doc_id", "text_key", "start"],
             )
 
-    return docs.select("doc_id", "text_key", "text", "phrases").mapInArrow(lean(run), "name_a long, name_b long, doc_id long, text_key long, start int")
+    return docs.select("doc_id", "text_key", "text", "symbols").mapInArrow(lean(run), "name_a long, name_b long, doc_id long, text_key long, start int")
 
 
 def cut_words(docs: DataFrame, window: int) -> DataFrame:
@@ -233,7 +241,7 @@ def cut_words(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text", "whole", "starts").mapInArrow(lean(run), "doc_id long, text_key long, n_words long, n_removed long, text string")
 
 
-def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds: int = 2) -> DataFrame:
+def deduplicate(documents: DataFrame, window: int = 13, group: int = 2, rounds: int = 2) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_words, n_removed, text``.
 
     *text* has the words that stay, joined by one space; *text_key* is the ``xxhash64`` of the text before.
@@ -242,27 +250,29 @@ def deduplicate(documents: DataFrame, window: int = 13, phrase: int = 6, rounds:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    phrases = materialise(document_phrases(docs, window, phrase, rounds), "dedup-phrases")
-    single = phrases.select("text_key", F.explode("phrases").alias("phrase"))
+    listed = materialise(document_symbols(docs, window, group, rounds), "dedup-symbols", row_group=8 << 20)
+    single = listed.select("text_key", F.explode("symbols").alias("symbol"))
     shared = materialise(
-        single.groupBy("phrase").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a != b").select("phrase"),
+        single.groupBy("symbol").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a != b").select("symbol"),
         "dedup-shared",
     )
-    hits = materialise(single.join(shared, "phrase"), "dedup-hits")  # by itself, so that Spark can split a skewed phrase
-    wanted = hits.groupBy("text_key").agg(F.collect_set("phrase").alias("phrases"))
+    hits = materialise(single.join(shared, "symbol"), "dedup-hits")  # by itself, so that Spark can split a skewed symbol
+    wanted = hits.groupBy("text_key").agg(F.collect_set("symbol").alias("symbols"))
 
     # Copies of whole texts: the smallest document of a text stands for it.
     ids = docs.filter("doc_id is not null").select("doc_id", "text_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    first = ids.groupBy("text_key", "digest").agg(F.min("doc_id").alias("first"))
-    chosen = first.groupBy("text_key").agg(F.collect_set("first").alias("firsts")).join(wanted, "text_key").select(F.explode("firsts").alias("doc_id"), "text_key", "phrases")
-    windows = materialise(candidate_windows(docs.join(chosen, ["doc_id", "text_key"]), window, phrase, rounds), "dedup-windows")
+    first = materialise(ids.groupBy("text_key", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "dedup-texts")
+    chosen = first.groupBy("text_key").agg(F.collect_set("first").alias("firsts")).join(wanted, "text_key").select(F.explode("firsts").alias("doc_id"), "text_key", "symbols")
+    windows = materialise(candidate_windows(docs.join(chosen, ["doc_id", "text_key"]), window, group, rounds), "dedup-windows")
 
     names = ["name_a", "name_b"]
     least = windows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     least = materialise(least, "dedup-least")
     found = materialise(windows.join(least, names).filter("least < doc_id").select("doc_id", "text_key", "start"), "dedup-repeated")
     repeated = found.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
-    copies = ids.join(first, ["text_key", "digest"]).filter("first < doc_id").select("doc_id", "text_key").distinct()
+    # Copies on one side, one row per text that has any on the other: Spark can split the copies of a text.
+    several = first.filter("first < last").drop("last")
+    copies = materialise(ids.join(several, ["text_key", "digest"]).filter("first < doc_id").select("doc_id", "text_key"), "dedup-copies").distinct()
     size = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     verdicts = materialise(
         repeated.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True))),

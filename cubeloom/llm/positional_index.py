@@ -1,33 +1,31 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Index: the training documents are tokenised once, batch by batch.  Every batch
-is a shard of the index with its own postings: for each term, the ordered
-positions of its tokens in the shard, whose documents lie one after another
-with a gap between them.  Shards are rows of a written table, so an index is
-as long as the corpus, is never gathered anywhere, and survives a lost
-executor.  ``terms`` restricts the postings to the terms that the test set can
-ask for; document lengths are kept for all.
+is a shard of the index with the postings of all its terms: for each term
+(a 64-bit fingerprint of the word) the ordered positions of its tokens in the
+shard, whose documents lie one after another with a free position between
+them.  Shards are rows of a written table, so an index is as long as the
+corpus, is never gathered anywhere, serves any test set, and survives a lost executor.
 
 Search: a test item's windows (``window`` consecutive words; a shorter item is
-one window) order their terms from the rarest in the whole corpus on.  In each
-shard the positions of the rarest term, less its offset in the window, are the
-candidate starts; the offset-adjusted list of each further term is intersected
-with them until none is left or all terms have agreed, which makes the match
-exact.  ``proximity`` instead keeps the places where all terms of a window lie
-within a span of ``span`` words, in any order.
-
-Scale: building is one pass over the texts, searching one pass over the
-shards, both without a shuffle; term frequencies are summed from the shards'
-posting counts.  The test set is the stated query set: it is streamed to the
-driver and applied in blocks of at most ``block_items`` items and
-``block_chars`` characters, which is what a task holds at a time.  Its
-vocabulary is shipped as a whole; more than ``max_terms`` terms are an error
-(call it for parts of the test set then).
+one window) order their terms from the rarest in the whole corpus on; a window
+with a term that the corpus lacks is left out.  In each shard the postings of
+the windows' rarest terms, less their offsets, are the candidate starts; the
+offset-adjusted postings of each further term are intersected with them, for all
+windows of a block at a time, which makes the match exact.  ``span`` instead
+finds the places where all terms of a window lie within that many words of one
+document, in any order, anchored at the rarest.
+
+Scale: building is one pass over the texts.  Term frequencies are partial sums
+over the shards, for the terms of the test set only.  Windows, frequencies and
+the items of a window stay Spark tables; windows are applied in blocks of about
+``block_windows``: only one block at a time is on the driver and in a task, and
+its matches are written before the next.  A block passes over the shards once.
 
 Defined cases: a null or empty text has no words; an item without words has
 no window; ids may be null or repeat (one result per document row; a repeated
-item id is one item); an empty table of documents gives an empty result, an
-empty test set matches nothing; columns other than ids and texts are not read.
+item id is one item, a null one is left out); an empty table of documents gives an
+empty result, an empty test set matches nothing; columns other than ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,8 @@ from cubeloom.llm.common import bound_batches, lean, materialise, text_bytes
 
 #: Bytes that belong to no word become spaces, A-Z becomes a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SHARD = "doc_ids array<long>, starts array<long>, sizes array<long>, term_ids array<int>, term_sizes array<int>, positions binary, marks binary, owners binary"
+_SHARD = "shard long, doc_ids array<long>, starts array<int>, sizes array<int>, terms array<long>, term_sizes array<int>, positions binary"
+_HITS = "shard long, place int, spans array<struct<a:int,b:int>>, windows array<binary>"
 
 
 def fold_words(raw: bytes) -> list[bytes]:
@@ -51,193 +52,231 @@ def fold_words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-class TestBlock:
-    """The windows of a block of test items; terms are numbered in *number*, which all blocks share."""
+class _Terms(dict):
+    """Signed 64-bit fingerprint by word; emptied at 200,000 words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, number: dict[bytes, int]):
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for item, raw in items:
-            terms = tuple(number.setdefault(w, len(number)) for w in fold_words(raw))
-            for i in range(max(1, len(terms) - window + 1) if terms else 0):
-                seen.setdefault(terms[i : i + window], set()).add(item)
-        self.windows = list(seen)
-        self.items = [sorted(x) for x in seen.values()]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        term = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return term
 
-    def plans(self, frequency: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Per window its (term, offset) pairs, the rarest term first."""
-        return [sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (frequency[x[0]], x[1])) for w in self.windows]
 
+_TERMS = _Terms()
 
-def build_index(documents: DataFrame, number: dict[bytes, int], gap: int) -> DataFrame:
-    """The shards of *documents* for the numbered terms; *gap* free positions part two documents."""
-    spark = documents.sparkSession
-    bound_batches(spark)
-    shipped = spark.sparkContext.broadcast(number)
+
+def term_numbers(raw: bytes) -> np.ndarray:
+    words = fold_words(raw)
+    return np.fromiter(map(_TERMS.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def build_index(documents: DataFrame) -> DataFrame:
+    """The shards of ``doc_id, text``, written."""
+    bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shipped.value.get
-        for batch in batches:
-            numbers, starts, sizes, at = [], [], [], 0
-            for raw in text_bytes(batch.column(1)):
-                words = fold_words(raw)
-                numbers.append(np.array([find(w, -1) for w in words], dtype=np.int32))
-                starts.append(at)
-                sizes.append(len(words))
-                at += len(words) + gap
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            place = np.arange(len(flat)) + gap * np.repeat(np.arange(len(sizes)), sizes)
-            known = np.flatnonzero(flat >= 0)
-            order = known[np.argsort(flat[known], kind="stable")]
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(batches):
+            numbers = [term_numbers(raw) for raw in text_bytes(batch.column(1))]
+            sizes = np.array(list(map(len, numbers)), dtype=np.int64)
+            starts = np.cumsum(sizes + 1) - sizes - 1  # one free position after each document
+            flat = np.concatenate([*numbers, np.zeros(0, np.int64)])
+            place = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(flat, kind="stable")
             terms, counts = np.unique(flat[order], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([first + k], pa.int64()),
                     pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([starts], pa.list_(pa.int64())),
-                    pa.array([sizes], pa.list_(pa.int64())),
-                    pa.array([terms.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([starts.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([terms], pa.list_(pa.int64())),
                     pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([place[order].astype("<i4").tobytes()], pa.binary()),
-                    pa.array([b""], pa.binary()),
-                    pa.array([b""], pa.binary()),
                 ],
-                names=["doc_ids", "starts", "sizes", "term_ids", "term_sizes", "positions", "marks", "owners"],
+                names=["shard", "doc_ids", "starts", "sizes", "terms", "term_sizes", "positions"],
             )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialise(source.mapInArrow(lean(run), _SHARD), "positional-index")
 
 
-def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Tokens of each numbered term in the whole corpus (one number per term of the test block)."""
-    pairs = index.select(F.explode(F.arrays_zip("term_ids", "term_sizes")).alias("x")).select("x.term_ids", "x.term_sizes")
-    out = np.zeros(n_terms, dtype=np.int64)
-    for term, total in pairs.groupBy("term_ids").agg(F.sum("term_sizes")).collect():
-        out[term] = total
-    return out
-
-
-def _phrase_starts(plan: list[tuple[int, int]], postings: dict[int, np.ndarray]) -> np.ndarray:
-    """Where a window starts: offset-adjusted lists intersected from the rarest term on."""
-    found = None
-    for term, offset in plan:
-        places = postings.get(term)
-        if places is None:
-            return np.zeros(0, dtype=np.int64)
-        if found is None:
-            found = places - offset
-        else:
-            wanted = found + offset
-            at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-            found = found[places[at] == wanted]
-        if not len(found):
-            break
-    return found
-
-
-def _near_starts(plan: list[tuple[int, int]], postings: dict[int, np.ndarray], span: int) -> np.ndarray:
-    """First positions of spans of at most *span* words that hold all terms, anchored at the rarest."""
-    terms = list(dict.fromkeys(t for t, _ in plan))
-    if any(t not in postings for t in terms):
-        return np.zeros(0, dtype=np.int64)
-    anchor = postings[terms[0]]
-    starts = []
-    for back in range(span):
-        low = anchor - back
-        ok = np.ones(len(anchor), dtype=bool)
-        for t in terms[1:]:
-            places = postings[t]
-            at = np.searchsorted(places, low)
-            ok &= (at < len(places)) & (places[np.minimum(at, len(places) - 1)] < low + span)
-        starts.append(low[ok])
-    return np.unique(np.concatenate(starts)) if starts else np.zeros(0, dtype=np.int64)
-
-
-def search(index: DataFrame, block: TestBlock, frequency: np.ndarray, span: int | None = None) -> DataFrame:
-    """The index with the matches of a block of test items added to ``marks`` (start, end) and ``owners`` (document, item)."""
-    shipped = index.sparkSession.sparkContext.broadcast((block.plans(frequency), block.items))
+def test_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item_id, window, terms`` of the test items: a 128-bit name and the terms of every window, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, items = shipped.value
         for batch in batches:
-            marks, owners = [], []
-            for shard in batch.to_pylist():
-                starts = np.array(shard["starts"], dtype=np.int64)
-                places = np.frombuffer(shard["positions"], dtype="<i4").astype(np.int64)
-                ends = np.cumsum(shard["term_sizes"])
-                postings = {t: places[e - n : e] for t, n, e in zip(shard["term_ids"], shard["term_sizes"], ends)}
-                spans, found_items = [shard["marks"]], set()
-                for plan, owner in zip(plans, items):
-                    if plan[0][0] not in postings:
-                        continue
-                    found = _phrase_starts(plan, postings) if span is None else _near_starts(plan, postings, span)
-                    if len(found):
-                        spans.append(np.stack([found, found + (len(plan) if span is None else span)], axis=1).astype("<i8").tobytes())
-                        found_items.update((doc, item) for doc in np.unique(np.searchsorted(starts, found, side="right") - 1).tolist() for item in owner)
-                marks.append(b"".join(spans))
-                owners.append(shard["owners"] + np.array(sorted(found_items), dtype="<i8").tobytes())
-            columns = dict(zip(batch.schema.names, batch.columns)) | {"marks": pa.array(marks, pa.binary()), "owners": pa.array(owners, pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return index.mapInArrow(lean(run), _SHARD)
-
-
-def matches(index: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids`` of every document of a searched index."""
+            rows: list[tuple[int, bytes, np.ndarray]] = []
+            for item, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                words, terms = fold_words(raw), term_numbers(raw)
+                for i in range(max(1, len(words) - window + 1) if words else 0):
+                    rows.append((item, xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), terms[i : i + window]))
+            items, names, terms = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(names, pa.binary()), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "window", "terms"])
+
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    return source.mapInArrow(lean(run), "item_id long, window binary, terms array<long>").distinct()
+
+
+def search_plans(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """``window, terms, offsets`` of the windows whose terms the corpus all has, the rarest term first."""
+    asked = windows.select("window", "terms").distinct().select("window", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
+    asked = materialise(asked, "index-asked")
+    postings = index.select(F.explode(F.arrays_zip("terms", "term_sizes")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.term_sizes").alias("tokens"))
+    frequency = postings.join(materialise(asked.select("term").distinct(), "index-terms"), "term", "left_semi").groupBy("term").agg(F.sum("tokens").alias("tokens"))
+    order = F.sort_array(F.collect_list(F.struct("tokens", "offset", "term")))  # as long as a window
+    plans = asked.join(materialise(frequency, "index-frequency"), "term").groupBy("window", "n").agg(order.alias("steps")).filter(F.size("steps") == F.col("n"))
+    return plans.select("window", F.col("steps.term").alias("terms"), F.col("steps.offset").alias("offsets"))
+
+
+class Block:
+    """A block of search plans as arrays; windows shorter than the longest are padded."""
+
+    def __init__(self, plans: pa.Table):
+        self.names = plans.column("window").to_pylist()
+        self.sizes = np.array([len(x) for x in plans.column("terms").to_pylist()], dtype=np.int64)
+        width = int(self.sizes.max(initial=0))
+        inside = np.arange(width) < self.sizes[:, None]
+        self.terms, self.offsets = (np.zeros((len(self.names), width), dtype=np.int64) for _ in range(2))
+        for out, column in ((self.terms, "terms"), (self.offsets, "offsets")):
+            out[inside] = plans.column(column).combine_chunks().flatten().to_numpy()
+
+
+class Shard:
+    """The postings of one shard: terms, and the key ``term number << 32 | position`` of every token, in order."""
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray):
+        self.terms, self.sizes = terms, sizes
+        self.ends = np.cumsum(sizes)
+        self.keys = (np.repeat(np.arange(len(terms), dtype=np.int64), sizes) << 32) | positions
+
+    def number(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term in the shard, -1 for those that it lacks."""
+        if not len(self.terms):
+            return np.full(terms.shape, -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def anchors(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window and position of every posting of the windows' rarest terms, for windows whose terms the shard all has; the numbers of all terms."""
+        number = np.full(block.terms.shape, -1)
+        chosen = np.flatnonzero(self.number(block.terms[:, 0]) >= 0)
+        number[chosen] = self.number(block.terms[chosen])
+        inside = np.arange(number.shape[1]) < block.sizes[chosen, None]
+        chosen = chosen[((number[chosen] >= 0) | ~inside).all(axis=1)]
+        rarest = number[chosen, 0]
+        count = self.sizes[rarest]
+        place = np.repeat(self.ends[rarest] - np.cumsum(count), count) + np.arange(int(count.sum()))
+        return np.repeat(chosen, count), self.keys[place] & 0xFFFFFFFF, number
+
+    def has(self, number: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether the term of each *number* has a token at each *position*."""
+        wanted = (number << 32) | position
+        return self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
+
+    def phrases(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, start and end of every exact match."""
+        window, place, number = self.anchors(block)
+        start = place - block.offsets[window, 0] if len(window) else place
+        window, start = window[start >= 0], start[start >= 0]
+        for step in range(1, number.shape[1]):
+            due = block.sizes[window] > step
+            kept = ~due
+            kept[due] = self.has(number[window[due], step], start[due] + block.offsets[window[due], step])
+            window, start = window[kept], start[kept]
+        return window, start, start + block.sizes[window]
+
+    def spans(self, block: Block, span: int, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, start and end of all places where all terms lie within *span* words of one document."""
+        window, place, number = self.anchors(block)
+        doc = np.searchsorted(starts, place, side="right") - 1  # of the anchor
+        found = [(window[:0], place[:0], place[:0])]
+        for back in range(span):
+            low = place - back
+            high = np.minimum(low + span, stops[doc])
+            ok = low >= starts[doc]
+            for step in range(1, number.shape[1]):
+                due = np.flatnonzero(ok & (block.sizes[window] > step))
+                first = number[window[due], step] << 32
+                at = np.searchsorted(self.keys, first | low[due])
+                ok[due] = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] < (first | high[due]))
+            found.append((window[ok], low[ok], high[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that many ranges cover together, ordered."""
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.append(True, low[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(low)) - 1
+    return low[new], reach[last]
+
+
+def search(index: DataFrame, block: Block, span: int | None = None) -> DataFrame:
+    """The matches of a block, written: per document (``shard, place``) with any its covered words and its windows."""
+    shipped = index.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = shipped.value
         for batch in batches:
-            for shard in batch.to_pylist():
-                starts, sizes = (np.array(shard[k], dtype=np.int64) for k in ("starts", "sizes"))
-                marks = np.frombuffer(shard["marks"], dtype="<i8").reshape(-1, 2)
-                owners = np.unique(np.frombuffer(shard["owners"], dtype="<i8").reshape(-1, 2), axis=0)
-                # Covered positions: +1 at each start, -1 after each end, summed along the shard.
-                change = np.zeros(int((starts + sizes).max(initial=0)) + 2, dtype=np.int64)
-                np.add.at(change, np.maximum(marks[:, 0], 0), 1)
-                np.add.at(change, np.minimum(marks[:, 1], len(change) - 1), -1)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-                cuts = np.searchsorted(owners[:, 0], np.arange(len(sizes) + 1))
+            for k in range(batch.num_rows):
+                starts, sizes, terms, term_sizes = (batch.column(i)[k].values.to_numpy().astype(np.int64) for i in range(1, 5))
+                shard = Shard(terms, term_sizes, np.frombuffer(batch.column(5)[k].as_py(), dtype="<i4"))
+                window, low, high = shard.phrases(plans) if span is None else shard.spans(plans, span, starts, starts + sizes)
+                if not len(window):
+                    continue
+                doc = np.searchsorted(starts, low, side="right") - 1
+                pairs = np.unique(doc * len(plans.names) + window)
+                owner, name = pairs // len(plans.names), pairs % len(plans.names)
+                places = np.unique(owner)
+                a, b = merged(low, high)  # a free position parts documents, so no range holds two
+                at = np.searchsorted(starts, a, side="right") - 1
+                cuts = np.searchsorted(at, np.append(places, at[-1] + 1))
+                spans = [[{"a": x, "b": y} for x, y in zip((a[i:j] - starts[p]).tolist(), (b[i:j] - starts[p]).tolist())] for p, i, j in zip(places, cuts, cuts[1:])]
+                cuts = np.searchsorted(owner, np.append(places, owner[-1] + 1))
+                names = [[plans.names[i] for i in name[x:y]] for x, y in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(shard["doc_ids"], pa.int64()),
-                        pa.array(sizes),
-                        pa.array(covered[starts + sizes] - covered[starts]),
-                        pa.array([owners[a:b, 1].tolist() for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64())),
+                        pa.array(np.full(len(places), batch.column(0)[k].as_py()), pa.int64()),
+                        pa.array(places, pa.int32()),
+                        pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                        pa.array(names, pa.list_(pa.binary())),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "item_ids"],
+                    names=["shard", "place", "spans", "windows"],
                 )
 
-    return index.mapInArrow(lean(run), "doc_id long, n_words long, n_hit long, item_ids array<long>")
-
-
-def _blocks(benchmark: DataFrame, block_items: int, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The test items, streamed to the driver block by block."""
-    block: list[tuple[int, bytes]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    for item, text in rows.toLocalIterator():
-        if block and (len(block) >= block_items or size + len(text) > block_chars):
-            yield block
-            block, size = [], 0
-        block.append((item, text.encode()))
-        size += len(text)
-    yield block
+    found = index.select("shard", "starts", "sizes", "terms", "term_sizes", "positions").mapInArrow(lean(run), _HITS)
+    found = materialise(found, "index-hits")
+    shipped.unpersist()
+    return found
 
 
-def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = 10, span: int | None = None, block_items: int = 5000, block_chars: int = 1 << 23, max_terms: int = 2_000_000
-) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, span: int | None = None, block_windows: int = 50_000) -> DataFrame:
     """``doc_id, n_words, n_hit, item_ids`` of every document: exact phrases, or with *span* proximity matches."""
-    number: dict[bytes, int] = {}
-    blocks = []
-    for items in _blocks(benchmark, block_items, block_chars):
-        blocks.append(TestBlock(items, window, number))
-        if len(number) > max_terms:
-            raise ValueError(f"the test set has more than {max_terms} terms")
-    index = build_index(documents, number, gap=max(window, span or 0) + 1)
-    frequency = term_frequencies(index, len(number))
-    for block in blocks:
-        index = search(index, block, frequency, span)
-    return matches(index)
+    index = build_index(documents)
+    windows = materialise(test_windows(benchmark, window), "index-windows")
+    plans = materialise(search_plans(index, windows), "index-plans")
+    blocks = -(-plans.count() // block_windows)
+    hits = None
+    for k in range(blocks):
+        block = Block(plans.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toArrow())
+        if not block.names:
+            continue
+        found = search(index, block, span)
+        hits = found if hits is None else hits.unionByName(found)
+    docs = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("place", "x")).select("shard", "place", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").cast("long").alias("n_words"))
+    none = F.array().cast("array<long>")
+    if hits is None:
+        return docs.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
+    key = ["shard", "place"]
+    # Words covered: each range, in order, adds what lies beyond the ranges before it.
+    zero = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("words"))
+    step = lambda seen, x: F.struct(F.greatest(seen["reach"], x["b"]).alias("reach"), (seen["words"] + F.greatest(x["b"] - F.greatest(seen["reach"], x["a"]), F.lit(0))).alias("words"))
+    covered = hits.groupBy(*key).agg(F.aggregate(F.sort_array(F.flatten(F.collect_list("spans"))), zero, step, lambda x: x["words"]).alias("n_hit"))
+    owners = hits.select(*key, F.explode("windows").alias("window")).join(windows.select("window", "item_id"), "window").select(*key, "item_id").distinct()
+    items = owners.groupBy(*key).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    return docs.join(covered, key, "left").join(items, key, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def decontamination_digests(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

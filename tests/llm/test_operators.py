@@ -269,16 +269,40 @@ def test_benchmark_hits(spark, odd, small):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     short = spark.createDataFrame([(1, "by BY by"), (2, "One two"), (2, "w1"), (3, None), (None, "by"), (4, "--")], "item_id long, text string")
     for docs, items in ((small, bench), (odd, short), (odd, short.limit(0))):
-        for block in (3, 5000):
-            found = positional_index.find_contamination(docs, items, block_items=block).collect()
+        for block in (3, 50_000) if docs is odd else (50_000,):
+            found = positional_index.find_contamination(docs, items, block_windows=block).collect()
             assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in found), key=repr) == brute_hits(pairs(docs), [(r.item_id, r.text) for r in items.collect()])
 
 
-def test_proximity_covers_phrases(spark):
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "d x c b y a"), (3, "a b c " + "z " * 9 + "d")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
-    found = {r.doc_id: list(r.item_ids) for r in positional_index.find_contamination(docs, items, span=6).collect()}
-    assert found == {1: [7], 2: [7], 3: []}
+def brute_spans(rows, items, span, window=10):
+    known = [(item, set(words[i : i + window])) for item, words in items for i in range(max(1, len(words) - window + 1))]
+    out = []
+    for d, t in rows:
+        words, hit, owners = t.split(), set(), set()
+        for i in range(len(words)):
+            for item, terms in known:
+                if terms <= set(words[i : i + span]):
+                    hit.update(range(i, min(i + span, len(words))))
+                    owners.add(item)
+        out.append((d, len(words), len(hit), tuple(sorted(owners))))
+    return sorted(out)
+
+
+def test_proximity_matches_brute_force(spark):
+    random.seed(4)
+    rows = [(1, "q q q"), (2, "a b c d"), (3, "z z"), (4, "d x c b y a"), (5, "a b c " + "z " * 9 + "d"), (6, "")]
+    rows += [(d, " ".join(random.choice("abcdez") for _ in range(random.choice([1, 4, 12, 40])))) for d in range(10, 40)]
+    items = [(7, "a b c d".split()), (8, "e e a".split()), (9, ["z"]), (11, list("abcdeabcdezzab"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for span in (3, 6):
+        found = positional_index.find_contamination(docs, tests, span=span).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in found) == brute_spans(rows, items, span)
+
+
+def test_index_of_nothing(spark, odd):
+    items = spark.createDataFrame([(1, "by BY by")], "item_id long, text string")
+    assert positional_index.find_contamination(odd.limit(0), items).collect() == []
 
 
 # 7. line rules

@@ -1,9 +1,9 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is read into blocks: runs of text between block-level tags, each with
-its place in the element tree.  Every block gets a score from a linear
-classifier (elements above it, names of their classes and roles, density of
-links, length, punctuation).  The logistic costs of calling the block content
+its place in the element tree.  Every block gets a score from a fitted linear
+classifier (:data:`FEATURES`, :data:`WEIGHTS`; :mod:`cubeloom.llm.page_model` fits
+them and a test repeats the fit).  The logistic costs of calling the block content
 or boilerplate are its capacities to the two terminals.  Neighbouring blocks,
 and consecutive blocks of one parent, are joined by smoothness edges whose
 capacity follows their proximity in the tree.  The maximum flow gives the
@@ -14,10 +14,13 @@ the head) makes no block.  Character references are decoded, white space
 inside a block becomes one space, blocks are joined by one line feed.
 
 One map over the pages: a page is one unit of work, nothing is shuffled, and
-memory is that of a batch of pages.
+memory is that of a batch of pages.  Reading a page takes time in proportion to
+its length, whatever its markup; blocks whose cost outweighs their edges are
+decided before the flow, so that it runs over the doubtful ones only.
 
 Defined cases: a null or empty page, and one without content, has an empty
-text; broken markup is read leniently (unclosed and stray tags); ids and urls
+text; broken markup is read leniently (unclosed and stray tags; from a tag whose quotes
+never close on, tags end at the next ``>``; what follows an unfinished tag or comment is lost); ids and urls
 may be null or repeat (one row each); an empty table gives an empty table;
 further columns are not read.
 """
@@ -27,23 +30,22 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import bound_batches, lean
 
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button|audio|video|datalist"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Elements whose content is no text of the page.
+_SILENT = frozenset("script style noscript template svg math iframe object canvas head title textarea select button audio video datalist".split())
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _SILENT}
+_OPENING = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?/])")
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -60,8 +62,9 @@ _AWAY_NAMES = frozenset(
     " popup modal overlay gdpr copyright legal disclaimer contentinfo complementary search form dialog hidden tags rating ratings".split()
 )
 _BODY_NAMES = frozenset("article main content post entry story articlebody".split())
-#: Classifier weights: the log odds that each property adds for content.
-_BASE, _IN_BODY, _IN_AWAY, _HIDDEN, _HEADER, _LINKS, _LENGTH, _SENTENCE, _HEADING = -0.5, 3.5, -8.0, -9.0, -5.0, -3.0, 0.05, 0.7, 0.5
+#: What the classifier sees of a block, and the log odds for content that one unit of each adds (fitted values).
+FEATURES = ("always", "words", "linked", "sentence", "heading", "in_body", "away_element", "away_name", "page_header", "hidden")
+WEIGHTS = (-2.4, 10.0, -7.8, 2.2, 6.0, 3.4, -16.5, -16.6, -9.9, -16.6)
 _SMOOTH = 1.0
 
 
@@ -73,7 +76,10 @@ class Element:
     depth: int
     parent: Element | None
     in_body: bool = False
-    away: float = 0.0
+    away_element: bool = False
+    away_name: bool = False
+    page_header: bool = False
+    hidden: bool = False
 
 
 @dataclass
@@ -86,31 +92,64 @@ class Block:
 
 
 def _child(parent: Element, name: str, attributes: str) -> Element:
-    element = Element(name, parent.depth + 1, parent, parent.in_body, parent.away)
+    element = Element(name, parent.depth + 1, parent, parent.in_body, parent.away_element, parent.away_name, parent.page_header, parent.hidden)
     names: set[str] = set()
-    hidden = False
-    if attributes:
-        for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                hidden = True
-            elif key in ("class", "id", "role", "itemprop"):
-                names.update(_NAME.findall(value))
-    if name in _BODY or names & _BODY_NAMES:
-        element.in_body = True
-    if hidden:
-        element.away = min(element.away, _HIDDEN)
-    if name in _AWAY or names & _AWAY_NAMES and name not in ("body", "html", "article"):
-        element.away = min(element.away, _IN_AWAY)
-    elif name == "header" or "header" in names and name not in ("body", "html", "article"):
-        element.away = min(element.away, _HEADER if not parent.in_body else 0.0)
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            element.hidden = True
+        elif key in ("class", "id", "role", "itemprop"):
+            names.update(_NAME.findall(value))
+    whole = name in ("body", "html", "article")
+    element.in_body |= name in _BODY or bool(names & _BODY_NAMES)
+    element.away_element |= name in _AWAY
+    element.away_name |= bool(names & _AWAY_NAMES) and not whole
+    element.page_header |= (name == "header" or "header" in names and not whole) and not parent.in_body
     return element
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of every tag; a silent element and a comment are one tag without a name."""
+    at, quoted = 0, True
+    while m := _OPENING.search(page, at):
+        start, at = m.start(), m.end()
+        name = (m[2] or "").lower()
+        if not name:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, at)
+            at = len(page) if end < 0 else end + len(mark)
+            yield start, at, "", False, ""
+            continue
+        end, near = at, page.find(">", at)
+        if near < 0:
+            yield start, len(page), "", False, ""
+            return
+        if quoted and not m[1]:
+            # The first ">" outside quotes.
+            while True:
+                quote = min((q for q in (page.find('"', end, near), page.find("'", end, near)) if q >= 0), default=-1)
+                if quote < 0:
+                    break
+                close = page.find(page[quote], quote + 1)
+                end = close + 1
+                near = page.find(">", end) if close >= 0 and close > near else near
+                if close < 0 or near < 0:
+                    quoted, near = False, page.find(">", at)
+                    break
+        attributes, at = page[m.end() : near], near + 1
+        if name in _SILENT and not m[1] and not attributes.endswith("/"):
+            end_tag = _ENDS[name].search(page, at)
+            at = end_tag.end() if end_tag else len(page)
+            yield start, at, "", False, ""
+        else:
+            yield start, at, name, bool(m[1]), attributes
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in its order."""
     root = Element("", 0, None)
     top, links, at = root, 0, 0
+    open_names: Counter[str] = Counter()
     found: list[Block] = []
     now = Block(root, False)
 
@@ -127,45 +166,49 @@ def blocks_of(page: str) -> list[Block]:
                 found.append(now)
         return Block(parent, heading)
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
+    for start, end, name, closes, attributes in tags_of(page):
+        text(page[at:start])
+        at = end
         if name == "br":
             text(" ")
         elif name == "a":
-            links = 0 if m[2] else 1
+            links = 0 if closes else 1
         elif name in _BLOCKS:
-            if m[2]:
-                element = top
-                while element is not root and element.name != name:
-                    element = element.parent
-                if element is not root:
-                    top = element.parent
+            if closes:
+                while open_names[name]:  # up to the element of that name, if one is open
+                    open_names[top.name] -= 1
+                    top, last = top.parent, top.name
+                    if last == name:
+                        break
             else:
                 if top.name in _CLOSES_ITSELF and (top.name == name or top.name == "p"):
+                    open_names[top.name] -= 1
                     top = top.parent
                 if name not in _VOID:
-                    top = _child(top, name, m[4])
+                    top = _child(top, name, attributes)
+                    open_names[name] += 1
             links = 0
-            now = cut(top, name in ("h1", "h2", "h3", "h4", "h5", "h6") and not m[2])
+            now = cut(top, name in ("h1", "h2", "h3", "h4", "h5", "h6") and not closes)
     text(page[at:])
     cut(root)
     return found
 
 
-def content_odds(block: Block) -> float:
-    """The classifier's log odds that a block is content."""
-    words = block.text.count(" ") + 1
-    odds = _BASE + block.parent.away + _LENGTH * min(words, 40)
-    odds += _IN_BODY * block.parent.in_body + _HEADING * block.heading
-    odds += _LINKS * min(1.0, block.linked / max(len(block.text), 1))
-    if block.text[-1] in ".!?…\"”":
-        odds += _SENTENCE
-    return odds
+def features_of(block: Block) -> tuple[float, ...]:
+    """The block's values of :data:`FEATURES`."""
+    e, words = block.parent, block.text.count(" ") + 1
+    return (
+        1.0,
+        min(words, 40) / 40,
+        min(1.0, block.linked / max(len(block.text), 1)),
+        float(block.text[-1] in ".!?…\"”"),
+        float(block.heading),
+        float(e.in_body),
+        float(e.away_element),
+        float(e.away_name),
+        float(e.page_header),
+        float(e.hidden),
+    )
 
 
 def proximity(a: Element, b: Element) -> float:
@@ -180,48 +223,75 @@ def proximity(a: Element, b: Element) -> float:
     return (1 + x.depth) / (1 + deepest)
 
 
-def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source in a minimum cut, by shortest augmenting paths.
+def _settle(gain: list[float], left: list[dict[int, float]]) -> list[int]:
+    """Decide nodes whose terminal outweighs all their edges: 1 source, -1 sink, 0 doubtful.
 
-    Flow that passes a single node is pushed first, so that only differences have to travel.
+    *gain* is the capacity to the source less that to the sink.  A decided
+    neighbour is as good as its terminal, so its edge joins *gain*.
     """
+    side = [0] * len(gain)
+    around = [sum(x.values()) for x in left]
+    queue = deque(range(len(gain)))
+    while queue:
+        i = queue.popleft()
+        if side[i] or -around[i] < gain[i] <= around[i]:
+            continue
+        side[i] = 1 if gain[i] > 0 else -1
+        for j, capacity in left[i].items():
+            if not side[j]:
+                gain[j] += side[i] * capacity
+                around[j] -= capacity
+                queue.append(j)
+    return side
+
+
+def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes stay with the source in the least minimum cut, by blocking flows along shortest ways (Dinic)."""
     n = len(source)
-    push = [min(a, b) for a, b in zip(source, sink)]
-    supply = [a - p for a, p in zip(source, push)]
-    demand = [b - p for b, p in zip(sink, push)]
     left: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, capacity in edges:
         left[a][b] = left[a].get(b, 0.0) + capacity
         left[b][a] = left[b].get(a, 0.0) + capacity
+    gain = [a - b for a, b in zip(source, sink)]
+    side = _settle(gain, left)
+    doubtful = [i for i in range(n) if not side[i]]
+    ways = {i: [j for j in left[i] if not side[j]] for i in doubtful}
     while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if supply[i] > 1e-9)
-        for i in queue:
-            came[i] = -1
-        end = -1
+        depth = {i: 0 for i in doubtful if gain[i] > 1e-9}
+        queue, reached = deque(depth), False
         while queue:
             i = queue.popleft()
-            if demand[i] > 1e-9:
-                end = i
-                break
-            for j, capacity in left[i].items():
-                if came[j] == -2 and capacity > 1e-9:
-                    came[j] = i
+            reached |= gain[i] < -1e-9
+            for j in ways[i]:
+                if j not in depth and left[i][j] > 1e-9:
+                    depth[j] = depth[i] + 1
                     queue.append(j)
-        if end < 0:
-            return [c != -2 for c in came]
-        flow, j = demand[end], end
-        while came[j] >= 0:
-            flow = min(flow, left[came[j]][j])
-            j = came[j]
-        flow = min(flow, supply[j])
-        supply[j] -= flow
-        demand[end] -= flow
-        j = end
-        while came[j] >= 0:
-            left[came[j]][j] -= flow
-            left[j][came[j]] += flow
-            j = came[j]
+        if not reached:
+            return [side[i] > 0 or i in depth for i in range(n)]
+        turn = dict.fromkeys(depth, 0)
+        for start in [i for i in depth if gain[i] > 1e-9]:
+            path = [start]
+            while path and gain[start] > 1e-9:
+                i = path[-1]
+                if gain[i] < -1e-9:
+                    flow = min([gain[start], -gain[i], *(left[x][y] for x, y in zip(path, path[1:]))])
+                    gain[start] -= flow
+                    gain[i] += flow
+                    for x, y in zip(path, path[1:]):
+                        left[x][y] -= flow
+                        left[y][x] += flow
+                    path = path[:1]
+                    continue
+                while turn[i] < len(ways[i]):
+                    j = ways[i][turn[i]]
+                    if left[i][j] > 1e-9 and depth.get(j) == depth[i] + 1:
+                        path.append(j)
+                        break
+                    turn[i] += 1
+                else:
+                    path.pop()
+                    if path:
+                        turn[path[-1]] += 1
 
 
 def main_text(page: str) -> str:
@@ -229,10 +299,10 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    odds = [content_odds(b) for b in blocks]
+    odds = (np.array([features_of(b) for b in blocks]) @ np.array(WEIGHTS)).tolist()
     # The logistic costs log(1 + exp(+-odds)) of either label.
-    as_away = [math.log1p(math.exp(min(z, 30.0))) for z in odds]
-    as_content = [math.log1p(math.exp(min(-z, 30.0))) for z in odds]
+    as_away = [math.log1p(math.exp(max(-30.0, min(z, 30.0)))) for z in odds]
+    as_content = [math.log1p(math.exp(max(-30.0, min(-z, 30.0)))) for z in odds]
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:

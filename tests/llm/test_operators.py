@@ -6,12 +6,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 
-from cubeloom.llm import bpe, brown_lm, components, html_text, jaccard_join, line_rules, positional_index, quality, queries, substring_dedup, token_counts, url_filter
+from cubeloom.llm import bpe, brown_lm, components, html_text, jaccard_join, line_rules, page_model, positional_index, quality, queries, substring_dedup, token_counts, url_filter
 from tests.conftest import SMALL, rows_of
 
 DOCS = "doc_id long, text string, source string, n_words string, score string"
@@ -165,11 +166,43 @@ def test_page_text(spark):
     assert found == {(1, "u"): (text, len(text)), (2, None): ("", 0), (2, "u"): ("", 0), (None, "u"): ("", 0)}
 
 
+def test_pages_of_nothing_and_broken_markup(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+    assert html_text.main_text("<article><p>One two three four five.<p title='a>b'>Six seven eight nine ten.</section></div>") == "One two three four five.\nSix seven eight nine ten."
+    assert html_text.main_text("<article><p>One two three four five.</p><p x=\"y>Six seven eight nine ten.</p>") == "One two three four five.\nSix seven eight nine ten."
+    assert html_text.main_text("<article><p>One two three four five.</p><!-- never <p>closed") == "One two three four five."
+    for bad in ('<p x="', "<p x='>", "<script>", "<!--", "</p>", "<div>", '<p x=">" ', "&amp", "<a \"'>"):
+        began = time.process_time()
+        html_text.main_text(bad * (500_000 // len(bad)))
+        assert time.process_time() - began < 10  # in proportion to the length, whatever the markup
+
+
+def test_long_page():
+    began = time.process_time()
+    page = "<body>" + "".join(("<p>Words that are content here, and more.</p>", "<div class=ad>Buy</div>", "<p>maybe</p>")[i * i % 7 % 3] for i in range(100_000))
+    assert html_text.main_text(page).count("content") > 10_000
+    assert time.process_time() - began < 30
+
+
+def test_block_classifier_is_the_fit_of_its_layouts(spark, small):
+    texts = [r.text for r in small.orderBy("doc_id").collect() if r.text]
+    pages = list(page_model.laid_out(texts, 1, 3000))
+    assert abs(page_model.fit_weights(pages) - html_text.WEIGHTS).max() <= 0.2
+    good = total = 0
+    for page, labels in page_model.laid_out(texts, 2, 300):
+        blocks = html_text.blocks_of(page)
+        kept = Counter(html_text.main_text(page).split("\n"))
+        good += sum((kept[b.text] > 0) == label for b, label in zip(blocks, labels))
+        total += len(labels)
+    assert good > 0.97 * total
+
+
 def test_minimum_cut_is_minimal():
     random.seed(3)
     for _ in range(200):
-        n = random.randint(1, 7)
-        a, b = ([random.random() * 3 for _ in range(n)] for _ in range(2))
+        n = random.randint(1, 9)
+        a, b = ([random.random() * random.choice([0.3, 3]) for _ in range(n)] for _ in range(2))
         edges = [(i, j, random.random()) for i in range(n) for j in range(i) if random.random() < 0.5]
 
         def cost(side, a=a, b=b, edges=edges):

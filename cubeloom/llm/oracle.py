@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from cubeloom.llm.url_filter import RULES
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -49,7 +51,61 @@ edge AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
 
+
+
+def _smoothed(bad: str, labelled: str) -> str:
+    return f"(({bad}) + 10.0 * prior) / (({labelled}) + 10.0)"
+
+
+def _contrast(bad: str, labelled: str, all_bad: str, all_labelled: str) -> str:
+    part, rest = _smoothed(bad, labelled), _smoothed(f"{all_bad} - {bad}", f"{all_labelled} - {labelled}")
+    n, m = f"({labelled} + 10.0)", f"({all_labelled} - {labelled} + 10.0)"
+    pooled = f"(({part} * {n} + {rest} * {m}) / ({n} + {m}))"
+    return f"(({part} - {rest}) / sqrt(greatest({pooled} * (1 - {pooled}), 1e-9) * (1 / {n} + 1 / {m})))"
+
+
+#: Levels that the SQL writes out; no path of the tables has more segments.
+URL_LEVELS = 6
+
+
+def url_templates() -> str:
+    """The walk of the path-template tree, level by level."""
+    sums = "CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(labelled) AS BIGINT) AS labelled"
+    rest = "regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)"
+    sql = rf"""WITH p AS (SELECT page_id, translate(regexp_extract({rest}, '(?s)^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
+ regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM pages),
+marks AS (SELECT doc_id AS page_id, count(*) AS labelled, count(*) FILTER (quality = 0) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+urls AS (SELECT host, path, count(*) AS n, sum(coalesce(bad, 0)) AS bad, sum(coalesce(labelled, 0)) AS labelled FROM p LEFT JOIN marks USING (page_id) GROUP BY 1, 2),
+pr AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(labelled), 0), 0.0) AS prior FROM urls),
+t1 AS (SELECT host, path, n, bad, labelled, string_split(path, '/') AS seg, '' AS parent, '' AS template FROM urls)"""
+    for k in range(1, URL_LEVELS + 1):
+        sql += rf""",
+n{k} AS (SELECT host, template, {sums} FROM t{k} WHERE len(seg) > {k} GROUP BY 1, 2),
+c{k} AS (SELECT host, template, seg[{k + 1}] AS s, {sums} FROM t{k} WHERE len(seg) > {k} GROUP BY 1, 2, 3),
+l{k} AS (SELECT c.host, c.template, c.s FROM c{k} c JOIN n{k} a USING (host, template), pr WHERE c.n >= 20 AND (c.n >= 0.05 * a.n OR abs({_contrast("c.bad", "c.labelled", "a.bad", "a.labelled")}) > 1.96)),
+t{k + 1} AS (SELECT t.host, path, n, bad, labelled, seg, CASE WHEN len(seg) > {k} THEN t.template ELSE parent END AS parent,
+ CASE WHEN len(seg) <= {k} THEN t.template WHEN l.s IS NULL THEN t.template || '/*' ELSE t.template || '/=' || l.s END AS template
+ FROM t{k} t LEFT JOIN l{k} l ON l.host = t.host AND l.template = t.template AND l.s = seg[{k + 1}] AND len(seg) > {k})"""
+    fits = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+    case = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{x}') THEN '{{}}'" for _, h, x in fits)
+    name = case.format(*(h + x for _, h, x in fits))
+    verdict = case.format(*(v for v, _, _ in fits))
+    return (
+        sql
+        + f""",
+leaf AS (SELECT host, parent, template, sum(bad) AS bad, sum(labelled) AS labelled FROM t{URL_LEVELS + 1} GROUP BY 1, 2, 3),
+fam AS (SELECT host, parent, sum(bad) AS all_bad, sum(labelled) AS all_labelled FROM leaf GROUP BY 1, 2),
+br AS (SELECT host, parent, template, bad, labelled, CASE WHEN abs({_contrast("bad", "labelled", "all_bad", "all_labelled")}) > 1.96 THEN floor(10 * {_smoothed("bad", "labelled")}) ELSE -1 END AS branch FROM leaf JOIN fam USING (host, parent), pr),
+pool AS (SELECT host, parent, branch, {_smoothed("sum(bad)", "sum(labelled)")} AS share FROM br, pr GROUP BY 1, 2, 3, prior),
+bad_urls AS (SELECT t.host, t.path FROM t{URL_LEVELS + 1} t JOIN br ON br.host = t.host AND br.parent = t.parent AND br.template = t.template JOIN pool ON pool.host = br.host AND pool.parent = br.parent AND pool.branch = br.branch WHERE share >= 0.5)
+SELECT page_id, p.host, p.path, CASE {name.replace("host", "p.host").replace("path", "p.path")} END AS rule,
+ CASE {verdict.replace("host", "p.host").replace("path", "p.path")} WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN bad_urls b ON b.host = p.host AND b.path = p.path"""
+    )
+
+
 ORACLES = {
+    "op5_url_templates": url_templates(),
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op6_benchmark_index": BENCHMARK_INDEX,
     "op7_line_rules": LINE_RULES,

@@ -276,6 +276,78 @@ def test_url_tree_rejects_bad_branches(spark):
     assert all(found[i] == ("block" if i % 3 == 0 else "allow") for i in range(400)) and found[1000] == "block"
 
 
+def brute_verdicts(rows, marks):
+    """The path-template tree, level by level, in plain Python (no rules)."""
+    label = {}
+    for i, q in marks:
+        if q in (0, 1) and i is not None:
+            label.setdefault(i, []).append(q == 0)
+    pages = []
+    for i, u in rows:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+        pages.append([lower(host), path.split("/"), label.get(i, []) if i is not None else [], (), ()])
+    every = [b for p in pages for b in p[2]]
+    prior = sum(every) / len(every) if every else 0.0
+
+    def z(part, whole):
+        n, m, b, c = len(part) + 10, len(whole) - len(part) + 10, sum(part) + 10 * prior, sum(whole) - sum(part) + 10 * prior
+        pooled = (b + c) / (n + m)
+        return abs(b / n - c / m) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
+
+    for level in range(1, max(len(p[1]) for p in pages)):
+        nodes, kids = {}, {}
+        for p in pages:
+            if len(p[1]) > level:
+                nodes.setdefault((p[0], p[4]), []).append(p)
+                kids.setdefault((p[0], p[4], p[1][level]), []).append(p)
+        for (host, node, segment), inside in kids.items():
+            whole = nodes[host, node]
+            labels, of_all = ([b for p in x for b in p[2]] for x in (inside, whole))
+            literal = len(inside) >= 20 and (len(inside) >= 0.05 * len(whole) or z(labels, of_all) > 1.96)
+            for p in inside:
+                p[3], p[4] = node, (*node, ("=" + segment) if literal else "*")
+    leaves, families = {}, {}
+    for p in pages:
+        leaves.setdefault((p[0], p[3], p[4]), []).extend(p[2])
+        families.setdefault((p[0], p[3]), []).extend(p[2])
+    branch, pools = {}, {}
+    for key, labels in leaves.items():
+        far = z(labels, families[key[:2]]) > 1.96
+        branch[key] = (*key[:2], math.floor(10 * (sum(labels) + 10 * prior) / (len(labels) + 10)) if far else -1)
+        pools.setdefault(branch[key], []).extend(labels)
+    return [("block" if (sum(x := pools[branch[p[0], p[3], p[4]]]) + 10 * prior) / (len(x) + 10) >= 0.5 else "allow") for p in pages]
+
+
+def test_url_tree_matches_brute_force(spark):
+    random.seed(8)
+    rows, marks = [], []
+    for i in range(1500):
+        host = random.choice(["h.aa", "h.aa", "g.bb"])
+        top = random.choice(["*", "news", "shop", "\\\\x", f"s{random.randint(0, 30)}"])
+        deep = random.choice(["a/b/c/d/bad", "a/b/c/d/good", "x", ""])
+        rows.append((i, f"http://{host}/{top}/{deep}/{random.randint(0, 9)}?q"))
+        bad = 0.95 if top in ("*", "s3") or deep.endswith("bad") else 0.05
+        if random.random() < 0.8:
+            marks.append((i, int(random.random() > bad)))
+    rows += [(None, "http://h.aa/*/x"), (5, "http://h.aa/*/x"), (2000, None), (2001, "x")]
+    marks += [(5, 7), (6, None), (None, 0), (7, 0), (7, 0)]
+    pages = spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, path string")
+    found = url_filter.judge_urls(pages, spark.createDataFrame(marks, "doc_id long, quality int"), rules=())
+    expected = brute_verdicts(rows, marks)
+    assert len(set(expected)) == 2
+    hosts = [(i, r[:2]) for (i, _), r in zip(rows, [u.split("://")[1].split("?")[0].split("/", 1) if u and "://" in u else ("", "") for _, u in rows])]
+    assert rows_of(found.select("page_id", "host", "path", "verdict")) == [(h, i, ("/" + p) if h else "", v) for (i, (h, p)), v in zip(hosts, expected)]
+
+
+def test_url_wildcard_is_no_literal(spark):
+    rows = [(i, f"http://h.xx/{'*' if i < 60 else f'r{i}'}") for i in range(90)]
+    marks = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id long, quality int")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, marks, rules=()).collect()} == {i: "block" if i < 60 else "allow" for i in range(90)}
+    assert url_filter.judge_urls(pages.limit(0), marks).collect() == []
+
+
 # 6. benchmark
 
 

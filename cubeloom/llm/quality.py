@@ -1,17 +1,18 @@
 """Quality classifier: a factorisation machine over hashed words and structure statistics.
 
 A text becomes a sparse vector: its words hashed into ``n_hash`` slots (log
-counts, unit length), and its structure statistics and metadata (sizes, shares
-of kinds of letters, repetition), each put in one of ``n_bins`` bins whose
-edges are quantiles of the training sample.  The score is
+counts, unit length), and its structure statistics (sizes, shares
+of kinds of letters, repetition) and metadata (``n_chars``, where the table has
+it), each put in one of ``n_bins`` bins whose edges are quantiles of the training sample.  The score is
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
 the pair term in linear time by the sum-of-squares identity,
 ``0.5 * (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2)``, through a logistic link.
 
-Fit: on the ``max_rows`` labelled training rows with the smallest hash of their
-id (a documented bound; labels only from training rows).  Their vectors, at
+Fit: on the ``max_rows`` labelled training ids with the smallest hash
+(a documented bound; labels only from training rows), one row each: of rows that
+repeat an id the one whose vector is smallest, chosen on the executors.  Their vectors, at
 most ``max_rows`` of them, go to the driver, where mini-batches with adaptive
 steps fit the machine; a fixed seed makes the fit repeatable.  Scoring is one
 map over all documents with the parameters broadcast (``n_hash + 32 * n_bins``
@@ -20,7 +21,7 @@ rows of ``rank + 1`` numbers, whatever the data).
 Defined cases: a null text is an empty one, and is scored; ids may be null or
 repeat (one score each; a null id is never trained on); a table without usable
 labels gives every text the score of an untrained machine (0.5); labels other
-than 0 and 1 or null are ignored; an empty table gives an empty table; further
+than 0 and 1 or null are ignored, and so is an id with both; an empty table gives an empty table; further
 columns are not read, and language, source and id are no inputs.
 """
 
@@ -50,14 +51,20 @@ _KINDS = {
 }
 #: One row of 0/1 per kind of byte: counts by kind are one product with the counts by byte.
 _KIND_ROWS = np.array([[b in kind for b in range(256)] for kind in _KINDS.values()], dtype=np.float64)
-N_STATS = 20
+N_STATS = 21
 
 
-def structure(raw: bytes, words: list[bytes]) -> list[float]:
-    """Structure statistics of a text; all are 0 for an empty one."""
+def metadata(documents: DataFrame):
+    """The column of a document's metadata: ``n_chars`` as a number, 0 where there is none."""
+    column = F.col("n_chars").try_cast("double") if "n_chars" in documents.columns else F.lit(0.0)
+    return F.greatest(F.coalesce(F.nanvl(column, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+
+
+def structure(raw: bytes, words: list[bytes], meta: float) -> list[float]:
+    """Structure statistics of a text (all 0 for an empty one) and its metadata."""
     n = len(words)
     if not n:
-        return [0.0] * N_STATS
+        return [0.0] * (N_STATS - 1) + [np.log1p(meta)]
     kinds = _KIND_ROWS @ np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     size = len(raw)
     distinct = len(set(words))
@@ -80,6 +87,7 @@ def structure(raw: bytes, words: list[bytes]) -> list[float]:
         single / n,
         sum(e in _ODD_ENDS for e in ends) / n,
         max(map(len, words)) / size,
+        np.log1p(meta),
     ]
 
 
@@ -114,13 +122,13 @@ class _Slots(dict):
 _SLOTS: dict[int, _Slots] = {}
 
 
-def vectors(texts: list[bytes], n_hash: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def vectors(texts: list[bytes], metas: list[float], n_hash: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, slot and value of the hashed words of *texts*, and their structure statistics."""
     slots = _SLOTS.setdefault(n_hash, _Slots(n_hash))
     keys, stats = [], []
-    for k, raw in enumerate(texts):
+    for k, (raw, meta) in enumerate(zip(texts, metas)):
         words = raw.lower().split()
-        stats.append(structure(raw, words))
+        stats.append(structure(raw, words, meta))
         if words:
             keys.append(np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=len(words)) + k * n_hash)
     if not keys:
@@ -138,9 +146,9 @@ def binned(stats: np.ndarray, edges: np.ndarray, n_hash: int) -> np.ndarray:
     return np.stack([n_hash + j * n_bins + np.searchsorted(edges[j], stats[:, j]) for j in range(N_STATS)], axis=1) if len(stats) else np.zeros((0, N_STATS), dtype=np.int64)
 
 
-def scores(machine: Machine, texts: list[bytes]) -> np.ndarray:
+def scores(machine: Machine, texts: list[bytes], metas: list[float]) -> np.ndarray:
     """The machine's probability of a good text, by the sum-of-squares identity."""
-    row, slot, value, stats = vectors(texts, machine.n_hash)
+    row, slot, value, stats = vectors(texts, metas, machine.n_hash)
     bins = binned(stats, machine.edges, machine.n_hash)
     n = len(texts)
     v = machine.factors
@@ -198,18 +206,19 @@ def _fit(rows: list, n_hash: int, n_bins: int, rank: int, epochs: int, seed: int
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, n_hash: int = 1 << 13, n_bins: int = 8, rank: int = 6, epochs: int = 4, seed: int = 7) -> Machine:
     """Fit on at most *max_rows* labelled rows whose crc32 fold (of five) isn't 0."""
     bound_batches(documents.sparkSession)
-    marks = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = marks.filter(crc_fold("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = marks.agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other")).filter("label = other")
+    chosen = marks.filter(crc_fold("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "label")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), metadata(documents).alias("meta")).join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, slot, value, stats = vectors(text_bytes(batch.column(1)), n_hash)
+            row, slot, value, stats = vectors(text_bytes(batch.column(1)), batch.column(2).to_pylist(), n_hash)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    batch.column(2),
+                    batch.column(3),
                     pa.array([slot[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     pa.array([s.tolist() for s in stats], pa.list_(pa.float64())),
@@ -217,8 +226,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, n_hash: i
                 names=["doc_id", "label", "slots", "values", "stats"],
             )
 
-    sample = texts.select("doc_id", "text", "label").mapInArrow(lean(run), "doc_id long, label int, slots binary, values binary, stats array<double>")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["slots"])))[: 2 * max_rows]
+    sample = texts.select("doc_id", "text", "meta", "label").mapInArrow(lean(run), "doc_id long, label int, slots binary, values binary, stats array<double>")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "stats", "label")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
     return _fit(rows, n_hash, n_bins, rank, epochs, seed)
 
 
@@ -229,23 +239,24 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scores(shipped.value, text_bytes(batch.column(1)))
+            found = scores(shipped.value, text_bytes(batch.column(1)), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), metadata(documents).alias("meta")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """The rows of *documents*, with all their columns, whose text scores *threshold* or more."""
     bound_batches(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast(machine)
-    at = documents.columns.index("text")
+    at, width = documents.columns.index("text"), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(shipped.value, text_bytes(batch.column(at))) >= threshold))
+            good = scores(shipped.value, text_bytes(batch.column(at)), batch.column(width).to_pylist()) >= threshold
+            yield batch.select(list(range(width))).filter(pa.array(good))
 
-    return documents.mapInArrow(lean(run), documents.schema)
+    return documents.withColumn("__quality_meta", metadata(documents)).mapInArrow(lean(run), documents.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

@@ -229,15 +229,29 @@ def test_quality_scores_everything(spark, odd):
     assert quality.classify(odd.limit(0), labels).collect() == []
 
 
+def test_quality_sample_is_one_row_an_id(spark, monkeypatch):
+    rows = [(1, f"copy {i} of one id") for i in range(400)] + [(i, f"text {i} " + "good words " * 5) for i in range(2, 60)]
+    labels = [(i, i % 2) for i in range(1, 60)] * 2 + [(4, 1)]
+    seen = []
+    fit = quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda rows, *x: seen.append([(r["doc_id"], r["label"]) for r in rows]) or fit(rows, *x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (10, 6000):
+        quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), max_rows=limit)
+    trained = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5 and i != 4]
+    assert len(seen[0]) == 10 and seen[1] == [(i, i % 2) for i in trained]
+
+
 def test_sum_of_squares_identity():
     import numpy as np
 
     rng = np.random.default_rng(0)
     machine = quality.Machine(32, np.zeros((quality.N_STATS, 3)), 0.1, rng.normal(size=32 + quality.N_STATS * 4) / 9, rng.normal(size=(32 + quality.N_STATS * 4, 3)) / 9)
     texts = [b"one two two three", b"", b"x ! y"]
-    row, slot, value, stats = quality.vectors(texts, 32)
+    metas = [5.0, 0.0, 90.0]
+    row, slot, value, stats = quality.vectors(texts, metas, 32)
     bins = quality.binned(stats, machine.edges, 32)
-    for k, got in enumerate(quality.scores(machine, texts)):
+    for k, got in enumerate(quality.scores(machine, texts, metas)):
         x = [(s, v) for r, s, v in zip(row, slot, value) if r == k] + [(s, 1.0) for s in bins[k]]
         z = machine.bias + sum(machine.weights[s] * v for s, v in x)
         z += sum(machine.factors[s] @ machine.factors[t] * v * w for i, (s, v) in enumerate(x) for t, w in x[:i])

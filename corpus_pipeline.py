@@ -46,14 +46,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = _keyed(docs)
     groups = jaccard_join.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), shingle=5, percent=80)
     linked = groups.filter("n_shingles > 0").select(F.col("doc_id").alias(KEY), "component_id").distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # Ids before null ids; of rows that repeat an id and a text the one whose further columns are smallest.
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY, F.struct(F.lit(0).alias("none"), *others).alias("rest"))
-    first = keyed.join(linked, KEY).groupBy("component_id").agg(F.min(rank).alias("first"))
-    first = first.select(F.col(f"first.{KEY}").alias(KEY), F.col("first.rest").alias("__rest"))
-    rows = keyed.withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    kept = rows.filter("__words").join(first, KEY).filter(F.struct(F.lit(0).alias("none"), *others).eqNullSafe(F.col("__rest"))).dropDuplicates([KEY])
-    return kept.select(*docs.columns).unionByName(rows.filter(~F.coalesce("__words", F.lit(False))).select(*docs.columns))
+    first = keyed.select("doc_id", KEY).join(linked, KEY).groupBy("component_id")
+    first = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).alias("first")).select(F.col(f"first.{KEY}").alias(KEY))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.filter(~wordless).join(first, KEY, "left_semi")
+    repeated = keyed.groupBy(KEY).count().filter("count > 1").select(KEY)
+    if not repeated.isEmpty():  # of rows that repeat an id and a text, the one whose further columns are smallest
+        others = F.struct(F.lit(0).alias("none"), *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("__rest")
+        least = keyed.select(KEY, others).groupBy(KEY).agg(F.min("__rest").alias("__least"))
+        kept = kept.withColumn("__rest", others).join(least, KEY).filter(F.col("__rest").eqNullSafe(F.col("__least"))).dropDuplicates([KEY])
+    return kept.select(*docs.columns).unionByName(keyed.filter(wordless).select(*docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

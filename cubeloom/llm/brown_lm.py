@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, crc_fold, lean, materialise, text_bytes
+from cubeloom.llm.common import Scratch, bound_batches, crc_fold, lean, text_bytes
 
 ENDINGS = 512
 _END = ENDINGS  # the end token's unit; units of their own follow
@@ -216,7 +216,7 @@ class ClassModel:
     distinct: int
 
 
-def fit(chunks: DataFrame, vocabulary: DataFrame, unit_share: float, n_classes: int, prior: float, max_rounds: int) -> tuple[ClassModel, dict[bytes, int]]:
+def fit(chunks: DataFrame, vocabulary: DataFrame, unit_share: float, n_classes: int, prior: float, max_rounds: int, scratch: Scratch) -> tuple[ClassModel, dict[bytes, int]]:
     """Fit on the training texts of *chunks*; *vocabulary* has ``word, n, ending`` of all training words."""
     ends = chunks.select(F.explode("held").alias("held")).filter("not held").count()
     words, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
@@ -232,7 +232,7 @@ def fit(chunks: DataFrame, vocabulary: DataFrame, unit_share: float, n_classes:
     for w, n in frequent:
         sums[units[w]] = (n, 1, n == 1, n == 2)
     sums[_END] = (ends, 1, ends == 1, ends == 2)
-    bigrams = materialise(unit_bigrams(chunks, units, n_units), "brown-bigrams")
+    bigrams = scratch.write(unit_bigrams(chunks, units, n_units), "brown-bigrams")
     classes = exchange_clustering(bigrams, sums[:, 0], n_classes, max_rounds)
     table = np.zeros((n_classes + 1, n_classes + 1))
     spark = chunks.sparkSession
@@ -299,10 +299,11 @@ def score_documents(
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
-    chunks = materialise(encode_chunks(docs, chunk_rows), "brown-chunks", "zstd")
+    scratch = Scratch(documents.sparkSession)
+    chunks = scratch.write(encode_chunks(docs, chunk_rows), "brown-chunks", "zstd")
     listed = chunks.select(F.explode(F.arrays_zip("words", "counts", "endings")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"), F.col("x.endings").alias("ending"))
-    vocabulary = materialise(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.max("ending").alias("ending")), "brown-words", "zstd")
-    model, units = fit(chunks, vocabulary, unit_share, n_classes, prior, max_rounds)
+    vocabulary = scratch.write(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.max("ending").alias("ending")), "brown-words", "zstd")
+    model, units = fit(chunks, vocabulary, unit_share, n_classes, prior, max_rounds, scratch)
     spark = documents.sparkSession
     own = spark.createDataFrame([(bytearray(w), u) for w, u in units.items()], "word binary, own int")  # at most 1 / unit_share rows
     known = vocabulary.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", F.col("ending").cast("int")).alias("unit"))

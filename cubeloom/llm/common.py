@@ -25,24 +25,56 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
         spark.conf.set(_BATCH_BYTES, str(size))
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy", row_group: int | None = None) -> DataFrame:
-    """Write *df* to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+class Scratch:
+    """The intermediate tables of one call in the shared folder.
 
-    Shuffle files of the write are dropped when it ends, where the session lets them be.
-    *row_group*: bytes of a Parquet row group, for tables whose rows are exploded when they are read.
+    A written table cuts the lineage, and a lost executor costs nothing.  Tables that
+    are read no more are dropped by name, so that the folder holds what is in use.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    with contextlib.suppress(Exception):
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        writer = df.write.option("compression", compression)
-        (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
-    finally:
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", row_group: int | None = None) -> DataFrame:
+        """Write *df* and read it back.  Shuffle files of the write are dropped when it ends, where the session lets them be.
+
+        *row_group*: bytes of a Parquet row group, for tables whose rows are exploded when they are read.
+        """
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(_CLEANUP, None)
         with contextlib.suppress(Exception):
-            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer = df.write.option("compression", compression)
+            (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
+        finally:
+            with contextlib.suppress(Exception):
+                self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+        self.tables.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove all tables written under *names*; nothing that is still to be computed may read them."""
+        for path in [p for name in names for p in self.tables.pop(name, [])]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def replace(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Write *df* and drop the tables that were written under the same name before."""
+        before = self.tables.pop(name, [])
+        out = self.write(df, name, **options)
+        now = self.tables.pop(name)
+        self.tables[name] = before
+        self.drop(name)
+        self.tables[name] = now
+        return out
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result and drop every other table."""
+        out = self.write(df, f"{name}-result")
+        self.drop(*(n for n in list(self.tables) if n != f"{name}-result"))
+        return out
 
 
 def binary_list(column: pa.Array) -> list:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import materialise
+from cubeloom.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` of all nodes of *edges* (``a, b``, different numbers) but each component's smallest."""
-    now = materialise(edges.select("a", "b").filter("a != b").distinct(), "components")
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, component`` of all nodes of *edges* (``a, b``, different numbers) but each component's smallest.
+
+    The result is the table ``components`` of *scratch*, in place of one from a call before.
+    """
+    now = scratch.write(edges.select("a", "b").filter("a != b").distinct(), "components-round")
     before = None
     while True:
-        now = materialise(_small_star(_large_star(now)), "components")
+        now = scratch.replace(_small_star(_large_star(now)), "components-round")
         # Stars around the smallest nodes don't change any more: equal sums of both columns and equal counts tell it.
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == before or found[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            stars = scratch.replace(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+            scratch.drop("components-round")
+            return stars
         before = found

@@ -47,10 +47,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import binary_list, bound_batches, lean, materialise, smaller_splits, text_bytes
+from cubeloom.llm.common import Scratch, binary_list, bound_batches, lean, smaller_splits, text_bytes
 from cubeloom.llm.components import components
 from cubeloom.llm.substring_dedup import mix
 
@@ -180,8 +180,17 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("set_a", "text").mapInArrow(lean(run), "set_a long, shingles binary, n long, bits array<long>")
 
 
+def _may_link(n: str, bits: str, m: str, other_bits: str, percent: int) -> Column:
+    """Whether two sets' sizes and short sketches let them link: the Hamming distance is no more than the largest difference."""
+    apart = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    small, large = F.least(n, m), F.greatest(n, m)
+    return (100 * small >= percent * large) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of *pairs* (``left, right``, both a ``set_a``)."""
+    """The linked ones of *pairs* (``left, right``, both a ``set_a``); short sketches decide first, then the sets themselves."""
+    short = [sets.select(F.col("set_a").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")) for side in ("left", "right")]
+    pairs = pairs.join(short[0], "left").join(short[1], "right").filter(_may_link("n_left", "bits_left", "n_right", "bits_right", percent)).select("left", "right")
     sides = pairs.join(sets.select(F.col("set_a").alias("left"), F.col("shingles").alias("x")), "left")
     sides = sides.join(sets.select(F.col("set_a").alias("right"), F.col("shingles").alias("y")), "right")
 
@@ -198,7 +207,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.select("left", "right", "x", "y").mapInArrow(lean(run), "left long, right long")
 
 
-def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, leaders: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Possible pairs across components in groups that have several, and the leaders (``block, set_a``) they come from.
 
     *members*: ``block, set_a, component``.  The largest component of a group needs no leaders.
@@ -206,15 +215,14 @@ def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, lea
     parts = members.groupBy("block", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("block").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
     inside = members.join(mixed.select("block", F.col("largest.component").alias("main")), "block")
-    inside = materialise(inside.join(sets.select("set_a", "n", "bits"), "set_a").join(parts, ["block", "component"]), "join-mixed")
+    inside = scratch.replace(inside.join(sets.select("set_a", "n", "bits"), "set_a").join(parts, ["block", "component"]), "join-mixed")
     few = inside.filter("component != main")
     if done is not None:
         few = few.join(done, ["block", "set_a"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("block").orderBy("size", "component", "set_a"))
     chosen = few.withColumn("rank", rank).filter(F.col("rank") <= leaders)
-    chosen = materialise(chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "join-leaders")
-    apart = F.aggregate(F.zip_with("bits", "own_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    possible = (inside["block"] == chosen["block"]) & (F.col("component") != F.col("other")) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    chosen = scratch.write(chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "join-leaders")
+    possible = (inside["block"] == chosen["block"]) & (F.col("component") != F.col("other")) & _may_link("n", "bits", "m", "own_bits", percent)
     pairs = chosen.join(inside, possible).select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
     return pairs, chosen.select("block", F.col("leader").alias("set_a"))
 
@@ -222,27 +230,30 @@ def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, lea
 def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 256) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = documents.sparkSession
+    scratch = Scratch(spark)
     bound_batches(spark, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
     # Small row groups: a row holds hundreds of blocks, and a split can't be smaller than a row group.
-    sketched = materialise(sketches(docs, shingle, percent), "join-sketches", row_group=4 << 20)
+    sketched = scratch.write(sketches(docs, shingle, percent), "join-sketches", row_group=4 << 20)
     named = sketched.filter("doc_id is not null and n_shingles > 0")
     first = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    nodes = materialise(first.select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key")), "join-nodes")
+    nodes = scratch.write(first.select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key")), "join-nodes")
 
     blocks = named.select("set_a", F.explode(F.arrays_zip("blocks", "bands")).alias("x")).select("set_a", F.col("x.blocks").alias("block"), F.col("x.bands").alias("band"))
     counted = blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity"))
     with smaller_splits(spark, 4):
-        shared = materialise(counted.filter("a != b").select("block", "popularity"), "join-shared")
+        shared = scratch.write(counted.filter("a != b").select("block", "popularity"), "join-shared")
     common = blocks.join(shared, "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
     place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
     kept = common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1)))
     with smaller_splits(spark, 4):
-        groups = materialise(kept.select("block", "set_a", "popularity"), "join-groups")
-    members = materialise(groups.select("set_a").distinct().join(nodes, "set_a"), "join-members")
-    sets = materialise(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
-    node_of = materialise(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-node-of")
+        groups = scratch.write(kept.select("block", "set_a", "popularity"), "join-groups")
+    sketched = scratch.write(sketched.select("doc_id", "n_shingles", "set_a", "set_b"), "join-named")
+    scratch.drop("join-sketches", "join-shared")
+    members = scratch.write(groups.select("set_a").distinct().join(nodes, "set_a"), "join-members")
+    sets = scratch.write(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
+    node_of = scratch.write(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-node-of")
 
     scores = groups.groupBy("set_a").agg(F.sum("popularity").alias("score"))
     leader = groups.join(scores, "set_a").groupBy("block").agg(F.max(F.struct("score", "set_a")).alias("top")).select("block", F.col("top.set_a").alias("leader"))
@@ -251,20 +262,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     while True:
         found = verified(pairs, sets, percent)
         found = found.join(node_of.select(F.col("set_a").alias("left"), F.col("node").alias("a")), "left").join(node_of.select(F.col("set_a").alias("right"), F.col("node").alias("b")), "right").select("a", "b")
-        found = materialise(found, "join-links")
+        found = scratch.replace(found, "join-links")
         if parts is None or not found.isEmpty():
             # Stars of the rounds before stand for their links.
             links = found if parts is None else found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            parts = components(links)
+            parts = components(links, scratch)
         placed = node_of.join(parts, "node", "left").select("set_a", F.coalesce("component", "node").alias("component"))
-        pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), sets, done, leaders, percent)
+        pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), sets, done, leaders, percent, scratch)
         if used.isEmpty():
             break
         leaders *= 4
-        pairs = materialise(pairs, "join-pairs")
+        pairs = scratch.replace(pairs, "join-pairs")
         done = used if done is None else done.unionByName(used)
     # One row per set on the one side, written; the copies of a set are on the other, where Spark can split a skewed key.
-    owners = materialise(nodes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "join-owners")
+    scratch.drop("join-mixed", "join-sets", "join-groups", "join-pairs", "join-links")
+    owners = scratch.write(nodes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "join-owners")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     linked = sketched.filter(~alone).select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sketched.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return scratch.finish(linked.unionByName(sketched.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "join")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, lean, materialise, text_bytes
+from cubeloom.llm.common import Scratch, bound_batches, lean, text_bytes
 
 #: Bytes that belong to no word become spaces, A-Z becomes a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -70,7 +70,7 @@ def term_numbers(raw: bytes) -> np.ndarray:
     return np.fromiter(map(_TERMS.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def build_index(documents: DataFrame) -> DataFrame:
+def build_index(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """The shards of ``doc_id, text``, written."""
     bound_batches(documents.sparkSession)
 
@@ -98,7 +98,7 @@ def build_index(documents: DataFrame) -> DataFrame:
             )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(source.mapInArrow(lean(run), _SHARD), "positional-index")
+    return scratch.write(source.mapInArrow(lean(run), _SHARD), "positional-index")
 
 
 def test_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -118,14 +118,14 @@ def test_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(lean(run), "item_id long, window binary, terms array<long>").distinct()
 
 
-def search_plans(index: DataFrame, windows: DataFrame) -> DataFrame:
+def search_plans(index: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     """``window, terms, offsets`` of the windows whose terms the corpus all has, the rarest term first."""
     asked = windows.select("window", "terms").distinct().select("window", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    asked = materialise(asked, "index-asked")
+    asked = scratch.write(asked, "index-asked")
     postings = index.select(F.explode(F.arrays_zip("terms", "term_sizes")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.term_sizes").alias("tokens"))
-    frequency = postings.join(materialise(asked.select("term").distinct(), "index-terms"), "term", "left_semi").groupBy("term").agg(F.sum("tokens").alias("tokens"))
+    frequency = postings.join(scratch.write(asked.select("term").distinct(), "index-terms"), "term", "left_semi").groupBy("term").agg(F.sum("tokens").alias("tokens"))
     order = F.sort_array(F.collect_list(F.struct("tokens", "offset", "term")))  # as long as a window
-    plans = asked.join(materialise(frequency, "index-frequency"), "term").groupBy("window", "n").agg(order.alias("steps")).filter(F.size("steps") == F.col("n"))
+    plans = asked.join(scratch.write(frequency, "index-frequency"), "term").groupBy("window", "n").agg(order.alias("steps")).filter(F.size("steps") == F.col("n"))
     return plans.select("window", F.col("steps.term").alias("terms"), F.col("steps.offset").alias("offsets"))
 
 
@@ -213,7 +213,7 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], reach[last]
 
 
-def search(index: DataFrame, block: Block, span: int | None = None) -> DataFrame:
+def search(index: DataFrame, block: Block, scratch: Scratch, span: int | None = None) -> DataFrame:
     """The matches of a block, written: per document (``shard, place``) with any its covered words and its windows."""
     shipped = index.sparkSession.sparkContext.broadcast(block)
 
@@ -247,28 +247,29 @@ def search(index: DataFrame, block: Block, span: int | None = None) -> DataFrame
                 )
 
     found = index.select("shard", "starts", "sizes", "terms", "term_sizes", "positions").mapInArrow(lean(run), _HITS)
-    found = materialise(found, "index-hits")
+    found = scratch.write(found, "index-hits")
     shipped.unpersist()
     return found
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, span: int | None = None, block_windows: int = 50_000) -> DataFrame:
     """``doc_id, n_words, n_hit, item_ids`` of every document: exact phrases, or with *span* proximity matches."""
-    index = build_index(documents)
-    windows = materialise(test_windows(benchmark, window), "index-windows")
-    plans = materialise(search_plans(index, windows), "index-plans")
+    scratch = Scratch(documents.sparkSession)
+    index = build_index(documents, scratch)
+    windows = scratch.write(test_windows(benchmark, window), "index-windows")
+    plans = scratch.write(search_plans(index, windows, scratch), "index-plans")
     blocks = -(-plans.count() // block_windows)
     hits = None
     for k in range(blocks):
         block = Block(plans.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toArrow())
         if not block.names:
             continue
-        found = search(index, block, span)
+        found = search(index, block, scratch, span)
         hits = found if hits is None else hits.unionByName(found)
     docs = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("place", "x")).select("shard", "place", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").cast("long").alias("n_words"))
     none = F.array().cast("array<long>")
     if hits is None:
-        return docs.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
+        return scratch.finish(docs.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids")), "index")
     key = ["shard", "place"]
     # Words covered: each range, in order, adds what lies beyond the ranges before it.
     zero = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("words"))
@@ -276,7 +277,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     covered = hits.groupBy(*key).agg(F.aggregate(F.sort_array(F.flatten(F.collect_list("spans"))), zero, step, lambda x: x["words"]).alias("n_hit"))
     owners = hits.select(*key, F.explode("windows").alias("window")).join(windows.select("window", "item_id"), "window").select(*key, "item_id").distinct()
     items = owners.groupBy(*key).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    return docs.join(covered, key, "left").join(items, key, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+    found = docs.join(covered, key, "left").join(items, key, "left")
+    return scratch.finish(found.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")), "index")
 
 
 def decontamination_digests(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import bound_batches, lean, materialise, text_bytes
+from cubeloom.llm.common import Scratch, bound_batches, lean, text_bytes
 
 _LAST = np.uint64(2**64 - 1)
 _ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -246,38 +246,43 @@ def deduplicate(documents: DataFrame, window: int = 13, group: int = 2, rounds:
 
     *text* has the words that stay, joined by one space; *text_key* is the ``xxhash64`` of the text before.
     """
+    scratch = Scratch(documents.sparkSession)
     bound_batches(documents.sparkSession, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    listed = materialise(document_symbols(docs, window, group, rounds), "dedup-symbols", row_group=8 << 20)
+    listed = scratch.write(document_symbols(docs, window, group, rounds), "dedup-symbols", row_group=8 << 20)
     single = listed.select("text_key", F.explode("symbols").alias("symbol"))
-    shared = materialise(
+    shared = scratch.write(
         single.groupBy("symbol").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a != b").select("symbol"),
         "dedup-shared",
     )
-    hits = materialise(single.join(shared, "symbol"), "dedup-hits")  # by itself, so that Spark can split a skewed symbol
+    hits = scratch.write(single.join(shared, "symbol"), "dedup-hits")  # by itself, so that Spark can split a skewed symbol
+    scratch.drop("dedup-symbols", "dedup-shared")
     wanted = hits.groupBy("text_key").agg(F.collect_set("symbol").alias("symbols"))
 
     # Copies of whole texts: the smallest document of a text stands for it.
     ids = docs.filter("doc_id is not null").select("doc_id", "text_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    first = materialise(ids.groupBy("text_key", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "dedup-texts")
+    first = scratch.write(ids.groupBy("text_key", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "dedup-texts")
     chosen = first.groupBy("text_key").agg(F.collect_set("first").alias("firsts")).join(wanted, "text_key").select(F.explode("firsts").alias("doc_id"), "text_key", "symbols")
-    windows = materialise(candidate_windows(docs.join(chosen, ["doc_id", "text_key"]), window, group, rounds), "dedup-windows")
+    windows = scratch.write(candidate_windows(docs.join(chosen, ["doc_id", "text_key"]), window, group, rounds), "dedup-windows")
 
+    scratch.drop("dedup-hits")
     names = ["name_a", "name_b"]
     least = windows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    least = materialise(least, "dedup-least")
-    found = materialise(windows.join(least, names).filter("least < doc_id").select("doc_id", "text_key", "start"), "dedup-repeated")
+    least = scratch.write(least, "dedup-least")
+    found = scratch.write(windows.join(least, names).filter("least < doc_id").select("doc_id", "text_key", "start"), "dedup-repeated")
+    scratch.drop("dedup-windows", "dedup-least")
     repeated = found.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
     # Copies on one side, one row per text that has any on the other: Spark can split the copies of a text.
     several = first.filter("first < last").drop("last")
-    copies = materialise(ids.join(several, ["text_key", "digest"]).filter("first < doc_id").select("doc_id", "text_key"), "dedup-copies").distinct()
+    copies = scratch.write(ids.join(several, ["text_key", "digest"]).filter("first < doc_id").select("doc_id", "text_key"), "dedup-copies").distinct()
     size = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    verdicts = materialise(
+    verdicts = scratch.write(
         repeated.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True))),
         "dedup-verdicts",
     )
+    scratch.drop("dedup-texts", "dedup-repeated", "dedup-copies")
     judged = docs.join(verdicts, ["doc_id", "text_key"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)) & (size >= window))
     return cut_words(judged, window)
 

@@ -40,7 +40,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import materialise
+from cubeloom.llm.common import Scratch
 
 #: (verdict, host, path): the rules of the registered query.
 RULES = (
@@ -92,18 +92,18 @@ def prior_share(urls: DataFrame) -> float:
     return bad / labelled if labelled else 0.0
 
 
-def path_templates(urls: DataFrame, prior: float, min_share: float = 0.05, min_support: int = 20, z_split: float = 1.96, weight: float = 10.0) -> DataFrame:
+def path_templates(urls: DataFrame, prior: float, scratch: Scratch, min_share: float = 0.05, min_support: int = 20, z_split: float = 1.96, weight: float = 10.0) -> DataFrame:
     """*urls* (``host, path, n, bad, labelled``) with ``parent`` and ``template``, the node of each path and the one above it."""
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
     columns = [*urls.columns, "parent", "template"]
     start = urls.withColumn("segments", F.split("path", "/")).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    open_, done, level = materialise(start, "url-tree"), [], 1
+    open_, done, level = scratch.write(start, "url-tree"), [], 1
     while True:
         deeper = F.size("segments") > level
         done.append(open_.filter(~deeper).select(columns))
         open_ = open_.filter(deeper)
         nodes = open_.groupBy("host", "template").agg(*sums).filter(F.col("n") >= min_support)
-        nodes = materialise(nodes.select("host", "template", *(F.col(c).alias(f"all_{c}") for c in ("n", "bad", "labelled"))), "url-nodes")
+        nodes = scratch.write(nodes.select("host", "template", *(F.col(c).alias(f"all_{c}") for c in ("n", "bad", "labelled"))), "url-nodes")
         small = open_.join(nodes, ["host", "template"], "left_anti") if not nodes.isEmpty() else open_
         left = F.size("segments") - level
         done.append(
@@ -124,12 +124,12 @@ def path_templates(urls: DataFrame, prior: float, min_share: float = 0.05, min_s
         )
         step = known.join(literal, ["host", "template", "segment"], "left").withColumn("parent", F.col("template"))
         step = step.withColumn("template", F.concat("parent", F.lit("/"), F.coalesce("literal", F.lit("*"))))
-        open_ = materialise(step.select(*columns, "segments"), "url-tree")
+        open_ = scratch.write(step.select(*columns, "segments"), "url-tree")
         level += 1
     tree = done[0]
     for part in done[1:]:
         tree = tree.unionByName(part)
-    return materialise(tree, "url-templates")
+    return scratch.write(tree, "url-templates")
 
 
 def judged_templates(tree: DataFrame, prior: float, z_merge: float = 1.96, weight: float = 10.0, reject_share: float = 0.5) -> DataFrame:
@@ -159,9 +159,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **tree_options)
         .groupBy("host", "path")
         .agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.sum(F.coalesce("labelled", F.lit(0))).alias("labelled"))
     )
-    urls = materialise(urls, "url-counts")
+    scratch = Scratch(pages.sparkSession)
+    urls = scratch.write(urls, "url-counts")
     prior = prior_share(urls)
-    tree = path_templates(urls, prior, **tree_options)
+    tree = path_templates(urls, prior, scratch, **tree_options)
     rejected = judged_templates(tree, prior).filter("rejected").select("host", "template")
     bad_urls = tree.select("host", "path", "template").join(rejected, ["host", "template"], "left_semi").select("host", "path", F.lit(True).alias("rejected"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)

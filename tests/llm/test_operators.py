@@ -13,6 +13,7 @@ from collections import Counter
 import pytest
 
 from cubeloom.llm import bpe, brown_lm, components, html_text, jaccard_join, line_rules, page_model, positional_index, quality, queries, substring_dedup, token_counts, url_filter
+from cubeloom.llm.common import Scratch
 from tests.conftest import SMALL, rows_of
 
 DOCS = "doc_id long, text string, source string, n_words string, score string"
@@ -505,7 +506,7 @@ def test_join_of_nothing(spark, odd):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80)], "a long, b long")
-    assert {r.node: r.component for r in components.components(edges).collect()} == {i: 0 for i in range(1, 41)} | {90: 80}
+    assert {r.node: r.component for r in components.components(edges, Scratch(spark)).collect()} == {i: 0 for i in range(1, 41)} | {90: 80}
 
 
 # 9 and 10. tokens

@@ -8,23 +8,27 @@ stands before its first word.
    words with their training counts, and its texts as numbers into that list.
    The chunks are written; texts aren't read again.
 2. The chunks' words are summed into the training counts of all words, written.
-3. Words map to exchange units: a word with at least ``unit_share`` of the
-   training tokens is a unit of its own (of these there can be no more than
-   ``1 / unit_share``), all others share units by their ending, ``ENDINGS`` of
-   them.  Unit bigrams are counted over all training texts.
-4. Exchange clustering: Spark sums each unit's neighbours by class, the driver
+3. Frequent words (``unit_share`` of the training tokens or more, so at most
+   ``1 / unit_share`` of them) and the endings of the others, ``ENDINGS`` of
+   them, are clustered first: Spark sums each one's neighbours by class, the driver
    (units times classes numbers, bounded as the units are) moves each unit
-   to the class that raises the likelihood of the class bigrams most, in
-   rounds until few move.  So every word gets a class by exchange, rare words with
-   their ending.
-5. Counts return to the chunks by a join on words, and the chunks are scored.
+   to the class that raises the likelihood of the class bigrams most, in rounds until few move.
+4. Exchange of all other words seen ``min_count`` times or more, each by its own
+   neighbours: one pass over the chunks lists the classes beside every word, sorted by
+   word, and every word moves to the class that raises the likelihood most
+   against the class bigrams as they stand.  Words of a round move at the same time.
+   Words seen less often have no evidence of their own and keep the class of their ending.
+5. Classes and counts return to the chunks by one join on words; class bigrams
+   are counted again over all training texts, and the chunks are scored.
 
 Transitions are smoothed towards class frequencies with ``prior`` counts.
 Emissions are discounted absolutely in each class; the mass goes to the
 words unseen in it, as many as were seen and one more.  Both sum to one.
 
 Scale: shuffles carry a chunk's distinct words, not tokens.  A word's
-counts are pre-aggregated by chunk; a chunk's size is bounded by
+counts are pre-aggregated by chunk, and so are the classes beside it (two numbers a
+class and side at most); in step 4 a partition is sorted by word and read as a
+stream, whatever one word's share.  A chunk's size is bounded by
 ``chunk_rows`` rows and the Arrow batch limit.
 
 Defined cases: a null text is empty and has its end token only; ids may be
@@ -202,11 +206,138 @@ def exchange_clustering(bigrams: DataFrame, weight: np.ndarray, n_classes: int,
     return classes
 
 
+def neighbour_classes(chunks: DataFrame, unit_class: dict[bytes, int], ending_class: np.ndarray, n_classes: int) -> DataFrame:
+    """``word, around``: for every chunk and training word that is no unit, the classes beside it and how often.
+
+    *around* packs ``code, count`` as 32-bit numbers; the code is the class, plus *n_classes* for the one before the word.
+    """
+    shipped = chunks.sparkSession.sparkContext.broadcast((unit_class, ending_class))
+    end = n_classes - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, by_ending = shipped.value
+        for batch in batches:
+            for held, sizes, tokens, words, endings in zip(*(batch.column(i) for i in range(5))):
+                held, sizes, words = np.array(held.as_py(), dtype=bool), np.array(sizes.as_py(), dtype=np.int64), words.as_py()
+                flat = np.frombuffer(tokens.as_py(), dtype="<i4")[~np.repeat(held, sizes)].astype(np.int64)
+                if not len(flat):
+                    continue
+                known = np.array([units.get(w, -1) for w in words], dtype=np.int64)
+                own = np.where(known >= 0, known, by_ending[np.array(endings.as_py(), dtype=np.int64)])
+                line, _ = with_ends(own[flat], sizes[~held], end)
+                place, _ = with_ends(flat, sizes[~held], -1)
+                at = np.flatnonzero((place >= 0) & (known[np.maximum(place, 0)] < 0))
+                before = np.concatenate([[end], line[:-1]])
+                keys = np.concatenate([place[at] * (2 * n_classes) + line[at + 1], place[at] * (2 * n_classes) + n_classes + before[at]])
+                keys, count = np.unique(keys, return_counts=True)
+                word, code = keys // (2 * n_classes), keys % (2 * n_classes)
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+                packed = np.stack([code, count], axis=1).astype("<i4").tobytes()
+                cuts = np.append(first, len(word)) * 8
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([words[i] for i in word[first]], pa.binary()), pa.array([packed[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["word", "around"],
+                )
+
+    return chunks.select("held", "sizes", "tokens", "words", "endings").mapInArrow(lean(run), "word binary, around binary")
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, count: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of most likelihood for each of many words, the *table* of class bigrams standing still.
+
+    ``word, code, count``: entries in the order of words, as in :func:`neighbour_classes`;
+    *own*: the classes now.  A word is taken out of its own class first, so staying is judged as moving is.
+    """
+    n, classes = len(own), len(table)
+    both = np.concatenate([table.T, table])  # by code: a word's entry in the row, or the column, of each class it may join
+    ends = np.concatenate([table.sum(axis=1), table.sum(axis=0)]).reshape(2, classes)
+    gain, once = np.zeros((n, classes)), _xlogx(both + 1) - _xlogx(both)
+    for lot in np.array_split(np.arange(len(word)), len(word) // 20_000 + 1):
+        if not len(lot):
+            continue
+        w, c, k = word[lot], code[lot], count[lot].astype(float)
+        change = once[c]
+        several = np.flatnonzero(k > 1)
+        cells = both[c[several]]
+        change[several] = _xlogx(cells + k[several, None]) - _xlogx(cells)
+        rest = np.maximum(both[c, own[w]] - k, 0)
+        change[np.arange(len(lot)), own[w]] = _xlogx(rest + k) - _xlogx(rest)
+        cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        np.add.at(gain, w[cut], np.add.reduceat(change, cut, axis=0))
+    for side in range(2):
+        of_side = (code >= classes) == bool(side)
+        total = np.bincount(word[of_side], weights=count[of_side], minlength=n)
+        rest = np.repeat(ends[side][None, :], n, axis=0)
+        rest[np.arange(n), own] = np.maximum(rest[np.arange(n), own] - total, 0)
+        gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+    gain[:, -1] = -np.inf  # the end token's own class
+    best = gain.argmax(axis=1)
+    stay = gain[np.arange(n), own] >= gain[np.arange(n), best] - 1e-9
+    return np.where(stay, own, best)
+
+
+def exchanged_words(around: DataFrame, ending_class: np.ndarray, table: np.ndarray, min_count: int) -> DataFrame:
+    """``word, class`` of the words of *around* that were seen *min_count* times or more."""
+    shipped = around.sparkSession.sparkContext.broadcast((ending_class, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_ending, bigrams = shipped.value
+        classes = len(bigrams)
+        open_word, open_sum = None, np.zeros(2 * classes, dtype=np.int64)
+
+        def decided(words: list[bytes], word: np.ndarray, code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            seen = np.bincount(word[code < classes], weights=count[code < classes], minlength=len(words))
+            chosen = np.flatnonzero(seen >= min_count)
+            words = [words[i] for i in chosen]
+            own = by_ending[np.array([ending_of(w) for w in words], dtype=np.int64)]
+            inside = (seen >= min_count)[word]
+            best = best_classes(np.searchsorted(chosen, word[inside]), code[inside], count[inside], own, bigrams)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(best, pa.int32())], names=["word", "class"])
+
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if not words:
+                continue
+            packed = batch.column(1).to_pylist()
+            first = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
+            names = [words[i] for i in first]
+            number = np.cumsum([not i or w != words[i - 1] for i, w in enumerate(words)]) - 1
+            entries = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, 2)
+            key = np.repeat(number, [len(x) // 8 for x in packed]) * (2 * classes) + entries[:, 0]
+            key, where = np.unique(key, return_inverse=True)
+            count = np.bincount(where, weights=entries[:, 1]).astype(np.int64)
+            word, code = key // (2 * classes), key % (2 * classes)
+            # The word at a batch's edge goes on in the next one: its sums are carried.
+            if open_word is not None and names[0] != open_word:
+                at = np.flatnonzero(open_sum)
+                yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
+                open_sum = np.zeros(2 * classes, dtype=np.int64)
+            elif open_word is not None:
+                np.add.at(open_sum, code[word == 0], count[word == 0])
+            last = len(names) - 1
+            if last or open_word != names[0]:
+                done = (word < last) & ((word > 0) | (open_word != names[0]))
+                if open_word == names[0]:
+                    at = np.flatnonzero(open_sum)
+                    yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
+                skip = int(open_word == names[0])
+                if last > skip:
+                    yield decided(names[skip:last], word[done] - skip, code[done], count[done])
+                open_sum = np.zeros(2 * classes, dtype=np.int64)
+                np.add.at(open_sum, code[word == last], count[word == last])
+                open_word = names[last]
+        if open_word is not None:
+            at = np.flatnonzero(open_sum)
+            yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(lean(run), "word binary, class int")
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """What scoring needs of a fitted model; all of it is bounded by the numbers of units and classes."""
+    """What scoring needs of a fitted model; all of it is bounded by the numbers of endings and classes."""
 
-    classes: np.ndarray  # by unit
+    by_ending: np.ndarray  # class of unseen words
     transitions: np.ndarray  # log10 P(class | class before)
     total: np.ndarray  # training tokens by class
     discount: np.ndarray  # by class
@@ -216,96 +347,168 @@ class ClassModel:
     distinct: int
 
 
-def fit(chunks: DataFrame, vocabulary: DataFrame, unit_share: float, n_classes: int, prior: float, max_rounds: int, scratch: Scratch) -> tuple[ClassModel, dict[bytes, int]]:
-    """Fit on the training texts of *chunks*; *vocabulary* has ``word, n, ending`` of all training words."""
-    ends = chunks.select(F.explode("held").alias("held")).filter("not held").count()
-    words, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    tokens = (words or 0) + ends
+def emissions(model: ClassModel, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log10 P(word | class) of words with training counts *n* in classes *own*."""
+    seen = np.log10(np.maximum(n - model.discount[own], 1e-9) / np.maximum(model.total[own], 1))
+    return np.where(n > 0, seen, model.unseen[own])
+
+
+def unit_classes(chunks: DataFrame, vocabulary: DataFrame, tokens: int, ends: int, unit_share: float, n_classes: int, max_rounds: int, scratch: Scratch) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Classes of the frequent words, of the endings, and the table of class bigrams they give."""
     frequent = sorted((bytes(w), n) for w, n in vocabulary.filter(F.col("n") >= unit_share * max(tokens, 1)).select("word", "n").collect())
     units = {w: _END + 1 + i for i, (w, _) in enumerate(frequent)}
     n_units = _END + 1 + len(units)
-    # Sums by unit: tokens, words, words seen once and twice.
-    sums = np.zeros((n_units, 4))
-    rare = vocabulary.filter(F.col("n") < unit_share * max(tokens, 1)).groupBy("ending")
-    for ending, *x in rare.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).collect():
-        sums[ending] = x
+    weight = np.zeros(n_units)
+    for ending, n in vocabulary.filter(F.col("n") < unit_share * max(tokens, 1)).groupBy("ending").agg(F.sum("n")).collect():
+        weight[ending] = n
     for w, n in frequent:
-        sums[units[w]] = (n, 1, n == 1, n == 2)
-    sums[_END] = (ends, 1, ends == 1, ends == 2)
+        weight[units[w]] = n
+    weight[_END] = ends
     bigrams = scratch.write(unit_bigrams(chunks, units, n_units), "brown-bigrams")
-    classes = exchange_clustering(bigrams, sums[:, 0], n_classes, max_rounds)
+    classes = exchange_clustering(bigrams, weight, n_classes, max_rounds)
     table = np.zeros((n_classes + 1, n_classes + 1))
-    spark = chunks.sparkSession
-    place = F.broadcast(spark.createDataFrame(list(enumerate(classes.tolist())), "unit int, class int"))
+    place = F.broadcast(chunks.sparkSession.createDataFrame(list(enumerate(classes.tolist())), "unit int, class int"))  # as many rows as units
     pairs = bigrams.join(place.select(F.col("unit").alias("a"), F.col("class").alias("x")), "a").join(place.select(F.col("unit").alias("b"), F.col("class").alias("y")), "b")
     for x, y, n in pairs.groupBy("x", "y").agg(F.sum("n")).collect():
         table[x, y] = n
-    by_class = np.zeros((n_classes + 1, 4))
-    np.add.at(by_class, classes, sums)
-    share = (by_class[:, 0] + 1) / (by_class[:, 0] + 1).sum()
+    scratch.drop("brown-bigrams")
+    return {w: int(classes[u]) for w, u in units.items()}, classes[:ENDINGS].copy(), table
+
+
+def class_bigrams(labelled: DataFrame, n_classes: int) -> np.ndarray:
+    """How often each class follows each in training texts; the last is the end token's."""
+    size = n_classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            for held, sizes, tokens, classes in zip(*(batch.column(i) for i in range(4))):
+                held, sizes = np.array(held.as_py(), dtype=bool), np.array(sizes.as_py(), dtype=np.int64)
+                if held.all():
+                    continue
+                flat = np.frombuffer(tokens.as_py(), dtype="<i4")[~np.repeat(held, sizes)]
+                own = np.frombuffer(classes.as_py(), dtype="<i2").astype(np.int64)
+                line, _ = with_ends(own[flat], sizes[~held], n_classes)
+                total += np.bincount(np.concatenate([[n_classes], line[:-1]]) * size + line, minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+
+    table = np.zeros((size, size))
+    found = labelled.select("held", "sizes", "tokens", "classes").mapInArrow(lean(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for a, b, n in found.collect():
+        table[a, b] = n
+    return table
+
+
+_LABELLED = "doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, classes binary, counts binary"
+
+
+def labelled_chunks(chunks: DataFrame, known: DataFrame, by_ending: np.ndarray) -> DataFrame:
+    """The chunks with the class and the training count of each of their words in place of the words.
+
+    *known* has ``chunk_id, at, n, class`` of the chunks' words that were seen in training.
+    """
+    shipped = chunks.sparkSession.sparkContext.broadcast(by_ending)
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary())])
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        endings = np.array(chunk.column("endings")[0].as_py(), dtype=np.int64)
+        own, n = shipped.value[endings].astype("<i2"), np.zeros(len(endings), dtype="<i8")
+        at = found.column("at").to_numpy()
+        own[at], n[at] = found.column("class").to_numpy(), found.column("n").to_numpy()
+        return chunk.select(["doc_ids", "held", "sizes", "tokens"]).append_column("classes", pa.array([own.tobytes()], pa.binary())).append_column("counts", pa.array([n.tobytes()], pa.binary())).cast(schema)
+
+    left = chunks.select("chunk_id", "doc_ids", "held", "sizes", "tokens", "endings").groupBy("chunk_id")
+    right = known.select(F.col("chunk_id").alias("of_chunk"), "at", "n", "class").groupBy("of_chunk")
+    return left.cogroup(right).applyInArrow(run, _LABELLED)
+
+
+def fit(labelled: DataFrame, words: DataFrame, by_ending: np.ndarray, tokens: int, ends: int, distinct: int, n_classes: int, prior: float) -> ClassModel:
+    """The model of the classes in *labelled*; *words* has ``class, n`` of all training words."""
+    sums = np.zeros((n_classes + 1, 4))
+    for c, *x in words.groupBy("class").agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).collect():
+        sums[c] = x
+    sums[-1] = (ends, 1, ends == 1, ends == 2)
+    table = class_bigrams(labelled, n_classes)
+    share = (sums[:, 0] + 1) / (sums[:, 0] + 1).sum()
     transitions = np.log10((table + prior * share) / (table.sum(axis=1, keepdims=True) + prior))
-    total, kinds, once, twice = by_class.T
+    total, kinds, once, twice = sums.T
     discount = np.where(once > 0, np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9), 0.5)
     unseen = np.log10(np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0) / (kinds + 1))
     discount[-1] = 0.0
-    return ClassModel(classes, transitions, total, discount, unseen, int(tokens), int(ends), int(distinct) + (ends > 0)), units
+    return ClassModel(by_ending, transitions, total, discount, unseen, int(tokens), int(ends), int(distinct) + (ends > 0))
 
 
-def score_chunks(chunks: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame:
-    """The scores of all texts; *counts* has ``chunk_id, at, n, unit`` of the chunks' known words."""
-    shipped = chunks.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def score_chunks(labelled: DataFrame, model: ClassModel) -> DataFrame:
+    """The scores of all texts of *labelled* chunks."""
+    shipped = labelled.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
-    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        out = []
-        for doc_ids, held, sizes, tokens, endings in zip(*(chunk.column(c).to_pylist() for c in ("doc_ids", "held", "sizes", "tokens", "endings"))):
-            sizes, unit = np.array(sizes, dtype=np.int64), np.array(endings, dtype=np.int64)
-            n = np.zeros(len(unit))
-            at = known.column("at").to_numpy()
-            n[at] = known.column("n").to_numpy()
-            unit[at] = known.column("unit").to_numpy()
-            own = m.classes[unit]
-            emit = np.where(n > 0, np.log10(np.maximum(n - m.discount[own], 1e-9) / np.maximum(m.total[own], 1)), m.unseen[own])
-            base = np.log10((n + 1) / (m.train_tokens + m.distinct + 1))
-            flat = np.frombuffer(tokens, dtype="<i4")
-            end = len(m.transitions) - 1
-            line, starts = with_ends(own[flat], sizes, end)
-            step = m.transitions[np.concatenate([[end], line[:-1]]), line] + with_ends(emit[flat], sizes, 0.0)[0]
-            plain = with_ends(base[flat], sizes, np.log10((m.end_count + 1) / (m.train_tokens + m.distinct + 1)))[0]
-            seen = with_ends((n > 0)[flat], sizes, m.end_count > 0)[0]
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(doc_ids, pa.int64()),
-                        "held_out": pa.array(held, pa.bool_()),
-                        "n_tokens": pa.array(sizes + 1),
-                        "n_known": pa.array(np.add.reduceat(seen.astype(np.int64), starts)),
-                        "train_tokens": pa.array(np.full(len(sizes), m.train_tokens, dtype=np.int64)),
-                        "base_score": pa.array(np.add.reduceat(plain, starts)),
-                        "score": pa.array(np.add.reduceat(step, starts)),
-                    }
+        end = len(m.transitions) - 1
+        for batch in batches:
+            for doc_ids, held, sizes, tokens, classes, counts in zip(*(batch.column(i) for i in range(6))):
+                sizes, own, n = np.array(sizes.as_py(), dtype=np.int64), np.frombuffer(classes.as_py(), dtype="<i2"), np.frombuffer(counts.as_py(), dtype="<i8").astype(float)
+                emit, base = emissions(m, n, own), np.log10((n + 1) / (m.train_tokens + m.distinct + 1))
+                flat = np.frombuffer(tokens.as_py(), dtype="<i4")
+                line, starts = with_ends(own[flat].astype(np.int64), sizes, end)
+                step = m.transitions[np.concatenate([[end], line[:-1]]), line] + with_ends(emit[flat], sizes, 0.0)[0]
+                plain = with_ends(base[flat], sizes, np.log10((m.end_count + 1) / (m.train_tokens + m.distinct + 1)))[0]
+                seen = with_ends((n > 0)[flat], sizes, m.end_count > 0)[0]
+                score = np.add.reduceat(step, starts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids.as_py(), pa.int64()),
+                        pa.array(held.as_py(), pa.bool_()),
+                        pa.array(sizes + 1),
+                        pa.array(np.add.reduceat(seen.astype(np.int64), starts)),
+                        pa.array(np.full(len(sizes), m.train_tokens, dtype=np.int64)),
+                        pa.array(np.add.reduceat(plain, starts)),
+                        pa.array(score),
+                        pa.array(10 ** np.minimum(-score / (sizes + 1), 300.0)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
                 )
-            )
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
-    left = chunks.select("chunk_id", "doc_ids", "held", "sizes", "tokens", "endings").groupBy("chunk_id")
-    right = counts.select(F.col("chunk_id").alias("of_chunk"), "at", "n", "unit").groupBy("of_chunk")
-    return left.cogroup(right).applyInArrow(run, schema)
+    return labelled.mapInArrow(lean(run), schema)
 
 
 def score_documents(
-    documents: DataFrame, folds: int = 7, held_fold: int = 2, unit_share: float = 1e-4, n_classes: int = 64, prior: float = 20.0, max_rounds: int = 10, chunk_rows: int = 4000
+    documents: DataFrame,
+    folds: int = 7,
+    held_fold: int = 2,
+    unit_share: float = 1e-4,
+    min_count: int = 2,
+    n_classes: int = 64,
+    prior: float = 20.0,
+    max_rounds: int = 10,
+    chunk_rows: int = 4000,
 ) -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
+    spark = documents.sparkSession
+    scratch = Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(documents.sparkSession)
     chunks = scratch.write(encode_chunks(docs, chunk_rows), "brown-chunks", "zstd")
     listed = chunks.select(F.explode(F.arrays_zip("words", "counts", "endings")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"), F.col("x.endings").alias("ending"))
     vocabulary = scratch.write(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.max("ending").alias("ending")), "brown-words", "zstd")
-    model, units = fit(chunks, vocabulary, unit_share, n_classes, prior, max_rounds, scratch)
-    spark = documents.sparkSession
-    own = spark.createDataFrame([(bytearray(w), u) for w, u in units.items()], "word binary, own int")  # at most 1 / unit_share rows
-    known = vocabulary.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", F.col("ending").cast("int")).alias("unit"))
+    ends = chunks.select(F.explode("held").alias("held")).filter("not held").count()
+    count, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
+    tokens = (count or 0) + ends
+
+    units, by_ending, table = unit_classes(chunks, vocabulary, tokens, ends, unit_share, n_classes, max_rounds, scratch)
+    bound_batches(spark, rows=10_000)  # rows of words, not of chunks
+    moved = exchanged_words(neighbour_classes(chunks, units, by_ending, n_classes + 1), by_ending, table, min_count)
+    frequent = spark.createDataFrame([(bytearray(w), c) for w, c in units.items()], "word binary, class int")  # at most 1 / unit_share rows
+    classes = scratch.write(moved.unionByName(frequent), "brown-classes", "zstd")
+    endings = F.broadcast(spark.createDataFrame(list(enumerate(by_ending.tolist())), "ending short, by_ending int"))  # ENDINGS rows
+    words = vocabulary.join(classes, "word", "left").join(endings, "ending").select("word", "n", F.coalesce("class", "by_ending").alias("class"))
+    words = scratch.write(words, "brown-known", "zstd")
+    scratch.drop("brown-words", "brown-classes")
     places = chunks.select("chunk_id", F.posexplode("words").alias("at", "word"))
-    return score_chunks(chunks, places.join(known, "word").select("chunk_id", "at", "n", "unit"), model)
+    labelled = scratch.write(labelled_chunks(chunks, places.join(words, "word").select("chunk_id", "at", "n", "class"), by_ending), "brown-labelled", "zstd")
+    scratch.drop("brown-chunks")
+    model = fit(labelled, words, by_ending, tokens, ends, distinct, n_classes, prior)
+    return scratch.finish(score_chunks(labelled, model), "brown")

@@ -81,6 +81,90 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_language_model_scores_and_sums(spark, small, monkeypatch):
+    import numpy as np
+
+    seen = []
+    score = brown_lm.score_chunks
+    monkeypatch.setattr(brown_lm, "score_chunks", lambda labelled, model: seen.append((labelled.collect(), model)) or score(labelled, model))
+    found = {r.doc_id: r for r in brown_lm.score_documents(small, n_classes=8, unit_share=0.002, chunk_rows=50).collect()}
+    labelled, model = seen[0]
+    texts = {d: WORD.findall(lower(t)) for d, t in pairs(small)}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    counts = Counter(w for d, ws in texts.items() if not held[d] for w in ws)
+    # The class of every word, the same in all chunks.
+    own = {}
+    for row in labelled:
+        classes, flat, at = np.frombuffer(row.classes, "<i2"), np.frombuffer(row.tokens, "<i4"), 0
+        for d, size in zip(row.doc_ids, row.sizes):
+            for w, k in zip(texts[d], flat[at : at + size]):
+                assert own.setdefault(w, classes[k]) == classes[k]
+            at += size
+    end = 8
+    table, totals, kinds = Counter(), Counter(), Counter()
+    for d, ws in texts.items():
+        if not held[d]:
+            line = [end, *(own[w] for w in ws), end]
+            table.update(zip(line, line[1:]))
+            totals.update(line[1:])
+    kinds.update(own[w] for w in counts)
+    share = {c: (totals[c] + 1) / sum(totals[x] + 1 for x in range(9)) for c in range(9)}
+    before = {a: sum(table[a, b] for b in range(9)) for a in range(9)}
+    go = {(a, b): (table[a, b] + 20 * share[b]) / (before[a] + 20) for a in range(9) for b in range(9)}
+    for c in range(9):
+        assert abs(sum(go[c, b] for b in range(9)) - 1) < 1e-9
+        assert abs(sum(10 ** model.transitions[c]) - 1) < 1e-9
+    for c in range(8):  # words of the class, and as many unseen ones as were seen and one more
+        mass = sum((counts[w] - model.discount[c]) / totals[c] for w in counts if own[w] == c) + (kinds[c] + 1) * 10 ** model.unseen[c]
+        assert abs(mass - 1) < 1e-9
+    for d, ws in texts.items():
+        line, total = [end, *(own[w] for w in ws), end], 0.0
+        for a, b, w in zip(line, line[1:], [*ws, None]):
+            p = 1.0 if w is None else (counts[w] - model.discount[b]) / totals[b] if counts[w] else 10 ** model.unseen[b]
+            total += math.log10(go[a, b] * p)
+        assert abs(total - found[d].score) < 1e-6 * max(1, abs(total))
+        assert abs(found[d].perplexity - 10 ** (-total / (len(ws) + 1))) < 1e-6 * found[d].perplexity
+
+
+def test_language_model_of_nothing(spark, odd):
+    assert brown_lm.score_documents(odd.limit(0)).collect() == []
+
+
+def test_words_move_to_the_class_of_most_likelihood(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    table = rng.integers(0, 40, (5, 5)).astype(float) + 30
+    x = lambda v: v * np.log(np.maximum(v, 1e-300))
+    endings = np.zeros(brown_lm.ENDINGS, dtype=np.int64)
+    rows, expected = [], {}
+    for i in range(60):
+        word, sums = f"w{i:03d}".encode(), Counter()
+        for _ in range(rng.integers(1, 5)):  # as from several chunks
+            some = Counter(zip(rng.integers(0, 10, 6).tolist(), [0] * 6))
+            some = Counter({c: n for (c, _), n in some.items()})
+            sums += some
+            rows.append((bytearray(word), bytearray(np.array(sorted(some.items()), dtype="<i4").tobytes())))
+        seen, gains = sum(n for c, n in sums.items() if c < 5), []
+        for b in range(4):
+            rest = table.copy()
+            cells = [(b, c, n) if c < 5 else (c - 5, b, n) for c, n in sums.items()]
+            total = 0.0
+            for side, (row, column, n) in zip([c >= 5 for c in sums], cells):
+                value = rest[row, column] - (n if b == 0 else 0)
+                total += x(max(value, 0) + n) - x(max(value, 0))
+            for side in (0, 1):
+                n = sum(k for c, k in sums.items() if (c >= 5) == bool(side))
+                margin = max(table.sum(axis=1 - side)[b] - (n if b == 0 else 0), 0)
+                total -= x(margin + n) - x(margin)
+            gains.append(total)
+        if seen >= 2:
+            expected[word] = int(np.argmax(gains))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = brown_lm.exchanged_words(spark.createDataFrame(rows, "word binary, around binary"), endings, table, 2).collect()
+    assert {bytes(r.word): r["class"] for r in found} == expected and len(found) == len(expected)
+
+
 def test_exchange_raises_the_likelihood():
     import numpy as np
 

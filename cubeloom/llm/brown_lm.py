@@ -14,10 +14,10 @@ stands before its first word.
    (units times classes numbers, bounded as the units are) moves each unit
    to the class that raises the likelihood of the class bigrams most, in rounds until few move.
 4. Exchange of all other words seen ``min_count`` times or more, each by its own
-   neighbours: one pass over the chunks lists the classes beside every word, sorted by
-   word, and every word moves to the class that raises the likelihood most
-   against the class bigrams as they stand.  Words of a round move at the same time.
-   Words seen less often have no evidence of their own and keep the class of their ending.
+   neighbours: one pass over the chunks lists the classes of the units beside every word,
+   and each word moves to the class that raises the likelihood most.  Words are dealt into
+   shares, and a share moves them lot by lot against class bigrams that its moves change
+   (:func:`exchanged_words`).  Words seen less often keep the class of their ending.
 5. Classes and counts return to the chunks by one join on words; class bigrams
    are counted again over all training texts, and the chunks are scored.
 
@@ -27,8 +27,8 @@ words unseen in it, as many as were seen and one more.  Both sum to one.
 
 Scale: shuffles carry a chunk's distinct words, not tokens.  A word's
 counts are pre-aggregated by chunk, and so are the classes beside it (two numbers a
-class and side at most); in step 4 a partition is sorted by word and read as a
-stream, whatever one word's share.  A chunk's size is bounded by
+class and side at most); in step 4 a partition is sorted and read as a
+stream, whatever one word's part in it, and shares grow in number with the words.  A chunk's size is bounded by
 ``chunk_rows`` rows and the Arrow batch limit.
 
 Defined cases: a null text is empty and has its end token only; ids may be
@@ -52,6 +52,8 @@ from pyspark.sql import functions as F
 from cubeloom.llm.common import Scratch, bound_batches, crc_fold, lean, text_bytes
 
 ENDINGS = 512
+#: Words that are exchanged are dealt into shares of about so many, and those into so many lots.
+SHARE_WORDS, LOTS = 30_000, 256
 _END = ENDINGS  # the end token's unit; units of their own follow
 _CHUNK = "chunk_id long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>, endings array<short>"
 
@@ -207,9 +209,10 @@ def exchange_clustering(bigrams: DataFrame, weight: np.ndarray, n_classes: int,
 
 
 def neighbour_classes(chunks: DataFrame, unit_class: dict[bytes, int], ending_class: np.ndarray, n_classes: int) -> DataFrame:
-    """``word, around``: for every chunk and training word that is no unit, the classes beside it and how often.
+    """``word, n, around``: for every chunk and training word that is no unit, how often it is there, and the classes of units beside it.
 
     *around* packs ``code, count`` as 32-bit numbers; the code is the class, plus *n_classes* for the one before the word.
+    Words that are no units themselves may move in the same round and are no evidence.
     """
     shipped = chunks.sparkSession.sparkContext.broadcast((unit_class, ending_class))
     end = n_classes - 1
@@ -226,31 +229,33 @@ def neighbour_classes(chunks: DataFrame, unit_class: dict[bytes, int], ending_cl
                 own = np.where(known >= 0, known, by_ending[np.array(endings.as_py(), dtype=np.int64)])
                 line, _ = with_ends(own[flat], sizes[~held], end)
                 place, _ = with_ends(flat, sizes[~held], -1)
-                at = np.flatnonzero((place >= 0) & (known[np.maximum(place, 0)] < 0))
-                before = np.concatenate([[end], line[:-1]])
-                keys = np.concatenate([place[at] * (2 * n_classes) + line[at + 1], place[at] * (2 * n_classes) + n_classes + before[at]])
+                free = (place >= 0) & (known[np.maximum(place, 0)] < 0)
+                before, fixed_before = np.concatenate([[end], line[:-1]]), np.concatenate([[True], ~free[:-1]])
+                after, fixed_after = np.append(line[1:], end), np.append(~free[1:], True)
+                right, left = np.flatnonzero(free & fixed_after), np.flatnonzero(free & fixed_before)
+                keys = np.concatenate([place[right] * (2 * n_classes) + after[right], place[left] * (2 * n_classes) + n_classes + before[left]])
                 keys, count = np.unique(keys, return_counts=True)
-                word, code = keys // (2 * n_classes), keys % (2 * n_classes)
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-                packed = np.stack([code, count], axis=1).astype("<i4").tobytes()
-                cuts = np.append(first, len(word)) * 8
+                total = np.bincount(place[free], minlength=len(words))
+                listed = np.flatnonzero(total)
+                packed = np.stack([keys % (2 * n_classes), count], axis=1).astype("<i4").tobytes()
+                cuts = np.searchsorted(keys, np.append(listed, len(words)) * (2 * n_classes)) * 8
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([words[i] for i in word[first]], pa.binary()), pa.array([packed[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())],
-                    names=["word", "around"],
+                    [pa.array([words[i] for i in listed], pa.binary()), pa.array(total[listed], pa.int64()), pa.array([packed[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["word", "n", "around"],
                 )
 
-    return chunks.select("held", "sizes", "tokens", "words", "endings").mapInArrow(lean(run), "word binary, around binary")
+    return chunks.select("held", "sizes", "tokens", "words", "endings").mapInArrow(lean(run), "word binary, n long, around binary")
 
 
-def best_classes(word: np.ndarray, code: np.ndarray, count: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of most likelihood for each of many words, the *table* of class bigrams standing still.
+def best_classes(word: np.ndarray, code: np.ndarray, count: np.ndarray, own: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class of most likelihood for each of many words, the class bigrams standing still.
 
     ``word, code, count``: entries in the order of words, as in :func:`neighbour_classes`;
-    *own*: the classes now.  A word is taken out of its own class first, so staying is judged as moving is.
+    *own*: the classes now; *both*: by code, the bigrams of each class with that neighbour.
+    A word is taken out of its own class first, so staying is judged as moving is.
     """
-    n, classes = len(own), len(table)
-    both = np.concatenate([table.T, table])  # by code: a word's entry in the row, or the column, of each class it may join
-    ends = np.concatenate([table.sum(axis=1), table.sum(axis=0)]).reshape(2, classes)
+    n, classes = len(own), both.shape[1]
+    ends = both.reshape(2, classes, classes).sum(axis=1)
     gain, once = np.zeros((n, classes)), _xlogx(both + 1) - _xlogx(both)
     for lot in np.array_split(np.arange(len(word)), len(word) // 20_000 + 1):
         if not len(lot):
@@ -276,61 +281,67 @@ def best_classes(word: np.ndarray, code: np.ndarray, count: np.ndarray, own: np.
     return np.where(stay, own, best)
 
 
-def exchanged_words(around: DataFrame, ending_class: np.ndarray, table: np.ndarray, min_count: int) -> DataFrame:
-    """``word, class`` of the words of *around* that were seen *min_count* times or more."""
-    shipped = around.sparkSession.sparkContext.broadcast((ending_class, table))
+def exchanged_words(around: DataFrame, ending_class: np.ndarray, both: np.ndarray, min_count: int, shares: int) -> DataFrame:
+    """``word, class`` of the words of *around* that were seen *min_count* times or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_ending, bigrams = shipped.value
-        classes = len(bigrams)
-        open_word, open_sum = None, np.zeros(2 * classes, dtype=np.int64)
-
-        def decided(words: list[bytes], word: np.ndarray, code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            seen = np.bincount(word[code < classes], weights=count[code < classes], minlength=len(words))
-            chosen = np.flatnonzero(seen >= min_count)
-            words = [words[i] for i in chosen]
-            own = by_ending[np.array([ending_of(w) for w in words], dtype=np.int64)]
-            inside = (seen >= min_count)[word]
-            best = best_classes(np.searchsorted(chosen, word[inside]), code[inside], count[inside], own, bigrams)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(best, pa.int32())], names=["word", "class"])
+    Words are dealt by hash into *shares* of ``LOTS`` lots.  A share goes
+    through its lots in turn and moves a lot at a time; as every other share does the like, the
+    bigrams that a move changes count *shares* times in the share's own table.
+    """
+    shipped = around.sparkSession.sparkContext.broadcast((ending_class, both))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_ending, start = shipped.value
+        classes = start.shape[1]
+        share, lot, table = -1, -1, start.copy()
+        words: list[bytes] = []  # of the lot so far
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def decided() -> pa.RecordBatch:
+            word, code = keys // (2 * classes), keys % (2 * classes)
+            chosen = np.flatnonzero(np.array(totals) >= min_count)
+            names = [words[i] for i in chosen]
+            own = by_ending[np.array([ending_of(w) for w in names], dtype=np.int64)]
+            inside = np.isin(word, chosen)
+            word, code, count = np.searchsorted(chosen, word[inside]), code[inside], counts[inside]
+            best = best_classes(word, code, count, own, table)
+            np.add.at(table, (code, own[word]), -shares * count)
+            np.add.at(table, (code, best[word]), shares * count)
+            np.maximum(table, 0, out=table)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(best, pa.int32())], names=["word", "class"])
+
+        totals: list[int] = []
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            if not words:
-                continue
-            packed = batch.column(1).to_pylist()
-            first = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
-            names = [words[i] for i in first]
-            number = np.cumsum([not i or w != words[i - 1] for i, w in enumerate(words)]) - 1
-            entries = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, 2)
-            key = np.repeat(number, [len(x) // 8 for x in packed]) * (2 * classes) + entries[:, 0]
-            key, where = np.unique(key, return_inverse=True)
-            count = np.bincount(where, weights=entries[:, 1]).astype(np.int64)
-            word, code = key // (2 * classes), key % (2 * classes)
-            # The word at a batch's edge goes on in the next one: its sums are carried.
-            if open_word is not None and names[0] != open_word:
-                at = np.flatnonzero(open_sum)
-                yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
-                open_sum = np.zeros(2 * classes, dtype=np.int64)
-            elif open_word is not None:
-                np.add.at(open_sum, code[word == 0], count[word == 0])
-            last = len(names) - 1
-            if last or open_word != names[0]:
-                done = (word < last) & ((word > 0) | (open_word != names[0]))
-                if open_word == names[0]:
-                    at = np.flatnonzero(open_sum)
-                    yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
-                skip = int(open_word == names[0])
-                if last > skip:
-                    yield decided(names[skip:last], word[done] - skip, code[done], count[done])
-                open_sum = np.zeros(2 * classes, dtype=np.int64)
-                np.add.at(open_sum, code[word == last], count[word == last])
-                open_word = names[last]
-        if open_word is not None:
-            at = np.flatnonzero(open_sum)
-            yield decided([open_word], np.zeros(len(at), dtype=np.int64), at, open_sum[at])
-
-    return around.repartition("word").sortWithinPartitions("word").mapInArrow(lean(run), "word binary, class int")
+            of_share, of_lot, name, n, packed = (batch.column(i).to_pylist() for i in range(5))
+            at = 0
+            while at < len(name):
+                if (of_share[at], of_lot[at]) != (share, lot):
+                    if words:
+                        yield decided()
+                    if of_share[at] != share:
+                        table = start.copy()
+                    share, lot, words, totals = of_share[at], of_lot[at], [], []
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                end = at
+                number = []
+                while end < len(name) and of_lot[end] == lot and of_share[end] == share:
+                    if not words or words[-1] != name[end]:
+                        words.append(name[end])
+                        totals.append(0)
+                    totals[-1] += n[end]
+                    number.append(len(words) - 1)
+                    end += 1
+                entries = np.frombuffer(b"".join(packed[at:end]), dtype="<i4").reshape(-1, 2)
+                fresh = np.repeat(np.array(number, dtype=np.int64), [len(x) // 8 for x in packed[at:end]]) * (2 * classes) + entries[:, 0]
+                keys, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+                counts = np.bincount(where, weights=np.concatenate([counts, entries[:, 1]])).astype(np.int64)
+                at = end
+        if words:
+            yield decided()
+
+    hashed = F.xxhash64("word")
+    dealt = around.select(F.pmod(hashed, F.lit(shares)).cast("int").alias("share"), F.pmod(F.shiftright(hashed, 20), F.lit(LOTS)).cast("int").alias("lot"), "word", "n", "around")
+    return dealt.repartition("share").sortWithinPartitions("share", "lot", "word").mapInArrow(lean(run), "word binary, class int")
 
 
 @dataclass(frozen=True)
@@ -354,7 +365,7 @@ def emissions(model: ClassModel, n: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def unit_classes(chunks: DataFrame, vocabulary: DataFrame, tokens: int, ends: int, unit_share: float, n_classes: int, max_rounds: int, scratch: Scratch) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Classes of the frequent words, of the endings, and the table of class bigrams they give."""
+    """Classes of the frequent words, of the endings, and by code (as in :func:`neighbour_classes`) the bigrams of each class with units beside it."""
     frequent = sorted((bytes(w), n) for w, n in vocabulary.filter(F.col("n") >= unit_share * max(tokens, 1)).select("word", "n").collect())
     units = {w: _END + 1 + i for i, (w, _) in enumerate(frequent)}
     n_units = _END + 1 + len(units)
@@ -366,13 +377,14 @@ def unit_classes(chunks: DataFrame, vocabulary: DataFrame, tokens: int, ends: in
     weight[_END] = ends
     bigrams = scratch.write(unit_bigrams(chunks, units, n_units), "brown-bigrams")
     classes = exchange_clustering(bigrams, weight, n_classes, max_rounds)
-    table = np.zeros((n_classes + 1, n_classes + 1))
     place = F.broadcast(chunks.sparkSession.createDataFrame(list(enumerate(classes.tolist())), "unit int, class int"))  # as many rows as units
-    pairs = bigrams.join(place.select(F.col("unit").alias("a"), F.col("class").alias("x")), "a").join(place.select(F.col("unit").alias("b"), F.col("class").alias("y")), "b")
-    for x, y, n in pairs.groupBy("x", "y").agg(F.sum("n")).collect():
-        table[x, y] = n
+    both = np.zeros((2 * (n_classes + 1), n_classes + 1))
+    for side, (word, unit) in enumerate((("a", "b"), ("b", "a"))):
+        pairs = bigrams.filter(F.col(unit) >= _END).join(place.select(F.col("unit").alias(unit), F.col("class").alias("x")), unit).join(place.select(F.col("unit").alias(word), F.col("class").alias("y")), word)
+        for x, y, n in pairs.groupBy("x", "y").agg(F.sum("n")).collect():
+            both[x + side * (n_classes + 1), y] = n
     scratch.drop("brown-bigrams")
-    return {w: int(classes[u]) for w, u in units.items()}, classes[:ENDINGS].copy(), table
+    return {w: int(classes[u]) for w, u in units.items()}, classes[:ENDINGS].copy(), both
 
 
 def class_bigrams(labelled: DataFrame, n_classes: int) -> np.ndarray:
@@ -498,9 +510,9 @@ def score_documents(
     count, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     tokens = (count or 0) + ends
 
-    units, by_ending, table = unit_classes(chunks, vocabulary, tokens, ends, unit_share, n_classes, max_rounds, scratch)
+    units, by_ending, both = unit_classes(chunks, vocabulary, tokens, ends, unit_share, n_classes, max_rounds, scratch)
     bound_batches(spark, rows=10_000)  # rows of words, not of chunks
-    moved = exchanged_words(neighbour_classes(chunks, units, by_ending, n_classes + 1), by_ending, table, min_count)
+    moved = exchanged_words(neighbour_classes(chunks, units, by_ending, n_classes + 1), by_ending, both, min_count, max(1, distinct // SHARE_WORDS))
     frequent = spark.createDataFrame([(bytearray(w), c) for w, c in units.items()], "word binary, class int")  # at most 1 / unit_share rows
     classes = scratch.write(moved.unionByName(frequent), "brown-classes", "zstd")
     endings = F.broadcast(spark.createDataFrame(list(enumerate(by_ending.tolist())), "ending short, by_ending int"))  # ENDINGS rows

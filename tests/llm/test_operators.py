@@ -79,6 +79,9 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = [r for r in brown_lm.score_documents(docs).collect() if r.held_out]
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
+    # Words that choose their own classes beat words that keep those of their endings.
+    endings = [r for r in brown_lm.score_documents(docs, min_count=1 << 40).collect() if r.held_out]
+    assert sum(r.score for r in found) > sum(r.score for r in endings)
 
 
 def test_language_model_scores_and_sums(spark, small, monkeypatch):
@@ -130,39 +133,58 @@ def test_language_model_of_nothing(spark, odd):
     assert brown_lm.score_documents(odd.limit(0)).collect() == []
 
 
-def test_words_move_to_the_class_of_most_likelihood(spark):
+def some_neighbours(words):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    table = rng.integers(0, 40, (5, 5)).astype(float) + 30
-    x = lambda v: v * np.log(np.maximum(v, 1e-300))
-    endings = np.zeros(brown_lm.ENDINGS, dtype=np.int64)
-    rows, expected = [], {}
-    for i in range(60):
-        word, sums = f"w{i:03d}".encode(), Counter()
-        for _ in range(rng.integers(1, 5)):  # as from several chunks
-            some = Counter(zip(rng.integers(0, 10, 6).tolist(), [0] * 6))
-            some = Counter({c: n for (c, _), n in some.items()})
-            sums += some
-            rows.append((bytearray(word), bytearray(np.array(sorted(some.items()), dtype="<i4").tobytes())))
-        seen, gains = sum(n for c, n in sums.items() if c < 5), []
+    both = np.concatenate([rng.integers(0, 40, (5, 5)), rng.integers(0, 40, (5, 5))]).astype(float) + 5
+    return both, [Counter(rng.integers(0, 10, rng.integers(0, 9)).tolist()) for _ in range(words)]
+
+
+def test_words_move_to_the_class_of_most_likelihood():
+    import numpy as np
+
+    both, around = some_neighbours(60)
+    x = lambda v: v * np.log(max(v, 1e-300))
+    own = np.arange(60) % 4
+    expected = []
+    for a, sums in zip(own, around):
+        gains = []
         for b in range(4):
-            rest = table.copy()
-            cells = [(b, c, n) if c < 5 else (c - 5, b, n) for c, n in sums.items()]
             total = 0.0
-            for side, (row, column, n) in zip([c >= 5 for c in sums], cells):
-                value = rest[row, column] - (n if b == 0 else 0)
-                total += x(max(value, 0) + n) - x(max(value, 0))
+            for c, n in sums.items():
+                value = max(both[c, b] - (n if a == b else 0), 0)
+                total += x(value + n) - x(value)
             for side in (0, 1):
-                n = sum(k for c, k in sums.items() if (c >= 5) == bool(side))
-                margin = max(table.sum(axis=1 - side)[b] - (n if b == 0 else 0), 0)
+                n = sum(k for c, k in sums.items() if c // 5 == side)
+                margin = max(both[5 * side : 5 * side + 5, b].sum() - (n if a == b else 0), 0)
                 total -= x(margin + n) - x(margin)
             gains.append(total)
-        if seen >= 2:
-            expected[word] = int(np.argmax(gains))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    found = brown_lm.exchanged_words(spark.createDataFrame(rows, "word binary, around binary"), endings, table, 2).collect()
-    assert {bytes(r.word): r["class"] for r in found} == expected and len(found) == len(expected)
+        expected.append(a if gains[a] >= max(gains) - 1e-9 else int(np.argmax(gains)))
+    entries = [(w, c, n) for w, sums in enumerate(around) for c, n in sorted(sums.items())]
+    word, code, count = (np.array(column) for column in zip(*entries))
+    assert brown_lm.best_classes(word, code, count, own, both).tolist() == expected
+
+
+def test_word_exchange_does_not_depend_on_batches(spark):
+    import numpy as np
+
+    both, around = some_neighbours(200)
+    endings, rows, totals = np.arange(brown_lm.ENDINGS) % 4, [], Counter()
+    for i, sums in enumerate(around):
+        for part in (sums, Counter()):  # as from two chunks
+            packed = np.array(sorted(part.items()), dtype="<i4").tobytes() if part else b""
+            rows.append((bytearray(f"w{i}".encode()), 1 + i % 2, bytearray(packed)))
+            totals[f"w{i}".encode()] += 1 + i % 2
+    found = []
+    for batch, partitions in (("3", "4"), ("10000", "1")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        frame = spark.createDataFrame(rows, "word binary, n long, around binary")
+        found.append({bytes(r.word): r["class"] for r in brown_lm.exchanged_words(frame, endings, both, 4, 3).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and set(found[0]) == {w for w, n in totals.items() if n >= 4}
+    assert any(c != endings[brown_lm.ending_of(w)] for w, c in found[0].items())
 
 
 def test_exchange_raises_the_likelihood():

@@ -27,12 +27,12 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ite
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-LINE_RULES = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest, coalesce(concat('=', source), '') AS host, {_WORDS} AS w FROM documents),
-ln AS (SELECT doc_id, host, digest, unnest(string_split(text, chr(10))) AS line FROM d),
+LINE_RULES = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(concat('=', source), '') AS host, {_WORDS} AS w FROM documents),
+ln AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM lw GROUP BY 1),
-sizes AS (SELECT host, count(DISTINCT digest) AS host_docs FROM d GROUP BY 1),
-common AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT digest) AS n FROM lw GROUP BY 1, 2) JOIN sizes USING (host) WHERE n >= 20 AND n > 0.05 * host_docs),
+sizes AS (SELECT host, count(*) AS host_docs FROM d GROUP BY 1),
+common AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM lw GROUP BY 1, 2) JOIN sizes USING (host) WHERE n >= 20 AND n > 0.05 * host_docs),
 gone AS (SELECT doc_id, sum(n) AS removed FROM lw JOIN common USING (host, norm) GROUP BY 1),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),

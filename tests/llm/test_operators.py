@@ -560,6 +560,34 @@ def test_common_lines_deplete(spark):
     assert all(found[i] == ((100, False) if i < 30 else (0, True)) for i in range(105))
 
 
+def test_line_counts_match_brute_force(spark, odd):
+    random.seed(6)
+    common = [" ".join(f"c{k}x{j}" for j in range(random.randint(5, 30))) for k in range(8)]
+    rows = []
+    for i in range(150):
+        lines = [" ".join(f"o{i}y{j}" for j in range(random.randint(10, 60)))] + random.sample(common, random.choice([0, 1, 2]))
+        lines += lines[-1:] * random.choice([0, 1])
+        random.shuffle(lines)
+        rows += [(len(rows) + k, "\n".join(x.upper() if random.random() < 0.2 else f" {x}\t" for x in lines), random.choice(["a", "a", None])) for k in range(random.choice([1, 1, 3]))]
+    rows += [(500 + k, rows[0][1], rows[0][2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for distinct in (False, True):
+        having, hosts = {}, Counter()
+        texts = {(t, h) for _, t, h in rows}
+        every = [(t, h, (t, h)) for t, h in texts] if distinct else [(t, h, d) for d, t, h in rows]
+        normal = lambda x: " ".join(x.lower().split())
+        for t, h, name in every:
+            hosts[h] += 1
+            for x in {normal(x) for x in t.split("\n")}:
+                having.setdefault((h, x), set()).add(name)
+        gone = {k for k, v in having.items() if len(v) >= 20 and len(v) > 0.05 * hosts[k[0]]}
+        expected = [(d, sum(len(x.split()) for x in t.split("\n") if (h, normal(x)) in gone)) for d, t, h in rows]
+        found = line_rules.apply_rules(docs, distinct_texts=distinct).collect()
+        assert sorted((r.doc_id, r.removed_words) for r in found) == sorted(expected)
+        assert all(r.kept == (not r.base_failed and r.removed_words <= 0.5 * r.n_words) for r in found)
+    assert line_rules.apply_rules(odd.limit(0)).collect() == []
+
+
 # 8. similarity join
 
 

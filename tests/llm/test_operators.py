@@ -634,6 +634,11 @@ def test_join_matches_brute_force(spark, odd, width, percent, leaders):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=repr) == brute_components(pairs(docs), width, percent)
 
 
+def test_tokens_of_nothing(spark, odd):
+    for operator in (bpe.round_trip_digests, token_counts.count_by_section):
+        assert operator(odd.limit(0), queries.byte_bpe_path()).collect() == []
+
+
 def test_join_of_nothing(spark, odd):
     assert jaccard_join.near_duplicates(odd.limit(0)).collect() == []
 
@@ -688,6 +693,78 @@ def test_section_counts_add_up(spark, odd, library):
     assert counts == {d: [len(library.encode(t, add_special_tokens=False).ids), len(t)] for d, t in texts.items()}
 
 
+def brute_sections(library, text, ranges, rule):
+    """Tokens by section, token by token and character by character."""
+    ids = library.encode(text, add_special_tokens=False).ids
+    place = [None] * len(text)
+    for start, section, end in sorted(ranges, reverse=True):
+        place[start:end] = [section] * len(place[start:end])
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+    counts, crossing, at = Counter(), Counter(), 0
+    for i in ids:
+        size = token_bytes(library, i)
+        chars = sorted(set(owner[at : at + size]))
+        at += size
+        inside = Counter(place[c] for c in chars)
+        first = list(dict.fromkeys(place[c] for c in chars))
+        if rule == "split":
+            for k, n in inside.items():
+                counts[k] += n / len(chars)
+        else:
+            counts[first[0] if rule == "first" else max(first, key=lambda k: inside[k])] += 1
+        if len(first) > 1:
+            crossing.update(first)
+    return counts, crossing, Counter(place)
+
+
+def token_bytes(library, i):
+    return len(library.id_to_token(i)) if not library.id_to_token(i).startswith("<|") else len(library.id_to_token(i).encode())
+
+
+@pytest.mark.parametrize("rule", ["largest", "first", "split"])
+def test_given_sections_match_brute_force(spark, library, rule):
+    random.seed(12)
+    texts = ["The quick brown fox jumps over the lazy dog.\nAnd more words follow here, of course.", "Ünï cödé 日本語 text 🎉🎉 with emoji", "internationalisation " * 8, "ab"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (7, None), (8, ""), (None, "no id"), (9, "no sections")]
+    table, ranges = [], {}
+    for i, t in enumerate(texts):
+        cuts = sorted(random.sample(range(len(t) + 1), min(6, len(t))))
+        ranges[i] = [(a, k, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if k != 2]
+        table += [(i, k, a, b) for a, k, b in ranges[i]]
+    table += [(7, 4, 0, 3), (8, 5, 0, 1), (None, 1, 0, 2), (0, None, 0, 4), (0, 9, 5, 5), (0, 77, 5000, 6000)]
+    sections = spark.createDataFrame(table, "doc_id long, section long, start long, end long")
+    found = token_counts.count_by_section(spark.createDataFrame(docs, "doc_id long, text string"), queries.byte_bpe_path(), rule, sections).collect()
+    got = Counter()
+    for r in found:
+        got[(r.doc_id, r.section, "n")] += 1
+        for key in ("n_chars", "n_tokens", "n_crossing"):
+            got[(r.doc_id, r.section, key)] += r[key]
+    expected = Counter()
+    for d, t in docs:
+        if t:
+            counts, crossing, chars = brute_sections(library, t, ranges.get(d, []), rule)
+            for k in chars:
+                expected[(d, k, "n_chars")] += chars[k]
+                expected[(d, k, "n_tokens")] += counts[k]
+                expected[(d, k, "n_crossing")] += crossing[k]
+    names = {k for k in (*got, *expected) if k[2] != "n"}
+    assert {k for k in names if abs(got[k] - expected[k]) > 1e-9 and k[2] != "n_crossing"} == set()
+    assert got[(0, 77, "n")] == got[(7, 4, "n")] == got[(8, 5, "n")] == 1
+    assert {k for k in names if k[2] == "n_crossing" and got[k] != expected[k]} == set()
+
+
+def test_lines_match_brute_force(spark, library):
+    random.seed(13)
+    docs = [(i, "".join(random.choice(["word ", "\n", "\n\n  ", "日本", "x", " of", "."]) for _ in range(40))) for i in range(30)]
+    found = {(r.doc_id, r.section): (r.n_chars, r.n_tokens, r.n_crossing) for r in token_counts.count_by_section(spark.createDataFrame(docs, "doc_id long, text string"), queries.byte_bpe_path()).collect()}
+    expected = {}
+    for d, t in docs:
+        cuts = [0, *(i + 1 for i, c in enumerate(t) if c == "\n" and i + 1 < len(t)), len(t)]
+        counts, crossing, chars = brute_sections(library, t, [(a, k, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "largest")
+        expected |= {(d, k): (chars[k], counts[k], crossing[k]) for k in chars}
+    assert found == expected
+
+
 def test_attribution_rules():
     import numpy as np
 

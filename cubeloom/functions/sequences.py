@@ -48,12 +48,13 @@ def expected_errors(numbers: Column) -> Column:
 
 
 def mean_quality(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda total, q: total + q) / F.size(numbers)
+    """Null for an empty read."""
+    return F.try_divide(F.aggregate(numbers, F.lit(0).cast("long"), lambda total, q: total + q), F.size(numbers))
 
 
 def low_share(numbers: Column, least: int) -> Column:
-    """The share of qualities below *least*."""
-    return F.size(F.filter(numbers, lambda q: q < least)) / F.size(numbers)
+    """The share of qualities below *least*; null for an empty read."""
+    return F.try_divide(F.size(F.filter(numbers, lambda q: q < least)), F.size(numbers))
 
 
 def mask_low(sequence: Column, numbers: Column, least: int) -> Column:

@@ -28,7 +28,9 @@ def _visible(lineage: DataFrame, names: DataFrame | None, hidden: list[str]) ->
     return named.filter(~hit).select("acc", "rank_idx", "taxid")
 
 
-def votes(neighbours: DataFrame, lineage: DataFrame, nodes: DataFrame, names: DataFrame | None = None, hide_lower: list[str] = (), hide_upper: list[str] = ()) -> DataFrame:
+def votes(
+    neighbours: DataFrame, lineage: DataFrame, nodes: DataFrame, names: DataFrame | None = None, hide_lower: list[str] = (), hide_upper: list[str] = (), tree: DataFrame | None = None
+) -> DataFrame:
     """``query, rank_idx, taxid, votes, opposers, unidentified, n``: the most voted taxon of every rank.
 
     At a rank a neighbour votes with its taxon there, else with its first one
@@ -36,9 +38,9 @@ def votes(neighbours: DataFrame, lineage: DataFrame, nodes: DataFrame, names: Da
     taxon at a shallower rank isn't the winner's nearest ancestor that isn't
     deeper than that rank (an unranked ancestor on the way ends the comparison).
     Ranks at which no neighbour has a taxon can't differ from the next deeper
-    one and are left out.  Ties go to the smaller taxid.
+    one and are left out.  Ties go to the smaller taxid.  *tree* is the closure of *nodes*, if at hand.
     """
-    pairs = neighbours.select("query", "acc").distinct()
+    pairs = written(neighbours.select("query", "acc").distinct(), "neighbours")
     sizes = pairs.groupBy("query").agg(F.count("*").alias("n"))
     lower = pairs.join(_visible(lineage, names, list(hide_lower)), "acc").select("query", "acc", "rank_idx", "taxid")
     upper = pairs.join(_visible(lineage, names, list(hide_upper)), "acc").select("query", "acc", F.col("rank_idx").alias("at"), F.col("taxid").alias("value"))
@@ -66,7 +68,8 @@ def votes(neighbours: DataFrame, lineage: DataFrame, nodes: DataFrame, names: Da
         .select("query", "rank_idx", "acc", "winner", F.col("up.at").alias("at"), F.col("up.value").alias("value"))
     )
     ranked = nodes.select(F.col("taxid").alias("ancestor"), rank_index(F.col("rank")).alias("ancestor_rank"))
-    above = closure(nodes, winners.select("taxid").distinct()).join(ranked, "ancestor")
+    tree = closure(nodes, winners.select("taxid").distinct()) if tree is None else tree.join(winners.select("taxid").distinct(), "taxid", "left_semi")
+    above = tree.join(ranked, "ancestor")
     nearest = above.filter("ancestor_rank > 0").groupBy("taxid").agg(F.min("depth").alias("from_depth"))
     above = above.join(nearest, "taxid").filter("depth >= from_depth").select(F.col("taxid").alias("winner"), "ancestor", "ancestor_rank", "depth")
     compared = (
@@ -91,7 +94,7 @@ def support(voted: DataFrame, names: DataFrame) -> DataFrame:
     return voted.join(names, "taxid").select("query", "rank_idx", text.alias("support"))
 
 
-def consensus(voted: DataFrame, nodes: DataFrame, max_opposer_share: float = 0.0, max_unidentified_share: float = 0.0, min_supporters: int = 2, min_ratio: float = 10.0) -> DataFrame:
+def consensus(voted: DataFrame, nodes: DataFrame, max_opposer_share: float = 0.0, max_unidentified_share: float = 0.0, min_supporters: int = 2, min_ratio: float = 10.0, tree: DataFrame | None = None) -> DataFrame:
     """``query, rank_idx, taxid``: the deepest acceptable winner of each query and its ranked ancestors."""
     ok = (
         (F.col("opposers") / F.col("n") <= max_opposer_share)
@@ -102,7 +105,8 @@ def consensus(voted: DataFrame, nodes: DataFrame, max_opposer_share: float = 0.0
     best = voted.filter(ok).groupBy("query").agg(F.max(F.struct("rank_idx", "taxid")).alias("best")).select("query", "best.rank_idx", "best.taxid")
     best = written(best, "consensus")
     ranked = nodes.select(F.col("taxid").alias("ancestor"), rank_index(F.col("rank")).alias("rank_idx")).filter("rank_idx > 0")
-    above = best.drop("rank_idx").join(closure(nodes, best.select("taxid").distinct()), "taxid").join(ranked, "ancestor")
+    tree = closure(nodes, best.select("taxid").distinct()) if tree is None else tree
+    above = best.drop("rank_idx").join(tree, "taxid").join(ranked, "ancestor")
     filled = above.select("query", "rank_idx", F.col("ancestor").alias("taxid"))
     # An ancestor of the winner's own rank takes its place, as the fill comes last.
     return best.join(filled.select("query", "rank_idx"), ["query", "rank_idx"], "left_anti").select("query", "rank_idx", "taxid").unionByName(filled)
@@ -134,7 +138,7 @@ def priorities(rule: str, n: int) -> list[int]:
     return [level - min(levels) for _, level in sorted(zip(tables, levels))]
 
 
-def merge_assignments(tables: list[DataFrame], rule: str = "equal", prefer_lower: bool = False) -> DataFrame:
+def merge_assignments(tables: list[DataFrame], rule: str = "equal", prefer_lower: bool = False, queries: list[DataFrame] | None = None) -> DataFrame:
     """``query, rank_idx, taxon, source`` of assignments (``query, rank_idx, taxon``) merged by priority.
 
     Tables are taken from the highest priority on, each from shallow to deep
@@ -142,7 +146,7 @@ def merge_assignments(tables: list[DataFrame], rule: str = "equal", prefer_lower
     result's ends the table's turn, and if both have the same priority also cuts
     the result there.  With *prefer_lower* a table that reaches deeper than the
     result replaces it.  A query's cells, ranks times tables at most, are folded
-    as one array.
+    as one array.  With *queries* (``query``, a list for each table) a query that not all of them have is an error.
     """
     level = priorities(rule, len(tables))
     order = sorted(range(len(tables)), key=lambda i: (-level[i], i))
@@ -152,9 +156,34 @@ def merge_assignments(tables: list[DataFrame], rule: str = "equal", prefer_lower
         cells = part if cells is None else cells.unionByName(part)
     per_query = cells.groupBy("query").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     folded = per_query.select("query", F.expr(_merge_fold(prefer_lower)).alias("result"))
+    if queries is not None:
+        folded = _in_all(queries).join(folded, "query", "left")
     return folded.select("query", F.explode("result").alias("x")).select("query", F.col("x.rank").alias("rank_idx"), "x.taxon", "x.source")
 
 
+def _in_all(queries: list[DataFrame]) -> DataFrame:
+    """``query`` of lists that must be the same; one that a list lacks is an error at run time."""
+    every = None
+    for i, listed in enumerate(queries):
+        part = listed.select("query", F.lit(i).alias("list"))
+        every = part if every is None else every.unionByName(part)
+    counted = every.groupBy("query").agg(F.count_distinct("list").alias("lists"))
+    lacks = F.raise_error(F.concat(F.lit("not in all tables: "), "query"))
+    return counted.select(F.when(F.col("lists") < len(queries), lacks).otherwise(F.col("query")).alias("query"))
+
+
+def shown_sources(merged: DataFrame, names: list[str]) -> DataFrame:
+    """A merged assignment with each taxon as ``taxon (table)``."""
+    table = F.get(F.array(*map(F.lit, names)), F.col("source"))
+    return merged.select("query", "rank_idx", F.concat("taxon", F.lit(" ("), table, F.lit(")")).alias("taxon"))
+
+
+def lowest_sources(merged: DataFrame, names: list[str]) -> DataFrame:
+    """``query, source``: the table that gave each query's deepest taxon."""
+    deepest = merged.groupBy("query").agg(F.max(F.struct("rank_idx", "source")).alias("x"))
+    return deepest.select("query", F.get(F.array(*map(F.lit, names)), F.col("x.source")).alias("source"))
+
+
 def _merge_fold(prefer_lower: bool) -> str:
     """The fold of ordered cells; the state is the result so far, the turn that has ended, and the turn begun."""
     row = "struct<turn:int,rank:int,taxon:string,level:int,source:int>"

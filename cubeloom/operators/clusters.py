@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions.alignment import Scores, align, same
-from cubeloom.session import written
+from cubeloom.session import with_places, written
 
 
 def kmers(sequence: Column, k: int) -> Column:
@@ -94,9 +94,9 @@ def greedy_centroids(sequences: DataFrame, links: DataFrame) -> DataFrame:
 def numbered_clusters(clusters: DataFrame, prefix: str = "otu") -> DataFrame:
     """``centroid, cluster, size``: clusters named by their place by size, then name."""
     sizes = clusters.groupBy("centroid").agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "centroid"))
-    width = F.length(F.count("*").over(Window.partitionBy()).cast("string"))
-    return sizes.select("centroid", F.concat(F.lit(prefix + "_"), F.lpad(place.cast("string"), width, F.lit("0"))).alias("cluster"), "size")
+    placed = with_places(sizes, [F.desc("size"), F.col("centroid")])
+    width = len(str(placed.count()))
+    return placed.select("centroid", F.concat(F.lit(prefix + "_"), F.lpad(F.col("place").cast("string"), width, "0")).alias("cluster"), "size")
 
 
 def containment_clusters(sequences: DataFrame, k: int = 12) -> DataFrame:

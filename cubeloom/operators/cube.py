@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions.names import checked_sample, sample_of_read, sample_part, with_run
+from cubeloom.session import with_places
 
 KEYS = ["samplename", "otuname"]
 
@@ -62,23 +63,20 @@ def top_items(cube: DataFrame, n: int, others: str = "others") -> DataFrame:
 
 
 def ordered_items(cube: DataFrame, sort_taxon: DataFrame | None = None) -> DataFrame:
-    """``otuname, total, place``: items by total, or by ``query, taxon`` of a rank first.
-
-    The table of item totals is ordered in one task; it is as long as the item dimension.
-    """
+    """``otuname, total, place``: items by total, or by ``query, taxon`` of a rank first."""
     totals = item_totals(cube)
     order: list[Column] = [F.desc("total"), F.col("otuname")]
     if sort_taxon is not None:
         totals = totals.join(sort_taxon.select(F.col("query").alias("otuname"), "taxon"), "otuname", "left").withColumn("taxon", F.coalesce(F.nullif("taxon", F.lit("")), "otuname"))
         order.insert(0, F.col("taxon"))
-    return totals.select("otuname", "total", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return with_places(totals, order).select("otuname", "total", "place")
 
 
 def numbered_items(cube: DataFrame, sort_taxon: DataFrame | None = None) -> DataFrame:
     """The cube with items named ``NN:name`` by their place, padded to the longest number."""
     places = ordered_items(cube, sort_taxon)
-    width = F.length(F.max("place").over(Window.partitionBy()).cast("string"))
-    names = places.select("otuname", F.concat_ws(":", F.lpad(F.col("place").cast("string"), width, F.lit("0")), "otuname").alias("numbered"))
+    width = len(str(places.agg(F.max("place")).first()[0]))
+    names = places.select("otuname", F.concat_ws(":", F.lpad(F.col("place").cast("string"), width, "0"), "otuname").alias("numbered"))
     return cube.join(names, "otuname").select("samplename", F.col("numbered").alias("otuname"), "nreads")
 
 
@@ -115,6 +113,6 @@ def from_matrix(matrix: DataFrame) -> DataFrame:
 
 
 def dense(cube: DataFrame) -> DataFrame:
-    """All cells of a cube, absent ones as 0, by way of its matrix."""
-    matrix = to_matrix(cube)
-    return matrix.unpivot("samplename", [f"`{c}`" for c in matrix.columns if c != "samplename"], "otuname", "nreads")
+    """All cells of a cube, absent ones as 0: the product of its two key lists is the result itself."""
+    every = cube.select("samplename").distinct().join(cube.select("otuname").distinct())
+    return every.join(cube, KEYS, "left").select(*KEYS, F.coalesce("nreads", F.lit(0).cast("long")).alias("nreads"))

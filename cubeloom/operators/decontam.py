@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.functions.distributions import binomial_pmf, binomial_upper, t_quantile
+from cubeloom.functions.distributions import binomial_upper, t_quantile
 from cubeloom.functions.names import sample_part
 
 
@@ -17,7 +20,7 @@ def links_to_all(cube: DataFrame, blanks: DataFrame) -> DataFrame:
     """All samples that aren't blanks, with all *blanks* (``samplename``), a list of blanks being part of the design."""
     listed = blanks.select(F.col("samplename").alias("blank")).distinct()
     samples = cube.select("samplename").distinct().join(listed.withColumnRenamed("blank", "samplename"), "samplename", "left_anti")
-    return samples.join(F.broadcast(listed.agg(F.collect_list("blank").alias("blanks")))).select("samplename", F.explode("blanks").alias("blank"))
+    return samples.join(listed)  # every sample with every blank of the design is the result itself
 
 
 def number_of_tests(cells: DataFrame, unit: str = "otu") -> DataFrame:
@@ -25,7 +28,7 @@ def number_of_tests(cells: DataFrame, unit: str = "otu") -> DataFrame:
     per_item = cells.groupBy("otuname").agg(F.count("*").alias("tests"))
     if unit == "otu":
         return per_item
-    return per_item.select("otuname").join(F.broadcast(per_item.agg(F.sum("tests").alias("tests"))))
+    return per_item.select("otuname", F.lit(per_item.agg(F.sum("tests")).first()[0]).alias("tests"))
 
 
 def _levels(cells: DataFrame, level: float, adjust: str, unit: str) -> DataFrame:
@@ -132,14 +135,19 @@ def jump_rates(cube: DataFrame, edges: DataFrame, forward_rate: float, reverse_r
     return both.select(F.col("src").alias("samplename"), "jump", F.coalesce(base * F.col("own") / total * F.col("others") / total, F.lit(0.0)).alias("rate"))
 
 
-def jump_chance(x: int, reverse: int, forward: int, reverse_rate: float, forward_rate: float, alpha: float) -> float:
-    """The chance of more than *x* reads by jumps both ways; stops once it is *alpha* or less."""
-    left = 1.0
-    for i in range(int(x) + 1):
-        left -= sum(binomial_pmf(j, int(reverse) + j, reverse_rate) * binomial_pmf(i - j, int(forward) + i - j, forward_rate) for j in range(i + 1))
-        if left <= alpha:
-            break
-    return left
+def jump_chance(x: int, reverse: int, forward: int, reverse_rate: float, forward_rate: float) -> float:
+    """The chance of more than *x* reads by jumps both ways: one less the sum over the reads of one way of the chance of so few of the other."""
+    one_way, other = _jump_chances(int(x), int(reverse), reverse_rate), _jump_chances(int(x), int(forward), forward_rate)
+    return 1.0 - float(one_way @ np.cumsum(other)[::-1])
+
+
+def _jump_chances(most: int, reads: int, rate: float) -> np.ndarray:
+    """The chance of 0 to *most* jumps at *rate* beside so many reads that stayed: each follows from the one before."""
+    if rate <= 0:
+        return np.eye(1, most + 1).ravel()
+    k = np.arange(1, most + 1)
+    steps = np.log((reads + k) / k) + math.log(rate)
+    return np.exp(reads * math.log1p(-rate) + np.concatenate([[0.0], np.cumsum(steps)]))
 
 
 def jump_test(cube: DataFrame, edges: DataFrame, rates: DataFrame, level: float = 0.05, adjust: str = "bonferroni", unit: str = "otu") -> DataFrame:
@@ -152,11 +160,13 @@ def jump_test(cube: DataFrame, edges: DataFrame, rates: DataFrame, level: float
         cells = cells.join(part, ["samplename", "otuname"], "left").join(rate, "samplename", "left").na.fill(0, [f"{jump}_reads"]).na.fill(0.0, [f"{jump}_rate"])
     cells = _levels(cells, level, adjust, unit)
 
-    @F.pandas_udf("boolean")
-    def kept(x: pd.Series, r: pd.Series, f: pd.Series, pr: pd.Series, pf: pd.Series, alpha: pd.Series) -> pd.Series:
-        return pd.Series([jump_chance(*v) <= v[-1] for v in zip(x, r, f, pr, pf, alpha)], dtype=bool)
+    @F.pandas_udf("double")
+    def chance(x: pd.Series, r: pd.Series, f: pd.Series, pr: pd.Series, pf: pd.Series) -> pd.Series:
+        return pd.Series([jump_chance(*v) for v in zip(x, r, f, pr, pf)], dtype=float)
 
-    return cells.select("samplename", "otuname", "nreads", kept("nreads", "reversejump_reads", "forwardjump_reads", "reversejump_rate", "forwardjump_rate", "alpha").alias("kept"))
+    numbers = ["nreads", "reversejump_reads", "forwardjump_reads", "reversejump_rate", "forwardjump_rate"]
+    chances = cells.select(*numbers).distinct().withColumn("p", chance(*numbers))
+    return cells.join(chances, numbers).select("samplename", "otuname", "nreads", (F.col("p") <= F.col("alpha")).alias("kept"))
 
 
 def cleaned(cube: DataFrame, judged: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def tag_table(forward: DataFrame, reverse: DataFrame | None = None) -> DataFrame
 def jumped_tags(tags: DataFrame) -> DataFrame:
     """``tag``: combinations of the lists' halves that are no tag of their own."""
     halves = tags.select(F.split_part("tag", F.lit("+"), F.lit(1)).alias("a"), F.split_part("tag", F.lit("+"), F.lit(2)).alias("b"))
-    firsts = halves.agg(F.collect_set("a").alias("firsts"))  # a tag list is as long as a run has samples
-    crossed = halves.select("b").distinct().join(F.broadcast(firsts)).select(F.explode("firsts").alias("a"), "b").select(F.concat_ws("+", "a", "b").alias("tag"))
+    # All combinations of a run's halves are asked for.
+    crossed = halves.select("a").distinct().join(halves.select("b").distinct()).select(F.concat_ws("+", "a", "b").alias("tag"))
     return crossed.join(tags.select("tag"), "tag", "left_anti")
 
 
@@ -132,8 +132,7 @@ def associate_files(files: DataFrame, tags: DataFrame) -> DataFrame:
 
     Tag lists and file lists are those of one run.
     """
-    lists = tags.agg(F.collect_set("tagname").alias("names"))
-    pairs = files.join(F.broadcast(lists)).select("file", F.explode("names").alias("tagname")).filter(F.contains("file", F.col("tagname")))
+    pairs = files.select("file").join(tags.select("tagname").distinct(), F.contains("file", F.col("tagname")))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.length("tagname").desc(), F.desc("tagname")))).filter("r = 1")
     return best.withColumn("f", F.row_number().over(Window.partitionBy("tagname").orderBy("file"))).filter("f = 1").select("file", "tagname")
 

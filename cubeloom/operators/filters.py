@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions.names import any_word
 from cubeloom.schemas import RANK_INDEX
-from cubeloom.session import written
+from cubeloom.session import with_places, written
 
 
 def by_list(cube: DataFrame, names: DataFrame, column: str, keep: bool = True) -> DataFrame:
@@ -124,3 +124,44 @@ def representatives(cube: DataFrame, assignment: DataFrame, top_n: int | None =
 def members_in(members: DataFrame, cube: DataFrame) -> DataFrame:
     """Members (``otuname, samplename, …``) of the cells that a filtered cube still has."""
     return members.join(cube.select("samplename", "otuname"), ["samplename", "otuname"], "left_semi")
+
+
+def with_sequences(members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Members (``otuname, ...``) with the sequence (``name, seq``) of their item; an item without members or without a sequence is an error."""
+    listed = members.withColumn("__member", F.lit(True)).join(sequences.select(F.col("name").alias("otuname"), "seq"), "otuname", "full")
+    gone = F.when(F.col("__member").isNull(), F.concat(F.lit("no member of "), "otuname")).when(F.col("seq").isNull(), F.concat(F.lit("no sequence of "), "otuname"))
+    checked = F.when(gone.isNotNull(), F.raise_error(gone)).otherwise(F.col("seq"))
+    return listed.select(*members.columns, checked.alias("seq"))
+
+
+def accession_forms(name: Column) -> Column:
+    """The forms in which a list may name a sequence: its whole name, its first token, the accession in ``db|ACC``."""
+    token = F.regexp_extract(name, r"^\s*(\S+)", 1)
+    return F.array_distinct(F.array(name, token, F.regexp_extract(token, r"([A-Za-z0-9_]+)\|?$", 1)))
+
+
+def without_listed(sequences: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Sequences (``name``) that *negatives* (its first column) has in none of their :func:`accession_forms`."""
+    listed = negatives.select(F.col(negatives.columns[0]).alias("form")).distinct()
+    hit = sequences.select("name", F.explode(accession_forms(F.col("name"))).alias("form")).join(listed, "form", "left_semi").select("name").distinct()
+    return sequences.join(hit, "name", "left_anti")
+
+
+def around_ignored(rows: DataFrame, ignored: DataFrame, work, column: str = "name") -> DataFrame:
+    """What *work* makes of the rows that *ignored* (its first column) doesn't list, and the listed ones as they are.
+
+    *work* returns the same columns.
+    """
+    listed = ignored.select(F.col(ignored.columns[0]).alias(column)).distinct()
+    done = work(rows.join(listed, column, "left_anti"))
+    return done.select(*rows.columns).unionByName(rows.join(listed, column, "left_semi").select(*rows.columns))
+
+
+def unnamed_numbered(shards: list[DataFrame], prefix: str = "temp_") -> DataFrame:
+    """``shard, name, number``: the names of several tables (``name``) in one, each with a name of its own by table and order."""
+    every = None
+    for i, shard in enumerate(shards):
+        part = shard.select(F.lit(i).alias("shard"), "name")
+        every = part if every is None else every.unionByName(part)
+    placed = with_places(every, [F.col("shard"), F.col("name")])
+    return placed.select("shard", "name", F.concat(F.lit(prefix), (F.col("place") - 1).cast("string")).alias("number"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions.names import any_word
 from cubeloom.schemas import RANK_INDEX, RANK_SYNONYMS
-from cubeloom.session import written
+from cubeloom.session import with_places, written
 
 
 def rank_index(rank: Column) -> Column:
@@ -66,10 +66,10 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         levels.append(step)
 
 
-def lineages(accessions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``acc, rank_idx, taxid``: the ranked nodes at and above each accession's node (``acc, taxid``)."""
+def lineages(accessions: DataFrame, nodes: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """``acc, rank_idx, taxid``: the ranked nodes at and above each accession's node (``acc, taxid``); *tree* is the closure, if at hand."""
     ranks = nodes.select(F.col("taxid").alias("ancestor"), rank_index(F.col("rank")).alias("rank_idx"))
-    above = closure(nodes, accessions.select("taxid")).select("taxid", "ancestor")
+    above = (closure(nodes, accessions.select("taxid")) if tree is None else tree).select("taxid", "ancestor")
     own = accessions.select("taxid", F.col("taxid").alias("ancestor")).distinct()
     pairs = accessions.select("acc", "taxid").distinct().join(above.unionByName(own), "taxid")
     return pairs.join(ranks, "ancestor").filter("rank_idx > 0").select("acc", "rank_idx", F.col("ancestor").alias("taxid"))
@@ -155,7 +155,7 @@ def nodes_from_lineages(lines: DataFrame, ranks: list[str] | None = None, separa
     upto = Window.partitionBy("lineage").orderBy("place")
     entries = entries.withColumn("step", F.concat_ws(":", "rank", "name")).withColumn("path", F.array_join(F.collect_list("step").over(upto), ";")).withColumn("above", F.lag("path").over(upto))
     kinds = entries.select("path", "above", "rank", "name").distinct()
-    numbered = written(kinds.withColumn("taxid", 1 + F.row_number().over(Window.orderBy("path")).cast("long")), "lineage-nodes")
+    numbered = written(with_places(kinds, [F.col("path")]).withColumn("taxid", 1 + F.col("place")).drop("place"), "lineage-nodes")
     parents = numbered.select(F.col("path").alias("above"), F.col("taxid").alias("parent"))
     return numbered.join(parents, "above", "left").select("taxid", F.coalesce("parent", F.lit(1).cast("long")).alias("parent"), "rank", "name", "path")
 

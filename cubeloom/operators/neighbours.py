@@ -6,9 +6,15 @@ are applied by :func:`gated` before.  Ties are kept wherever a score decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubeloom.session import written
+
 
 def gated(hits: DataFrame, min_length: int = 50, min_coverage: float = 0.5, min_identity: float | None = None) -> DataFrame:
     """Hits that are long enough, cover enough of the query and (if asked for) are identical enough."""
@@ -22,7 +28,7 @@ def best_per_accession(hits: DataFrame) -> DataFrame:
 
 def k_nearest(hits: DataFrame, k: int) -> DataFrame:
     """The best *k* distinct accessions of each query, and all that tie with the last of them."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"))  # Spark keeps the best k of a query in each task before it shuffles
     return best_per_accession(hits).withColumn("place", F.rank().over(order)).filter(F.col("place") <= k).drop("place")
 
 
@@ -65,8 +71,8 @@ def query_centric(hits: DataFrame, reference_hits: DataFrame, min_neighbours: in
     it count, the best of their scores with the query is the limit, and they are
     neighbours themselves.  With fewer than *min_neighbours* the best hits are taken, ties kept.
     """
-    own = best_per_accession(hits)
-    nn = nearest(hits).select("query", F.col("acc").alias("nn"), F.col("score").alias("nn_score"))
+    own = written(best_per_accession(hits), "own-hits")
+    nn = nearest(own).select("query", F.col("acc").alias("nn"), F.col("score").alias("nn_score"))
     near = best_per_accession(reference_hits).select(F.col("query").alias("nn"), F.col("acc").alias("other"), F.col("score").alias("nn_other"))
     around = nn.join(near, "nn").filter("nn_other < nn_score")
     border = around.join(around.groupBy("query", "nn").agg(F.max("nn_other").alias("nn_border")), ["query", "nn"]).filter("nn_other = nn_border")
@@ -78,15 +84,47 @@ def query_centric(hits: DataFrame, reference_hits: DataFrame, min_neighbours: in
     return inside.join(enough, "query", "left_semi").unionByName(fallback).distinct()
 
 
-def vector_hits(queries: DataFrame, vectors: DataFrame, scale: int = 1_000_000) -> DataFrame:
+def vector_hits(queries: DataFrame, vectors: DataFrame, scale: int = 1_000_000, best: int | None = None, block: int = 2048) -> DataFrame:
     """``query, acc, score`` of stated queries (``query, vector``) against all ``acc, vector``: scaled dot products.
 
-    The queries are a stated set, shipped to the vectors as one array column of a broadcast row.
+    Queries are shipped to the vectors in blocks of about *block*, written first; a block makes
+    one pass over the vectors, a product of two matrices per Arrow batch.  With *best* a batch
+    gives only the hits of each query's *best* highest distinct scores in it, among which the
+    highest of all are.
     """
-    probe = queries.agg(F.collect_list(F.struct("query", F.col("vector").alias("qv"))).alias("probes"))
-    rows = vectors.join(F.broadcast(probe)).select("acc", "vector", F.explode("probes").alias("p"))
-    dot = F.aggregate(F.zip_with("vector", "p.qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return rows.select(F.col("p.query").alias("query"), "acc", F.round(dot * scale).cast("long").alias("score"))
+    spark = queries.sparkSession
+    asked = written(queries.select(F.col("query").cast("long"), "vector"), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for k in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).toArrow()
+        shipped = spark.sparkContext.broadcast((rows.column("query").to_numpy(), _matrix(rows.column("vector"))))
+        hits = vectors.select(F.col("acc").cast("long"), "vector").mapInArrow(_hits_of(shipped, scale, best), "query long, acc long, score long")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _hits_of(shipped, scale: int, best: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, probes = shipped.value
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            accs, scores = batch.column(0).to_numpy(), np.round(probes @ _matrix(batch.column(1)).T * scale, 9)
+            scores = (np.sign(scores) * np.floor(np.abs(scores) + 0.5)).astype(np.int64)
+            if best is None:
+                at, to = np.divmod(np.arange(scores.size), scores.shape[1])
+            else:
+                least = np.array([row[max(0, len(row) - best)] for row in map(np.unique, scores)])
+                at, to = np.nonzero(scores >= least[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(accs[to]), pa.array(scores[at, to])], names=["query", "acc", "score"])
+
+    return run
 
 
 def cached_first(queries: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions.names import sample_part
+from cubeloom.session import written
 
 
 def spike_in_fit(cube: DataFrame, spike_ins: DataFrame, min_r2: float = 0.49) -> DataFrame:
@@ -24,8 +25,7 @@ def spike_in_fit(cube: DataFrame, spike_ins: DataFrame, min_r2: float = 0.49) ->
     own = samples.join(given.filter("of is not null").withColumnRenamed("of", "samplename"), "samplename").select("samplename", "stdname", "conc", F.lit(1).alias("level"))
     tagged = samples.join(given.filter("of is not null").withColumnRenamed("of", "tag"), "tag").select("samplename", "stdname", "conc", F.lit(2).alias("level"))
     flat = given.filter("of is null").select("stdname", "conc")
-    general = cube.select("samplename").distinct().join(F.broadcast(flat.agg(F.collect_list(F.struct("stdname", "conc")).alias("flat")))).select("samplename", F.explode("flat").alias("x"))
-    general = general.select("samplename", "x.stdname", "x.conc", F.lit(3).alias("level"))
+    general = cube.select("samplename").distinct().join(flat).withColumn("level", F.lit(3))  # every sample has every spike-in of the design
     best = own.unionByName(tagged).unionByName(general).groupBy("samplename", "stdname").agg(F.min_by("conc", "level").alias("conc"))
     points = best.join(cube.withColumnRenamed("otuname", "stdname"), ["samplename", "stdname"], "left").withColumn("y", F.coalesce("nreads", F.lit(0)).cast("double"))
     sums = points.groupBy("samplename").agg(
@@ -124,6 +124,26 @@ def rarefy(cube: DataFrame, depths: DataFrame, replicates: int = 10, seed: int =
     return kept.groupBy("replicate", "samplename", "otuname").agg(F.count("*").alias("nreads"))
 
 
+def rarefied(cube: DataFrame, replicates: int = 10, seed: int = 0, **gate) -> dict[str, DataFrame]:
+    """Coverage-based rarefaction as a whole: the draws, and coverage and reads of every sample before and after.
+
+    ``drawn`` (``replicate, samplename, otuname, nreads``), ``input_coverage``, ``input_reads`` (all samples),
+    ``output_coverage``, ``output_reads`` (by replicate).
+    """
+    before = coverage(cube)
+    drawn = written(rarefy(cube, rarefaction_depths(cube, **gate), replicates, seed), "drawn")
+    keyed = drawn.withColumn("samplename", F.concat_ws("\x1f", F.col("replicate").cast("string"), "samplename"))
+    part = lambda i: F.split_part("samplename", F.lit("\x1f"), F.lit(i))
+    after = coverage(keyed).select(part(1).cast("int").alias("replicate"), part(2).alias("samplename"), "nseq", "coverage")
+    return {
+        "drawn": drawn,
+        "input_coverage": before.select("samplename", "coverage"),
+        "input_reads": before.select("samplename", "nseq"),
+        "output_coverage": after.select("replicate", "samplename", "coverage"),
+        "output_reads": after.select("replicate", "samplename", "nseq"),
+    }
+
+
 def word_frequencies(cube: DataFrame, log_scale: bool = False) -> DataFrame:
     """``samplename, name, freq``: counts scaled to 20 for the largest of a sample, rounded, zeros left out."""
     largest = F.max("nreads").over(Window.partitionBy("samplename"))

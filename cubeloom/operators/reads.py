@@ -54,7 +54,8 @@ def by_quality(
     """Reads by expected errors, mean quality, share of low qualities, largest quality and number of N.
 
     *truncate_below* first cuts a read before its first quality below it.  A
-    quality above *max_quality* is capped, or with ``cap=False`` ends the read.
+    quality above *max_quality* ends the read with ``cap=False``; else it is capped
+    in the reads that are left, after all gates.
     """
     out = reads
     if truncate_below is not None:
@@ -62,11 +63,8 @@ def by_quality(
         out = out.withColumn("__n", F.when(first > 0, first - 1).otherwise(F.length("qual")).cast("int"))
         out = out.select(*[F.substring(c, F.lit(1), F.col("__n")).alias(c) if c in ("seq", "qual") else F.col(c) for c in reads.columns])
     numbers = sq.qualities(F.col("qual"))
-    if max_quality is not None:
-        if cap:
-            out = out.withColumn("qual", sq.quality_string(F.transform(numbers, lambda q: F.least(q, F.lit(max_quality)))))
-        else:
-            out = out.filter(~F.exists(numbers, lambda q: q > max_quality))
+    if max_quality is not None and not cap:
+        out = out.filter(~F.exists(numbers, lambda q: q > max_quality))
     if max_errors is not None:
         out = out.filter(sq.expected_errors(numbers) <= max_errors)
     if min_mean is not None:
@@ -75,6 +73,8 @@ def by_quality(
         out = out.filter(sq.low_share(numbers, low) <= max_low_share)
     if max_ns is not None:
         out = out.filter(F.length(F.regexp_replace("seq", "[^N]", "")) <= max_ns)
+    if max_quality is not None and cap:
+        out = out.withColumn("qual", sq.quality_string(F.transform(numbers, lambda q: F.least(q, F.lit(max_quality)))))
     return out
 
 

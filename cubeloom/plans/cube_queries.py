@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cubeloom.operators import cube, filters, keysets
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
+from cubeloom.session import written
 
 _TOPN_BRANDS = f"""{fx.cte("cube_l", "assign_p")},
  named AS (SELECT samplename, coalesce(genus, otuname) AS item, nreads FROM cube_l LEFT JOIN assign_p ON query = otuname),
@@ -201,7 +202,8 @@ def rank_restricted_taxa(spark, d):
     return filters.by_taxa(fx.cube_l(spark, d), _taxa(spark, d), ["genus,2"])
 
 
-_LIMITS = dict(min_item=40, min_item_share=0.02, min_sample=45, min_sample_share=0.001, min_item_total=650, min_sample_total=1200)
+#: These take three rounds and more until nothing goes.
+_LIMITS = dict(min_item=40, min_item_share=0.02, min_sample=40, min_sample_share=0.001, min_item_total=550, min_sample_total=3800)
 
 
 def _support_sql(rounds: int) -> str:
@@ -209,15 +211,15 @@ def _support_sql(rounds: int) -> str:
     for i in range(rounds):
         parts.append(
             f"""s{i} AS (SELECT *, sum(nreads) OVER (PARTITION BY otuname) AS it, sum(nreads) OVER (PARTITION BY samplename) AS st FROM c{i}),
- c{i + 1} AS (SELECT samplename, otuname, nreads FROM s{i} WHERE otuname IN (SELECT otuname FROM s{i} WHERE nreads >= 40 AND nreads / it >= 0.02 AND it >= 650)
- AND samplename IN (SELECT samplename FROM s{i} WHERE nreads >= 45 AND nreads / st >= 0.001 AND st >= 1200))"""
+ c{i + 1} AS (SELECT samplename, otuname, nreads FROM s{i} WHERE otuname IN (SELECT otuname FROM s{i} WHERE nreads >= 40 AND nreads / it >= 0.02 AND it >= 550)
+ AND samplename IN (SELECT samplename FROM s{i} WHERE nreads >= 40 AND nreads / st >= 0.001 AND st >= 3800))"""
         )
     return f"{fx.cte('cube_l')}, {', '.join(parts)} SELECT * FROM c{rounds}"
 
 
 @query("support_filter_round", _support_sql(1))
 def support_filter_round(spark, d):
-    return filters.support_round(fx.cube_l(spark, d), **_LIMITS)
+    return filters.support_round(written(fx.cube_l(spark, d), "cube"), **_LIMITS)
 
 
 @query("support_filter_fixpoint", _support_sql(12))

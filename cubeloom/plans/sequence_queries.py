@@ -57,7 +57,13 @@ def quality_cap(spark, d):
     return reads.by_quality(fx.seq_d(spark, d), max_quality=20).select("doc_id", "qual")
 
 
-@query("tail_trim")
+@query(
+    "tail_trim",
+    f"""{_READS.replace("WITH ", "WITH RECURSIVE ", 1)}, cut AS (SELECT doc_id, q, len(q) AS n, true AS going FROM r
+  UNION ALL SELECT doc_id, q, coalesce(list_min(list_filter(generate_series(greatest(n - 4, 1), n), i -> q[i] < 12)) - 1, n), len(list_filter(generate_series(greatest(n - 4, 1), n), i -> q[i] < 12)) > 0 FROM cut WHERE going AND n > 0),
+ least AS (SELECT doc_id, min(n) AS n FROM cut GROUP BY 1)
+ SELECT doc_id, substr(seq, 1, CAST(n AS BIGINT)) AS seq, substr(qual, 1, CAST(n AS BIGINT)) AS qual FROM r JOIN least USING (doc_id)""".replace("i -> q[i]", "lambda i: q[i]"),
+)
 def tail_trim(spark, d):
     return reads.trim_tail(fx.seq_d(spark, d), 12, 5).select("doc_id", "seq", "qual")
 
@@ -118,12 +124,11 @@ def padded_pairs(spark, d):
 
 @query(
     "degenerate_expand",
-    f"""{fx.cte("seq_d")} SELECT doc_id, concat(substr(seq, 1, 2), a.b, substr(seq, 3, 1), c.b) AS primer FROM seq_d CROSS JOIN (VALUES ('A'), ('G')) a(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) c(b) WHERE doc_id % 10 = 0""",
+    f"""{fx.cte("seq_d")} SELECT doc_id, concat(substr(seq, 1, 2), a.b, substr(seq, 3, 1), c.b) AS primer FROM seq_d CROSS JOIN (VALUES ('A'), ('G')) a(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) c(b)""",
 )
 def degenerate_expand(spark, d):
-    some = fx.seq_d(spark, d).filter("doc_id % 10 = 0")
     primer = F.concat(F.substring("seq", 1, 2), F.lit("R"), F.substring("seq", 3, 1), F.lit("N"))
-    return some.select("doc_id", F.explode(sq.expanded(primer)).alias("primer"))
+    return fx.seq_d(spark, d).select("doc_id", F.explode(sq.expanded(primer)).alias("primer"))
 
 
 @query(

@@ -8,6 +8,7 @@ from cubeloom.functions.distributions import t_quantile
 from cubeloom.operators import decontam, quantify
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
+from cubeloom.session import written
 
 #: Cubes of suppliers over part types: few items, so that the same ones occur in every sample.
 _TYPES = """cube_t AS (SELECT concat('run1__s', CAST(l_suppkey AS VARCHAR), '__ev') AS samplename, p_type AS otuname, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS nreads
@@ -110,13 +111,13 @@ def contamination_rate(spark, d):
 
 
 def _tau_sql() -> str:
-    blanks = 20  # at scale factor 0.01 a fifth of 100 suppliers
-    rows = ", ".join(f"({tests}, CAST({t_quantile(1 - 0.05 / tests, blanks - 1)!r} AS DOUBLE))" for tests in range(1, 201))
-    return f"""WITH {_TYPES}, {_BLANKS}, q(tests, t) AS (VALUES {rows}),
+    # A fifth of the suppliers are blanks, of 10, 100 or 1,000 by scale; an item is tested in the other samples at most.
+    rows = ", ".join(f"({blanks + 1}, {tests}, CAST({t_quantile(1 - 0.05 / tests, blanks - 1)!r} AS DOUBLE))" for blanks in (2, 20, 200) for tests in range(1, 4 * blanks + 1))
+    return f"""WITH {_TYPES}, {_BLANKS}, q(n, tests, t) AS (VALUES {rows}),
  cell AS (SELECT c.samplename, c.otuname, c.nreads, list_append(list(coalesce(b.nreads, 0)), c.nreads) AS v FROM cube_t c JOIN links USING (samplename)
   LEFT JOIN cube_t b ON b.samplename = blank AND b.otuname = c.otuname GROUP BY 1, 2, 3),
  st AS (SELECT samplename, otuname, nreads, len(v) AS n, list_avg(v) AS m, list_stddev_samp(v) AS sd, count(*) OVER (PARTITION BY otuname) AS tests FROM cell)
- SELECT samplename, otuname, nreads, nreads - m > t * (n - 1) / (sqrt(n) * sqrt(n - 2 + t * t)) * sd AS kept FROM st JOIN q USING (tests)"""
+ SELECT samplename, otuname, nreads, nreads - m > t * (n - 1) / (sqrt(n) * sqrt(n - 2 + t * t)) * sd AS kept FROM st JOIN q USING (n, tests)"""
 
 
 @query("tau_test", _tau_sql())
@@ -124,7 +125,14 @@ def tau_test(spark, d):
     return decontam.tau_test(_cube_t(spark, d), _links(spark, d))
 
 
-@query("binomial_decontam")
+#: Rates at which a tag half jumps, forward and reverse.
+_RATES = (0.001, 0.0015)
+_BINOMIAL = f"""WITH {_TYPES}, cells AS (SELECT samplename, otuname, nreads, sum(nreads) OVER (PARTITION BY otuname) AS n, count(*) OVER (PARTITION BY otuname) AS tests FROM cube_t WHERE nreads > 0),
+ chance AS (SELECT nreads, n, 1 - sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))) AS p FROM (SELECT nreads, n, unnest(generate_series(0, nreads)) AS k FROM (SELECT DISTINCT nreads, CAST(n AS BIGINT) AS n FROM cells)) GROUP BY 1, 2)
+ SELECT samplename, otuname, nreads, p <= 0.05 / tests AS kept FROM cells JOIN chance USING (nreads, n)"""
+
+
+@query("binomial_decontam", _BINOMIAL)
 def binomial_decontam(spark, d):
     cube = _cube_t(spark, d)
     return decontam.binomial_test(cube, cube.select("samplename").distinct(), rate=0.01)
@@ -155,8 +163,32 @@ def tag_neighbour_sums(spark, d):
     return decontam.neighbour_sums(_cube_t(spark, d), _edges(spark, d))
 
 
-@query("tag_jump_test")
+_JUMP_RATES = f"""rd AS (SELECT samplename, sum(nreads) AS reads FROM cube_t GROUP BY 1), crossed AS (SELECT src, jump, sum(reads) AS across FROM edges JOIN rd ON samplename = dst GROUP BY 1, 2),
+ own AS (SELECT e.src, e.jump, coalesce(reads, 0) + coalesce(across, 0) AS own FROM (SELECT DISTINCT src, jump FROM edges) e LEFT JOIN rd ON samplename = e.src LEFT JOIN crossed c ON c.src = e.src AND c.jump != e.jump),
+ oth AS (SELECT e.src, e.jump, sum(o.own) AS others FROM edges e JOIN own o ON o.src = e.dst AND o.jump = e.jump GROUP BY 1, 2),
+ rates AS (SELECT src AS samplename, jump, coalesce(CASE jump WHEN 'reversejump' THEN CAST({_RATES[1]} AS DOUBLE) ELSE CAST({_RATES[0]} AS DOUBLE) END * own / nullif(own + coalesce(others, 0), 0) * coalesce(others, 0) / nullif(own + coalesce(others, 0), 0), 0) AS rate FROM own LEFT JOIN oth USING (src, jump))"""
+
+
+@query("jump_rates", f"WITH {_TYPES}, {_HALVES}, {_JUMP_RATES} SELECT samplename, jump, round(rate, 12) AS rate FROM rates")
+def jump_rates(spark, d):
+    return decontam.jump_rates(_cube_t(spark, d), _edges(spark, d), *_RATES).withColumn("rate", F.round("rate", 12))
+
+
+_JUMP_TEST = f"""WITH {_TYPES}, {_HALVES}, {_JUMP_RATES},
+ sums AS (SELECT src AS samplename, otuname, jump, sum(nreads) AS nreads FROM edges JOIN cube_t ON samplename = dst GROUP BY 1, 2, 3),
+ cells AS (SELECT c.samplename, c.otuname, c.nreads AS x, coalesce(r.nreads, 0) AS r, coalesce(f.nreads, 0) AS f, coalesce(pr.rate, 0) AS pr, coalesce(pf.rate, 0) AS pf, count(*) OVER (PARTITION BY c.otuname) AS tests,
+  row_number() OVER (ORDER BY c.samplename, c.otuname) AS id
+  FROM cube_t c LEFT JOIN sums r ON r.samplename = c.samplename AND r.otuname = c.otuname AND r.jump = 'reversejump' LEFT JOIN sums f ON f.samplename = c.samplename AND f.otuname = c.otuname AND f.jump = 'forwardjump'
+  LEFT JOIN rates pr ON pr.samplename = c.samplename AND pr.jump = 'reversejump' LEFT JOIN rates pf ON pf.samplename = c.samplename AND pf.jump = 'forwardjump'
+  WHERE c.nreads > 0 AND c.samplename IN (SELECT src FROM edges)),
+ steps AS (SELECT *, unnest(generate_series(0, x)) AS j FROM cells),
+ ways AS (SELECT id, x, j, CASE WHEN pr > 0 THEN exp(lgamma(r + j + 1) - lgamma(j + 1) - lgamma(r + 1) + j * ln(pr) + r * ln(1 - pr)) ELSE CAST(j = 0 AS DOUBLE) END AS a,
+  sum(CASE WHEN pf > 0 THEN exp(lgamma(f + j + 1) - lgamma(j + 1) - lgamma(f + 1) + j * ln(pf) + f * ln(1 - pf)) ELSE CAST(j = 0 AS DOUBLE) END) OVER (PARTITION BY id ORDER BY j) AS b FROM steps),
+ chance AS (SELECT u.id, 1 - sum(u.a * v.b) AS p FROM ways u JOIN ways v ON v.id = u.id AND v.j = u.x - u.j GROUP BY 1)
+ SELECT samplename, otuname, x AS nreads, p <= 0.05 / tests AS kept FROM cells JOIN chance USING (id)"""
+
+
+@query("tag_jump_test", _JUMP_TEST)
 def tag_jump_test(spark, d):
-    cube, edges = _cube_t(spark, d), _edges(spark, d)
-    small = cube.withColumn("nreads", F.expr("nreads div 150")).filter("nreads > 0")
-    return decontam.jump_test(small, edges, decontam.jump_rates(small, edges, 0.001, 0.001))
+    cube, edges = written(_cube_t(spark, d), "cube"), written(_edges(spark, d), "edges")
+    return decontam.jump_test(cube, edges, decontam.jump_rates(cube, edges, *_RATES))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cubeloom.operators import assignments, hierarchy, neighbours
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
+from cubeloom.session import written
 
 _CLOSURE = """walk AS (SELECT n.taxid, p.taxid AS ancestor, 1 AS depth, p.parent AS up FROM nodes n JOIN nodes p ON p.taxid = n.parent
  UNION ALL SELECT w.taxid, p.taxid, w.depth + 1, p.parent FROM walk w JOIN nodes p ON p.taxid = w.up)"""
@@ -99,22 +100,22 @@ def _vectors(spark, d):
     return fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("acc"), F.col("embedding").alias("vector"))
 
 
-def _hits(spark, d):
+def _hits(spark, d, best=None):
     vectors = _vectors(spark, d)
     asked = vectors.filter("acc % 20 = 0").select(F.col("acc").alias("query"), "vector")
-    return neighbours.vector_hits(asked, vectors, 1000).filter("query != acc")
+    return neighbours.vector_hits(asked, vectors, 1000, best).filter("query != acc")
 
 
 def _among(spark, d):
     """Hits of all nearest neighbours, each being its own best hit."""
     vectors = _vectors(spark, d)
-    near = neighbours.nearest(_hits(spark, d)).select("acc").distinct()
+    near = neighbours.nearest(_hits(spark, d, 2)).select("acc").distinct()  # the best score may be the query's own
     return neighbours.vector_hits(vectors.join(near, "acc", "left_semi").select(F.col("acc").alias("query"), "vector"), vectors, 1000)
 
 
 @query("knn_ties", f"WITH {_HITS} SELECT query, acc, score FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY score DESC) AS r FROM hits) WHERE r <= 5")
 def knn_ties(spark, d):
-    return neighbours.k_nearest(_hits(spark, d), 5)
+    return neighbours.k_nearest(_hits(spark, d, 6), 5)
 
 
 @query(
@@ -122,7 +123,7 @@ def knn_ties(spark, d):
     f"""WITH {_HITS} SELECT query, nn_score, max(CASE WHEN score < nn_score THEN score END) AS borderline_score FROM (SELECT *, max(score) OVER (PARTITION BY query) AS nn_score FROM hits) GROUP BY 1, 2""",
 )
 def nn_borderline(spark, d):
-    return neighbours.nearest_borderline(_hits(spark, d))
+    return neighbours.nearest_borderline(_hits(spark, d, 3))
 
 
 _NEAR = """near AS (SELECT query, acc AS nn, score AS nn_score FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY score DESC) AS r FROM hits) WHERE r = 1),
@@ -177,8 +178,9 @@ def _voted(spark, d):
     label = F.col("label").cast("long") + 1000
     acc = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("acc"), label.alias("taxid")).join(nodes.select("taxid", "parent"), "taxid")
     acc = acc.select("acc", F.when(F.col("acc") % 2 == 0, F.col("taxid")).otherwise(F.col("parent")).alias("taxid"))
-    near = neighbours.k_nearest(_hits(spark, d), 12)
-    return assignments.votes(near, hierarchy.lineages(acc, nodes), nodes), nodes
+    near = neighbours.k_nearest(_hits(spark, d, 13), 12)
+    tree = written(hierarchy.closure(nodes), "tree")
+    return assignments.votes(near, hierarchy.lineages(acc, nodes, tree), nodes, tree=tree), nodes, tree
 
 
 @query("consensus_votes", f"{_VOTED} SELECT query, CAST(rank_idx AS BIGINT) AS rank_idx, taxid, votes, opposers, unidentified, n FROM voted")
@@ -191,7 +193,7 @@ def consensus_votes(spark, d):
     f"""{_VOTED} SELECT query, CAST(rank_idx AS BIGINT) AS rank_idx, concat(name, ': ', CAST(votes AS VARCHAR), ':', CAST(opposers AS VARCHAR), ':', CAST(unidentified AS VARCHAR), '/', CAST(n AS VARCHAR)) AS support FROM voted JOIN nodes USING (taxid)""",
 )
 def consensus_support(spark, d):
-    voted, nodes = _voted(spark, d)
+    voted, nodes, _ = _voted(spark, d)
     return assignments.support(voted, nodes.select("taxid", "name")).withColumn("rank_idx", F.col("rank_idx").cast("long"))
 
 
@@ -203,8 +205,8 @@ def consensus_support(spark, d):
  SELECT query, CAST(rank_idx AS BIGINT) AS rank_idx, taxid FROM top WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.query = top.query AND f.rank_idx = top.rank_idx) UNION ALL SELECT query, rank_idx, taxid FROM filled""",
 )
 def consensus_assign(spark, d):
-    voted, nodes = _voted(spark, d)
-    found = assignments.consensus(voted, nodes, max_opposer_share=0.5, max_unidentified_share=0.6, min_ratio=1.0)
+    voted, nodes, tree = _voted(spark, d)
+    found = assignments.consensus(voted, nodes, max_opposer_share=0.5, max_unidentified_share=0.6, min_ratio=1.0, tree=tree)
     return found.withColumn("rank_idx", F.col("rank_idx").cast("long"))
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared folder, written intermediate tables."""
+"""Session helpers: shared folder, written intermediate tables, places in an order."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cubeloom-shared-")
         with contextlib.suppress(Exception):
             spark.conf.set("spark.checkpoint.dir", found)
@@ -24,3 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """*df* with each row's place (from 1) in *order*, written: ranges are sorted by themselves, their sizes give the offsets."""
+    inside = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The lower 33 bits number the rows of a partition, in its order.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = written(inside.withColumn("__range", F.spark_partition_id()).withColumn("__at", number), "places")
+    sizes = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())  # as many as partitions
+    offsets, total = [], 0
+    for part, size in sizes:
+        offsets.append((part, total))
+        total += size
+    table = df.sparkSession.createDataFrame(offsets, "__range int, __offset long")
+    return ranged.join(F.broadcast(table), "__range").withColumn(name, F.col("__offset") + F.col("__at") + 1).drop("__range", "__at", "__offset")

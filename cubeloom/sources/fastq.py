@@ -12,7 +12,7 @@ import lzma
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OPENERS = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}
@@ -54,11 +54,15 @@ def read_fastq(spark: SparkSession, path: str | list[str], chunk: int = 20000) -
 
 
 def in_step(files: list[DataFrame], labels: list[str]) -> DataFrame:
-    """One row per record number of files read in step: ``rec_no, name`` and ``<label>_seq, <label>_qual`` of each."""
+    """One row per record of files read in step: ``file_no, rec_no, name`` and ``<label>_seq, <label>_qual`` of each.
+
+    The files of a side are taken in the order of their names: the third of one side goes with the third of the others.
+    """
     out = None
     for label, records in zip(labels, files):
-        part = records.select("rec_no", F.regexp_extract("name", r"^(\S+)", 1).alias("name"), F.col("seq").alias(f"{label}_seq"), F.col("qual").alias(f"{label}_qual"))
-        out = part if out is None else out.join(part.drop("name"), "rec_no", "full")
+        order = records.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")))  # a run's list of files
+        part = records.join(order, "file").select("file_no", "rec_no", F.regexp_extract("name", r"^(\S+)", 1).alias("name"), F.col("seq").alias(f"{label}_seq"), F.col("qual").alias(f"{label}_qual"))
+        out = part if out is None else out.join(part.drop("name"), ["file_no", "rec_no"], "full")
     missing = [F.col(f"{label}_seq").isNull() for label in labels]
     gap = missing[0]
     for m in missing[1:]:

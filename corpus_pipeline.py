@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import bpe, jaccard_join, positional_index, quality, substring_dedup
-from cubeloom.llm.common import shared_dir, table
+from cubeloom.llm.common import Scratch, shared_dir, table
 from cubeloom.llm.queries import byte_bpe_path
 
 KEY = "__document_key"
@@ -46,10 +46,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = _keyed(docs)
     groups = jaccard_join.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), shingle=5, percent=80)
     linked = groups.filter("n_shingles > 0").select(F.col("doc_id").alias(KEY), "component_id").distinct()
-    first = keyed.select("doc_id", KEY).join(linked, KEY).groupBy("component_id")
-    first = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).alias("first")).select(F.col(f"first.{KEY}").alias(KEY))
+    placed = keyed.select("doc_id", KEY).join(linked, KEY).select(KEY, "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY).alias("place"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first")).select("component_id", F.col(f"first.{KEY}").alias("kept_key"))
+    others = placed.select(KEY, "component_id").distinct().join(first, "component_id").filter(F.col(KEY) != F.col("kept_key")).select(KEY)
+    # Few documents go: written first, so that Spark knows the size and needn't shuffle the texts for a small list.
+    gone = Scratch(spark).write(others, "pipeline-gone")
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.filter(~wordless).join(first, KEY, "left_semi")
+    kept = keyed.filter(~wordless).join(gone, KEY, "left_anti")
     repeated = keyed.groupBy(KEY).count().filter("count > 1").select(KEY)
     if not repeated.isEmpty():  # of rows that repeat an id and a text, the one whose further columns are smallest
         others = F.struct(F.lit(0).alias("none"), *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("__rest")
@@ -79,7 +82,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without a passage of the benchmark."""
     keyed = _keyed(docs)
     found = positional_index.find_contamination(keyed.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
+    hit = Scratch(spark).write(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct(), "pipeline-hit")  # its size is known then
+    return keyed.join(hit, KEY, "left_anti").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,46 @@ def tag_table(forward: DataFrame, reverse: DataFrame | None = None) -> DataFrame
     return checked.select(F.when(bad, F.raise_error(F.concat(F.lit("not a tag: "), "tagname"))).otherwise(F.col("tag")).alias("tag"), "tagname")
 
 
+def normalised(reads: DataFrame, tag: int = 0, reverse_tag: int = 0) -> DataFrame:
+    """``index_seq, index_qual, seq, qual, mate_seq, mate_qual`` of one to four reads in step (``seq1, qual1`` to ``seq4, qual4``, null: none).
+
+    *tag* and *reverse_tag* are the lengths of the tags that the run has (0: none).  A tag is a read of its own
+    right after the first one (both: the second and the third), else it begins the
+    read of its direction, or with one read only the reverse tag ends it.  The first
+    layout that fits a record is taken; none that does is an error.
+    """
+    has = lambda i: F.coalesce(F.length(f"seq{i}") > 0, F.lit(False))
+    long = lambda i, n: F.coalesce(F.length(f"seq{i}") == n, F.lit(False))
+    whole = lambda i: (F.col(f"seq{i}"), F.col(f"qual{i}"))
+    cut = lambda i, start, end: tuple(F.expr(f"substring({c}{i}, {start + 1}, greatest(length({c}{i}) - {start + end}, 0))") for c in ("seq", "qual"))
+    head = lambda i, n: tuple(F.substring(f"{c}{i}", 1, n) for c in ("seq", "qual"))
+    tail = lambda i, n: tuple(F.expr(f"right({c}{i}, {n})") for c in ("seq", "qual"))
+    none = (F.lit(None).cast("string"),) * 2
+    both = lambda x, y: (F.concat(x[0], F.lit("+"), y[0]), F.concat(x[1], y[1]))
+    if tag and reverse_tag:
+        own = long(2, tag) & long(3, reverse_tag)
+        layouts = [
+            (own & has(4), both(whole(2), whole(3)), whole(1), whole(4)),
+            (own, both(whole(2), whole(3)), whole(1), none),
+            (has(2) & ~has(3) & ~has(4), both(head(1, tag), head(2, reverse_tag)), cut(1, tag, 0), cut(2, reverse_tag, 0)),
+            (~has(2) & ~has(3) & ~has(4), both(head(1, tag), tail(1, reverse_tag)), cut(1, tag, reverse_tag), none),
+        ]
+    elif tag or reverse_tag:
+        own = long(2, tag or reverse_tag)
+        inline = (head(1, tag), cut(1, tag, 0), whole(2)) if tag else (head(2, reverse_tag), whole(1), cut(2, reverse_tag, 0))
+        single = (head(1, tag), cut(1, tag, 0), none) if tag else (tail(1, reverse_tag), cut(1, 0, reverse_tag), none)
+        layouts = [(~has(4) & own & has(3), whole(2), whole(1), whole(3)), (~has(4) & own, whole(2), whole(1), none), (~has(4) & has(2), *inline), (~has(4), *single)]
+    else:
+        layouts = [(~has(3) & ~has(4) & has(2), none, whole(1), whole(2)), (~has(3) & ~has(4), none, whole(1), none)]
+    names = ["index_seq", "index_qual", "seq", "qual", "mate_seq", "mate_qual"]
+    found = F.when(~has(1), F.raise_error(F.lit("a record has no first read")))
+    for fits, *parts in layouts:
+        found = found.when(fits, F.struct(*(c.alias(n) for n, c in zip(names, (c for part in parts for c in part)))))
+    found = found.otherwise(F.raise_error(F.lit("a record fits no layout")))
+    rest = [c for c in reads.columns if c not in {f"{k}{i}" for k in ("seq", "qual") for i in range(1, 5)}]
+    return reads.withColumn("__layout", found).select(*rest, "__layout.*").filter("seq != ''")
+
+
 def jumped_tags(tags: DataFrame) -> DataFrame:
     """``tag``: combinations of the lists' halves that are no tag of their own."""
     halves = tags.select(F.split_part("tag", F.lit("+"), F.lit(1)).alias("a"), F.split_part("tag", F.lit("+"), F.lit(2)).alias("b"))

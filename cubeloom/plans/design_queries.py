@@ -290,6 +290,52 @@ def spike_in_variants(spark, d):
     return clusters.spike_in_variants(hits).select("query", "target", F.round("identity", 9).alias("identity"))
 
 
+def _layout_sql(mode: str, tag: int, reverse: int) -> str:
+    """The four layouts of a mode, by ``doc_id % 4``, put together from one sequence: what comes out."""
+    part = lambda c, a, n: f"substr({c}, {a}, {n})"
+    rows = {  # index, read, mate
+        "both": [("{p11_3}+{p14_4}", "{p1_10}", "{p18_15}"), ("{p11_3}+{p14_4}", "{p1_10}", None), ("{p1_3}+{p13_4}", "{p4_9}", "{p17_16}"), ("{p1_3}+{p29_4}", "{p4_25}", None)],
+        "forward": [("{p11_3}", "{p1_10}", "{p18_15}"), ("{p11_3}", "{p1_10}", None), ("{p1_3}", "{p4_9}", "{p13_20}"), ("{p1_3}", "{p4_29}", None)],
+        "reverse": [("{p11_4}", "{p1_10}", "{p18_15}"), ("{p11_4}", "{p1_10}", None), ("{p13_4}", "{p1_12}", "{p17_16}"), ("{p29_4}", "{p1_28}", None)],
+    }[mode]
+
+    def shown(text: str | None, c: str, plus: str) -> str:
+        if text is None:
+            return "NULL"
+        marks = [x for x in text.replace("{", "").replace("}", "").split("+")]
+        return "concat(" + f", '{plus}', ".join(part(c, *m[1:].split("_")) for m in marks) + ")"
+
+    cases = lambda k, c, plus: "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {shown(row[k], c, plus)}" for i, row in enumerate(rows)) + " END"
+    columns = {"index_seq": (0, "seq", "+"), "index_qual": (0, "qual", ""), "seq": (1, "seq", ""), "qual": (1, "qual", ""), "mate_seq": (2, "seq", ""), "mate_qual": (2, "qual", "")}
+    return f"SELECT name, '{mode}' AS mode, " + ", ".join(f"{cases(*spec)} AS {name}" for name, spec in columns.items()) + " FROM seq_d"
+
+
+_MODES = {"both": (3, 4), "forward": (3, 0), "reverse": (0, 4)}
+
+
+@query("tag_layouts", f"{fx.cte('seq_d')} " + " UNION ALL ".join(_layout_sql(mode, *lengths) for mode, lengths in _MODES.items()))
+def tag_layouts(spark, d):
+    """One, two, three and four reads in step, with the tags of either direction or both."""
+    out, kind = None, F.col("doc_id") % 4
+    for mode, (tag, reverse) in _MODES.items():
+        first = 3 if tag else 4
+
+        def reads_of(c, mode=mode, first=first):
+            at = lambda a, n: F.substring(c, a, n)
+            third = at(14, 4) if mode == "both" else at(18, 15)
+            return [
+                F.when(kind < 2, at(1, 10)).when(kind == 2, at(1, 12)).otherwise(F.col(c)),
+                F.when(kind < 2, at(11, first)).when(kind == 2, at(13, 20)),
+                F.when((kind == 0) | (kind == 1) & F.lit(mode == "both"), third),
+                F.when((kind == 0) & F.lit(mode == "both"), at(18, 15)),
+            ]
+
+        columns = [x.alias(f"{k}{i + 1}") for k in ("seq", "qual") for i, x in enumerate(reads_of(k))]
+        found = demux.normalised(fx.seq_d(spark, d).select("name", F.lit(mode).alias("mode"), *columns), tag, reverse)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 _NAMED = "n AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN concat('gb|A', CAST(s_suppkey AS VARCHAR)) WHEN 1 THEN concat('A', CAST(s_suppkey AS VARCHAR), ' a text') ELSE concat('A', CAST(s_suppkey AS VARCHAR)) END AS name, s_suppkey FROM supplier)"
 
 

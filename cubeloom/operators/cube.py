@@ -26,6 +26,11 @@ def from_membership(members: DataFrame, runname: str | None = None) -> DataFrame
     return members.select(sample.alias("samplename"), "otuname").groupBy(*KEYS).agg(F.count("*").alias("nreads"))
 
 
+def with_rows(cube: DataFrame, more: DataFrame) -> DataFrame:
+    """The cube with the cells of a second one, such as that of the spike-ins, cells that meet being summed."""
+    return summed(cube.select(*KEYS, "nreads").unionByName(more.select(*KEYS, "nreads")))
+
+
 def rename_run(cube: DataFrame, runname: str) -> DataFrame:
     """Samples under another run name; cells that meet are summed."""
     return summed(cube.withColumn("samplename", with_run(F.col("samplename"), runname)))

@@ -74,6 +74,12 @@ def tau_test(cube: DataFrame, links: DataFrame, level: float = 0.05, adjust: str
     return judged.select("samplename", "otuname", "nreads", (F.col("nreads") - F.col("mean") > F.col("tau") * F.col("sd")).alias("kept"))
 
 
+def calibrated_tau_test(quantities: DataFrame, links: DataFrame, **options) -> DataFrame:
+    """:func:`tau_test` on calibrated values (``samplename, otuname, ncopies``) instead of reads; cells of 0 or none are left out."""
+    cells = quantities.filter("ncopies > 0").select("samplename", "otuname", F.col("ncopies").alias("nreads"))
+    return tau_test(cells, links, **options).withColumnRenamed("nreads", "ncopies")
+
+
 def binomial_test(cube: DataFrame, samples: DataFrame, rate: float, level: float = 0.05, adjust: str = "bonferroni", unit: str = "otu") -> DataFrame:
     """``samplename, otuname, nreads, kept``: a cell of *samples* goes if so many reads of the item could have jumped there at *rate*."""
     totals = cube.groupBy("otuname").agg(F.sum("nreads").alias("total"))

@@ -121,6 +121,27 @@ def representatives(cube: DataFrame, assignment: DataFrame, top_n: int | None =
     return chosen.join(largest.select("taxon"), "taxon", "left_semi")
 
 
+def named_representatives(chosen: DataFrame, style: str = "numbered") -> DataFrame:
+    """Representatives (``taxon, otuname``) with their ``name``: the ``taxon``, ``item`` and taxon, or ``numbered`` taxa (``NN_taxon``, by order of taxa)."""
+    if style == "taxon":
+        return chosen.withColumn("name", F.col("taxon"))
+    if style == "item":
+        return chosen.withColumn("name", F.concat_ws(":", "otuname", "taxon"))
+    if style != "numbered":
+        raise ValueError("style must be taxon, item or numbered")
+    placed = with_places(chosen, [F.col("taxon")])
+    width = len(str(placed.count()))
+    return placed.withColumn("name", F.concat_ws("_", F.lpad(F.col("place").cast("string"), width, "0"), "taxon")).drop("place")
+
+
+def with_checked_totals(sequences: DataFrame, members: DataFrame) -> DataFrame:
+    """Sequences (``name, size``) whose size is the number of their members (``otuname``); another number is an error."""
+    counted = members.groupBy(F.col("otuname").alias("name")).agg(F.count("*").alias("__n"))
+    differs = F.raise_error(F.concat(F.lit("members don't add up: "), "name"))
+    checked = sequences.join(counted, "name", "full").withColumn("size", F.when(F.col("size").eqNullSafe(F.col("__n")), F.col("size")).otherwise(differs))
+    return checked.select(*sequences.columns)
+
+
 def members_in(members: DataFrame, cube: DataFrame) -> DataFrame:
     """Members (``otuname, samplename, …``) of the cells that a filtered cube still has."""
     return members.join(cube.select("samplename", "otuname"), ["samplename", "otuname"], "left_semi")

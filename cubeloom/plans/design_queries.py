@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from cubeloom.functions import names
-from cubeloom.operators import assignments, clusters, decontam, demux, filters, hierarchy, neighbours, quantify, reads
+from cubeloom.operators import assignments, clusters, cube, decontam, demux, filters, hierarchy, neighbours, quantify, reads, stores
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
-from cubeloom.plans.stat_queries import _TYPES, _cube_t
+from cubeloom.plans.stat_queries import _TYPES, _cube_t, _links, _tau_sql
 from cubeloom.plans.tree_queries import _CLOSURE, _HITS, _hits, _recursive, _sources
 from cubeloom.session import shared_dir
 
@@ -369,3 +369,65 @@ def numbered_shards(spark, d):
 def rarefied_inputs(spark, d):
     found = quantify.rarefied(fx.cube_e(spark, d), replicates=2)
     return found["input_reads"].join(found["input_coverage"], "samplename").withColumn("coverage", F.round("coverage", 8))
+
+
+@query(
+    "sequence_volumes",
+    f"{_SHORT}, v AS (SELECT name, seq, sum(length(seq)) OVER (ORDER BY name, seq) AS upto FROM s WHERE length(seq) BETWEEN 10 AND 24 AND doc_id % 5 != 0) SELECT CAST((upto - length(seq)) // 500 AS BIGINT) AS volume, name, seq FROM v",
+)
+def sequence_volumes(spark, d):
+    short = _short(spark, d)
+    return stores.volumes(short.select("name", "seq"), 500, 10, 24, short.filter("doc_id % 5 = 0").select("name"))
+
+
+@query("kmer_index", f"{fx.cte('seq_d')}, k AS (SELECT DISTINCT name, substr(seq, i, 8) AS kmer FROM (SELECT name, seq, unnest(generate_series(1, 25)) AS i FROM seq_d)) SELECT kmer, name FROM k")
+def kmer_index(spark, d):
+    return stores.kmer_index(fx.seq_d(spark, d).select("name", "seq"), 8, 4).select("kmer", "name")
+
+
+@query("fetched_sequences", f"WITH {_NAMED} SELECT name, md5(name) AS seq FROM n WHERE s_suppkey % 4 = 0")
+def fetched_sequences(spark, d):
+    named = _named(spark, d)
+    return stores.fetched(named.select("name", F.md5(F.col("name").cast("binary")).alias("seq")), named.filter("s_suppkey % 4 = 0").select("acc"), 10)
+
+
+@query("accessions_with_taxa", f"WITH {_NAMED} SELECT concat('A', CAST(s_suppkey AS VARCHAR)) AS acc, s_suppkey AS taxid FROM n WHERE s_suppkey % 3 != 0")
+def accessions_with_taxa(spark, d):
+    named = _named(spark, d)
+    return stores.accessions_with_taxa(named.select("name"), named.filter("s_suppkey % 3 != 0").select("acc", F.col("s_suppkey").alias("taxid")))
+
+
+_REPRESENTATIVES = f"""{fx.cte("cube_l", "assign_p")}, t AS (SELECT otuname, max(nreads) AS most, sum(nreads) AS total FROM cube_l GROUP BY 1),
+ c AS (SELECT genus AS taxon, otuname FROM (SELECT genus, otuname, row_number() OVER (PARTITION BY genus ORDER BY most DESC, total DESC, otuname) AS place FROM t JOIN assign_p ON query = otuname WHERE genus IS NOT NULL) WHERE place = 1)"""
+
+
+@query("named_representatives", f"{_REPRESENTATIVES} SELECT taxon, otuname, concat(lpad(CAST(row_number() OVER (ORDER BY taxon) AS VARCHAR), CAST(length(CAST(count(*) OVER () AS VARCHAR)) AS INTEGER), '0'), '_', taxon) AS name FROM c")
+def named_representatives(spark, d):
+    chosen = filters.representatives(fx.cube_l(spark, d), fx.assign_p(spark, d).withColumnRenamed("genus", "taxon"))
+    return filters.named_representatives(chosen)
+
+
+@query("checked_totals", f"WITH {_MEMBERS} SELECT otuname AS name, count(*) AS size FROM members GROUP BY 1")
+def checked_totals(spark, d):
+    members = _members(spark, d)
+    return filters.with_checked_totals(members.groupBy(F.col("otuname").alias("name")).agg(F.count("*").alias("size")), members)
+
+
+@query("spike_in_union", f"{fx.cte('cube_e')} SELECT samplename, otuname, nreads * 2 AS nreads FROM cube_e WHERE otuname = 'view' UNION ALL SELECT * FROM cube_e WHERE otuname != 'view'")
+def spike_in_union(spark, d):
+    cells = fx.cube_e(spark, d)
+    return cube.with_rows(cells, cells.filter("otuname = 'view'"))
+
+
+@query("calibrated_tau_test", _tau_sql().replace("SELECT samplename, otuname, nreads, nreads - m", "SELECT samplename, otuname, nreads / 4 AS ncopies, nreads - m"))
+def calibrated_tau_test(spark, d):
+    quantities = _cube_t(spark, d).withColumn("ncopies", F.col("nreads") / 4)
+    return decontam.calibrated_tau_test(quantities, _links(spark, d))
+
+
+@query("rarefied_sizes", f"{fx.cte('cube_e')}, s AS (SELECT samplename, sum(nreads) AS n FROM cube_e GROUP BY 1) SELECT CAST(r AS BIGINT) AS replicate, samplename, CAST(least(n, 40) AS BIGINT) AS nreads FROM s CROSS JOIN generate_series(1, 3) g(r)")
+def rarefied_sizes(spark, d):
+    cells = fx.cube_e(spark, d)
+    depths = cells.groupBy("samplename").agg(F.least(F.sum("nreads"), F.lit(40)).alias("depth"))
+    drawn = quantify.rarefy(cells, depths, replicates=3, seed=5)
+    return drawn.groupBy(F.col("replicate").cast("long").alias("replicate"), "samplename").agg(F.sum("nreads").alias("nreads"))

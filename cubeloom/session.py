@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """*df* with each row's place (from 1) in *order*, written: ranges are sorted by themselves, their sizes give the offsets."""
+def _ranged(df: DataFrame, order: list[Column], amount: Column) -> DataFrame:
+    """*df* in sorted ranges, written, with the range, the place in it and the sum of *amount* over all ranges before."""
     inside = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The lower 33 bits number the rows of a partition, in its order.
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = written(inside.withColumn("__range", F.spark_partition_id()).withColumn("__at", number), "places")
-    sizes = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())  # as many as partitions
+    sizes = sorted((r["__range"], r["size"]) for r in ranged.groupBy("__range").agg(F.sum(amount).alias("size")).collect())  # as many as partitions
     offsets, total = [], 0
     for part, size in sizes:
         offsets.append((part, total))
         total += size
     table = df.sparkSession.createDataFrame(offsets, "__range int, __offset long")
-    return ranged.join(F.broadcast(table), "__range").withColumn(name, F.col("__offset") + F.col("__at") + 1).drop("__range", "__at", "__offset")
+    return ranged.join(F.broadcast(table), "__range")
+
+
+def with_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """*df* with each row's place (from 1) in *order*: ranges are sorted by themselves, their sizes give the offsets."""
+    return _ranged(df, order, F.lit(1)).withColumn(name, F.col("__offset") + F.col("__at") + 1).drop("__range", "__at", "__offset")
+
+
+def with_running(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """*df* with the sum of *amount* up to and with each row in *order*, a range at a time."""
+    upto = F.sum(amount).over(Window.partitionBy("__range").orderBy("__at"))
+    return _ranged(df, order, amount).withColumn(name, F.col("__offset") + upto).drop("__range", "__at", "__offset")

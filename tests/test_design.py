@@ -95,6 +95,26 @@ def test_blocks_of_queries_give_all_hits(spark, best):
         assert wanted.items() <= own.items() <= every.items() and (best or own == wanted)
 
 
+def test_draws_are_the_smallest_hashes(spark):
+    from pyspark.sql import Window
+
+    from cubeloom.operators import quantify
+
+    cells = spark.createDataFrame([("a", "x", 700), ("a", "y", 40), ("b", "x", 3), ("c", "z", 90)], "samplename string, otuname string, nreads long")
+    depths = spark.createDataFrame([("a", 333), ("b", 3), ("c", 0)], "samplename string, depth long")
+    reads = cells.join(depths, "samplename").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("nreads").cast("int")))).withColumn("replicate", F.explode(F.array(F.lit(1), F.lit(2))))
+    order = Window.partitionBy("samplename", "replicate").orderBy(F.xxhash64(F.lit(7), "replicate", "samplename", "otuname", "i"), "otuname", "i")
+    kept = reads.withColumn("place", F.row_number().over(order)).filter("place <= depth").groupBy("replicate", "samplename", "otuname").agg(F.count("*").alias("nreads"))
+    assert rows_of(quantify.rarefy(cells, depths, replicates=2, seed=7)) == rows_of(kept)
+
+
+def test_totals_that_differ(spark):
+    members = spark.createDataFrame([("o1", "r1")], "otuname string, readname string")
+    for sizes in ([("o1", 2)], [("o1", 1), ("o2", 1)], [("o2", 1)]):
+        with pytest.raises(PySparkException, match="add up"):
+            filters.with_checked_totals(spark.createDataFrame(sizes, "name string, size long"), members).collect()
+
+
 def test_records_without_a_layout(spark):
     rows = [("AC", "II", None, None, None, None, None, None)]
     names = ", ".join(f"seq{i} string, qual{i} string" for i in range(1, 5))

@@ -101,7 +101,7 @@ def build_index(documents: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(source.mapInArrow(lean(run), _SHARD), "positional-index")
 
 
-def test_windows(benchmark: DataFrame, window: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """``item_id, window, terms`` of the test items: a 128-bit name and the terms of every window, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """``doc_id, n_words, n_hit, item_ids`` of every document: exact phrases, or with *span* proximity matches."""
     scratch = Scratch(documents.sparkSession)
     index = build_index(documents, scratch)
-    windows = scratch.write(test_windows(benchmark, window), "index-windows")
+    windows = scratch.write(item_windows(benchmark, window), "index-windows")
     plans = scratch.write(search_plans(index, windows, scratch), "index-plans")
     blocks = -(-plans.count() // block_windows)
     hits = None

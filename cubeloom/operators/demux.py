@@ -143,6 +143,22 @@ def locate_primers(
     return joined.select(*reads.columns, hit.alias("hit"))
 
 
+def primer_list(forward: DataFrame, reverse: DataFrame | None = None) -> list[tuple[str, str]] | list[tuple[str, str, str]]:
+    """Primers of a design list (``rec_no, name, seq``) as :func:`locate_primers` takes them; with a second list each with its partner by position.
+
+    Lists of different lengths and other letters than those of nucleotides are errors.
+    """
+    lists = [[(r["name"], r["seq"].upper()) for r in frame.orderBy("rec_no").collect()] for frame in (forward, reverse) if frame is not None]
+    for name, seq in (x for listed in lists for x in listed):
+        if not seq or set(seq) - set("ACGTMRWSYKVHDBNI"):
+            raise ValueError(f"not a primer: {name}")
+    if len(lists) == 1:
+        return lists[0]
+    if len(lists[0]) != len(lists[1]):
+        raise ValueError("the primer lists differ in length")
+    return [(name, seq, other) for (name, seq), (_, other) in zip(*lists)]
+
+
 def cut_primer(located: DataFrame, mask: bool = False) -> DataFrame:
     """Reads with a hit, the primer at the head cut off, or with *mask* put in lower case."""
     n = F.col("hit.end") + 1

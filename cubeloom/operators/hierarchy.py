@@ -34,6 +34,13 @@ def without_root(nodes: DataFrame, root: int = 1) -> DataFrame:
     return nodes.filter(F.col("taxid") != root).withColumn("rank", normal_rank(F.col("rank")))
 
 
+def write_taxonomy(nodes: DataFrame, names: DataFrame, acc_taxid: DataFrame, path: str, root: int = 1) -> None:
+    """The normalised tables of a taxonomy under *path*: ``nodes`` without the root, one scientific name per node in ``names``, and ``acc_taxid``."""
+    without_root(nodes, root).select("taxid", "parent", "rank").write.parquet(f"{path}/nodes")
+    scientific_names(names).write.parquet(f"{path}/names")
+    acc_taxid.select("acc", "taxid").distinct().write.parquet(f"{path}/acc_taxid")
+
+
 def scientific_names(names: DataFrame) -> DataFrame:
     """``taxid, name``: one scientific name per node, the first by order of names."""
     return names.filter("nameclass = 'scientific name'").groupBy("taxid").agg(F.min("name").alias("name"))

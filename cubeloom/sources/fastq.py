@@ -77,6 +77,15 @@ def mate_pairs(files: DataFrame) -> DataFrame:
     return files.groupBy(key.alias("key")).agg(F.min(F.when(~second, F.col("file"))).alias("forward"), F.min(F.when(second, F.col("file"))).alias("reverse")).drop("key")
 
 
+def sample_files(files: DataFrame) -> DataFrame:
+    """:func:`mate_pairs` of a run's files without those of undetermined reads and incomplete UMIs; pairs beside single files are an error."""
+    pairs = mate_pairs(files.filter(~F.col("file").rlike("__(undetermined|incompleteUMI)")))
+    kinds = pairs.agg(F.count_if(F.col("reverse").isNull()).alias("single"), F.count("reverse").alias("paired")).first()
+    if kinds["single"] and kinds["paired"]:
+        raise ValueError(f"{kinds['paired']} pairs beside {kinds['single']} single files")
+    return pairs
+
+
 def import_named(records: DataFrame, mapping: DataFrame) -> DataFrame:
     """Records of the files in ``file, samplename``, the sample being added to their names; a sample or file named twice is an error."""
     sizes = mapping.agg(F.count("*").alias("n"), F.countDistinct("file").alias("f"), F.countDistinct("samplename").alias("s")).first()

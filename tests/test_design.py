@@ -115,6 +115,35 @@ def test_totals_that_differ(spark):
             filters.with_checked_totals(spark.createDataFrame(sizes, "name string, size long"), members).collect()
 
 
+def test_files_of_samples(spark):
+    names = ["r__a__p.forward.fastq", "r__a__p.reverse.fastq", "r__undetermined__p.forward.fastq", "r__b__p__incompleteUMI.fastq"]
+    frame = spark.createDataFrame([(n,) for n in names], "file string")
+    assert rows_of(fastq.sample_files(frame)) == [(names[0], names[1])]
+    with pytest.raises(ValueError, match="1 pairs beside 1 single"):
+        fastq.sample_files(frame.unionByName(spark.createDataFrame([("r__c__p.fastq",)], "file string")))
+
+
+def test_primer_lists(spark):
+    schema = "rec_no long, name string, seq string"
+    first = spark.createDataFrame([(1, "p2", "ggrc"), (0, "p1", "ACGNT")], schema)
+    assert demux.primer_list(first) == [("p1", "ACGNT"), ("p2", "GGRC")]
+    assert demux.primer_list(first, spark.createDataFrame([(0, "q1", "TT"), (1, "q2", "AA")], schema)) == [("p1", "ACGNT", "TT"), ("p2", "GGRC", "AA")]
+    for wrong in ([(0, "q", "TT")], [(0, "q", "T-"), (1, "r", "A")]):
+        with pytest.raises(ValueError, match="primer"):
+            demux.primer_list(first, spark.createDataFrame(wrong, schema))
+
+
+def test_taxonomy_sink(spark, tmp_path):
+    from cubeloom.operators import hierarchy
+
+    nodes = spark.createDataFrame([(1, 1, "no rank"), (2, 1, "domain"), (3, 2, "genus")], "taxid long, parent long, rank string")
+    names = spark.createDataFrame([(2, "B", "scientific name"), (2, "C", "synonym"), (3, "G", "scientific name")], "taxid long, name string, nameclass string")
+    hierarchy.write_taxonomy(nodes, names, spark.createDataFrame([("x", 3), ("x", 3)], "acc string, taxid long"), str(tmp_path / "t"))
+    read = lambda t: rows_of(spark.read.parquet(str(tmp_path / "t" / t)))
+    assert read("nodes") == [(1, "superkingdom", 2), (2, "genus", 3)]
+    assert read("names") == [("B", 2), ("G", 3)] and read("acc_taxid") == [("x", 3)]
+
+
 def test_records_without_a_layout(spark):
     rows = [("AC", "II", None, None, None, None, None, None)]
     names = ", ".join(f"seq{i} string, qual{i} string" for i in range(1, 5))

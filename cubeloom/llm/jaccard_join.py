@@ -207,24 +207,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.select("left", "right", "x", "y").mapInArrow(lean(run), "left long, right long")
 
 
-def _next_pairs(members: DataFrame, sets: DataFrame, done: DataFrame | None, leaders: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Possible pairs across components in groups that have several, and the leaders (``block, set_a``) they come from.
+def _leaders(members: DataFrame, done: DataFrame | None, most: int) -> DataFrame:
+    """``block, leader, other`` (the leader's component) of *members* (``block, set_a, component``): up to *most* of each group that has several components.
 
-    *members*: ``block, set_a, component``.  The largest component of a group needs no leaders.
+    The largest component of a group needs no leaders; *done* has those of rounds before.
     """
     parts = members.groupBy("block", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("block").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    inside = members.join(mixed.select("block", F.col("largest.component").alias("main")), "block")
-    inside = scratch.replace(inside.join(sets.select("set_a", "n", "bits"), "set_a").join(parts, ["block", "component"]), "join-mixed")
-    few = inside.filter("component != main")
+    small = parts.join(mixed.select("block", F.col("largest.component").alias("main")), "block").filter("component != main").drop("main")
+    few = members.join(small, ["block", "component"])
     if done is not None:
         few = few.join(done, ["block", "set_a"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("block").orderBy("size", "component", "set_a"))
-    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= leaders)
-    chosen = scratch.write(chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "join-leaders")
-    possible = (inside["block"] == chosen["block"]) & (F.col("component") != F.col("other")) & _may_link("n", "bits", "m", "own_bits", percent)
-    pairs = chosen.join(inside, possible).select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
-    return pairs, chosen.select("block", F.col("leader").alias("set_a"))
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"))
+
+
+def _led_pairs(members: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of leaders and members of other components in their groups that short sketches let link."""
+    short = sets.select("set_a", "n", "bits")
+    inside = members.join(chosen.select("block").distinct(), "block").join(short, "set_a")
+    inside = scratch.replace(inside.select("block", "set_a", "component", "n", "bits"), "join-mixed")
+    led = chosen.join(short.select(F.col("set_a").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "leader")
+    possible = (inside["block"] == led["block"]) & (F.col("component") != F.col("other")) & _may_link("n", "bits", "m", "own_bits", percent)
+    return led.join(inside, possible).select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, leaders: int = 256) -> DataFrame:
@@ -268,14 +274,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
             links = found if parts is None else found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             parts = components(links, scratch)
         placed = node_of.join(parts, "node", "left").select("set_a", F.coalesce("component", "node").alias("component"))
-        pairs, used = _next_pairs(groups.select("block", "set_a").join(placed, "set_a"), sets, done, leaders, percent, scratch)
-        if used.isEmpty():
+        current = scratch.replace(groups.select("block", "set_a").join(placed, "set_a"), "join-current")
+        chosen = scratch.write(_leaders(current, done, leaders), "join-leaders")
+        if chosen.isEmpty():
             break
         leaders *= 4
-        pairs = scratch.replace(pairs, "join-pairs")
+        pairs = scratch.replace(_led_pairs(current, chosen, sets, percent, scratch), "join-pairs")
+        used = chosen.select("block", F.col("leader").alias("set_a"))
         done = used if done is None else done.unionByName(used)
     # One row per set on the one side, written; the copies of a set are on the other, where Spark can split a skewed key.
-    scratch.drop("join-mixed", "join-sets", "join-groups", "join-pairs", "join-links")
+    scratch.drop("join-mixed", "join-current", "join-leaders", "join-sets", "join-groups", "join-pairs", "join-links")
     owners = scratch.write(nodes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "join-owners")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     linked = sketched.filter(~alone).select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.functions.alignment import Scores, align, same
+from cubeloom.functions.alignment import Scores, align_many, same
 from cubeloom.session import with_places, written
 
 
@@ -22,9 +22,12 @@ def kmers(sequence: Column, k: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(sequence, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
-def identity(a: str, b: str, scores: Scores = Scores(match=2, mismatch=-4, gap_open=-20, gap_extend=-2)) -> float:
-    """Share of equal columns of the overlap; a gap run counts as one column."""
-    x, y = align(a, b, scores)
+def identities(a: list[str], b: list[str], scores: Scores = Scores(match=2, mismatch=-4, gap_open=-20, gap_extend=-2)) -> list[float]:
+    """Of each pair the share of equal columns of the overlap; a gap run counts as one column."""
+    return [_identity(x, y) for x, y in align_many(a, b, scores)]
+
+
+def _identity(x: str, y: str) -> float:
     lead = max(len(x) - len(x.lstrip("-")), len(y) - len(y.lstrip("-")))
     stop = min(len(x.rstrip("-")), len(y.rstrip("-")))
     equal = columns = 0
@@ -51,7 +54,7 @@ def shared_kmer_hits(queries: DataFrame, targets: DataFrame, k: int = 8, min_sha
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"query": frame["query"], "target": frame["target"], "identity": [identity(a, b) for a, b in zip(frame["a"], frame["b"])]})
+            yield pd.DataFrame({"query": frame["query"], "target": frame["target"], "identity": identities(frame["a"].tolist(), frame["b"].tolist())})
 
     return sides.select("query", "target", "a", "b").mapInPandas(run, "query string, target string, identity double").filter(F.col("identity") >= min_identity)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.functions.alignment import Scores, locate
+from cubeloom.functions.alignment import Scores, locate_many
 from cubeloom.functions.sequences import qualities, reverse_complement
 
 
@@ -123,17 +123,14 @@ def locate_primers(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text in frame["__head"]:
-                hits = []
-                for name, primer in primers:
-                    part = text[: 2 * len(primer)] if at_head else text
-                    at = locate(part, primer, at_head, scores, skip_n, umi_limit)
+            texts = frame["__head"].tolist()
+            out: list[list[tuple]] = [[] for _ in texts]
+            for name, primer in primers:
+                open_ = [k for k, hits in enumerate(out) if all_hits or not hits]
+                places = locate_many([texts[k][: 2 * len(primer)] if at_head else texts[k] for k in open_], primer, at_head, scores, skip_n, umi_limit)
+                for k, at in zip(open_, places):
                     if at.share <= max_share and (max_mismatches is None or at.mismatches <= max_mismatches):
-                        hits.append((name, at.start, at.end, at.mismatches, at.share, at.umi))
-                        if not all_hits:
-                            break
-                out.append(hits)
+                        out[k].append((name, at.start, at.end, at.mismatches, at.share, at.umi))
             yield pd.DataFrame({"__head": frame["__head"], "hits": out})
 
     schema = T.StructType([T.StructField("__head", T.StringType()), T.StructField("hits", T.ArrayType(_FOUND))])

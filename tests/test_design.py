@@ -144,6 +144,19 @@ def test_taxonomy_sink(spark, tmp_path):
     assert read("names") == [("B", 2), ("G", 3)] and read("acc_taxid") == [("x", 3)]
 
 
+def test_alignments_of_many_are_those_of_each(monkeypatch):
+    from cubeloom.functions import alignment
+
+    draw = random.Random(5)
+    word = lambda sizes: "".join(draw.choice("ACGTN") for _ in range(draw.choice(sizes)))
+    pairs = [(word([0, 1, 7, 12]), word([0, 3, 6])) for _ in range(200)]
+    for scores in (alignment.Scores(), alignment.Scores(2, -4, -20, -2), alignment.Scores(end_gap="gap")):
+        single = [alignment.align(*p, scores) for p in pairs]
+        monkeypatch.setattr(alignment, "_TOGETHER", 7)
+        assert alignment.align_many(*zip(*pairs), scores) == single
+        assert all((a.replace("-", ""), b.replace("-", "")) == p and len(a) == len(b) for (a, b), p in zip(single, pairs))
+
+
 def test_records_without_a_layout(spark):
     rows = [("AC", "II", None, None, None, None, None, None)]
     names = ", ".join(f"seq{i} string, qual{i} string" for i in range(1, 5))

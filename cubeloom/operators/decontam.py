@@ -185,6 +185,16 @@ def removed(cube: DataFrame, judged: DataFrame) -> DataFrame:
     return cube.join(judged.filter("not kept").select("samplename", "otuname"), ["samplename", "otuname"], "left_semi")
 
 
+def levels(cube: DataFrame, level: float = 0.05, adjust: str = "bonferroni", unit: str = "otu") -> DataFrame:
+    """``samplename, otuname, alpha``: the level at which each positive cell is tested."""
+    return _levels(cube.filter("nreads > 0"), level, adjust, unit).select("samplename", "otuname", "alpha")
+
+
+def sequences_left(sequences: DataFrame, cube: DataFrame) -> DataFrame:
+    """Sequences (``name``) of the items that still have reads."""
+    return sequences.join(cube.filter("nreads > 0").select(F.col("otuname").alias("name")).distinct(), "name", "left_semi")
+
+
 def truncated_members(members: DataFrame, cube: DataFrame) -> DataFrame:
     """Members (``otuname, readname, samplename, rec_no``) cut to the first ``nreads`` of each cell that is left."""
     from pyspark.sql import Window

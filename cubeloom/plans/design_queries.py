@@ -431,3 +431,19 @@ def rarefied_sizes(spark, d):
     depths = cells.groupBy("samplename").agg(F.least(F.sum("nreads"), F.lit(40)).alias("depth"))
     drawn = quantify.rarefy(cells, depths, replicates=3, seed=5)
     return drawn.groupBy(F.col("replicate").cast("long").alias("replicate"), "samplename").agg(F.sum("nreads").alias("nreads"))
+
+
+@query("test_levels", f"WITH {_TYPES} SELECT samplename, otuname, 0.05 / count(*) OVER (PARTITION BY otuname) AS alpha FROM cube_t WHERE nreads > 0")
+def levels_of_tests(spark, d):
+    return decontam.levels(_cube_t(spark, d))
+
+
+@query("sequences_left", f"{fx.cte('cube_l')} SELECT concat('otu_', CAST(p_partkey AS VARCHAR)) AS name, md5(p_name) AS seq FROM part WHERE concat('otu_', CAST(p_partkey AS VARCHAR)) IN (SELECT otuname FROM cube_l WHERE nreads > 45)")
+def sequences_left(spark, d):
+    part = fx.table(spark, d, "part").select(F.concat(F.lit("otu_"), F.col("p_partkey").cast("string")).alias("name"), F.md5(F.col("p_name").cast("binary")).alias("seq"))
+    return decontam.sequences_left(part, fx.cube_l(spark, d).filter("nreads > 45"))
+
+
+@query("word_freq_log", f"WITH {_TYPES} SELECT samplename, otuname AS name, floor(ln(nreads * exp(20.0) / max(nreads) OVER (PARTITION BY samplename)) + 0.5) AS freq FROM cube_t QUALIFY freq > 0")
+def word_freq_log(spark, d):
+    return quantify.word_frequencies(_cube_t(spark, d), log_scale=True)

@@ -520,7 +520,9 @@ def score_documents(
     words = scratch.write(words, "brown-known", "zstd")
     scratch.drop("brown-words", "brown-classes")
     places = chunks.select("chunk_id", F.posexplode("words").alias("at", "word"))
-    labelled = scratch.write(labelled_chunks(chunks, places.join(words, "word").select("chunk_id", "at", "n", "class"), by_ending), "brown-labelled", "zstd")
-    scratch.drop("brown-chunks")
+    # Written by itself, so that the shuffles of the join are gone when those of the chunks begin.
+    placed = scratch.write(places.join(words, "word").select("chunk_id", "at", "n", "class"), "brown-placed", "zstd")
+    labelled = scratch.write(labelled_chunks(chunks, placed, by_ending), "brown-labelled", "zstd")
+    scratch.drop("brown-chunks", "brown-placed")
     model = fit(labelled, words, by_ending, tokens, ends, distinct, n_classes, prior)
     return scratch.finish(score_chunks(labelled, model), "brown")

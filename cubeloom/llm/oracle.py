@@ -111,3 +111,32 @@ ORACLES = {
     "op7_line_rules": LINE_RULES,
     "op8_jaccard_join": JACCARD_JOIN,
 }
+
+
+def _codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Weighted Lloyd as SQL: a pair of tables (nearest entries, means) for each round."""
+
+    def nearest(book: str) -> str:
+        apart = "list_sum(list_transform(list_zip(u.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"SELECT u.p, u.part, u.n, arg_min(b.k, ({apart}, b.k)) AS k, min({apart}) AS error FROM u JOIN {book} b USING (p) GROUP BY 1, 2, 3"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({nearest(f'book{r}')})")
+        total, many = "sum(part[i] * n)", "sum(n)"
+        mean = f"({total} - ({total} % {many} + {many}) % {many}) // {many}"  # the floor of the quotient
+        total = f"SELECT p, k, i, CAST({mean} AS BIGINT) AS x FROM near{r}, generate_series(1, len(part)) AS g(i) GROUP BY 1, 2, 3"
+        steps.append(f"book{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.part, b.part) AS part FROM book{r} b LEFT JOIN (SELECT p, k, list(x ORDER BY i) AS part FROM ({total}) GROUP BY 1, 2) m USING (p, k))")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ cut AS MATERIALIZED (SELECT row, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS part FROM kept, range({parts}) AS r(p)),
+ u AS MATERIALIZED (SELECT p, part, count(*) AS n FROM cut GROUP BY 1, 2),
+ book0 AS MATERIALIZED (SELECT p, k, part FROM (SELECT row, row_number() OVER (ORDER BY vec_id, v) - 1 AS k FROM kept WHERE vec_id IS NOT NULL) JOIN cut USING (row) WHERE k < {entries}),
+ {", ".join(steps)},
+ coded AS MATERIALIZED ({nearest(f"book{rounds}")}),
+ codes AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM cut JOIN coded USING (p, part) GROUP BY row),
+ books AS (SELECT sha256(string_agg(x, ',' ORDER BY p, k)) AS codebooks_sha256 FROM (SELECT p, k, array_to_string(part, ',') AS x FROM book{rounds}))
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN kept USING (row) CROSS JOIN books"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()

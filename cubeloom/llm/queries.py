@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import bpe, brown_lm, html_text, jaccard_join, line_rules, positional_index, quality, substring_dedup, token_counts, url_filter
+from cubeloom.llm import bpe, brown_lm, html_text, jaccard_join, line_rules, packing, positional_index, quality, spelling_variants, substring_dedup, token_counts, url_filter, vector_codes
 from cubeloom.llm.common import table
 from cubeloom.llm.oracle import ORACLES
 
@@ -58,6 +58,25 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def word_bpe_path() -> str:
+    """Where the public BPE file of whole words is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_lm": op1_brown_lm,
@@ -70,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_token_counts": op9_token_counts,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_packing": op11_packing,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 

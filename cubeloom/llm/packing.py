@@ -28,6 +28,7 @@ empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -43,47 +44,88 @@ from pyspark.sql import functions as F
 from cubeloom.llm.common import Scratch, bound_batches, lean
 
 CLOSING = 1
-#: Words whose ids a task remembers, and words that are encoded at a time.
-_REMEMBERED, _TOGETHER = 400_000, 20_000
+#: Words whose ids a task remembers (twice so many at most), and words that are encoded at a time.
+_REMEMBERED, _TOGETHER = 250_000, 20_000
 
 
 # tokens
 
 
+#: Fixed value: the pattern by which the tokenizer cuts words; what it doesn't match is dropped.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII punctuation but for the apostrophe, which contractions begin with.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_BORDERS = (rf"([A-Za-z0-9])([{_MARKS}])", rf"([{_MARKS}])([A-Za-z0-9])")
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and joins nothing across it.
+    """Ids of texts by a tokenizer that lower-cases, cuts by ``_PATTERN`` and drops white space.
 
-    A text's ids are those of its words (between ASCII white space) one after
-    another, so each different word is encoded once and then remembered.
+    Nothing is joined across ASCII white space, nor across a border of an ASCII letter
+    or digit and a mark, so a text's ids are those of its words one after another.  Each
+    different word is encoded once and then remembered, as long as it was met lately.
+    Texts that hold a special token's letters are cut at white space only.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        known = json.loads(definition)
+        steps = [known["pre_tokenizer"], *known["pre_tokenizer"].get("pretokenizers", [])]
+        if not any(x.get("pattern") == {"Regex": _PATTERN} and x["behavior"] == "Removed" and x["invert"] for x in steps):
+            raise ValueError("packing needs a tokenizer that drops white space")
+        if not any(x["type"] == "Lowercase" for x in [known["normalizer"], *known["normalizer"].get("normalizers", [])]):
+            raise ValueError("packing needs a tokenizer that lower-cases")
         self.model = Tokenizer.from_str(definition)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.special = [(t.content, i) for i, t in self.model.get_added_tokens_decoder().items()]
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """The packed ids of *words*: they are encoded in one go, with a special token between, but for words that hold one."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if not any(content in w for content, _ in self.special)] if self.special else []
+        if plain:
+            between, number = self.special[0]
+            ids = np.array(self.model.encode_batch_fast([between.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            borders = [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
+            packed = ids.tobytes()
+            out = {w: packed[4 * lo + 4 : 4 * hi] for w, lo, hi in zip(plain, borders, borders[1:], strict=False) if len(borders) == len(plain) + 1}
+        rest = [w for w in words if w not in out]
+        for word, coded in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
+            out[word] = np.array(coded.ids, dtype="<u4").tobytes()
+        return [out[w] for w in words]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as packed 32-bit numbers."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {}
-            new = words
-        found = {}
+        """The ids of each of different *words* as packed 32-bit numbers."""
+        found = {w: x for w in words if (x := self.lately.get(w) or self.before.get(w)) is not None}
+        new = [w for w in words if w not in found]
         for at in range(0, len(new), _TOGETHER):
             some = new[at : at + _TOGETHER]
-            for word, coded in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                found[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        if len(found) <= _REMEMBERED:
-            self.known.update(found)
-        return [found[w] if w in found else self.known[w] for w in words]
+            found.update(zip(some, self._coded(some)))
+        self.lately.update(found)
+        if len(self.lately) > _REMEMBERED:
+            self.before, self.lately = self.lately if len(self.lately) < 2 * _REMEMBERED else {}, {}
+        return [found[w] for w in words]
+
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        """*texts* in small letters and with borders of words as spaces, where no special token is near."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.take(pa.array(np.arange(len(texts))))  # no slice: Arrow's lower-casing forgets where one begins
+        plain = texts
+        for pattern in _BORDERS:
+            plain = pc.replace_substring_regex(plain, pattern, r"\1 \2")
+        plain = pc.ascii_lower(plain)
+        for content, _ in self.special:
+            plain = pc.if_else(pc.match_substring(texts, content), texts, plain)
+        return plain
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of *texts* (null: none) one after another, and the number of each text's ids."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        lists = pc.ascii_split_whitespace(self._prepared(texts))
         coded = lists.values.dictionary_encode()
         packed = self.words(coded.dictionary.to_pylist())
         ids = np.frombuffer(b"".join(packed), dtype="<u4")
@@ -390,7 +432,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, gap: float =
     Every sequence has *capacity* tokens, or a power of two of them.
     """
     spark = df.sparkSession
-    bound_batches(spark, rows=1000, size=8 << 20)
+    bound_batches(spark, rows=4000, size=16 << 20)
     scratch = Scratch(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()

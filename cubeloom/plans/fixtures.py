@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeloom.session import written
+
 SQL = {
     "cube_l": """cube_l AS (SELECT concat('run1__s', CAST(l_suppkey AS VARCHAR), '__', l_returnflag) AS samplename,
         concat('otu_', CAST(l_partkey AS VARCHAR)) AS otuname, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS nreads
@@ -30,6 +32,12 @@ SQL = {
 }
 
 
+SQL["seq_l"] = """seq_l AS (SELECT doc_id, concat('d', CAST(doc_id AS VARCHAR)) AS name, translate(concat(md5(text), md5(concat(text, '1')), md5(concat(text, '2')), md5(concat(text, '3'))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM documents WHERE text IS NOT NULL)"""
+#: The true sequences of ``reads_l``: every second one differs from the one before in its tenth letter.
+SQL["true_l"] = """true_l AS (SELECT k, CASE WHEN k % 2 = 0 THEN t ELSE concat(substr(t, 1, 9), translate(substr(t, 10, 1), 'ACGT', 'CGTA'), substr(t, 11)) END AS seq
+        FROM (SELECT k, translate(concat(md5(concat('t', CAST(k // 2 AS VARCHAR))), md5(concat('u', CAST(k // 2 AS VARCHAR)))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS t FROM (SELECT DISTINCT l_suppkey % 40 AS k FROM lineitem)))"""
+
+
 def cte(*names: str) -> str:
     """A ``WITH`` clause of the named tables."""
     return "WITH " + ", ".join(SQL[n] for n in names)
@@ -90,6 +98,35 @@ def seq_d(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def seq_l(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of 128 letters, one for each text."""
+    text = F.col("text")
+    digests = F.concat(*[F.md5(F.concat(text, F.lit(x)).cast("binary")) for x in ("", "1", "2", "3")])
+    return table(spark, d, "documents").filter(text.isNotNull()).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.translate(digests, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
+
+def reads_l(spark: SparkSession, d: str) -> DataFrame:
+    """``readname, seq, qual``: a read of 64 letters for each line item, copied from a true sequence with errors at the rates of their qualities.
+
+    Qualities are 40, 30, 20 and 12, and an error is the next letter but one or two.
+    """
+    k = F.col("l_suppkey") % 40
+    half = F.floor(k / 2).cast("long").cast("string")
+    digits = F.concat(F.md5(F.concat(F.lit("t"), half).cast("binary")), F.md5(F.concat(F.lit("u"), half).cast("binary")))
+    base = F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT")
+    other = F.concat(F.substring(base, 1, 9), F.translate(F.substring(base, 10, 1), "ACGT", "CGTA"), F.substring(base, 11, 64))
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    noise = F.translate(F.concat(F.md5(key.cast("binary")), F.md5(F.concat(key, F.lit("q")).cast("binary"))), "0123456789abcdef", "IIIIIIIIII???55-")
+    # Written, or each letter would compute all digests again.
+    items = written(table(spark, d, "lineitem").select(key.alias("readname"), F.when(k % 2 == 0, base).otherwise(other).alias("true_seq"), noise.alias("qual")), "items")
+    letter, quality = lambda i: F.substring("true_seq", i, F.lit(1)), lambda i: F.substring("qual", i, F.lit(1))
+    dice = lambda i: F.crc32(F.concat_ws("#", "readname", i.cast("string")).cast("binary")) % 100_000
+    rate = lambda i: F.when(quality(i) == "I", 10).when(quality(i) == "?", 100).when(quality(i) == "5", 1000).otherwise(6310)
+    wrong = lambda i: F.when(dice(i) % 3 == 0, F.translate(letter(i), "ACGT", "CGTA")).when(dice(i) % 3 == 1, F.translate(letter(i), "ACGT", "GTAC")).otherwise(F.translate(letter(i), "ACGT", "TACG"))
+    read = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(dice(i) < rate(i), wrong(i)).otherwise(letter(i))), "")
+    return written(items.select("readname", read.alias("seq"), "qual"), "reads")
+
+
 def keys(spark: SparkSession, d: str, status: str) -> DataFrame:
     return table(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").cast("string").alias("acc"))
 

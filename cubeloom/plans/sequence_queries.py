@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cubeloom.functions import sequences as sq
-from cubeloom.operators import clusters, demux, reads
+from cubeloom.operators import chimeras, clusters, demux, reads, search
+from cubeloom.operators import denoise as error_model
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
 from cubeloom.session import written
@@ -235,3 +236,64 @@ def chimera_flag(spark, d):
     other = seqs.select(F.expr("concat('d', cast(substr(name, 2) as bigint) + 1)").alias("name"), F.col("seq").alias("tail"))
     made = seqs.join(other, "name").select(F.concat(F.lit("x"), "name").alias("name"), F.concat(F.substring("seq", 1, 16), F.expr("substr(tail, 17)")).alias("seq"), F.lit(10).cast("long").alias("size"))
     return clusters.two_parent_chimeras(seqs.unionByName(made))
+
+
+@query("denoise_error_model", f"{fx.cte('true_l')} SELECT DISTINCT seq AS denoised FROM true_l")
+def denoise_error_model(spark, d):
+    return error_model.variants(error_model.denoised_reads(fx.reads_l(spark, d), rounds=2)).select("denoised")
+
+
+def _joined_pairs(spark, d):
+    """Sequences of documents (large), and joins of every document's first and the next one's last letters with three changes (small)."""
+    seqs = fx.seq_l(spark, d).select("name", "seq")
+    other = seqs.select(F.expr("concat('d', cast(substr(name, 2) as bigint) - 1)").alias("name"), F.col("seq").alias("tail"))
+    at = (44 + F.crc32(F.col("name").cast("binary")) % 40).cast("int")
+    joined = seqs.join(other, "name").filter("seq != tail")
+    made = joined.select(F.concat(F.lit("x"), "name").alias("name"), F.concat(F.substring("seq", F.lit(1), at), F.substring("tail", at + 1, F.lit(128))).alias("seq"))
+    for place in (12, 70, 110):
+        made = made.withColumn("seq", F.concat(F.substring("seq", 1, place - 1), F.translate(F.substring("seq", place, 1), "ACGT", "CGTA"), F.substring("seq", place + 1, 128)))
+    return seqs.withColumn("size", F.lit(100).cast("long")).unionByName(made.withColumn("size", F.lit(10).cast("long")))
+
+
+@query("chimera_scored", f"{fx.cte('seq_l')} SELECT concat('x', a.name) AS name FROM seq_l a JOIN seq_l b ON b.doc_id = a.doc_id + 1 WHERE a.seq != b.seq")
+def chimera_scored(spark, d):
+    return chimeras.denovo(_joined_pairs(spark, d)).select("name")
+
+
+@query(
+    "search_indexed",
+    f"""{fx.cte("seq_l")}, first AS (SELECT seq, min(name) AS target FROM seq_l GROUP BY 1)
+ SELECT concat('r', CAST(doc_id AS VARCHAR)) AS query, target, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
+ CAST(CASE WHEN substr(seq, 31, 1) = 'A' THEN 101 ELSE 100 END AS BIGINT) AS matches, CAST(101 AS BIGINT) AS columns, CAST(4 AS BIGINT) AS target_start, CAST(105 AS BIGINT) AS target_end FROM seq_l JOIN first USING (seq)""",
+)
+def search_indexed(spark, d):
+    seqs = fx.seq_l(spark, d)
+    index = search.store(seqs.select("name", "seq"), 12, buckets=8)
+    # The letters 5 to 105 with an A at 31; odd documents on the other strand.
+    part = F.concat(F.substring("seq", 5, 26), F.lit("A"), F.substring("seq", 32, 74))
+    read = F.when(F.col("doc_id") % 2 == 0, part).otherwise(sq.reverse_complement(part))
+    reads_ = written(seqs.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("name"), read.alias("seq")), "reads")
+    found = search.best_hits(search.hits(reads_, index, 0.95))
+    return found.select("query", "target", "strand", "matches", "columns", "target_start", "target_end")
+
+
+@query("remapped_unmatched", f"{fx.cte('seq_l')} SELECT concat('u', CAST(doc_id AS VARCHAR)) AS name FROM seq_l")
+def remapped_unmatched(spark, d):
+    seqs = fx.seq_l(spark, d)
+    index = search.store(seqs.filter("doc_id % 2 = 0").select("name", "seq"), 12, buckets=8)
+    # Letters in another order match nothing; they are reported as unmatched.
+    reads_ = seqs.select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("name"), F.translate(F.concat(F.substring("seq", 65, 64), F.substring("seq", 1, 64)), "ACGT", "CGTA").alias("seq"))
+    return search.remapped(written(reads_, "reads"), index, 0.95).filter("target is null").select("name")
+
+
+@query(
+    "clustered_strands",
+    f"""{fx.cte("seq_l")}, u AS (SELECT seq, min(name) AS name, count(*) AS size FROM seq_l GROUP BY 1)
+ SELECT name, name AS centroid, '+' AS strand FROM u UNION ALL SELECT concat('v', name), name, '-' FROM u""",
+)
+def clustered_strands(spark, d):
+    true = reads.dereplicate(fx.seq_l(spark, d).select("name", "seq")).select(F.col("representative").alias("name"), "seq", F.col("size") * 3)
+    true = true.toDF("name", "seq", "size")
+    wrong = F.concat(F.substring("seq", 1, 59), F.translate(F.substring("seq", 60, 1), "ACGT", "CGTA"), F.substring("seq", 61, 128))
+    other = true.select(F.concat(F.lit("v"), "name").alias("name"), sq.reverse_complement(wrong).alias("seq"), F.lit(1).cast("long").alias("size"))
+    return search.clustered(written(true.unionByName(other), "sequences"), 0.97, k=12)

@@ -118,6 +118,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary_list(column)]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """*name*, lengthened until *df* has no such column in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(id_column: str, folds: int):
     """crc32 of the id as text, modulo *folds* (null ids fall in fold 0)."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(folds), F.lit(0)).cast("int")

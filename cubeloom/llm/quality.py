@@ -249,14 +249,16 @@ def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3) ->
     """The rows of *documents*, with all their columns, whose text scores *threshold* or more."""
     bound_batches(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast(machine)
-    at, width = documents.columns.index("text"), len(documents.columns)
+    names, at, width = documents.columns, documents.columns.index("text"), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = scores(shipped.value, text_bytes(batch.column(at)), batch.column(width).to_pylist()) >= threshold
-            yield batch.select(list(range(width))).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=names).filter(pa.array(good))
 
-    return documents.withColumn("__quality_meta", metadata(documents)).mapInArrow(lean(run), documents.schema)
+    # Columns go by number, whatever their names are.
+    numbered = documents.select("*", metadata(documents)).toDF(*(f"c{i}" for i in range(width + 1)))
+    return numbered.mapInArrow(lean(run), documents.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cubeloom.llm import quality
@@ -69,3 +70,16 @@ def test_decontamination_stage_drops_hits_by_id_and_text(spark, docs):
 def test_stages_of_nothing(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).collect() == []
+
+
+def test_further_columns_are_carried_as_they_are(spark, docs):
+    """Columns under the names that a stage might take for its own, in any case of letters, and a column of maps."""
+    extra = {n: F.lit(f"own {n}") for n in ("__key", "__cut", "__rest", "__document_key", "__quality_meta", "document_key", "Text_Key", "cut_text", "CUT_text_", "quality_meta", "further_columns", "least_columns", "key", "component_id", "a.b")}
+    wide = docs.withColumns(extra | {"pairs": F.create_map(F.lit("k"), F.col("source"))})
+    for name in ("quality", "near_duplicates", "substring_dedup", "decontamination"):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        found, plain = stage(spark, wide, SMALL), stage(spark, docs, SMALL)
+        assert found.columns == wide.columns
+        assert sorted(map(repr, plain_rows(found))) == sorted(map(repr, plain_rows(plain)))
+        for r in found.collect():
+            assert all(r[n] == f"own {n}" for n in extra) and r["pairs"] == {"k": r["source"]}

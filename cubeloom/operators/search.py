@@ -191,7 +191,7 @@ def hits(queries: DataFrame, index: Index, identity: float = 0.97, both_strands:
                     share = found[:, 1] / np.maximum(found[:, 2], 1)
                     covered = (found[:, 4] - found[:, 3]) / some["target_seq"].str.len().to_numpy()
                     made = pd.DataFrame({"query": some["query"].str[1:].tolist(), "strand": some["query"].str[0].tolist(), "target": some["target"].tolist(), "score": found[:, 0], "matches": found[:, 1], "columns": found[:, 2], "identity": share, "target_start": found[:, 3], "target_end": found[:, 4], "coverage": covered})
-                    yield made[(share >= identity - 1e-12) & (found[:, 2] >= min_columns)]
+                    yield made[(found[:, 0] > _LOW // 2) & (share >= identity - 1e-12) & (found[:, 2] >= min_columns)]  # no path at all scores _LOW
 
     chosen = sides.select("query", "target", "diagonal", "seq", "target_seq").mapInPandas(run, _HITS)
     order = Window.partitionBy("query", "strand", "target").orderBy(F.desc("score"), F.desc("matches"), "target_start")

@@ -1,56 +1,48 @@
 """FASTQ files: one to four files in step, mates, imports, submission tables.
 
-A file is read whole by a task, as compressed FASTQ can't be split; records are
-numbered in the reader, so that files read in step are joined by number.
+Files are streamed by the source of :mod:`cubeloom.sources.records`: compressed
+ones as a whole, plain ones in ranges that are numbered by a count of their records.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import lzma
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OPENERS = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}
-_RECORDS = "file string, rec_no long, name string, seq string, qual string"
+from cubeloom.session import shared_dir
+from cubeloom.sources import records as source
 
 
-def _parse(data: bytes, path: str) -> Iterator[tuple[str, str, str]]:
-    import io
-
-    opener = _OPENERS.get(path.rpartition(".")[2])
-    lines = io.TextIOWrapper(opener(io.BytesIO(data)) if opener else io.BytesIO(data), encoding="utf-8", newline=None)
-    while head := lines.readline():
-        head = head.rstrip("\n")
-        if not head:
-            continue
-        seq, plus, qual = (lines.readline().rstrip("\n") for _ in range(3))
-        seq, qual = "".join(c for c in seq.upper() if c.isalpha()), "".join(qual.split())
-        if not head.startswith("@") or not plus.startswith("+") or len(seq) != len(qual):
-            raise ValueError(f"{path}: not a FASTQ record: {head[:80]}")
-        yield head[1:].strip(), seq, qual
+def read_fastq(spark: SparkSession, path: str | list[str], chunk: int = 10_000, split_bytes: int = source.SPLIT_BYTES) -> DataFrame:
+    """``file, rec_no, name, seq, qual``; a malformed record is an error.  gz, bz2 and xz by extension.
 
+    Only plain files of more than *split_bytes* are read twice: their ranges are counted first,
+    one number per task, so that records have the places that they have in the file.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    long = [f for f, size in source.listed(paths) if size > split_bytes and not source.compressed(f)]
+    options = {"splitBytes": split_bytes, "batchRecords": chunk}
+    if long:
+        options["counts"] = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+        source.load(spark, "count", long, splitBytes=split_bytes).write.parquet(options["counts"])
+    return source.load(spark, "fastq", paths, **options)
 
-def read_fastq(spark: SparkSession, path: str | list[str], chunk: int = 20000) -> DataFrame:
-    """``file, rec_no, name, seq, qual``; a malformed record is an error.  gz, bz2 and xz by extension."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"]):
-                rows: list[tuple] = []
-                for k, record in enumerate(_parse(data, name)):
-                    rows.append((name, k, *record))
-                    if len(rows) == chunk:
-                        yield pd.DataFrame(rows, columns=["file", "rec_no", "name", "seq", "qual"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["file", "rec_no", "name", "seq", "qual"])
+def read_in_step(spark: SparkSession, sides: list[str | list[str]], labels: list[str], chunk: int = 10_000) -> DataFrame:
+    """``file_no, rec_no, name`` and ``<label>_seq, <label>_qual`` of the files of each side, read side by side.
 
-    return files.mapInPandas(run, _RECORDS)
+    A side's files go in the order of their names.  One task reads one file of each side, so nothing is
+    shuffled; sides of unequal numbers of files or records are an error.
+    """
+    files = [[f for f, _ in source.listed(side)] for side in sides]
+    if len({len(f) for f in files}) > 1:
+        raise ValueError(f"sides of {[len(f) for f in files]} files")
+    return source.load(spark, "fastq", files, labels, batchRecords=chunk)
 
 
 def in_step(files: list[DataFrame], labels: list[str]) -> DataFrame:
@@ -103,11 +95,26 @@ def write_by_sample(reads: DataFrame, path: str, compression: str = "gzip", mode
     reads.select(*keys, text.alias("value")).write.mode(mode).partitionBy(*keys).option("compression", compression).text(path)
 
 
+def file_sums(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, md5`` of the files as they are, read as streams."""
+    files = spark.createDataFrame([(f,) for f, _ in source.listed(path)], "file string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["file"]:
+                with source.opened(name, raw=True) as stream:
+                    digest = hashlib.md5()
+                    while data := stream.read(1 << 20):
+                        digest.update(data)
+                yield pd.DataFrame({"file": [name], "md5": [digest.hexdigest()]})
+
+    return files.repartition(max(1, min(files.count(), 1000)), "file").mapInPandas(run, "file string, md5 string")
+
+
 def submission_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``prefix, file1, md5_1, file2, md5_2, mean_length`` of the files of each sample, one or two."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
-    lengths = read_fastq(spark, path).groupBy(F.col("file").alias("path")).agg(F.sum(F.length("seq")).alias("bases"), F.count("*").alias("reads"))
-    named = files.join(lengths, "path", "left").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    lengths = read_fastq(spark, path).groupBy("file").agg(F.sum(F.length("seq")).alias("bases"), F.count("*").alias("reads"))
+    named = file_sums(spark, path).join(lengths, "file", "left").withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1))
     named = named.withColumn("prefix", F.regexp_replace("name", r"(\.(forward|reverse))?\.fastq.*$|_R[12]_.*$", ""))
     grouped = named.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("name", "md5"))).alias("files"), F.floor(F.sum("bases") / F.sum("reads") + 0.5).alias("mean_length"))
     at = lambda i, c: F.get("files", F.lit(i))[c]

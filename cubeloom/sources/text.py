@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions.names import sample_of_read, without_size
 from cubeloom.functions.sequences import clean
+from cubeloom.sources import records as source
 
 
 def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, head, body`` of files whose records begin with ``>``; compressed files are read by their extension."""
+    """``file, head, body`` of files whose records begin with ``>``; compressed files are read by their extension.
+
+    Spark reads what its codecs know; where a path names xz files all its files are streamed by tasks of their own.
+    """
+    if any(p.endswith(".xz") for p in ([path] if isinstance(path, str) else path)):
+        return source.load(spark, "fasta", [path] if isinstance(path, str) else list(path)).select("file", F.col("name").alias("head"), "body").filter("head != '' or body != ''")
     raw = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
     text = F.regexp_replace("value", r"^>|\n$", "")
     head = F.substring_index(text, "\n", 1)
@@ -40,6 +46,17 @@ def with_qualities(sequences: DataFrame, quals: DataFrame) -> DataFrame:
     return joined.withColumn("quals", F.when(F.col("quals").isNull(), F.raise_error(F.concat(F.lit("no qualities of "), "name"))).otherwise(F.col("quals")))
 
 
+def read_fasta_with_qualities(spark: SparkSession, fasta: str | list[str], qual: str | list[str]) -> DataFrame:
+    """``file_no, rec_no, name, seq, quals``: sequence files with their quality lists, by position.
+
+    A pair of files is read side by side by one task; a name that differs or a file that ends early is an error.
+    """
+    sides = [[f for f, _ in source.listed(side)] for side in (fasta, qual)]
+    if len(sides[0]) != len(sides[1]):
+        raise ValueError(f"{len(sides[0])} files of sequences, {len(sides[1])} of qualities")
+    return source.load(spark, "fasta_qual", sides)
+
+
 def _lines(body: Column) -> Column:
     return F.explode(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != ""))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubeloom.functions import draws
 from cubeloom.functions.names import sample_part
 from cubeloom.session import written
 
@@ -136,6 +138,53 @@ def rarefy(cube: DataFrame, depths: DataFrame, replicates: int = 10, seed: int =
     return whole.unionByName(part).groupBy(*cells).agg(F.sum("nreads").alias("nreads"))
 
 
+#: Cells that one group of :func:`rarefy_cells` holds.
+BLOCK_CELLS = 50_000
+
+
+def _seeded(*key) -> np.random.Generator:
+    digest = hashlib.blake2b("\x1f".join(map(str, key)).encode(), digest_size=16).digest()
+    return np.random.default_rng(int.from_bytes(digest, "little"))
+
+
+def rarefy_cells(cube: DataFrame, depths: DataFrame, replicates: int = 10, seed: int = 0, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """``replicate, samplename, otuname, nreads``: random subsets as of :func:`rarefy`, with work that grows with cells, not reads.
+
+    A sample's reads are split among blocks of about *block_cells* items, and those of a block among its
+    items, each time along a tree of halves by hypergeometric draws.  A group is a block, or a sample's
+    sums of blocks, so a sample with a third of all cells is many groups.  Draws are seeded by replicate,
+    sample and block, items in order of names: they don't depend on partitions.  Cells without reads and
+    null names or counts are left out, equal keys are summed, a depth of null or below 0 draws nothing.
+    """
+    key = ["samplename", "block"]
+    cells = cube.filter("nreads > 0 and samplename is not null and otuname is not null").groupBy("samplename", "otuname").agg(F.sum("nreads").alias("nreads"))
+    cells = written(cells, "cells")
+    wanted = depths.filter("depth > 0").groupBy("samplename").agg(F.min("depth").alias("depth"))
+    sizes = cells.groupBy("samplename").agg(F.ceil(F.count("*") / block_cells).alias("blocks")).join(wanted, "samplename")
+    blocked = cells.join(sizes, "samplename").withColumn("block", F.pmod(F.xxhash64("otuname"), F.col("blocks")))
+    sums = blocked.groupBy(*key).agg(F.sum("nreads").alias("nreads"), F.first("depth").alias("depth"))
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        sample, counts, depth = group.samplename.iloc[0], group.nreads.to_numpy(), int(group.depth.iloc[0])
+        taken = [draws.split(_seeded(seed, r, sample), counts, depth) for r in range(1, replicates + 1)]
+        return pd.DataFrame({"samplename": sample, "block": group.block.to_numpy(), "taken": list(np.column_stack(taken))})
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("otuname")
+        sample, block, counts, names = group.samplename.iloc[0], group.block.iloc[0], group.nreads.to_numpy(), group.otuname.to_numpy()
+        parts = []
+        for r, depth in enumerate(group.taken.iloc[0], 1):
+            taken = draws.split(_seeded(seed, r, sample, block), counts, int(depth))
+            hit = np.flatnonzero(taken)
+            parts.append(pd.DataFrame({"replicate": r, "samplename": sample, "otuname": names[hit], "nreads": taken[hit]}))
+        return pd.concat(parts)
+
+    dealt = written(sums.groupBy("samplename").applyInPandas(deal, "samplename string, block long, taken array<long>"), "dealt")
+    inner = blocked.select(*key, "otuname", "nreads").join(dealt, key)
+    return inner.groupBy(*key).applyInPandas(draw, "replicate int, samplename string, otuname string, nreads long")
+
+
 def rarefied(cube: DataFrame, replicates: int = 10, seed: int = 0, **gate) -> dict[str, DataFrame]:
     """Coverage-based rarefaction as a whole: the draws, and coverage and reads of every sample before and after.
 
@@ -143,7 +192,7 @@ def rarefied(cube: DataFrame, replicates: int = 10, seed: int = 0, **gate) -> di
     ``output_coverage``, ``output_reads`` (by replicate).
     """
     before = coverage(cube)
-    drawn = written(rarefy(cube, rarefaction_depths(cube, **gate), replicates, seed), "drawn")
+    drawn = written(rarefy_cells(cube, rarefaction_depths(cube, **gate), replicates, seed), "drawn")
     keyed = drawn.withColumn("samplename", F.concat_ws("\x1f", F.col("replicate").cast("string"), "samplename"))
     part = lambda i: F.split_part("samplename", F.lit("\x1f"), F.lit(i))
     after = coverage(keyed).select(part(1).cast("int").alias("replicate"), part(2).alias("samplename"), "nseq", "coverage")

@@ -82,6 +82,19 @@ def rarefy_once(spark, d):
     return quantify.rarefy(cube, depths, replicates=1, seed=11)
 
 
+@query(
+    "split_draws",
+    f"""{fx.cte("cube_l")}, s AS (SELECT samplename, sum(nreads) AS n FROM cube_l GROUP BY 1)
+ SELECT CAST(r AS BIGINT) AS replicate, samplename, CAST(least(n, n // 3 + 1) AS BIGINT) AS nreads, 0::BIGINT AS n_above FROM s CROSS JOIN generate_series(1, 3) g(r)""",
+)
+def split_draws(spark, d):
+    """A third of each sample's reads: sums by draw, and cells with more reads than they had."""
+    cells = fx.cube_l(spark, d)
+    depths = cells.groupBy("samplename").agg((F.floor(F.sum("nreads") / 3) + 1).alias("depth"))
+    drawn = quantify.rarefy_cells(cells, depths, replicates=3, seed=5, block_cells=100).join(cells.withColumnRenamed("nreads", "given"), ["samplename", "otuname"])
+    return drawn.groupBy(F.col("replicate").cast("long").alias("replicate"), "samplename").agg(F.sum("nreads").alias("nreads"), F.count_if(F.col("nreads") > F.col("given")).alias("n_above"))
+
+
 @query(
     "word_freq_scaled",
     f"""WITH {_TYPES} SELECT samplename, otuname AS name, floor(nreads * 20 / max(nreads) OVER (PARTITION BY samplename) + 0.5) AS freq FROM cube_t QUALIFY freq > 0

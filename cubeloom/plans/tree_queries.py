@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cubeloom.operators import assignments, hierarchy, neighbours
+from cubeloom.operators import assignments, hierarchy, intervals, neighbours
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
 from cubeloom.session import written
@@ -261,3 +261,53 @@ def fill_blanks(spark, d):
 def full_fill(spark, d):
     brand = fx.table(spark, d, "part").select(F.concat(F.lit("otu_"), F.col("p_partkey").cast("string")).alias("query"), F.col("p_brand").alias("genus"), F.col("p_name").alias("species"))
     return assignments.fill_blanks(brand, ["genus", "species"], full=True).select("query", "kingdom", "genus", "species", "isolate")
+
+
+_WALK_OR_SELF = "(SELECT taxid, ancestor FROM walk UNION ALL SELECT taxid, taxid FROM nodes)"
+
+
+@query("tree_numbers", f"{_recursive('nodes')}, {_CLOSURE}, s AS (SELECT ancestor AS taxid, count(*) AS size, min(taxid) AS least FROM {_WALK_OR_SELF} GROUP BY 1), d AS (SELECT taxid, count(*) - 1 AS depth FROM {_WALK_OR_SELF} GROUP BY 1) SELECT taxid, size, depth, size - 1 AS inner_numbers, true AS nested FROM s JOIN d USING (taxid)")
+def tree_numbers(spark, d):
+    """By node: nodes below and with it, its depth, how many numbers its range has after its own, and whether that lies in its parent's."""
+    tree = intervals.numbered(fx.nodes(spark, d))
+    parents = tree.select(F.col("taxid").alias("parent"), F.col("pre").alias("first"), F.col("last").alias("end"))
+    nested = F.col("first").isNull() | (F.col("pre") > F.col("first")) & (F.col("last") <= F.col("end"))
+    size = F.col("last") - F.col("pre") + 1
+    return tree.join(parents, "parent", "left").select("taxid", size.alias("size"), F.col("depth").cast("long").alias("depth"), (size - 1).alias("inner_numbers"), nested.alias("nested"))
+
+
+_MATCH = "SELECT taxid FROM nodes WHERE regexp_matches(name, '(?i){}')"
+
+
+@query(
+    "scope_by_words",
+    f"""{_recursive("nodes")}, {_CLOSURE}, sub AS {_WALK_OR_SELF} SELECT taxid FROM nodes WHERE taxid IN (SELECT taxid FROM sub WHERE ancestor IN ({_MATCH.format('^a')}))
+ AND regexp_matches(name, '(?i)[0-4]$|^a') AND NOT regexp_matches(name, '(?i)3$') AND taxid NOT IN (SELECT taxid FROM sub WHERE ancestor IN ({_MATCH.format('n[0-9]*$')} AND rank = 'class'))""",
+)
+def scope_by_words(spark, d):
+    nodes = fx.nodes(spark, d)
+    names = nodes.select("taxid", "name")
+    return intervals.scope(nodes, names, intervals.numbered(nodes), include=["^a"], keywords=["[0-4]$", "^a"], ngwords=["3$"], exclude=["class,n[0-9]*$"])
+
+
+@query(
+    "scope_by_list",
+    """WITH listed AS (SELECT concat('C', CAST(o_custkey AS VARCHAR)) AS acc FROM orders WHERE o_orderstatus = 'P')
+ SELECT acc, c_custkey + 1000000 AS taxid FROM customer JOIN (SELECT DISTINCT acc FROM listed) ON acc = concat('C', CAST(c_custkey AS VARCHAR)) WHERE c_custkey % 10 != 7""",
+)
+def scope_by_list(spark, d):
+    nodes, accs = fx.nodes(spark, d), fx.acc_taxid(spark, d)
+    listed = fx.keys(spark, d, "P").select(F.concat(F.lit("C"), "acc").alias("acc"))
+    inside = intervals.scope(nodes, nodes.select("taxid", "name"), intervals.numbered(nodes), ngwords=["species,7$"], listed=listed, acc_taxid=accs)
+    return intervals.accessions_of(accs, inside, listed)
+
+
+@query(
+    "list_with_ancestors",
+    f"""{_recursive("nodes")}, {_CLOSURE}, own AS (SELECT DISTINCT 1000000 + o_custkey AS taxid FROM orders WHERE o_orderstatus = 'P')
+ SELECT taxid, parent, rank, name FROM nodes WHERE taxid IN (SELECT taxid FROM own) OR taxid IN (SELECT ancestor FROM walk WHERE taxid IN (SELECT taxid FROM own))""",
+)
+def list_with_ancestors(spark, d):
+    nodes = fx.nodes(spark, d)
+    listed = fx.keys(spark, d, "P").select(F.concat(F.lit("C"), "acc").alias("acc"))
+    return intervals.database_of_list(nodes, nodes.select("taxid", "name"), fx.acc_taxid(spark, d), intervals.numbered(nodes), listed)["nodes"]

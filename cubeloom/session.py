@@ -53,3 +53,16 @@ def with_running(df: DataFrame, order: list[Column], amount: Column, name: str)
     """*df* with the sum of *amount* up to and with each row in *order*, a range at a time."""
     upto = F.sum(amount).over(Window.partitionBy("__range").orderBy("__at"))
     return _ranged(df, order, amount).withColumn(name, F.col("__offset") + upto).drop("__range", "__at", "__offset")
+
+
+def with_running_max(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """*df* with the greatest *amount* up to and with each row in *order*; null while there is none."""
+    ranged = _ranged(df.withColumn(name, amount), order, F.lit(1)).drop("__offset")
+    own = {r["__range"]: r["most"] for r in ranged.groupBy("__range").agg(F.max(name).alias("most")).collect()}  # as many as partitions
+    before, most = [], None
+    for part in sorted(own):
+        before.append((part, most))
+        most = own[part] if most is None else most if own[part] is None else max(most, own[part])
+    table = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    upto = F.max(name).over(Window.partitionBy("__range").orderBy("__at"))
+    return ranged.join(F.broadcast(table), "__range").withColumn(name, F.greatest(upto, F.col("__before"))).drop("__range", "__at", "__before")

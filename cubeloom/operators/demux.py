@@ -180,6 +180,46 @@ def divide_at(sequences: DataFrame, query: str, max_share: float = 0.15, border:
     return located.select("name", former.alias("former"), F.when(hit, F.substring("seq", latter_start, F.length("seq"))).alias("latter"), hit.alias("found"))
 
 
+def divided(
+    sequences: DataFrame,
+    queries: list[str],
+    max_share: float = 0.15,
+    max_mismatches: int | None = None,
+    border: str = "both",
+    keep_missed: bool = True,
+    filler: bool = False,
+    scores: Scores = Scores(),
+) -> DataFrame:
+    """``name, former, former_qual, latter, latter_qual, found``: sequences (``name, seq, qual``) divided at the first of *queries* that fits.
+
+    The query is cut out (``both``), or stays with the former (``end``) or the latter part (``start``);
+    without a hit the former part is the whole and the latter is empty, or the sequence goes
+    (*keep_missed* false).  With *filler* an empty part is one ``A`` of quality 20, the former part first;
+    only one of two empty parts is filled.  A null or empty sequence has no hit.
+    """
+    if border not in ("both", "start", "end"):
+        raise ValueError("border must be both, start or end")
+    given = sequences.select("name", F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"))
+    located = locate_primers(given, [("query", q) for q in queries], at_head=False, max_share=max_share, max_mismatches=max_mismatches, scores=scores)
+    found = F.col("hit").isNotNull() & (F.col("hit.start") >= 0)
+    cut = F.when(found, F.expr("hit.end + 1") if border == "end" else F.col("hit.start")).otherwise(F.length("seq"))
+    resume = F.when(found, F.col("hit.start") if border == "start" else F.expr("hit.end + 1")).otherwise(F.length("seq"))
+    placed = located.select("name", "seq", "qual", F.coalesce(found, F.lit(False)).alias("found"), cut.alias("cut"), resume.alias("resume"))
+    part = {f"former{k}": F.substring(c, F.lit(1), F.col("cut")) for k, c in (("", "seq"), ("_qual", "qual"))}
+    part |= {f"latter{k}": F.expr(f"substring({c}, resume + 1)") for k, c in (("", "seq"), ("_qual", "qual"))}
+    out = placed.select("name", *[v.alias(k) for k, v in part.items()], "found")
+    if filler:
+        no_former = F.col("former") == ""
+        no_latter = (F.col("latter") == "") & ~no_former
+        for side, empty in (("former", no_former), ("latter", no_latter)):
+            out = out.withColumn(f"__{side}", empty)
+        for side in ("former", "latter"):
+            for column, value in ((f"{side}_qual", "5"), (side, "A")):  # 5 is quality 20
+                out = out.withColumn(column, F.when(F.col(f"__{side}"), value).otherwise(F.col(column)))
+        out = out.drop("__former", "__latter")
+    return out if keep_missed else out.filter("found")
+
+
 def associate_files(files: DataFrame, tags: DataFrame) -> DataFrame:
     """``file, tagname``: per file the longest tag name that it contains, a tag taking its first file only.
 

@@ -297,3 +297,16 @@ def clustered_strands(spark, d):
     wrong = F.concat(F.substring("seq", 1, 59), F.translate(F.substring("seq", 60, 1), "ACGT", "CGTA"), F.substring("seq", 61, 128))
     other = true.select(F.concat(F.lit("v"), "name").alias("name"), sq.reverse_complement(wrong).alias("seq"), F.lit(1).cast("long").alias("size"))
     return search.clustered(written(true.unionByName(other), "sequences"), 0.97, k=12)
+
+
+@query(
+    "divided_with_filler",
+    f"""{fx.cte("seq_d")}, p AS (SELECT name, seq, qual, CASE WHEN contains(seq, 'TACG') THEN length(seq) - strpos(reverse(seq), 'GCAT') - 3 END AS cut FROM seq_d WHERE seq IS NOT NULL),
+ parts AS (SELECT name, cut IS NOT NULL AS found, substr(seq, 1, coalesce(cut, length(seq))) AS former, substr(qual, 1, coalesce(cut, length(seq))) AS former_qual,
+  CASE WHEN cut IS NULL THEN '' ELSE substr(seq, cut + 1) END AS latter, CASE WHEN cut IS NULL THEN '' ELSE substr(qual, cut + 1) END AS latter_qual FROM p)
+ SELECT name, found, CASE WHEN former = '' THEN 'A' ELSE former END AS former, CASE WHEN former = '' THEN '5' ELSE former_qual END AS former_qual,
+ CASE WHEN latter = '' THEN 'A' ELSE latter END AS latter, CASE WHEN latter = '' THEN '5' ELSE latter_qual END AS latter_qual FROM parts""",
+)
+def divided_with_filler(spark, d):
+    """Exact hits: the last place of the word, which stays with the latter part."""
+    return demux.divided(fx.seq_d(spark, d).filter("seq is not null"), ["TACG"], max_mismatches=0, border="start", filler=True)

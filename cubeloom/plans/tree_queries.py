@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cubeloom.operators import assignments, hierarchy, intervals, neighbours
+from cubeloom.operators import assignments, hierarchy, intervals, lineages, neighbours
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
 from cubeloom.session import written
@@ -311,3 +311,37 @@ def list_with_ancestors(spark, d):
     nodes = fx.nodes(spark, d)
     listed = fx.keys(spark, d, "P").select(F.concat(F.lit("C"), "acc").alias("acc"))
     return intervals.database_of_list(nodes, nodes.select("taxid", "name"), fx.acc_taxid(spark, d), intervals.numbered(nodes), listed)["nodes"]
+
+
+_PATHS = """e AS (SELECT DISTINCT p_partkey % 2 AS half, CASE WHEN p_size % 5 = 0 THEN 'taxid:77;' ELSE '' END AS a, p_type, p_brand, p_size FROM part),
+ paths AS (SELECT half, concat(a, 'class:', p_type) AS path, NULL::VARCHAR AS above, a, 'class' AS rank, p_type AS name FROM e
+  UNION ALL SELECT half, concat(a, 'class:', p_type, ';genus:', p_brand), concat(a, 'class:', p_type), a, 'genus', p_brand FROM e
+  UNION ALL SELECT half, concat(a, 'class:', p_type, ';genus:', p_brand, ';species:', CAST(p_size AS VARCHAR)), concat(a, 'class:', p_type, ';genus:', p_brand), a, 'species', CAST(p_size AS VARCHAR) FROM e),
+ one AS (SELECT path, above, a, rank, name, min(half) AS half FROM paths GROUP BY ALL),
+ n AS (SELECT *, 1000 + row_number() OVER (ORDER BY half, path) AS taxid FROM one)"""
+
+
+def _lines(spark, d):
+    parts = F.concat_ws(";", F.when(F.col("p_size") % 5 == 0, F.lit("taxid:77")), F.concat(F.lit("class:"), "p_type"), F.concat(F.lit('genus="'), "p_brand", F.lit('"')), F.concat(F.lit("species:"), F.col("p_size").cast("string")))
+    return fx.table(spark, d, "part").select("p_partkey", parts.alias("lineage"))
+
+
+def _two_files(spark, d):
+    """The even parts' lineages, then the odd ones' appended."""
+    lines = _lines(spark, d)
+    first = written(lineages.appended(lines.filter("p_partkey % 2 = 0"), floor=1000), "first")
+    return lineages.appended(lines.filter("p_partkey % 2 = 1"), first)
+
+
+@query("lineage_append", f"WITH {_PATHS} SELECT n.taxid, coalesce(p.taxid, CASE WHEN n.a != '' THEN 77 ELSE 1 END) AS parent, n.rank, n.name, n.path FROM n LEFT JOIN n p ON p.path = n.above")
+def lineage_append(spark, d):
+    return _two_files(spark, d)
+
+
+@query(
+    "accessions_made",
+    f"""WITH {_PATHS} SELECT p_partkey, n.taxid, concat('AA', lpad(CAST(50 + row_number() OVER (ORDER BY p_partkey) AS VARCHAR), 8, '0')) AS acc FROM part
+ JOIN n ON n.path = concat(CASE WHEN p_size % 5 = 0 THEN 'taxid:77;' ELSE '' END, 'class:', p_type, ';genus:', p_brand, ';species:', CAST(p_size AS VARCHAR))""",
+)
+def accessions_made(spark, d):
+    return lineages.accessions(_lines(spark, d), _two_files(spark, d), ["p_partkey"], used=50).drop("lineage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cubeloom.functions.distributions import t_quantile
-from cubeloom.operators import decontam, quantify
+from cubeloom.operators import decontam, jumps, quantify
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
 from cubeloom.session import written
@@ -205,3 +205,21 @@ _JUMP_TEST = f"""WITH {_TYPES}, {_HALVES}, {_JUMP_RATES},
 def tag_jump_test(spark, d):
     cube, edges = written(_cube_t(spark, d), "cube"), written(_edges(spark, d), "edges")
     return decontam.jump_test(cube, edges, decontam.jump_rates(cube, edges, *_RATES))
+
+
+_BLANK_CELLS = """blank AS (SELECT DISTINCT samplename FROM cube_t WHERE CAST(regexp_extract(samplename, 's(\\d+)', 1) AS BIGINT) % 10 < 2),
+ every AS (SELECT src AS samplename, otuname, CASE WHEN jump = 'reversejump' THEN nreads ELSE 0 END AS r, CASE WHEN jump = 'forwardjump' THEN nreads ELSE 0 END AS f, 0 AS n FROM edges JOIN cube_t ON samplename = dst
+  UNION ALL SELECT samplename, otuname, 0, 0, nreads FROM cube_t),
+ cell AS (SELECT samplename, otuname, sum(r) AS r, sum(f) AS f, sum(n) AS n FROM every WHERE samplename IN (SELECT samplename FROM blank) GROUP BY 1, 2)"""
+
+
+@query(
+    "jump_equations",
+    f"""WITH {_TYPES}, {_HALVES}, {_BLANK_CELLS} SELECT samplename, CAST(sum(r * r) AS BIGINT) AS rr, CAST(sum(r * f) AS BIGINT) AS rf, CAST(sum(f * f) AS BIGINT) AS ff,
+ CAST(sum(r * n) AS BIGINT) AS rn, CAST(sum(f * n) AS BIGINT) AS fn, CAST(sum(n * n) AS BIGINT) AS nn FROM cell GROUP BY 1""",
+)
+def jump_equations(spark, d):
+    cube = _cube_t(spark, d)
+    number = F.regexp_extract("samplename", r"s(\d+)", 1).cast("long")
+    halves = cube.select("samplename").distinct().select("samplename", F.concat(F.lit("f"), (number % 7).cast("string")).alias("forward"), F.concat(F.lit("r"), F.floor(number / 7).cast("string")).alias("reverse"))
+    return jumps.equations(cube, halves, halves.filter(number % 10 < 2))

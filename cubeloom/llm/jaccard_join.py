@@ -29,7 +29,8 @@ differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
    link between different components can exist, so the components are exact.
 
 Scale: blocks that only one text has are dropped by a partial aggregation
-before anything is joined; a round compares at most its number of leaders times
+before anything is joined, most of them by a Bloom filter of bounded size before they are shuffled again; groups that
+are done, and sets that no open pair asks for, don't travel in later rounds; a round compares at most its number of leaders times
 a group's members, inside the join, and emits only pairs that short sketches let pass; leaders are picked by a limited rank that Spark applies before the
 shuffle; skewed groups are split by Spark's skew join (no hints); sets are
 computed again for the members of groups only, and joined to the pairs.
@@ -50,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import Scratch, binary_list, bound_batches, lean, smaller_splits, text_bytes
+from cubeloom.llm.common import Scratch, binary_list, bloom_joins, bound_batches, lean, text_bytes
 from cubeloom.llm.components import components
 from cubeloom.llm.substring_dedup import mix
 
@@ -130,7 +131,10 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 
 
 def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, set_a, set_b, blocks, bands``: set size, 128-bit name of the set, keys and bands of its blocks."""
+    """A row for every sketch block of a document (one with a null block if it has none): ``doc_id, text_key, n_shingles, set_a, set_b, head, block, band``.
+
+    Set size, 128-bit name of the set, whether the row is the document's first, key and band of the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,23 +142,30 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             names = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             number, key, band = block_keys(sets, percent)
+            without = np.setdiff1d(np.arange(len(sets)), number)
+            number = np.concatenate([number, without])
             order = np.argsort(number, kind="stable")
-            cuts = np.searchsorted(number[order], np.arange(len(sets) + 1))
-            key, band = key[order].view(np.int64), band[order].astype(np.int32)
+            missing = order >= len(key)
+            found = np.where(missing, 0, order)
+            number = number[order]
+            at = pa.array(number)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            key, band = (key, band) if len(key) else (np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(names[:, 0].copy()),
-                    pa.array(names[:, 1].copy()),
-                    pa.array([key[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64())),
-                    pa.array([band[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32())),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(sizes[number]),
+                    pa.array(names[number, 0]),
+                    pa.array(names[number, 1]),
+                    pa.array(np.append(True, number[1:] != number[:-1])[: len(number)]),
+                    pa.array(key[found].view(np.int64), mask=missing),
+                    pa.array(band[found].astype(np.int32), mask=missing),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "blocks", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "head", "block", "band"],
             )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, blocks array<long>, bands array<int>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, head boolean, block long, band int")
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -187,10 +198,14 @@ def _may_link(n: str, bits: str, m: str, other_bits: str, percent: int) -> Colum
     return (100 * small >= percent * large) & (apart * (100 + percent) <= (small + large) * (100 - percent))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The linked ones of *pairs* (``left, right``, both a ``set_a``); short sketches decide first, then the sets themselves."""
-    short = [sets.select(F.col("set_a").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")) for side in ("left", "right")]
+    short = [sizes.select(F.col("set_a").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")) for side in ("left", "right")]
     pairs = pairs.join(short[0], "left").join(short[1], "right").filter(_may_link("n_left", "bits_left", "n_right", "bits_right", percent)).select("left", "right")
+    # Written, so that Spark knows how few sets are asked for; the others don't travel.
+    pairs = scratch.replace(pairs, "join-near")
+    asked = pairs.select(F.col("left").alias("set_a")).unionByName(pairs.select(F.col("right").alias("set_a"))).distinct()
+    sets = scratch.replace(sets.join(scratch.replace(asked, "join-asked"), "set_a", "left_semi").select("set_a", "shingles"), "join-asked-sets")
     sides = pairs.join(sets.select(F.col("set_a").alias("left"), F.col("shingles").alias("x")), "left")
     sides = sides.join(sets.select(F.col("set_a").alias("right"), F.col("shingles").alias("y")), "right")
 
@@ -208,9 +223,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaders(members: DataFrame, done: DataFrame | None, most: int) -> DataFrame:
-    """``block, leader, other`` (the leader's component) of *members* (``block, set_a, component``): up to *most* of each group that has several components.
+    """``block, leader, other`` (the leader's component), ``place`` of *members* (``block, set_a, component``): up to *most* + 1 of each group that has several components.
 
-    The largest component of a group needs no leaders; *done* has those of rounds before.
+    The largest component of a group needs no leaders; *done* has those of rounds before.  A group with
+    a leader in place *most* + 1 has members left for a further round.
     """
     parts = members.groupBy("block", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("block").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
@@ -219,13 +235,12 @@ def _leaders(members: DataFrame, done: DataFrame | None, most: int) -> DataFrame
     if done is not None:
         few = few.join(done, ["block", "set_a"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("block").orderBy("size", "component", "set_a"))
-    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= most)
-    return chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"))
+    chosen = few.withColumn("place", rank).filter(F.col("place") <= most + 1)
+    return chosen.select("block", F.col("set_a").alias("leader"), F.col("component").alias("other"), "place")
 
 
-def _led_pairs(members: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _led_pairs(members: DataFrame, chosen: DataFrame, short: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of leaders and members of other components in their groups that short sketches let link."""
-    short = sets.select("set_a", "n", "bits")
     inside = members.join(chosen.select("block").distinct(), "block").join(short, "set_a")
     inside = scratch.replace(inside.select("block", "set_a", "component", "n", "bits"), "join-mixed")
     led = chosen.join(short.select(F.col("set_a").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("own_bits")), "leader")
@@ -240,51 +255,58 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     bound_batches(spark, rows=500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    # Small row groups: a row holds hundreds of blocks, and a split can't be smaller than a row group.
-    sketched = scratch.write(sketches(docs, shingle, percent), "join-sketches", row_group=4 << 20)
-    named = sketched.filter("doc_id is not null and n_shingles > 0")
+    sketched = scratch.write(sketches(docs, shingle, percent), "join-sketches")
+    heads = scratch.write(sketched.filter("head").select("doc_id", "text_key", "n_shingles", "set_a", "set_b"), "join-named")
+    named = heads.filter("doc_id is not null and n_shingles > 0")
     first = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     nodes = scratch.write(first.select("set_a", "set_b", F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key")), "join-nodes")
 
-    blocks = named.select("set_a", F.explode(F.arrays_zip("blocks", "bands")).alias("x")).select("set_a", F.col("x.blocks").alias("block"), F.col("x.bands").alias("band"))
+    blocks = sketched.filter("doc_id is not null and block is not null").select("set_a", "block", "band")
     counted = blocks.groupBy("block").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.count("*").alias("popularity"))
-    with smaller_splits(spark, 4):
-        shared = scratch.write(counted.filter("a != b").select("block", "popularity"), "join-shared")
-    common = blocks.join(shared, "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
+    shared = scratch.write(counted.filter("a != b").select("block", "popularity"), "join-shared")
+    common = blocks.join(shared.filter("popularity > 1"), "block").groupBy("block", "set_a", "band").agg(F.max("popularity").alias("popularity"))
     place = F.row_number().over(Window.partitionBy("set_a", "band").orderBy(F.desc("popularity"), "block"))  # no more rows than a set has blocks
     kept = common.withColumn("place", place).filter(F.col("place") > F.col("band").bitwiseAND(F.lit((1 << 20) - 1)))
-    with smaller_splits(spark, 4):
+    with bloom_joins(spark, shared.count()):
         groups = scratch.write(kept.select("block", "set_a", "popularity"), "join-groups")
-    sketched = scratch.write(sketched.select("doc_id", "n_shingles", "set_a", "set_b"), "join-named")
     scratch.drop("join-sketches", "join-shared")
     members = scratch.write(groups.select("set_a").distinct().join(nodes, "set_a"), "join-members")
     sets = scratch.write(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
     node_of = scratch.write(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-node-of")
 
     scores = groups.groupBy("set_a").agg(F.sum("popularity").alias("score"))
-    leader = groups.join(scores, "set_a").groupBy("block").agg(F.max(F.struct("score", "set_a")).alias("top")).select("block", F.col("top.set_a").alias("leader"))
-    pairs = groups.join(leader, "block").filter("set_a != leader").select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
-    links, done, parts = None, None, None
+    leader = groups.join(scores, "set_a").groupBy("block").agg(F.max(F.struct("score", "set_a")).alias("top"), F.count("*").alias("members")).select("block", F.col("top.set_a").alias("leader"), "members")
+    led = scratch.write(groups.select("block", "set_a").join(leader, "block"), "join-led")
+    pairs = led.filter("set_a != leader").select(F.least("leader", "set_a").alias("left"), F.greatest("leader", "set_a").alias("right")).distinct()
+    sizes = scratch.write(sets.select("set_a", "n", "bits"), "join-sizes")
+    # A group of two is done with its one pair.
+    done, parts, left = None, None, led.filter("members > 2")
     while True:
-        found = verified(pairs, sets, percent)
+        found = verified(pairs, sets, sizes, percent, scratch)
         found = found.join(node_of.select(F.col("set_a").alias("left"), F.col("node").alias("a")), "left").join(node_of.select(F.col("set_a").alias("right"), F.col("node").alias("b")), "right").select("a", "b")
         found = scratch.replace(found, "join-links")
         if parts is None or not found.isEmpty():
             # Stars of the rounds before stand for their links.
             links = found if parts is None else found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             parts = components(links, scratch)
+        if left is None:
+            break
         placed = node_of.join(parts, "node", "left").select("set_a", F.coalesce("component", "node").alias("component"))
-        current = scratch.replace(groups.select("block", "set_a").join(placed, "set_a"), "join-current")
+        current = scratch.replace(left.select("block", "set_a").join(placed, "set_a"), "join-current")
         chosen = scratch.write(_leaders(current, done, leaders), "join-leaders")
         if chosen.isEmpty():
             break
-        leaders *= 4
-        pairs = scratch.replace(_led_pairs(current, chosen, sets, percent, scratch), "join-pairs")
-        used = chosen.select("block", F.col("leader").alias("set_a"))
+        now = chosen.filter(F.col("place") <= leaders).drop("place")
+        pairs = scratch.replace(_led_pairs(current, now, sizes, percent, scratch), "join-pairs")
+        # A group whose members outside its largest component have all led is done; so is one with a single component.
+        further = chosen.filter(F.col("place") > leaders).select("block")
+        left = None if further.isEmpty() else scratch.replace(current.select("block", "set_a").join(further, "block"), "join-left")
+        used = now.select("block", F.col("leader").alias("set_a"))
         done = used if done is None else done.unionByName(used)
+        leaders *= 4
     # One row per set on the one side, written; the copies of a set are on the other, where Spark can split a skewed key.
-    scratch.drop("join-mixed", "join-current", "join-leaders", "join-sets", "join-groups", "join-pairs", "join-links")
+    scratch.drop("join-mixed", "join-current", "join-leaders", "join-left", "join-near", "join-asked", "join-asked-sets", "join-led", "join-sizes", "join-sets", "join-groups", "join-pairs", "join-links")
     owners = scratch.write(nodes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "join-owners")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    linked = sketched.filter(~alone).select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    return scratch.finish(linked.unionByName(sketched.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "join")
+    linked = heads.filter(~alone).select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    return scratch.finish(linked.unionByName(heads.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "join")

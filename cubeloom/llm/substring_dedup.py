@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import Scratch, bound_batches, lean, text_bytes
+from cubeloom.llm.common import Scratch, bloom_joins, bound_batches, lean, text_bytes
 
 _LAST = np.uint64(2**64 - 1)
 _ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -171,7 +171,7 @@ def _flat(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.nda
 
 
 def document_symbols(docs: DataFrame, window: int, group: int, rounds: int) -> DataFrame:
-    """``text_key, symbols``: the distinct symbols that stand for a text's windows."""
+    """``text_key, symbol``: the distinct symbols that stand for a text's windows, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +179,10 @@ def document_symbols(docs: DataFrame, window: int, group: int, rounds: int) -> D
             place, keys = representatives(names, doc, window, group, rounds)
             cuts = np.searchsorted(doc[place], np.arange(len(sizes) + 1))
             lists = [np.unique(keys[a:b]).view(np.int64) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["text_key", "symbols"])
+            owner = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *lists]))], names=["text_key", "symbol"])
 
-    return docs.select("text_key", "text").mapInArrow(lean(run), "text_key long, symbols array<long>")
+    return docs.select("text_key", "text").mapInArrow(lean(run), "text_key long, symbol long")
 
 
 def candidate_windows(docs: DataFrame, window: int, group: int, rounds: int) -> DataFrame:
@@ -251,13 +252,11 @@ def deduplicate(documents: DataFrame, window: int = 13, group: int = 2, rounds:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    listed = scratch.write(document_symbols(docs, window, group, rounds), "dedup-symbols", row_group=8 << 20)
-    single = listed.select("text_key", F.explode("symbols").alias("symbol"))
-    shared = scratch.write(
-        single.groupBy("symbol").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a != b").select("symbol"),
-        "dedup-shared",
-    )
-    hits = scratch.write(single.join(shared, "symbol"), "dedup-hits")  # by itself, so that Spark can split a skewed symbol
+    single = scratch.write(document_symbols(docs, window, group, rounds), "dedup-symbols")
+    counted = single.groupBy("symbol").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    shared = scratch.write(counted.filter("a != b"), "dedup-shared")
+    with bloom_joins(documents.sparkSession, shared.count()):
+        hits = scratch.write(single.join(shared.filter("a < b").select("symbol"), "symbol"), "dedup-hits")  # by itself, so that Spark can split a skewed symbol
     scratch.drop("dedup-symbols", "dedup-shared")
     wanted = hits.groupBy("text_key").agg(F.collect_set("symbol").alias("symbols"))
 

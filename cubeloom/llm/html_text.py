@@ -3,7 +3,9 @@
 A page is read into blocks: runs of text between block-level tags, each with
 its place in the element tree.  Every block gets a score from a fitted linear
 classifier (:data:`FEATURES`, :data:`WEIGHTS`; :mod:`cubeloom.llm.page_model` fits
-them and a test repeats the fit).  The logistic costs of calling the block content
+them and a test repeats the fit).  Tags and class words of menus, adverts and the like count for all
+that lies in their element, unless it wraps the text of the page itself; what lies outside the
+page's ``article`` or ``main`` is the less likely content, whatever it is called.  The logistic costs of calling the block content
 or boilerplate are its capacities to the two terminals.  Neighbouring blocks,
 and consecutive blocks of one parent, are joined by smoothness edges whose
 capacity follows their proximity in the tree.  The maximum flow gives the
@@ -63,8 +65,8 @@ _AWAY_NAMES = frozenset(
 )
 _BODY_NAMES = frozenset("article main content post entry story articlebody".split())
 #: What the classifier sees of a block, and the log odds for content that one unit of each adds (fitted values).
-FEATURES = ("always", "words", "linked", "sentence", "heading", "in_body", "away_element", "away_name", "page_header", "hidden")
-WEIGHTS = (-2.4, 10.0, -7.8, 2.2, 6.0, 3.4, -16.5, -16.6, -9.9, -16.6)
+FEATURES = ("always", "words", "linked", "sentence", "heading", "in_body", "away_element", "away_name", "page_header", "hidden", "outside")
+WEIGHTS = (-1.3, 5.3, -8.0, 2.1, 5.4, 3.2, -13.0, -13.1, -9.2, -13.0, -9.8)
 _SMOOTH = 1.0
 
 
@@ -80,6 +82,11 @@ class Element:
     away_name: bool = False
     page_header: bool = False
     hidden: bool = False
+    outside: bool = False
+    #: What the element's own tag says, whatever it lies in.
+    marks: tuple[bool, bool, bool] = (False, False, False)
+    words: int = 0
+    body_words: int = 0
 
 
 @dataclass
@@ -92,7 +99,7 @@ class Block:
 
 
 def _child(parent: Element, name: str, attributes: str) -> Element:
-    element = Element(name, parent.depth + 1, parent, parent.in_body, parent.away_element, parent.away_name, parent.page_header, parent.hidden)
+    element = Element(name, parent.depth + 1, parent, parent.in_body, hidden=parent.hidden)
     names: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -102,12 +109,59 @@ def _child(parent: Element, name: str, attributes: str) -> Element:
             names.update(_NAME.findall(value))
     whole = name in ("body", "html", "article")
     element.in_body |= name in _BODY or bool(names & _BODY_NAMES)
-    element.away_element |= name in _AWAY
-    element.away_name |= bool(names & _AWAY_NAMES) and not whole
-    element.page_header |= (name == "header" or "header" in names and not whole) and not parent.in_body
+    header = (name == "header" or "header" in names and not whole) and not parent.in_body
+    element.marks = (name in _AWAY, bool(names & _AWAY_NAMES) and not whole, header)
     return element
 
 
+def _place(blocks: list[Block]) -> None:
+    """Hand the marks of elements down to what lies in them, but for marks of an element that wraps the page's text.
+
+    The text is that of ``article`` and ``main`` elements; an element wraps it if it holds the first of them and more than half of
+    their words.  On a page without them it holds more than half of all words, and 40 or more.
+    ``outside`` is what lies in none of them, on a page that has them.
+    """
+    seen: dict[int, Element] = {}
+    first = None
+    for block in blocks:
+        way, element = [], block.parent
+        while element is not None and id(element) not in seen:
+            seen[id(element)] = element
+            way.append(element)
+            element = element.parent
+        for element in reversed(way):  # parents first
+            element.outside = not (element.name in _BODY or element.parent is not None and not element.parent.outside)
+        size = block.text.count(" ") + 1 if not block.parent.hidden and 2 * block.linked < len(block.text) else 0
+        block.parent.words += size
+        if not block.parent.outside:
+            block.parent.body_words += size
+            first = first or (block.parent if size else None)
+    ordered = sorted(seen.values(), key=lambda e: e.depth)
+    for element in reversed(ordered):
+        if element.parent is not None:
+            element.parent.words += element.words
+            element.parent.body_words += element.body_words
+    above = set()
+    element = first
+    while element is not None:
+        above.add(id(element))
+        element = element.parent
+    for element in ordered:
+        up = element.parent
+        if up is None:
+            whole = element
+            continue
+        if first is not None:
+            wraps = id(element) in above and 2 * element.body_words > whole.body_words
+        else:
+            wraps = element.words >= 40 and 2 * element.words > whole.words
+        marks = (False, False, False) if wraps else element.marks
+        element.away_element, element.away_name, element.page_header = (a or b for a, b in zip(marks, (up.away_element, up.away_name, up.page_header)))
+    if first is None:
+        for element in ordered:
+            element.outside = False
+
+
 def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """Start, end, name, whether it closes, and attributes of every tag; a silent element and a comment are one tag without a name."""
     at, quoted = 0, True
@@ -191,6 +245,7 @@ def blocks_of(page: str) -> list[Block]:
             now = cut(top, name in ("h1", "h2", "h3", "h4", "h5", "h6") and not closes)
     text(page[at:])
     cut(root)
+    _place(found)
     return found
 
 
@@ -208,6 +263,7 @@ def features_of(block: Block) -> tuple[float, ...]:
         float(e.away_name),
         float(e.page_header),
         float(e.hidden),
+        float(e.outside),
     )
 
 
@@ -294,11 +350,8 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                         turn[path[-1]] += 1
 
 
-def main_text(page: str) -> str:
-    """The content blocks of a page, one per line."""
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
+def costs_of(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """What calling each block boilerplate or content costs, and the edges between blocks with what parting them costs."""
     odds = (np.array([features_of(b) for b in blocks]) @ np.array(WEIGHTS)).tolist()
     # The logistic costs log(1 + exp(+-odds)) of either label.
     as_away = [math.log1p(math.exp(max(-30.0, min(z, 30.0)))) for z in odds]
@@ -311,7 +364,15 @@ def main_text(page: str) -> str:
         if last.get(family, i - 1) != i - 1:
             edges.append((last[family], i, 0.5 * _SMOOTH))
         last[family] = i
-    content = minimum_cut(as_away, as_content, edges)
+    return as_away, as_content, edges
+
+
+def main_text(page: str) -> str:
+    """The content blocks of a page, one per line."""
+    blocks = blocks_of(page)
+    if not blocks:
+        return ""
+    content = minimum_cut(*costs_of(blocks))
     return "\n".join(b.text for b, kept in zip(blocks, content) if kept)
 
 

@@ -46,6 +46,11 @@ _BELOW = (
     (0, "<p>", "</p>", "word"),
     (0, '<p><a href="/">', "</a></p>", "short"),
 )
+#: What stands outside an article or main element without a word on what it is.
+_UNNAMED = (
+    (0, "<div><p>", "</p></div>", "long"),
+    (0, "<section><p>", "</p></section>", "sentence"),
+)
 _BODIES = (("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ("<div>", "</div>"), ("", ""))
 
 
@@ -65,7 +70,8 @@ def laid_out(texts: list[str], seed: int, pages: int) -> Iterator[tuple[str, lis
     for _ in range(pages):
         parts, labels = [], []
         opening, closing = rng.choice(_BODIES)
-        for places, low, high in ((_ABOVE, 1, 4), (_PLACES, 3, 9), (_BELOW, 1, 3)):
+        unnamed = _UNNAMED if opening in ("<article>", "<main>") else ()
+        for places, low, high in ((_ABOVE + unnamed, 1, 4), (_PLACES, 3, 9), (_BELOW + unnamed, 1, 3)):
             parts.append(opening if places is _PLACES else "")
             if places is _PLACES:
                 parts.append(f"<h1>{piece('short')}</h1><p>{piece('long')}</p>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -292,6 +293,45 @@ def test_long_page():
     assert time.process_time() - began < 30
 
 
+@pytest.mark.parametrize("around", ['<div class="right-sidebar">{}</div>', '<div class="site has-sidebar">{}</div>', '<div class="modal-open">{}</div>', "<form>{}</form>", "<form><div class='ad'>Buy it now.</div>{}</form>"])
+def test_an_element_around_the_page_takes_nothing_away(around):
+    body = "<h1>A title here</h1><p>" + "One two three four five six seven. " * 8 + "</p><p>Nine words are in this last one, they say.</p>"
+    wanted = "A title here\n" + ("One two three four five six seven. " * 8).strip() + "\nNine words are in this last one, they say."
+    assert html_text.main_text(around.format(f"<article>{body}</article>") + "<footer>All rights.</footer>") == wanted
+    assert html_text.main_text(around.format(body) + "<footer>All rights.</footer>") == wanted
+
+
+def test_what_stands_outside_the_article_goes_under_any_name():
+    said = "I do not agree with what is said there. " * 20
+    page = (
+        '<div class="sponsorship"><p>Buy our new shoes today, they are as cheap as they are good.</p></div>'
+        "<main><h1>A title here</h1><p>Some words that make a sentence of the text.</p></main>"
+        f'<div class="feedback-list"><p>{said}</p></div><section id="comments"><article><p>{said}</p></article></section>'
+    )
+    assert html_text.main_text(page) == "A title here\nSome words that make a sentence of the text."
+
+
+def test_labelling_of_small_pages_is_the_cheapest(small):
+    texts = [r.text for r in small.orderBy("doc_id").collect() if r.text]
+    tried = turned = 0
+    for page, _ in page_model.laid_out(texts, 3, 400):
+        blocks = html_text.blocks_of(page)
+        if len(blocks) > 10:
+            continue
+        away, content, edges = html_text.costs_of(blocks)
+        best = min(
+            sum(away[i] if not s else content[i] for i, s in enumerate(sides)) + sum(c for a, b, c in edges if sides[a] != sides[b])
+            for sides in itertools.product((False, True), repeat=len(blocks))
+        )
+        sides = html_text.minimum_cut(away, content, edges)
+        cost = sum(away[i] if not s else content[i] for i, s in enumerate(sides)) + sum(c for a, b, c in edges if sides[a] != sides[b])
+        assert abs(cost - best) < 1e-6
+        assert html_text.main_text(page) == "\n".join(b.text for b, s in zip(blocks, sides) if s)
+        tried += 1
+        turned += any(s != (x > y) for s, x, y in zip(sides, away, content))
+    assert tried > 50 and turned > 0
+
+
 def test_block_classifier_is_the_fit_of_its_layouts(spark, small):
     texts = [r.text for r in small.orderBy("doc_id").collect() if r.text]
     pages = list(page_model.laid_out(texts, 1, 3000))

@@ -206,7 +206,7 @@ def merged_caches(spark, d):
 @query("bucketed_candidates", f"WITH {_HITS} SELECT query, acc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, acc) AS r FROM hits) WHERE r <= 7")
 def bucketed_candidates(spark, d):
     path = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
-    neighbours.candidates_by_bucket(_hits(spark, d), path, most=7, buckets=4)
+    neighbours.candidates_by_bucket(_hits(spark, d, 8), path, most=7, buckets=4)
     return spark.read.parquet(path).select("query", "acc", "score")
 
 

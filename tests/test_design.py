@@ -164,3 +164,21 @@ def test_records_without_a_layout(spark):
     assert [(r.index_seq, r.seq) for r in demux.normalised(frame, tag=1).collect()] == [("A", "C")]
     with pytest.raises(PySparkException, match="no layout"):
         demux.normalised(frame.withColumn("seq3", F.lit("A"))).collect()
+
+
+def test_pruned_hits_keep_what_decides(spark):
+    draw = random.Random(4)
+    vectors = [(i, [float(draw.randint(-3, 3)) for _ in range(4)]) for i in range(120)]
+    frame = spark.createDataFrame(vectors, "acc long, vector array<float>").repartition(3)
+    every = {(q, a): int(10 * sum(x * y for x, y in zip(u, v))) for q, u in vectors[:10] for a, v in vectors}
+    limits = [(q, draw.choice([None, 0, 60]), draw.choice([None, 30, 90])) for q in range(10)]
+    asked = spark.createDataFrame(limits, "query long, floor long, below long").join(frame.withColumnRenamed("acc", "query"), "query")
+    found = {(r["query"], r.acc): r.score for r in neighbours.vector_hits(asked, frame, 10, 2, block=4, chunk=16).collect()}
+    assert found.items() <= every.items() and len(found) < len(every)
+    for q, floor, below in limits:
+        own = {k: s for k, s in every.items() if k[0] == q}
+        levels = sorted(set(own.values()))
+        least = min([levels[-2], *([floor] if floor is not None else []), *[s for s in levels if below is not None and s < below][-1:]])
+        assert {k: s for k, s in own.items() if s >= least}.items() <= found.items()
+    some = spark.createDataFrame([(1, 5), (7, 3)], "query long, acc long")
+    assert {(r["query"], r.acc): r.score for r in neighbours.pair_scores(some, frame, 10).collect()} == {k: every[k] for k in ((1, 5), (7, 3))}

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.operators.decontam import neighbour_sums, tag_neighbours
+from cubeloom.operators.decontam import tag_sums
 
 
 def equations(cube: DataFrame, samples: DataFrame, blanks: DataFrame) -> DataFrame:
@@ -22,10 +22,8 @@ def equations(cube: DataFrame, samples: DataFrame, blanks: DataFrame) -> DataFra
     *samples* is ``samplename, forward, reverse``; a blank without a row there, or without any reads in and beside it, gives none.
     """
     listed = blanks.select("samplename").distinct()
-    edges = tag_neighbours(samples.select("samplename", "forward", "reverse").distinct())
-    edges = edges.join(listed.withColumnRenamed("samplename", "src"), "src", "left_semi")
     zero = F.lit(0).cast("long")
-    beside = neighbour_sums(cube, edges).select(
+    beside = tag_sums(cube, samples.select("samplename", "forward", "reverse").distinct(), listed).select(
         "samplename", "otuname", F.when(F.col("jump") == "reversejump", F.col("nreads")).otherwise(zero).alias("r"), F.when(F.col("jump") == "forwardjump", F.col("nreads")).otherwise(zero).alias("f"), zero.alias("n")
     )
     own = cube.join(listed, "samplename", "left_semi").join(samples.select("samplename").distinct(), "samplename", "left_semi").select("samplename", "otuname", zero.alias("r"), zero.alias("f"), F.col("nreads").alias("n"))

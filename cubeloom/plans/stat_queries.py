@@ -157,15 +157,14 @@ _HALVES = """halves AS (SELECT DISTINCT samplename, concat('f', CAST(CAST(regexp
   UNION ALL SELECT a.samplename, b.samplename, 'forwardjump' FROM halves a JOIN halves b ON a.reverse = b.reverse AND a.forward != b.forward)"""
 
 
-def _edges(spark, d):
+def _tags(cube):
     number = F.regexp_extract("samplename", r"s(\d+)", 1).cast("long")
-    halves = _cube_t(spark, d).select("samplename").distinct().select("samplename", F.concat(F.lit("f"), (number % 7).cast("string")).alias("forward"), F.concat(F.lit("r"), F.floor(number / 7).cast("string")).alias("reverse"))
-    return decontam.tag_neighbours(halves)
+    return cube.select("samplename").distinct().select("samplename", F.concat(F.lit("f"), (number % 7).cast("string")).alias("forward"), F.concat(F.lit("r"), F.floor(number / 7).cast("string")).alias("reverse"))
 
 
 @query("tag_neighbours", f"WITH {_TYPES}, {_HALVES} SELECT src, dst, jump FROM edges")
 def tag_neighbours(spark, d):
-    return _edges(spark, d)
+    return decontam.tag_neighbours(written(_tags(_cube_t(spark, d)), "tags"))
 
 
 @query(
@@ -173,7 +172,8 @@ def tag_neighbours(spark, d):
     f"WITH {_TYPES}, {_HALVES} SELECT src AS samplename, otuname, jump, CAST(sum(nreads) AS BIGINT) AS nreads FROM edges JOIN cube_t ON samplename = dst GROUP BY 1, 2, 3",
 )
 def tag_neighbour_sums(spark, d):
-    return decontam.neighbour_sums(_cube_t(spark, d), _edges(spark, d))
+    cube = written(_cube_t(spark, d), "cube")
+    return decontam.tag_sums(cube, written(_tags(cube), "tags"))
 
 
 _JUMP_RATES = f"""rd AS (SELECT samplename, sum(nreads) AS reads FROM cube_t GROUP BY 1), crossed AS (SELECT src, jump, sum(reads) AS across FROM edges JOIN rd ON samplename = dst GROUP BY 1, 2),
@@ -184,7 +184,8 @@ _JUMP_RATES = f"""rd AS (SELECT samplename, sum(nreads) AS reads FROM cube_t GRO
 
 @query("jump_rates", f"WITH {_TYPES}, {_HALVES}, {_JUMP_RATES} SELECT samplename, jump, round(rate, 12) AS rate FROM rates")
 def jump_rates(spark, d):
-    return decontam.jump_rates(_cube_t(spark, d), _edges(spark, d), *_RATES).withColumn("rate", F.round("rate", 12))
+    cube = written(_cube_t(spark, d), "cube")
+    return decontam.tag_rates(cube, written(_tags(cube), "tags"), *_RATES).withColumn("rate", F.round("rate", 12))
 
 
 _JUMP_TEST = f"""WITH {_TYPES}, {_HALVES}, {_JUMP_RATES},
@@ -203,8 +204,9 @@ _JUMP_TEST = f"""WITH {_TYPES}, {_HALVES}, {_JUMP_RATES},
 
 @query("tag_jump_test", _JUMP_TEST)
 def tag_jump_test(spark, d):
-    cube, edges = written(_cube_t(spark, d), "cube"), written(_edges(spark, d), "edges")
-    return decontam.jump_test(cube, edges, decontam.jump_rates(cube, edges, *_RATES))
+    cube = written(_cube_t(spark, d), "cube")
+    tags = written(_tags(cube), "tags")
+    return decontam.tag_test(cube, tags, written(decontam.tag_rates(cube, tags, *_RATES), "rates"))
 
 
 _BLANK_CELLS = """blank AS (SELECT DISTINCT samplename FROM cube_t WHERE CAST(regexp_extract(samplename, 's(\\d+)', 1) AS BIGINT) % 10 < 2),
@@ -219,7 +221,6 @@ _BLANK_CELLS = """blank AS (SELECT DISTINCT samplename FROM cube_t WHERE CAST(re
  CAST(sum(r * n) AS BIGINT) AS rn, CAST(sum(f * n) AS BIGINT) AS fn, CAST(sum(n * n) AS BIGINT) AS nn FROM cell GROUP BY 1""",
 )
 def jump_equations(spark, d):
-    cube = _cube_t(spark, d)
-    number = F.regexp_extract("samplename", r"s(\d+)", 1).cast("long")
-    halves = cube.select("samplename").distinct().select("samplename", F.concat(F.lit("f"), (number % 7).cast("string")).alias("forward"), F.concat(F.lit("r"), F.floor(number / 7).cast("string")).alias("reverse"))
-    return jumps.equations(cube, halves, halves.filter(number % 10 < 2))
+    cube = written(_cube_t(spark, d), "cube")
+    halves = written(_tags(cube), "tags")
+    return jumps.equations(cube, halves, halves.filter(F.regexp_extract("samplename", r"s(\d+)", 1).cast("long") % 10 < 2))

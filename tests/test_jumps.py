@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from cubeloom.operators import jumps
+from cubeloom.operators import decontam, jumps
 
 _CELLS = "samplename string, otuname string, nreads long"
 _HALVES = "samplename string, forward string, reverse string"
@@ -70,3 +70,22 @@ def test_bounds_hold():
         gradient = gram @ found - right
         assert known.all() and ((0 <= found) & (found <= 0.1 + 1e-12)).all()
         assert all(g > -1e-7 if v < 1e-12 else g < 1e-7 if v > 0.1 - 1e-12 else abs(g) < 1e-7 for v, g in zip(found, gradient))
+
+
+def test_sums_over_tags_are_those_over_pairs(spark):
+    draw = random.Random(9)
+    tags = [(f"r__s{i}__p", draw.choice(["f1", "f2", None]), draw.choice(["r1", "r2", "r3"])) for i in range(30)] + [("r__alone__p", "f9", "r9")]
+    samples = spark.createDataFrame(tags, "samplename string, forward string, reverse string")
+    cells = {(draw.choice(tags)[0], f"o{draw.randint(1, 5)}"): draw.randint(1, 90) for _ in range(80)}
+    cube = spark.createDataFrame([(*k, n) for k, n in cells.items()], "samplename string, otuname string, nreads long")
+    edges = decontam.tag_neighbours(samples)
+    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    pairs = {(s, t, "reversejump") for s, f, r in tags for t, g, q in tags if f and f == g and r != q} | {(s, t, "forwardjump") for s, f, r in tags for t, g, q in tags if f and g and r == q and f != g}
+    assert {tuple(e) for e in edges.collect()} == pairs and edges.count() == len(pairs)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert same(decontam.neighbour_sums(cube, edges), decontam.tag_sums(cube, samples))
+    rates = decontam.jump_rates(cube, edges, 0.001, 0.0015)
+    assert same(rates, decontam.tag_rates(cube, samples, 0.001, 0.0015))
+    assert same(decontam.jump_test(cube, edges, rates), decontam.tag_test(cube, samples, rates))
+    plan = decontam.tag_sums(cube, samples)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dst" not in plan  # no pairs of samples

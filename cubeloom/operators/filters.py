@@ -62,18 +62,11 @@ def support_round(
     An item stays if one of its cells has ``min_item`` reads and that share of
     the item's total, and the total is enough; a sample likewise.
     """
-    reads = F.col("nreads")
-    items = cube.groupBy("otuname").agg(F.sum("nreads").alias("item_total"))
-    samples = cube.groupBy("samplename").agg(F.sum("nreads").alias("sample_total"))
-    cells = cube.join(items, "otuname").join(samples, "samplename")
-    keep_items = (
-        cells.filter((reads >= min_item) & (reads / F.col("item_total") >= min_item_share) & (F.col("item_total") >= min_item_total)).select("otuname").distinct()
-    )
-    keep_samples = (
-        cells.filter((reads >= min_sample) & (reads / F.col("sample_total") >= min_sample_share) & (F.col("sample_total") >= min_sample_total))
-        .select("samplename")
-        .distinct()
-    )
+    # Number and share grow with the reads of a cell, so a key's largest cell decides for all.
+    most, total = F.col("most"), F.col("total")
+    sums = lambda key: cube.groupBy(key).agg(F.max("nreads").alias("most"), F.sum("nreads").alias("total"))
+    keep_items = sums("otuname").filter((most >= min_item) & (most / total >= min_item_share) & (total >= min_item_total)).select("otuname")
+    keep_samples = sums("samplename").filter((most >= min_sample) & (most / total >= min_sample_share) & (total >= min_sample_total)).select("samplename")
     return cube.join(keep_items, "otuname", "left_semi").join(keep_samples, "samplename", "left_semi")
 
 

@@ -295,3 +295,11 @@ def test_cover_of_random_cubes_is_kept(spark):
         assert cube.top_items(df, n).select("otuname").distinct().count() <= n + 1
 
     check()
+
+
+def test_support_round_shuffles_no_cells_for_its_limits(spark):
+    cube = spark.createDataFrame([("s1", "a", 50), ("s1", "b", 3), ("s2", "b", 3), ("s2", "c", 60), ("s3", "c", 1)], "samplename string, otuname string, nreads long")
+    kept = filters.support_round(cube, min_item=3, min_item_share=0.5, min_sample=40, min_sample_total=53)
+    assert {(r.samplename, r.otuname) for r in kept.collect()} == {("s1", "a"), ("s1", "b"), ("s2", "b"), ("s2", "c")}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # the two lists of keys, no totals beside cells

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,25 +165,49 @@ def rarefy_cells(cube: DataFrame, depths: DataFrame, replicates: int = 10, seed:
     blocked = cells.join(sizes, "samplename").withColumn("block", F.pmod(F.xxhash64("otuname"), F.col("blocks")))
     sums = blocked.groupBy(*key).agg(F.sum("nreads").alias("nreads"), F.first("depth").alias("depth"))
 
-    def deal(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        sample, counts, depth = group.samplename.iloc[0], group.nreads.to_numpy(), int(group.depth.iloc[0])
-        taken = [draws.split(_seeded(seed, r, sample), counts, depth) for r in range(1, replicates + 1)]
-        return pd.DataFrame({"samplename": sample, "block": group.block.to_numpy(), "taken": list(np.column_stack(taken))})
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("otuname")
-        sample, block, counts, names = group.samplename.iloc[0], group.block.iloc[0], group.nreads.to_numpy(), group.otuname.to_numpy()
-        parts = []
-        for r, depth in enumerate(group.taken.iloc[0], 1):
-            taken = draws.split(_seeded(seed, r, sample, block), counts, int(depth))
-            hit = np.flatnonzero(taken)
-            parts.append(pd.DataFrame({"replicate": r, "samplename": sample, "otuname": names[hit], "nreads": taken[hit]}))
-        return pd.concat(parts)
-
-    dealt = written(sums.groupBy("samplename").applyInPandas(deal, "samplename string, block long, taken array<long>"), "dealt")
-    inner = blocked.select(*key, "otuname", "nreads").join(dealt, key)
-    return inner.groupBy(*key).applyInPandas(draw, "replicate int, samplename string, otuname string, nreads long")
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, borders in _groups(frames, ["samplename"]):
+            samples, counts, depths_ = (frame[c].to_numpy() for c in ("samplename", "nreads", "depth"))
+            taken = []
+            for i, j in borders:
+                taken.extend(np.column_stack([draws.split(_seeded(seed, r, samples[i]), counts[i:j], int(depths_[i])) for r in range(1, replicates + 1)]))
+            yield frame[key].assign(taken=taken)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, borders in _groups(frames, key):
+            samples, blocks, counts, taken = (frame[c].to_numpy() for c in ("samplename", "block", "nreads", "taken"))
+            for r in range(1, replicates + 1):
+                split = [draws.split(_seeded(seed, r, samples[i], blocks[i]), counts[i:j], int(taken[i][r - 1])) for i, j in borders]
+                part = frame[["samplename", "otuname"]].assign(replicate=r, nreads=np.concatenate(split))
+                yield part.loc[part["nreads"] > 0, ["replicate", "samplename", "otuname", "nreads"]]
+
+    in_order = lambda df, by, *then: df.repartition(*by).sortWithinPartitions(*by, *then)
+    dealt = written(in_order(sums, ["samplename"], "block").mapInPandas(deal, "samplename string, block long, taken array<long>"), "dealt")
+    inner = in_order(blocked.select(*key, "otuname", "nreads").join(dealt, key), key, "otuname")
+    return inner.mapInPandas(draw, "replicate int, samplename string, otuname string, nreads long")
+
+
+def _groups(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Rows in order of *key*, whole groups at a time, with the first row and the end of each; at most a batch and a group are held."""
+    held = None
+
+    def borders(frame: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(frame) - 1, bool)
+        for c in key:
+            column = frame[c].to_numpy()
+            new |= column[1:] != column[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        starts = borders(held)
+        if len(starts) > 1:
+            yield held.iloc[: starts[-1]], list(zip(starts[:-1], starts[1:]))
+            held = held.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held, [(0, len(held))]
 
 
 def rarefied(cube: DataFrame, replicates: int = 10, seed: int = 0, **gate) -> dict[str, DataFrame]:

@@ -89,7 +89,7 @@ def rarefy_once(spark, d):
 )
 def split_draws(spark, d):
     """A third of each sample's reads: sums by draw, and cells with more reads than they had."""
-    cells = fx.cube_l(spark, d)
+    cells = written(fx.cube_l(spark, d), "cube")
     depths = cells.groupBy("samplename").agg((F.floor(F.sum("nreads") / 3) + 1).alias("depth"))
     drawn = quantify.rarefy_cells(cells, depths, replicates=3, seed=5, block_cells=100).join(cells.withColumnRenamed("nreads", "given"), ["samplename", "otuname"])
     return drawn.groupBy(F.col("replicate").cast("long").alias("replicate"), "samplename").agg(F.sum("nreads").alias("nreads"), F.count_if(F.col("nreads") > F.col("given")).alias("n_above"))

@@ -75,3 +75,18 @@ def test_ten_billion_reads(spark):
     assert time.time() - start < 60
     share = 5 * 10**9 / (5 * 10**9 + 499 * 10_000_000)
     assert len(sums) == 4 and all(r.n == 10**9 and abs(r.most / 1e9 - share) < 6 * 0.5 / math.sqrt(1e9) for r in sums)
+
+
+def test_groups_are_whole_across_batches():
+    import pandas as pd
+
+    draw = np.random.default_rng(5)
+    rows = sorted((f"s{draw.integers(4)}", int(draw.integers(3)), i) for i in range(90))
+    frame = pd.DataFrame(rows, columns=["samplename", "block", "i"])
+    for size in (1, 7, 30, 90):
+        found = []
+        for part, borders in quantify._groups((frame.iloc[k : k + size].reset_index(drop=True) for k in range(0, 90, size)), ["samplename", "block"]):
+            found += [part.iloc[i:j] for i, j in borders]
+        assert [tuple(r) for g in found for r in g.itertuples(index=False)] == rows
+        assert [len(g[["samplename", "block"]].drop_duplicates()) for g in found] == [1] * len({r[:2] for r in rows})
+    assert list(quantify._groups(iter([frame.iloc[:0]]), ["samplename"])) == []

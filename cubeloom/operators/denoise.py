@@ -5,14 +5,15 @@ that depend on the two letters and the quality.  Different sequences are taken f
 there are too many of them for that.
 
 1. *Unique sequences* with their number and the mean quality of each place.  Tasks add up equal
-   sequences first, so a sequence that a third of the reads have is a row a task.
+   sequences first, so a sequence that a third of the reads have is a row a task; sorted by sequence, the sums meet.
 2. *Comparing* with centres: sequences of one length with at most *max_distance* replacements.
    Cut in ``max_distance + 1`` pieces, two such sequences have a piece in common (the pigeonhole), so none is lost.
 3. *Assigning*: a sequence goes to the centre from which most copies of it are expected, the chance of its
    replacements times the reads of the centre.
 4. *Testing*: the Poisson chance of as many copies as there are, given one, times the number of unique
    sequences.  Those below *omega* are no copies: the largest of every neighbourhood of them become centres, all
-   at once, and the next round compares with these only.  It ends when none is left.
+   at once, and the next round compares with these only.  It ends when none is left.  Most of a neighbourhood is ruled out
+   by the largest that has one of its pieces; only what is left is compared with all that share a piece.
 5. *Refitting*: the rates are counted over all assigned reads, with a prior from the qualities' own meaning,
    and the rounds are repeated with them until they settle.
 
@@ -77,28 +78,54 @@ def unique_sequences(reads: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[int, np.ndarray]] = {}
-
-        def flushed() -> pd.DataFrame:
-            out = pd.DataFrame({"seq": list(held), "n": [n for n, _ in held.values()], "total": [q.tolist() for _, q in held.values()]})
-            held.clear()
-            return out
-
         for frame in frames:
-            for seq, qual in zip(frame["seq"], frame["qual"]):
-                q = np.frombuffer(qual.encode("latin-1", "replace"), dtype=np.uint8).astype(np.int64) - 33
-                n, total = held.get(seq, (0, 0))
-                held[seq] = n + 1, total + q
+            for n, part in _by_length(frame):
+                at, seqs = pd.factorize(part["seq"])
+                order = np.argsort(at, kind="stable")
+                counts = np.bincount(at)
+                q = np.frombuffer("".join(part["qual"]).encode("latin-1", "replace"), np.uint8).reshape(-1, n)[order]
+                sums = np.add.reduceat(q, np.cumsum(counts) - counts, axis=0, dtype=np.int64) - 33 * counts[:, None]
+                _add(held, seqs, counts, sums)
             if len(held) > _HELD:
-                yield flushed()
+                yield _frame(held)
+                held.clear()
+        if held:
+            yield _frame(held)
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[int, np.ndarray]] = {}
+        for frame in frames:
+            if not len(frame):
+                continue
+            _add(held, frame["seq"], frame["n"], frame["total"])
+            # Sorted, so that only the last one may go on.
+            last = frame["seq"].iloc[-1]
+            open_ = held.pop(last)
+            if held:
+                yield _means(held)
+            held = {last: open_}
         if held:
-            yield flushed()
+            yield _means(held)
 
     partial = valid(reads).select("seq", "qual").mapInPandas(run, "seq string, n long, total array<long>")
-    places = partial.repartition("seq").select("seq", "n", F.posexplode("total").alias("pos", "q"))
-    summed = places.groupBy("seq", "pos").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
-    mean = F.least(F.greatest(F.round(F.col("q") / F.col("n")), F.lit(0)), F.lit(QUALITIES - 1)).cast("int")
-    grouped = summed.groupBy("seq").agg(F.max("n").alias("size"), F.sort_array(F.collect_list(F.struct("pos", mean.alias("q")))).alias("places"))
-    return grouped.select("seq", "size", F.col("places.q").alias("quality"))
+    return partial.repartition("seq").sortWithinPartitions("seq").mapInPandas(meet, "seq string, size long, quality array<int>")
+
+
+def _add(held: dict, seqs, counts, sums) -> None:
+    """Add numbers and sums of qualities to those that *held* has of the same sequences."""
+    for seq, n, total in zip(seqs, counts, sums):
+        before = held.get(seq)
+        held[seq] = (int(n), total) if before is None else (before[0] + int(n), before[1] + total)
+
+
+def _frame(held: dict) -> pd.DataFrame:
+    return pd.DataFrame({"seq": list(held), "n": [n for n, _ in held.values()], "total": [q.tolist() for _, q in held.values()]})
+
+
+def _means(held: dict) -> pd.DataFrame:
+    """The sums of *held* as ``seq, size, quality``; halves are rounded up."""
+    means = [np.clip(np.floor(q / n + 0.5), 0, QUALITIES - 1).astype(np.int32).tolist() for n, q in held.values()]
+    return pd.DataFrame({"seq": list(held), "size": [n for n, _ in held.values()], "quality": means})
 
 
 def pieces(distance: int):
@@ -113,20 +140,38 @@ def _near(some: DataFrame, others: DataFrame, distance: int) -> DataFrame:
     """``seq, other``: different sequences with at most *distance* replacements, by common pieces."""
     left = some.select("seq", F.explode(pieces(distance)).alias("p"))
     right = others.select("seq", F.explode(pieces(distance)).alias("p")).withColumnRenamed("seq", "other")
+    pairs = left.join(right, "p").filter("seq != other")
     # A pair that shares several pieces is taken at the first of them only.
-    pairs = left.join(right, "p").filter("seq != other").select("seq", "other", F.col("p.piece").alias("piece"))
+    for k in range(distance):
+        start, after = (F.floor(F.length("seq") * i / (distance + 1)).cast("int") for i in (k, k + 1))
+        pairs = pairs.filter((F.col("p.piece") <= k) | (F.substring("seq", start + 1, after - start) != F.substring("other", start + 1, after - start)))
+    return _within(pairs, distance)
+
+
+def _within(pairs: DataFrame, distance: int) -> DataFrame:
+    """Those of *pairs* (``seq, other``, of one length) with at most *distance* replacements."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for n, part in _by_length(frame):
-                differ = _matrix(part["seq"], n) != _matrix(part["other"], n)
-                upto = np.concatenate((np.zeros((len(part), 1), np.int64), np.cumsum(differ, axis=1)), axis=1)
-                borders = np.array([n * k // (distance + 1) for k in range(distance + 2)])
-                inside = np.diff(upto[:, borders], axis=1)  # replacements by piece
-                first = (inside == 0).argmax(axis=1)
-                yield part.loc[(upto[:, -1] <= distance) & (first == part["piece"].to_numpy()), ["seq", "other"]]
+                yield part[(_matrix(part["seq"], n) != _matrix(part["other"], n)).sum(axis=1) <= distance]
 
-    return pairs.mapInPandas(run, "seq string, other string")
+    return pairs.select("seq", "other").mapInPandas(run, "seq string, other string")
+
+
+def _largest(sequences: DataFrame, distance: int) -> DataFrame:
+    """``seq, size`` of *sequences* that no larger one (then smaller sequence) is near to.
+
+    Each is compared first with the largest that has each of its pieces, at most ``distance + 1``; what none of these beats is compared with all.
+    """
+    place = F.struct((-F.col("size")).alias("s"), F.col("seq").alias("t"))
+    cut = sequences.select("seq", place.alias("place"), F.explode(pieces(distance)).alias("p"))
+    first = cut.groupBy("p").agg(F.min("place").alias("first"))
+    led = cut.join(first, "p").filter("first < place").select("seq", F.col("first.t").alias("other")).distinct()
+    left = written(sequences.join(_within(led, distance).select("seq").distinct(), "seq", "left_anti").select("seq", "size"), "denoise-led")
+    near = _near(left, sequences, distance).join(left, "seq").join(sequences.select(F.col("seq").alias("other"), F.col("size").alias("other_size")), "other")
+    beaten = near.filter("other_size > size or (other_size = size and other < seq)").select("seq").distinct()
+    return left.join(beaten, "seq", "left_anti")
 
 
 def _scored(pairs: DataFrame, rates: np.ndarray) -> DataFrame:
@@ -189,9 +234,7 @@ def _split(uniques: DataFrame, rates: np.ndarray, distance: int, omega: float, c
         open_ = written(open_.select("seq", "size"), "denoise-open")
         if open_.isEmpty():
             break
-        near = _near(open_, open_, distance).join(open_.select("seq", "size"), "seq").join(open_.select(F.col("seq").alias("other"), F.col("size").alias("other_size")), "other")
-        beaten = near.filter("other_size > size or (other_size = size and other < seq)").select("seq").distinct()
-        new = written(open_.join(beaten, "seq", "left_anti").select(F.col("seq").alias("centre"), F.col("size").alias("reads")), "denoise-new")
+        new = written(_largest(open_, distance).select(F.col("seq").alias("centre"), F.col("size").alias("reads")), "denoise-new")
         fresh = new if compared["pairs"] is None else new.join(compared["centres"], "centre", "left_anti")
         fresh = written(fresh, "denoise-fresh")
         if not fresh.isEmpty():

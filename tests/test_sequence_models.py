@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from cubeloom.operators import chimeras, denoise, search
+from cubeloom.plans import fixtures
 
 
 def letters(draw, n):
@@ -241,3 +243,36 @@ def test_clusters_on_both_strands(spark):
     rows = [(f"c{i}", t, 50) for i, t in enumerate(true)] + [(f"m{i}", (t[:50] + "A" + t[51:])[::-1].translate(flip), 2) for i, t in enumerate(true)]
     found = {r["name"]: (r.centroid, r.strand) for r in search.clustered(spark.createDataFrame(rows, "name string, seq string, size long"), 0.97).collect()}
     assert found == {f"c{i}": (f"c{i}", "+") for i in range(5)} | {f"m{i}": (f"c{i}", "-") for i in range(5)}
+
+
+# steps that keep large tables from being compared in pairs
+
+
+def test_largest_of_each_neighbourhood(spark):
+    draw = random.Random(11)
+    base = [letters(draw, n) for n in (20, 20, 21)]
+    seqs = sorted({"".join(draw.choice("ACGT") if draw.random() < 0.12 else c for c in draw.choice(base)) for _ in range(150)})
+    sizes = {s: draw.randint(2, 9) for s in seqs}
+
+    def near(a, b):
+        return a != b and len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 4
+
+    expected = sorted(s for s in seqs if not any(near(s, t) and (-sizes[t], t) < (-sizes[s], s) for t in seqs))
+    df = spark.createDataFrame(list(sizes.items()), "seq string, size long")
+    assert sorted(r.seq for r in denoise._largest(df, 4).collect()) == expected
+
+
+def test_unique_sequences_of_sorted_sums(spark):
+    draw = random.Random(12)
+    reads = [(letters(draw, draw.choice((2, 3))), None) for _ in range(500)]
+    reads = [(s, "".join(chr(33 + draw.randrange(41)) for _ in s)) for s, _ in reads]
+    found = {r.seq: (r["size"], list(r.quality)) for r in denoise.unique_sequences(spark.createDataFrame(reads, "seq string, qual string").repartition(5)).collect()}
+    for s in {s for s, _ in reads}:
+        quals = [[ord(c) - 33 for c in q] for t, q in reads if t == s]
+        assert found.pop(s) == (len(quals), [math.floor(sum(x) / len(quals) + 0.5) for x in zip(*quals)])
+    assert not found
+
+
+def test_letters_are_drawn_by_crc32():
+    names = ["1:2:3", "", "77:1:1000"]
+    assert fixtures.crcs(names, 64).tolist() == [[zlib.crc32(f"{x}#{i}".encode()) for i in range(1, 65)] for x in names]

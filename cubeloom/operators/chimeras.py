@@ -12,7 +12,8 @@
 only, so repeating the decision with what was found before ends, at the latest when the longest chain of parents is
 done.  ``against_reference`` takes the sequences of another table.
 
-Work: a sequence's k-mers times the parents that have them; at most *per_chunk* candidates a chunk are aligned.
+Work: a sequence's k-mers times the parents that have them, counted in blocks of sequences and parents; a block hands on
+the best parents of each chunk only, so that pairs are neither written nor shuffled.  At most *per_chunk* candidates a chunk are aligned.
 Defined cases: sequences shorter than a chunk needs have no candidates and are no chimeras; null sequences are left out.
 """
 
@@ -121,30 +122,136 @@ def best_model(sequence: str, others: list[str], rules: Rules) -> tuple | None:
     return tuple(found) if good else None
 
 
-def _words(sequences: DataFrame, key: str, k: int, chunks: int) -> DataFrame:
-    """*key*, ``chunk`` (-1 where *chunks* is 0) and ``word``: the distinct k-mers of each chunk."""
-    n = F.length("seq")
-    places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    chunk = (lambda i: F.floor(i * chunks / (n - k + 1)).cast("int")) if chunks else (lambda i: F.lit(-1))
-    each = F.array_distinct(F.transform(places, lambda i: F.struct(chunk(i).alias("chunk"), F.substring("seq", i + 1, F.lit(k)).alias("word"))))
-    return sequences.select(F.col("name").alias(key), F.explode(each).alias("w")).select(key, "w.chunk", "w.word")
+def _numbered(letters: np.ndarray, k: int, alphabet: np.ndarray) -> np.ndarray:
+    """A number for the *k* letters from each place of *letters* on, or the letters themselves where numbers don't suffice."""
+    base = len(alphabet)
+    if base**k >= 1 << 62:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, k)).view(f"S{k}").ravel()
+    rank = np.zeros(256, np.int64)
+    rank[alphabet] = np.arange(base)
+    of, n = rank[letters], len(letters) - k + 1
+    out = np.zeros(n, np.int64)
+    for j in range(k):
+        out = out * base + of[j : j + n]
+    return out.astype(np.uint16) if base**k <= 1 << 16 else out
 
 
-def candidates(shared: DataFrame, per_chunk: int) -> DataFrame:
-    """``query, parent`` of *shared* (``query, chunk, parent, n, parent_size``): the best parents of each chunk."""
-    order = Window.partitionBy("query", "chunk").orderBy(F.desc("n"), F.desc("parent_size"), "parent")
-    return shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_chunk).select("query", "parent").distinct()
+def _words(letters: np.ndarray, lengths: np.ndarray, k: int, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the sequence, place and word of all k-mers; *letters* are those of all sequences."""
+    n = np.maximum(lengths - k + 1, 0)
+    of = np.repeat(np.arange(len(lengths)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(lengths) - lengths)[of] + place
+    return of, place, _numbered(letters, k, alphabet)[start] if len(of) else np.zeros(0, np.uint16)
+
+
+def best_shared(queries: list[str], sizes: np.ndarray, parents: list[str], parent_sizes: np.ndarray, k: int, chunks: int, skew: float | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, chunk, parent and number of common k-mers of the *most* parents that share most with each chunk (then the first).
+
+    Parents are given from the largest to the smallest; *skew* times as large as the query they must be.
+    """
+    flat = [np.frombuffer("".join(x).encode("ascii", "replace"), np.uint8) for x in (queries, parents)]
+    alphabet = np.unique(np.concatenate(flat))
+    lengths = [np.array([len(x) for x in side], np.int64) for side in (queries, parents)]
+    of, _, word = _words(flat[1], lengths[1], k, alphabet)
+    asked, place, look = _words(flat[0], lengths[0], k, alphabet)
+    if not len(of) or not len(asked):
+        return (np.zeros(0, np.int64),) * 4
+    order = np.argsort(word, kind="stable")
+    word, of = word[order], of[order]
+    new = np.append(True, (word[1:] != word[:-1]) | (of[1:] != of[:-1]))  # a parent counts once for a word
+    word, of = word[new], of[new].astype(np.uint32)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    known, after = word[first], np.append(first[1:], len(word))
+    at = np.minimum(np.searchsorted(known, look), len(known) - 1)
+    segment = asked * chunks + place * chunks // (lengths[0][asked] - k + 1)
+    hit = known[at] == look
+    both = np.unique(segment[hit] * len(known) + at[hit])  # a word counts once for a chunk
+    segment, at = both // len(known), both % len(known)
+    amount = (after - first)[at]
+    allowed = np.full(len(queries), len(parents)) if skew is None else np.searchsorted(-parent_sizes, -skew * sizes, side="right")
+    lot = (np.cumsum(amount) - 1) // _POSTINGS
+    found = []
+    # Lots end with a segment.
+    borders = np.unique(np.append(np.searchsorted(segment, segment[np.flatnonzero(np.diff(lot)) + 1]), [0, len(segment)]))
+    for lo, hi in zip(borders[:-1], borders[1:]):
+        n, base = amount[lo:hi], segment[lo]
+        rows = np.repeat(first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        whose, parent = np.repeat(segment[lo:hi], n), of[rows]
+        fit = parent < allowed[whose // chunks]
+        key = np.sort((whose[fit] - base) * len(parents) + parent[fit])
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        shared = np.diff(np.append(start, len(key)))
+        whose, parent = key[start] // len(parents), key[start] % len(parents)
+        # The least number that the best of a segment have.
+        top = int(shared.max()) + 1
+        above = np.bincount(whose * top + shared, minlength=(int(whose[-1]) + 1) * top).reshape(-1, top)[:, ::-1].cumsum(axis=1)
+        least = np.maximum(top - 1 - (above >= most).argmax(axis=1), 1)
+        least[above[:, -1] < most] = 1
+        good = shared >= least[whose]
+        whose, parent, shared = whose[good], parent[good], shared[good]
+        order = np.lexsort((parent, -shared, whose))
+        whose, parent, shared = whose[order], parent[order], shared[order]
+        begins = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
+        inside = np.arange(len(whose)) - np.repeat(begins, np.diff(np.append(begins, len(whose))))
+        keep = inside < most
+        found.append((whose[keep] + base, parent[keep], shared[keep]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    whose, parent, shared = (np.concatenate(x) for x in zip(*found))
+    return whose // chunks, whose % chunks, parent, shared
+
+
+#: Places of words that are counted at a time, and sequences of a block.
+_POSTINGS, _BLOCK = 2_000_000, 8_192
+
+
+def _packed(sequences: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """*columns* of *sequences* as lists, at most *most* rows in one."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            while n >= most:
+                whole = pd.concat(held)
+                yield pd.DataFrame({c: [whole[c].iloc[:most].tolist()] for c in columns})
+                held, n = [whole.iloc[most:]], n - most
+        if n:
+            whole = pd.concat(held)
+            yield pd.DataFrame({c: [whole[c].tolist()] for c in columns})
+
+    kinds = dict(sequences.dtypes)
+    dealt = written(sequences.select(*columns), "chimera-sequences")
+    dealt = dealt.repartition(max(1, -(-dealt.count() // most)))
+    return written(dealt.mapInPandas(run, ", ".join(f"{c} array<{kinds[c]}>" for c in columns)), "chimera-blocks")
+
+
+def candidates(queries: DataFrame, parents: DataFrame, k: int, chunks: int, per_chunk: int, skew: float | None) -> DataFrame:
+    """``query, parent``: for each chunk of *queries* the *per_chunk* parents, *skew* times as large, that share most of its k-mers (then the larger, then the first name)."""
+    # Equal parents are counted once: of those of one size the first names, and one more, as a query is no parent of its own.
+    copies = Window.partitionBy("seq", "size").orderBy("name")
+    few = parents.select("name", "seq", "size").withColumn("r", F.row_number().over(copies)).filter(F.col("r") <= per_chunk + 1)
+    classes = few.groupBy("seq", "size").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    listed = _packed(classes.select(F.col("seq").alias("pseq"), F.col("size").alias("psize"), "names"), ["pseq", "psize", "names"], 8 * _BLOCK)
+    asked = _packed(queries.select("name", "seq", "size"), ["name", "seq", "size"], _BLOCK)
 
-def _shared(queries: DataFrame, parents: DataFrame, k: int, chunks: int, skew: float | None) -> DataFrame:
-    """``query, chunk, parent, n, parent_size``: numbers of common k-mers of queries' chunks and parents *skew* times as large."""
-    asked = _words(queries, "query", k, chunks)
-    listed = _words(parents, "parent", k, 0).select("parent", "word")
-    counts = asked.join(listed, "word").groupBy("query", "chunk", "parent").agg(F.count("*").alias("n")).filter("query != parent")
-    sized = counts.join(parents.select(F.col("name").alias("parent"), F.col("size").alias("parent_size")), "parent")
-    if skew is not None:
-        sized = sized.join(queries.select(F.col("name").alias("query"), "size"), "query").filter(F.col("parent_size") >= skew * F.col("size")).drop("size")
-    return sized
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                order = sorted(range(len(row.psize)), key=lambda i: (-row.psize[i], row.names[i][0]))
+                psize, names = np.array(row.psize)[order], [list(row.names[i]) for i in order]
+                query, chunk, parent, n = best_shared(list(row.seq), np.array(row.size), [row.pseq[i] for i in order], psize, k, chunks, skew, per_chunk + 1)
+                made = pd.DataFrame({"query": np.array(row.name, dtype=object)[query], "chunk": chunk, "n": n, "parent_size": psize[parent], "parent": [names[p] for p in parent]})
+                yield made.explode("parent").query("query != parent")
+
+    # Every block of queries with every block of parents: the comparison is that product.
+    counted = asked.join(listed).mapInPandas(run, "query string, chunk int, n long, parent_size long, parent string")
+    order = Window.partitionBy("query", "chunk").orderBy(F.desc("n"), F.desc("parent_size"), "parent")
+    return counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_chunk).select("query", "parent").distinct()
 
 
 def _decided(queries: DataFrame, parents: DataFrame, chosen: DataFrame, rules: Rules) -> DataFrame:
@@ -167,25 +274,28 @@ def _decided(queries: DataFrame, parents: DataFrame, chosen: DataFrame, rules: R
 
 def against_reference(queries: DataFrame, reference: DataFrame, rules: Rules = Rules(), k: int = 8, chunks: int = 4, per_chunk: int = 4) -> DataFrame:
     """The chimeras of *queries* (``name, seq``) whose parents are in *reference* (``name, seq``)."""
-    queries, parents = queries.filter("seq is not null").select("name", "seq"), reference.filter("seq is not null").select("name", "seq", F.lit(1).alias("size"))
-    chosen = candidates(_shared(queries, parents, k, chunks, None), per_chunk)
-    return _decided(queries, parents, chosen, rules)
+    queries, parents = (x.filter("seq is not null").select("name", "seq", F.lit(1).cast("long").alias("size")) for x in (queries, reference))
+    return _decided(queries, parents, candidates(queries, parents, k, chunks, per_chunk, None), rules)
 
 
 def denovo(sequences: DataFrame, rules: Rules = Rules(), min_skew: float = 2.0, k: int = 8, chunks: int = 4, per_chunk: int = 4) -> DataFrame:
     """The chimeras of *sequences* (``name, seq, size``) whose parents are larger ones (*min_skew* times, above 1) that are none."""
     if min_skew <= 1:
         raise ValueError("parents must be larger than their chimeras")
-    all_ = sequences.filter("seq is not null").select("name", "seq", "size")
-    shared = written(_shared(all_, all_, k, chunks, min_skew), "chimera-words")
-    before, found = None, None
+    all_ = sequences.filter("seq is not null and size is not null").select("name", "seq", F.col("size").cast("long").alias("size"))
+    bounds = all_.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
+    if bounds["least"] is None:
+        return written(all_.sparkSession.createDataFrame([], _COLUMNS), "chimeras")
+    queries, parents = all_.filter(min_skew * F.col("size") <= bounds["most"]), all_.filter(F.col("size") >= min_skew * bounds["least"])
+    before, allowed = (0, None), parents
     while True:
-        allowed = shared if found is None else shared.join(found.select(F.col("name").alias("parent")), "parent", "left_anti")
-        found = written(_decided(all_, all_, candidates(allowed, per_chunk), rules), "chimeras")
-        now = found.agg(F.count("*"), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        found = written(_decided(queries, allowed, candidates(queries, allowed, k, chunks, per_chunk, min_skew), rules), "chimeras")
+        # Only those that could be parents change what the next round finds.
+        barred = parents.join(found.select("name"), "name", "left_semi")
+        now = tuple(barred.agg(F.count("*"), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).first())
+        if now == before:
             return found
-        before = now
+        before, allowed = now, parents.join(found.select("name"), "name", "left_anti")
 
 
 def both(sequences: DataFrame, reference: DataFrame, rules: Rules = Rules(), **options) -> DataFrame:

@@ -276,3 +276,33 @@ def test_unique_sequences_of_sorted_sums(spark):
 def test_letters_are_drawn_by_crc32():
     names = ["1:2:3", "", "77:1:1000"]
     assert fixtures.crcs(names, 64).tolist() == [[zlib.crc32(f"{x}#{i}".encode()) for i in range(1, 65)] for x in names]
+
+
+def test_best_parents_of_chunks(spark):
+    """Candidates against counting all pairs, with copies, unequal lengths, repeated words and sizes that rule out."""
+    draw = random.Random(13)
+    rows = [(f"p{i}", letters(draw, draw.randint(3, 30)), draw.choice((4, 8, 20))) for i in range(60)]
+    rows += [(f"c{i}", rows[i % 7][1], rows[i % 7][2]) for i in range(25)] + [("rep", "ACACACACACACACAC", 30)]
+    asked = [(f"q{i}", draw.choice(rows)[1][:9] + draw.choice(rows)[1][-9:], draw.choice((1, 3, 9))) for i in range(30)] + [rows[0]]
+    frames = [spark.createDataFrame(x, "name string, seq string, size long").repartition(3) for x in (asked, rows)]
+    k, chunks, per_chunk = 4, 3, 4
+    for skew in (None, 2.0):
+        expected = set()
+        for name, seq, size in asked:
+            n = len(seq) - k + 1
+            for chunk in range(chunks):
+                words = {seq[i : i + k] for i in range(max(n, 0)) if i * chunks // n == chunk}
+                shared = [(-len(words & {p[i : i + k] for i in range(len(p) - k + 1)}), -s, m) for m, p, s in rows if m != name and (skew is None or s >= skew * size)]
+                expected |= {(name, m) for n_, _, m in sorted(shared)[:per_chunk] if n_}
+        assert {tuple(r) for r in chimeras.candidates(*frames, k, chunks, per_chunk, skew).collect()} == expected
+
+
+def test_pairs_of_words_stay_in_blocks(spark, monkeypatch):
+    """Small blocks and lots find the same, and no pair of a chunk and a parent is written."""
+    draw = random.Random(14)
+    parents = [letters(draw, 60) for _ in range(40)]
+    args = [a[:30] + b[30:] for a, b in itertools.pairwise(parents)], np.ones(39), parents, np.full(40, 5), 4, 4, 2.0, 5
+    whole = chimeras.best_shared(*args)
+    monkeypatch.setattr(chimeras, "_POSTINGS", 50)
+    assert all((x == y).all() for x, y in zip(whole, chimeras.best_shared(*args)))
+    assert len(whole[0]) <= 39 * 4 * 5

@@ -1,13 +1,14 @@
 """Search of sequences over a stored index, without losing a hit.
 
-*Index.*  A set of targets (``name, seq``) is stored as a table of its k-mers with their places,
+*Index.*  A set of targets (``name, seq``) is stored as a table of its k-mers with their places and the letters next to them,
 bucketed and sorted by k-mer, beside the letters bucketed by name and the k-mers' numbers.  A search joins the
-bucketed table as it lies: only the query's side is shuffled.
+bucketed table as it lies: only the query's side is shuffled.  A bucket is a task's share, so their number goes with the k-mers (:func:`buckets_for`).
 
 *Seeds.*  An alignment of a query of length n whose columns match to a share of *identity* has at most
 ``d = floor((1 / identity - 1) * n)`` edits.  The query is cut into d + 1 pieces; one of them
 is in the target as it is, and so is every k-mer of it.  From each piece the k-mer that is rarest in the index is asked for: d + 1
-lookups a query find every hit (a k-mer that the index lacks rules its piece out).  That needs pieces of k letters or more; shorter queries are told by :func:`too_short`.
+lookups a query find every hit (a k-mer that the index lacks rules its piece out).  A k-mer's places grow with the index, but the piece must be there
+as well: letters beside the k-mer that differ end a seed in the join.  That needs pieces of k letters or more; shorter queries are told by :func:`too_short`.
 
 *Verification.*  Around a seed's diagonal the query is aligned as a whole within a target, in a band of d places to both sides,
 with affine gaps; many pairs at a time, place by place.  The best path's score, matches and columns travel with the score, so
@@ -34,6 +35,8 @@ from cubeloom.session import shared_dir, written
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2, -4, -10, -1
 _LOW = -(1 << 30)
+#: Letters to both sides that the index has of a k-mer, and k-mers in a bucket.
+_BESIDE, _BUCKET = 8, 500_000
 #: Pairs that are aligned at a time.
 _TOGETHER = 2000
 
@@ -53,8 +56,15 @@ def _places(k: int):
     return F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
 
 
+def buckets_for(targets: DataFrame, k: int) -> int:
+    """Buckets of about ``_BUCKET`` k-mers for an index of *targets*, 8 at least."""
+    words = targets.agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0)))).first()[0] or 0
+    return min(100_000, max(8, -(-words // _BUCKET)))
+
+
 def _bucketed(df: DataFrame, key: str, buckets: int, table: str, path: str) -> None:
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    # A task has a bucket, or each task would write a file for every bucket.
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
 
 
 def store(targets: DataFrame, k: int, buckets: int = 64, path: str | None = None) -> Index:
@@ -62,7 +72,9 @@ def store(targets: DataFrame, k: int, buckets: int = 64, path: str | None = None
     spark, tag = targets.sparkSession, f"index_{uuid.uuid4().hex}"
     path = path or f"{shared_dir(spark)}/{tag}"
     kept = targets.filter("name is not null and seq is not null").select("name", "seq")
-    words = kept.select(F.col("name").alias("target"), "seq", F.explode(_places(k)).alias("at")).select(F.substring("seq", F.col("at") + 1, F.lit(k)).alias("word"), "target", "at")
+    at = F.col("at")
+    before, after = F.substring("seq", F.greatest(at - _BESIDE, F.lit(0)) + 1, F.least(at, F.lit(_BESIDE))), F.substring("seq", at + (k + 1), F.lit(_BESIDE))
+    words = kept.select(F.col("name").alias("target"), "seq", F.explode(_places(k)).alias("at")).select(F.substring("seq", at + 1, F.lit(k)).alias("word"), "target", "at", before.alias("before"), after.alias("after"))
     index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k)
     _bucketed(words, "word", buckets, index.words, f"{path}/words")
     _bucketed(kept.select(F.col("name").alias("target"), F.col("seq").alias("target_seq")), "target", buckets, index.letters, f"{path}/letters")
@@ -74,7 +86,7 @@ def opened(spark: SparkSession, path: str, k: int, buckets: int = 64) -> Index:
     """The index that :func:`store` wrote to *path*, for another session."""
     tag = f"index_{uuid.uuid4().hex}"
     index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k)
-    for table, part, columns, key in ((index.words, "words", "word string, target string, at int", "word"), (index.letters, "letters", "target string, target_seq string", "target"), (index.numbers, "numbers", "word string, n long", "word")):
+    for table, part, columns, key in ((index.words, "words", "word string, target string, at int, before string, after string", "word"), (index.letters, "letters", "target string, target_seq string", "target"), (index.numbers, "numbers", "word string, n long", "word")):
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{part}'")
     return index
 
@@ -89,21 +101,24 @@ def too_short(queries: DataFrame, index: Index, identity: float) -> DataFrame:
 
 
 def seeds(queries: DataFrame, index: Index, identity: float) -> DataFrame:
-    """``query, word, place``: the rarest k-mer of every piece of the queries (``query, seq``)."""
+    """``query, word, place, left, right``: the rarest k-mer of every piece of the queries (``query, seq``), with the piece's letters beside it."""
     n, d, k = F.length("seq"), _edits(identity), index.k
     border = lambda j: F.floor(n * j / (d + 1)).cast("int")
-    piece = lambda j: F.transform(F.sequence(border(j), border(j + 1) - k), lambda i: F.struct(j.alias("piece"), i.alias("place"), F.substring("seq", i + 1, F.lit(k)).alias("word")))
+    left = lambda i, lo: F.substring("seq", F.greatest(i - _BESIDE, lo) + 1, F.least(i - lo, F.lit(_BESIDE)))
+    right = lambda i, hi: F.substring("seq", i + (k + 1), F.least(hi - i - k, F.lit(_BESIDE)))
+    word = lambda i, j: F.struct(j.alias("piece"), i.alias("place"), F.substring("seq", i + 1, F.lit(k)).alias("word"), left(i, border(j)).alias("left"), right(i, border(j + 1)).alias("right"))
+    piece = lambda j: F.transform(F.sequence(border(j), border(j + 1) - k), lambda i: word(i, j))
     long_enough = queries.filter(F.floor(n / (d + 1)) >= k)
     words = long_enough.select("query", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), d), piece))).alias("w")).select("query", "w.*")
     counted = words.join(words.sparkSession.table(index.numbers), "word", "left")
     # A k-mer that the index lacks counts 0, is its piece's rarest, and finds nothing: the piece is not in any target.
-    rarest = counted.groupBy("query", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "place", "word")).alias("best"))
-    return rarest.filter("best.n > 0").select("query", "best.word", "best.place")
+    rarest = counted.groupBy("query", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "place", "word", "left", "right")).alias("best"))
+    return rarest.filter("best.n > 0").select("query", "best.word", "best.place", "best.left", "best.right")
 
 
 def candidates(queries: DataFrame, index: Index, identity: float) -> DataFrame:
     """``query, target, diagonal``: where a seed of a query lies in a target; the index is joined in its buckets."""
-    found = seeds(queries, index, identity).join(queries.sparkSession.table(index.words), "word")
+    found = seeds(queries, index, identity).join(queries.sparkSession.table(index.words), "word").filter(F.endswith("before", F.col("left")) & F.startswith("after", F.col("right")))
     return found.groupBy("query", "target", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.lit(1).alias("one")).drop("one")
 
 
@@ -215,7 +230,7 @@ def clustered(sequences: DataFrame, identity: float = 0.97, k: int = 8, both_str
 
     A hit must align all but *less_columns* letters of the shortest sequence.  ``strand`` tells how a sequence lies to its centroid.
     """
-    index = store(sequences, k)
+    index = store(sequences, k, buckets_for(sequences, k))
     shortest = sequences.agg(F.min(F.length("seq")).alias("n")).first()["n"] or 0
     links = written(hits(sequences, index, identity, both_strands, max(0, shortest - less_columns)).filter("query != target").select("query", "target", "strand"), "links")
     chosen = greedy_centroids(sequences, links.select("query", "target"))

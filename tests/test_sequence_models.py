@@ -306,3 +306,19 @@ def test_pairs_of_words_stay_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(chimeras, "_POSTINGS", 50)
     assert all((x == y).all() for x, y in zip(whole, chimeras.best_shared(*args)))
     assert len(whole[0]) <= 39 * 4 * 5
+
+
+def test_seeds_need_their_whole_piece(spark, monkeypatch):
+    """A k-mer with other letters beside it makes no candidate; buckets follow the k-mers."""
+    draw = random.Random(15)
+    query = letters(draw, 40)
+    targets = [("whole", query), ("start", query[:20] + letters(draw, 20))]
+    # The k-mer of the query's second half in other surroundings.
+    targets += [(f"other{i}", letters(draw, 8) + query[26:34] + letters(draw, 8)) for i in range(20)]
+    df = spark.createDataFrame(targets, "name string, seq string")
+    monkeypatch.setattr(search, "_BUCKET", 40)
+    assert search.buckets_for(df, 8) == -(-(2 * 33 + 20 * 17) // 40)
+    index = search.store(df, 8, search.buckets_for(df, 8))
+    asked = spark.createDataFrame([("q", query)], "query string, seq string")
+    assert {r.target for r in search.candidates(asked, index, 0.96).collect()} == {"whole", "start"}
+    assert search.buckets_for(df.limit(0), 8) == 8

@@ -29,7 +29,8 @@ differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` of them.
    link between different components can exist, so the components are exact.
 
 Scale: blocks that only one text has are dropped by a partial aggregation
-before anything is joined, most of them by a Bloom filter of bounded size before they are shuffled again; groups that
+before anything is joined, most of them by a Bloom filter of bounded size before they are shuffled again, and so are texts
+that are in no group before sets are computed of the others; groups that
 are done, and sets that no open pair asks for, don't travel in later rounds; a round compares at most its number of leaders times
 a group's members, inside the join, and emits only pairs that short sketches let pass; leaders are picked by a limited rank that Spark applies before the
 shuffle; skewed groups are split by Spark's skew join (no hints); sets are
@@ -270,8 +271,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, percent: int = 90, l
     with bloom_joins(spark, shared.count()):
         groups = scratch.write(kept.select("block", "set_a", "popularity"), "join-groups")
     scratch.drop("join-sketches", "join-shared")
-    members = scratch.write(groups.select("set_a").distinct().join(nodes, "set_a"), "join-members")
-    sets = scratch.write(sets_of(docs.join(members.select(F.col("node").alias("doc_id"), "text_key", "set_a"), ["doc_id", "text_key"]), shingle).dropDuplicates(["set_a"]), "join-sets")
+    members = scratch.write(groups.groupBy("set_a").agg(F.max("popularity").alias("popularity")).join(nodes, "set_a"), "join-members")
+    asked = members.filter("popularity > 1").select(F.col("node").alias("doc_id"), "text_key", "set_a")  # all of them, as a group's block has two sets
+    with bloom_joins(spark, members.count()):  # texts that are no member's don't travel
+        found = docs.join(asked, ["doc_id", "text_key"]).select("set_a", "text").dropDuplicates(["set_a"])
+        sets = scratch.write(sets_of(found, shingle), "join-sets")
     node_of = scratch.write(members.groupBy("set_a").agg(F.min("node").alias("node")), "join-node-of")
 
     scores = groups.groupBy("set_a").agg(F.sum("popularity").alias("score"))

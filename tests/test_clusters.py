@@ -89,6 +89,38 @@ def test_remap_reads_searches_all_documents(spark, tmp_path):
     assert sorted((r.query, r.target, round(r.identity, 9)) for r in found.collect()) == sorted((q, *x) for q, x in expected.items())
 
 
+def test_best_match_by_ranges_is_the_best_of_all_pairs(spark, monkeypatch):
+    draw = random.Random(21)
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    targets = [(f"t{i}", letters(draw.choice([5, 20, 28]))) for i in range(150)] + [("same", "ACGTACGTTTGACCA"), ("é", "ÄCGTTGCAÄCGT"), ("gone", None)]
+    asked = [(f"q{i}", t[:9] + "A" + t[10:]) for i, (_, t) in enumerate(targets[::3]) if t] + [("same", "ACGTACGTTTGACCA"), ("u", "ÄCGTTGCAÄCGT"), ("q", None), ("short", "AC")]
+    q, t = (spark.createDataFrame(rows, "name string, seq string") for rows in (asked, targets))
+    for name, small in (("_BLOCK", 300), ("_CHUNK", 200), ("_FIRST", 1)):
+        monkeypatch.setattr(clusters, name, small)
+    for share in (0.0, 0.9):
+        expected = clusters.best_match(clusters.shared_kmer_hits(q, t, k=4, min_shared=2, min_identity=share))
+        found = clusters.best_shared_kmer_match(q, t, k=4, min_shared=2, min_identity=share)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("query", "target", "identity").collect()))
+    none = spark.createDataFrame([], "name string, seq string")
+    assert clusters.best_shared_kmer_match(q, none).isEmpty() and clusters.best_shared_kmer_match(none, t).isEmpty()
+
+
+def test_nothing_is_aligned_behind_an_equal_target(monkeypatch):
+    draw = random.Random(22)
+    seq = "".join(draw.choice("ACGT") for _ in range(30))
+    targets = [(f"t{i:04}", seq[: 20 + i % 3]) for i in range(1000)]
+    seen, plain = [], clusters.identities
+    monkeypatch.setattr(clusters, "identities", lambda a, b: seen.extend(a) or plain(a, b))
+    for postings in (50, 2_000_000):
+        monkeypatch.setattr(clusters, "_POSTINGS", postings)
+        seen.clear()
+        queries = [("a", seq), ("t0000", seq[:25])]
+        assert list(clusters.best_of_chunk(queries, targets, 8, 4, 0.95)) == [("a", "t0000", 1.0), ("t0000", "t0001", 1.0)]
+        assert len(seen) == 2
+        pairs = [(q, t) for a, b in clusters.sharing([seq], [t for _, t in targets], 8, 14) for q, t in zip(a.tolist(), b.tolist())]
+        assert pairs == [(0, i) for i in range(1000) if i % 3 >= 1]
+
+
 def _one_apart(a: str, b: str) -> bool:
     return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
 

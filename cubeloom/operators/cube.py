@@ -14,8 +14,12 @@ from cubeloom.session import with_places
 KEYS = ["samplename", "otuname"]
 
 
-def summed(cube: DataFrame) -> DataFrame:
-    """Cells of equal keys as one."""
+def summed(cube: DataFrame, shares: int | None = None) -> DataFrame:
+    """Cells of equal keys as one.
+
+    Where keys hardly meet, summing before the shuffle holds nearly all cells of a task: with *shares* they are dealt to so many partitions first.
+    """
+    cube = cube.repartition(shares, *KEYS) if shares else cube
     return cube.groupBy(*KEYS).agg(F.sum("nreads").alias("nreads"))
 
 
@@ -46,13 +50,13 @@ def fold_replicates(cube: DataFrame, replicates: DataFrame) -> DataFrame:
     return summed(joined.select(parent.alias("samplename"), "otuname", "nreads"))
 
 
-def roll_up(cube: DataFrame, assignment: DataFrame, fuse: bool = True) -> DataFrame:
-    """Items as their taxa by ``query, taxon`` (blank or missing: the item's own name), or ``item:taxon`` without *fuse*."""
+def roll_up(cube: DataFrame, assignment: DataFrame, fuse: bool = True, shares: int | None = None) -> DataFrame:
+    """Items as their taxa by ``query, taxon`` (blank or missing: the item's own name), or ``item:taxon`` without *fuse*; *shares* as in :func:`summed`."""
     taxa = assignment.select(F.col("query").alias("otuname"), F.nullif("taxon", F.lit("")).alias("taxon"))
     taxon = F.col("taxon") if fuse else F.concat_ws(":", "otuname", "taxon")
     joined = cube.join(taxa, "otuname", "left")
     name = F.when(F.col("taxon").isNull(), F.col("otuname")).otherwise(taxon)
-    return summed(joined.select("samplename", name.alias("otuname"), "nreads"))
+    return summed(joined.select("samplename", name.alias("otuname"), "nreads"), shares)
 
 
 def item_totals(cube: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def rollup_rank(spark, d):
  FROM cube_l LEFT JOIN assign_p ON query = otuname""",
 )
 def rollup_rank_keep_items(spark, d):
-    return cube.roll_up(fx.cube_l(spark, d), fx.assign_p(spark, d).withColumnRenamed("genus", "taxon"), fuse=False)
+    return cube.roll_up(fx.cube_l(spark, d), fx.assign_p(spark, d).withColumnRenamed("genus", "taxon"), fuse=False, shares=fx.shares(spark, d))
 
 
 @query(

@@ -33,3 +33,10 @@ def test_shares_of_no_rows_and_of_cells_that_meet(spark):
     for n in (None, 1, 3):
         assert sorted(((r.otuname, r.nreads, r.samplename) for r in cube.summed(some, n).collect()), key=repr) == sorted(expected, key=repr)
     assert cube.summed(some.limit(0), 2).isEmpty()
+
+
+def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch):
+    """The taxa are summed within the tasks of the cells, before the one shuffle that is left."""
+    monkeypatch.setattr(fx, "_SHARE", 300)
+    plan = catalogue.queries()["rollup_rank"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan

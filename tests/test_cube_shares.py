@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.operators import cube
@@ -35,8 +36,9 @@ def test_shares_of_no_rows_and_of_cells_that_meet(spark):
     assert cube.summed(some.limit(0), 2).isEmpty()
 
 
-def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["rollup_rank", "topn_brands"])
+def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch, name):
     """The taxa are summed within the tasks of the cells, before the one shuffle that is left."""
     monkeypatch.setattr(fx, "_SHARE", 300)
-    plan = catalogue.queries()["rollup_rank"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan

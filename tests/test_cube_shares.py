@@ -42,3 +42,10 @@ def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch, name):
     monkeypatch.setattr(fx, "_SHARE", 300)
     plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan
+
+
+def test_listed_items_keep_the_shares_of_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(fx, "_SHARE", 300)
+    assert _most(catalogue.queries()["filter_items_exact"](spark, SMALL)) < 600
+    plan = catalogue.queries()["filter_items_exact"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan

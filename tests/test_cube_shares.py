@@ -44,6 +44,22 @@ def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch, name):
     assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan
 
 
+@pytest.mark.parametrize("name", ["rollup_rank"])
+def test_rows_stay_where_a_large_list_is_joined_after_a_shuffle(spark, name):
+    """Lists of 6 GB of tables are too large for a broadcast, those of the small tables aren't."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    query = catalogue.queries()[name]
+    expected = rows_of(query(spark, SMALL))
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = query(spark, SMALL)
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(found) == expected
+    finally:
+        spark.conf.set(key, usual)
+
+
 def test_listed_items_keep_the_shares_of_their_cells(spark, monkeypatch):
     monkeypatch.setattr(fx, "_SHARE", 300)
     assert _most(catalogue.queries()["filter_items_exact"](spark, SMALL)) < 600

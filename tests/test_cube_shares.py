@@ -44,7 +44,7 @@ def test_a_roll_up_keeps_the_shares_of_its_cells(spark, monkeypatch, name):
     assert f"{fx.shares(spark, SMALL)}), REPARTITION_BY_NUM" in plan
 
 
-@pytest.mark.parametrize("name", ["rollup_rank", "topn_brands"])
+@pytest.mark.parametrize("name", ["rollup_rank", "topn_brands", "filter_items_exact"])
 def test_rows_stay_where_a_large_list_is_joined_after_a_shuffle(spark, name):
     """Lists of 6 GB of tables are too large for a broadcast, those of the small tables aren't."""
     key = "spark.sql.autoBroadcastJoinThreshold"

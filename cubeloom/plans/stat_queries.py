@@ -108,9 +108,12 @@ _BLANKS = """blanks AS (SELECT concat('run1__s', CAST(s_suppkey AS VARCHAR), '__
  links AS (SELECT DISTINCT samplename, blank FROM cube_t CROSS JOIN blanks WHERE samplename NOT IN (SELECT blank FROM blanks))"""
 
 
+def _blanks(spark, d):
+    return fx.table(spark, d, "supplier").filter("s_suppkey % 10 < 2").select(F.concat(F.lit("run1__s"), F.col("s_suppkey").cast("string"), F.lit("__ev")).alias("samplename"))
+
+
 def _links(spark, d):
-    blanks = fx.table(spark, d, "supplier").filter("s_suppkey % 10 < 2").select(F.concat(F.lit("run1__s"), F.col("s_suppkey").cast("string"), F.lit("__ev")).alias("samplename"))
-    return decontam.links_to_all(_cube_t(spark, d), blanks)
+    return decontam.links_to_all(_cube_t(spark, d), _blanks(spark, d))
 
 
 @query(
@@ -120,7 +123,7 @@ def _links(spark, d):
  SELECT blank, round(least(o / (1 + o), 0.1), 8) AS rate FROM (SELECT blank, coalesce(reads, 0) * n / rs AS o FROM src LEFT JOIN tot ON tot.samplename = blank)""",
 )
 def contamination_rate(spark, d):
-    return decontam.contamination_rates(_cube_t(spark, d), _links(spark, d)).withColumn("rate", F.round("rate", 8))
+    return decontam.contamination_rates_to_all(_cube_t(spark, d), _blanks(spark, d)).withColumn("rate", F.round("rate", 8))
 
 
 def _tau_sql() -> str:
@@ -135,7 +138,7 @@ def _tau_sql() -> str:
 
 @query("tau_test", _tau_sql())
 def tau_test(spark, d):
-    return decontam.tau_test(_cube_t(spark, d), _links(spark, d))
+    return decontam.tau_test_to_all(written(_cube_t(spark, d), "cube"), _blanks(spark, d))
 
 
 #: Rates at which a tag half jumps, forward and reverse.

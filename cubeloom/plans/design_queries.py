@@ -10,9 +10,9 @@ from cubeloom.functions import names
 from cubeloom.operators import assignments, clusters, cube, decontam, demux, filters, hierarchy, neighbours, quantify, reads, stores
 from cubeloom.plans import fixtures as fx
 from cubeloom.plans.registry import query
-from cubeloom.plans.stat_queries import _TYPES, _cube_t, _links, _tau_sql
+from cubeloom.plans.stat_queries import _TYPES, _blanks, _cube_t, _tau_sql
 from cubeloom.plans.tree_queries import _CLOSURE, _HITS, _hits, _recursive, _sources
-from cubeloom.session import shared_dir
+from cubeloom.session import shared_dir, written
 
 _MEMBERS = "members AS (SELECT source AS otuname, concat('d', CAST(doc_id AS VARCHAR)) AS readname FROM documents)"
 
@@ -421,8 +421,8 @@ def spike_in_union(spark, d):
 
 @query("calibrated_tau_test", _tau_sql().replace("SELECT samplename, otuname, nreads, nreads - m", "SELECT samplename, otuname, nreads / 4 AS ncopies, nreads - m"))
 def calibrated_tau_test(spark, d):
-    quantities = _cube_t(spark, d).withColumn("ncopies", F.col("nreads") / 4)
-    return decontam.calibrated_tau_test(quantities, _links(spark, d))
+    quantities = written(_cube_t(spark, d), "cube").withColumn("ncopies", F.col("nreads") / 4)
+    return decontam.calibrated_tau_test_to_all(quantities, _blanks(spark, d))
 
 
 @query("rarefied_sizes", f"{fx.cte('cube_e')}, s AS (SELECT samplename, sum(nreads) AS n FROM cube_e GROUP BY 1) SELECT CAST(r AS BIGINT) AS replicate, samplename, CAST(least(n, 40) AS BIGINT) AS nreads FROM s CROSS JOIN generate_series(1, 3) g(r)")

@@ -112,10 +112,6 @@ def _blanks(spark, d):
     return fx.table(spark, d, "supplier").filter("s_suppkey % 10 < 2").select(F.concat(F.lit("run1__s"), F.col("s_suppkey").cast("string"), F.lit("__ev")).alias("samplename"))
 
 
-def _links(spark, d):
-    return decontam.links_to_all(_cube_t(spark, d), _blanks(spark, d))
-
-
 @query(
     "contamination_rate",
     f"""WITH {_TYPES}, {_BLANKS}, tot AS (SELECT samplename, sum(nreads) AS reads FROM cube_t GROUP BY 1),

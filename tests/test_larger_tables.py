@@ -29,3 +29,11 @@ def test_shared_blanks_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(decontam, "links_to_all", _no_links)
     assert catalogue.queries()["tau_test"](spark, SMALL).count() == 48
     assert catalogue.queries()["contamination_rate"](spark, SMALL).count() == 2
+
+
+def test_calibrated_values_need_no_pairs(spark, monkeypatch):
+    cells, blanks = _cells(spark)
+    amounts = cells.withColumn("ncopies", cells.nreads / 4)
+    assert rows_of(decontam.calibrated_tau_test_to_all(amounts, blanks)) == rows_of(decontam.calibrated_tau_test(amounts, decontam.links_to_all(cells, blanks)))
+    monkeypatch.setattr(decontam, "links_to_all", _no_links)
+    assert catalogue.queries()["calibrated_tau_test"](spark, SMALL).count() == 48

@@ -20,7 +20,8 @@ Scale: building is one pass over the texts.  Term frequencies are partial sums
 over the shards, for the terms of the test set only.  Windows, frequencies and
 the items of a window stay Spark tables; windows are applied in blocks of about
 ``block_windows``: only one block at a time is on the driver and in a task, and
-its matches are written before the next.  A block passes over the shards once.
+its matches are written before the next.  A block passes over the shards once, and a task has one shard in memory at a time:
+a shard is a row group and an Arrow batch of its own.
 
 Defined cases: a null or empty text has no words; an item without words has
 no window; ids may be null or repeat (one result per document row; a repeated
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import Scratch, bound_batches, lean, text_bytes
+from cubeloom.llm.common import Scratch, bound_batches, bounded_batches, lean, text_bytes
 
 #: Bytes that belong to no word become spaces, A-Z becomes a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,7 +99,7 @@ def build_index(documents: DataFrame, scratch: Scratch) -> DataFrame:
             )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scratch.write(source.mapInArrow(lean(run), _SHARD), "positional-index")
+    return scratch.write(source.mapInArrow(lean(run), _SHARD), "positional-index", rows=1)
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -247,7 +248,8 @@ def search(index: DataFrame, block: Block, scratch: Scratch, span: int | None =
                 )
 
     found = index.select("shard", "starts", "sizes", "terms", "term_sizes", "positions").mapInArrow(lean(run), _HITS)
-    found = scratch.write(found, "index-hits")
+    with bounded_batches(index.sparkSession, rows=1):  # a shard has megabytes
+        found = scratch.write(found, "index-hits")
     shipped.unpersist()
     return found
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
+
+from cubeloom.llm import positional_index
 from cubeloom.operators import decontam
 from cubeloom.plans import catalogue
 from tests.conftest import SMALL, rows_of
@@ -37,3 +40,14 @@ def test_calibrated_values_need_no_pairs(spark, monkeypatch):
     assert rows_of(decontam.calibrated_tau_test_to_all(amounts, blanks)) == rows_of(decontam.calibrated_tau_test(amounts, decontam.links_to_all(cells, blanks)))
     monkeypatch.setattr(decontam, "links_to_all", _no_links)
     assert catalogue.queries()["calibrated_tau_test"](spark, SMALL).count() == 48
+
+
+def test_a_task_holds_one_shard_of_the_index(spark):
+    """A shard is a row group of its own, or a reader takes all of a file's at once."""
+    from cubeloom.llm.common import Scratch
+
+    docs = spark.range(0, 4100, 1, 1).selectExpr("id AS doc_id", "concat('word', id % 7) AS text")
+    index = positional_index.build_index(docs, Scratch(spark))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    assert index.count() == 3
+    assert [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [1, 1, 1]

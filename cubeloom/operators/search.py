@@ -10,6 +10,10 @@ is in the target as it is, and so is every k-mer of it.  From each piece the k-m
 lookups a query find every hit (a k-mer that the index lacks rules its piece out).  A k-mer's places grow with the index, but the piece must be there
 as well: letters beside the k-mer that differ end a seed in the join.  That needs pieces of k letters or more; shorter queries are told by :func:`too_short`.
 
+*Windows.*  Where the queries are known, an index may leave out most k-mers: with a *window* of w it has the first of each w k-mers in a row by
+the order of their hashes, about 2 / (w + 1) of all.  The first k-mer of a piece of w k-mers or more is the first of a window in every target that has the
+piece, so no hit is lost (:func:`window_for`), a piece needs no counts to know its seed, and :func:`too_short` tells queries with shorter pieces.
+
 *Verification.*  Around a seed's diagonal the query is aligned as a whole within a target, in a band of d places to both sides,
 with affine gaps; many pairs at a time, place by place.  The best path's score, matches and columns travel with the score, so
 nothing is traced back.
@@ -39,27 +43,82 @@ _LOW = -(1 << 30)
 _BESIDE, _BUCKET = 8, 500_000
 #: Pairs that are aligned at a time.
 _TOGETHER = 2000
+#: The widest window of an index.
+_WIDEST = 64
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored set: names of its tables and its word length."""
+    """A stored set: names of its tables, its word length and its window; the numbers of k-mers are there for windows of 1."""
 
     words: str
     letters: str
     numbers: str
     k: int
-
-
-def _places(k: int):
+    window: int = 1
+
+
+def _hashes(sequences: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for the *k* letters from each letter of the joined *sequences* on, the largest where a sequence has no more *k*; the sequences' lengths."""
+    letters = np.frombuffer("".join(sequences).encode("ascii", "replace"), np.uint8)
+    lengths = np.array([len(x) for x in sequences], np.int64)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    out = np.zeros(len(letters), np.uint64)
+    for j in range(k):
+        out[: len(out) - j] = out[: len(out) - j] * np.uint64(0x9E3779B97F4A7C15) + letters[j:]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return np.where(np.arange(len(out)) + k <= end, out, np.iinfo(np.uint64).max), lengths
+
+
+def window_places(sequences: list[str], k: int, window: int) -> list[np.ndarray]:
+    """The places of the first k-mer of each *window* k-mers in a row, by their hashes, then from the left."""
+    hashes, lengths = _hashes(sequences, k)
+    began = np.cumsum(lengths) - lengths
+    least, at = hashes.copy(), np.zeros(len(hashes), np.int64)
+    for j in range(1, window):
+        less = hashes[j:] < least[: len(hashes) - j]
+        least[: len(less)][less], at[: len(less)][less] = hashes[j:][less], j
+    place, of = np.arange(len(hashes)), np.repeat(np.arange(len(lengths)), lengths)
+    whole = place - began[of] + window + k - 1 <= lengths[of]
+    chosen = np.unique((place + at)[whole])
+    parts = np.searchsorted(chosen, np.append(began, len(hashes)))
+    return [chosen[a:b] - start for a, b, start in zip(parts[:-1], parts[1:], began)]
+
+
+def first_places(pieces: list[str], k: int) -> np.ndarray:
+    """The place of the first of all k-mers of each piece, by their hashes, then from the left; pieces have *k* letters or more."""
+    hashes, lengths = _hashes(pieces, k)
+    if not len(lengths):
+        return lengths
+    began = np.cumsum(lengths) - lengths
+    first = np.flatnonzero(hashes == np.repeat(np.minimum.reduceat(hashes, began), lengths))
+    return first[np.searchsorted(first, began)] - began
+
+
+def _places(k: int, window: int = 1):
+    if window > 1:
+
+        @F.pandas_udf("array<int>")
+        def places(seq: pd.Series) -> pd.Series:
+            return pd.Series(window_places(seq.tolist(), k, window), dtype=object)
+
+        return places("seq")
     n = F.length("seq")
     return F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
 
 
-def buckets_for(targets: DataFrame, k: int) -> int:
+def buckets_for(targets: DataFrame, k: int, window: int = 1) -> int:
     """Buckets of about ``_BUCKET`` k-mers for an index of *targets*, 8 at least."""
     words = targets.agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0)))).first()[0] or 0
-    return min(100_000, max(8, -(-words // _BUCKET)))
+    return min(100_000, max(8, -(-2 * words // ((window + 1) * _BUCKET))))
+
+
+def window_for(queries: DataFrame, identity: float, k: int) -> int:
+    """The widest window of an index that loses no hit of *queries* (``seq``)."""
+    least = F.floor(F.length("seq") / (_edits(identity) + 1))
+    shortest = queries.filter(least >= k).agg(F.min(least)).first()[0]
+    return 1 if shortest is None else min(_WIDEST, int(shortest) - k + 1)
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int, table: str, path: str) -> None:
@@ -67,26 +126,28 @@ def _bucketed(df: DataFrame, key: str, buckets: int, table: str, path: str) -> N
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
 
 
-def store(targets: DataFrame, k: int, buckets: int = 64, path: str | None = None) -> Index:
-    """Write the index of *targets* (``name, seq``) to *path* (default: the shared folder)."""
+def store(targets: DataFrame, k: int, buckets: int = 64, path: str | None = None, window: int = 1) -> Index:
+    """Write the index of *targets* (``name, seq``) to *path* (default: the shared folder); of a *window* above 1 one k-mer only."""
     spark, tag = targets.sparkSession, f"index_{uuid.uuid4().hex}"
     path = path or f"{shared_dir(spark)}/{tag}"
     kept = targets.filter("name is not null and seq is not null").select("name", "seq")
     at = F.col("at")
     before, after = F.substring("seq", F.greatest(at - _BESIDE, F.lit(0)) + 1, F.least(at, F.lit(_BESIDE))), F.substring("seq", at + (k + 1), F.lit(_BESIDE))
-    words = kept.select(F.col("name").alias("target"), "seq", F.explode(_places(k)).alias("at")).select(F.substring("seq", at + 1, F.lit(k)).alias("word"), "target", "at", before.alias("before"), after.alias("after"))
-    index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k)
+    words = kept.select(F.col("name").alias("target"), "seq", F.explode(_places(k, window)).alias("at")).select(F.substring("seq", at + 1, F.lit(k)).alias("word"), "target", "at", before.alias("before"), after.alias("after"))
+    index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k, window)
     _bucketed(words, "word", buckets, index.words, f"{path}/words")
     _bucketed(kept.select(F.col("name").alias("target"), F.col("seq").alias("target_seq")), "target", buckets, index.letters, f"{path}/letters")
-    _bucketed(spark.table(index.words).groupBy("word").agg(F.count("*").alias("n")), "word", buckets, index.numbers, f"{path}/numbers")
+    if window == 1:
+        _bucketed(spark.table(index.words).groupBy("word").agg(F.count("*").alias("n")), "word", buckets, index.numbers, f"{path}/numbers")
     return index
 
 
-def opened(spark: SparkSession, path: str, k: int, buckets: int = 64) -> Index:
+def opened(spark: SparkSession, path: str, k: int, buckets: int = 64, window: int = 1) -> Index:
     """The index that :func:`store` wrote to *path*, for another session."""
     tag = f"index_{uuid.uuid4().hex}"
-    index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k)
-    for table, part, columns, key in ((index.words, "words", "word string, target string, at int, before string, after string", "word"), (index.letters, "letters", "target string, target_seq string", "target"), (index.numbers, "numbers", "word string, n long", "word")):
+    index = Index(f"{tag}_words", f"{tag}_letters", f"{tag}_numbers", k, window)
+    parts = ((index.words, "words", "word string, target string, at int, before string, after string", "word"), (index.letters, "letters", "target string, target_seq string", "target"), (index.numbers, "numbers", "word string, n long", "word"))
+    for table, part, columns, key in parts if window == 1 else parts[:2]:
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{part}'")
     return index
 
@@ -97,13 +158,23 @@ def _edits(identity: float):
 
 def too_short(queries: DataFrame, index: Index, identity: float) -> DataFrame:
     """Queries whose pieces are shorter than the index's words: a search can't answer for them."""
-    return queries.filter(F.floor(F.length("seq") / (_edits(identity) + 1)) < index.k)
+    return queries.filter(F.floor(F.length("seq") / (_edits(identity) + 1)) < index.k + index.window - 1)
 
 
 def seeds(queries: DataFrame, index: Index, identity: float) -> DataFrame:
-    """``query, word, place, left, right``: the rarest k-mer of every piece of the queries (``query, seq``), with the piece's letters beside it."""
+    """``query, word, place, left, right``: the rarest k-mer of every piece of the queries (``query, seq``), with the piece's letters beside it.
+
+    With a window it is the first k-mer by the order of the hashes.
+    """
     n, d, k = F.length("seq"), _edits(identity), index.k
     border = lambda j: F.floor(n * j / (d + 1)).cast("int")
+    if index.window > 1:
+        part = lambda j: F.struct(border(j).alias("began"), F.substring("seq", border(j) + 1, border(j + 1) - border(j)).alias("letters"))
+        cut = queries.filter(F.floor(n / (d + 1)) >= k + index.window - 1).select("query", F.explode(F.transform(F.sequence(F.lit(0), d), part)).alias("p")).select("query", "p.*")
+        first = F.pandas_udf(lambda x: pd.Series(first_places(x.tolist(), k)), "int")
+        at, beside = F.col("at"), lambda start, length: F.substring("letters", start, length)
+        sides = beside(F.greatest(at - _BESIDE, F.lit(0)) + 1, F.least(at, F.lit(_BESIDE))), beside(at + (k + 1), F.lit(_BESIDE))
+        return cut.withColumn("at", first("letters")).select("query", beside(at + 1, F.lit(k)).alias("word"), (F.col("began") + at).alias("place"), sides[0].alias("left"), sides[1].alias("right"))
     left = lambda i, lo: F.substring("seq", F.greatest(i - _BESIDE, lo) + 1, F.least(i - lo, F.lit(_BESIDE)))
     right = lambda i, hi: F.substring("seq", i + (k + 1), F.least(hi - i - k, F.lit(_BESIDE)))
     word = lambda i, j: F.struct(j.alias("piece"), i.alias("place"), F.substring("seq", i + 1, F.lit(k)).alias("word"), left(i, border(j)).alias("left"), right(i, border(j + 1)).alias("right"))
@@ -219,6 +290,21 @@ def best_hits(found: DataFrame) -> DataFrame:
     return found.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
+def best_in(reads: DataFrame, targets: DataFrame, identity: float = 0.97, k: int = 12, **options) -> DataFrame:
+    """:func:`best_hits` of *reads* in *targets* (``name, seq`` each); equal reads are asked and equal targets stored once, so that copies make no pairs.
+
+    Of equal targets the first name is the best hit.
+    """
+    known = "name is not null and seq is not null"
+    stored = written(targets.filter(known).groupBy("seq").agg(F.min("name").alias("name")), "stored")
+    named = written(reads.filter(known).groupBy("name").agg(F.min("seq").alias("seq")), "reads")
+    asked = written(named.groupBy("seq").agg(F.min("name").alias("name")), "asked-once")
+    window = window_for(asked, identity, k)
+    index = store(stored, k, buckets_for(stored, k, window), window=window)
+    found = best_hits(hits(asked, index, identity, **options)).join(asked.withColumnRenamed("name", "query"), "query").drop("query")
+    return named.join(found, "seq").drop("seq").withColumnRenamed("name", "query")
+
+
 def remapped(reads: DataFrame, index: Index, identity: float = 0.97, **options) -> DataFrame:
     """Every read's name with its best target and strand (null: unmatched)."""
     best = best_hits(hits(reads, index, identity, **options)).select(F.col("query").alias("name"), "target", "strand", "identity")
@@ -230,7 +316,8 @@ def clustered(sequences: DataFrame, identity: float = 0.97, k: int = 8, both_str
 
     A hit must align all but *less_columns* letters of the shortest sequence.  ``strand`` tells how a sequence lies to its centroid.
     """
-    index = store(sequences, k, buckets_for(sequences, k))
+    window = window_for(sequences, identity, k)
+    index = store(sequences, k, buckets_for(sequences, k, window), window=window)
     shortest = sequences.agg(F.min(F.length("seq")).alias("n")).first()["n"] or 0
     links = written(hits(sequences, index, identity, both_strands, max(0, shortest - less_columns)).filter("query != target").select("query", "target", "strand"), "links")
     chosen = greedy_centroids(sequences, links.select("query", "target"))

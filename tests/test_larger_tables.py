@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow.parquet as pq
 
 from cubeloom.llm import positional_index
-from cubeloom.operators import decontam
+from cubeloom.operators import decontam, search
 from cubeloom.plans import catalogue
 from tests.conftest import SMALL, rows_of
 
@@ -59,3 +61,55 @@ def test_dealt_neighbours_are_not_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 2 and plan.count("BuildLeft") == 2
     assert found.count() == 2 * 9 * 2
+
+
+FLIP = str.maketrans("ACGT", "TGCA")
+
+
+def _letters(draw, n):
+    return "".join(draw.choice("ACGT") for _ in range(n))
+
+
+def test_an_index_with_a_window_loses_no_hit(spark):
+    draw = random.Random(21)
+    targets = [(f"t{i}", _letters(draw, draw.randint(60, 90))) for i in range(40)] + [("tiny", "ACG"), ("none", None), ("same", "ACGTACGTAC" * 8)]
+    reads = []
+    for i in range(80):
+        part = draw.choice(targets[:40])[1][5:59]
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randrange(len(part))
+            part = part[:at] + draw.choice(["", "A", "CG"]) + part[at + 1 :]
+        reads.append((f"r{i}", part if i % 2 else part[::-1].translate(FLIP)))
+    stored, asked = (spark.createDataFrame(x, "name string, seq string") for x in (targets, reads))
+    window = search.window_for(asked, 0.92, 6)
+    whole, thin = (search.store(stored, 6, 4, window=w) for w in (1, window))
+    assert window > 3 and spark.table(thin.words).count() * 2 < spark.table(whole.words).count()
+    assert rows_of(search.hits(asked, thin, 0.92)) == rows_of(search.hits(asked, whole, 0.92))
+    assert search.hits(asked, thin, 0.92).count() > 40
+    # A piece with fewer k-mers than the window is told, not lost in silence.
+    short = spark.createDataFrame([("s", targets[0][1][:24])], "name string, seq string")
+    assert search.too_short(short, whole, 0.92).isEmpty() and search.too_short(short, thin, 0.92).count() == 1
+    assert search.window_for(short.limit(0), 0.92, 6) == 1
+
+
+def test_equal_sequences_are_searched_once(spark, monkeypatch):
+    draw = random.Random(22)
+    true = [_letters(draw, 80) for _ in range(3)]
+    targets = spark.createDataFrame([(f"t{i}{c}", t) for i, t in enumerate(true) for c in "cab"], "name string, seq string")
+    reads = spark.createDataFrame([(f"r{i}{c}", t[3:70]) for i, t in enumerate(true) for c in "xyz"] + [("lost", _letters(draw, 67))], "name string, seq string")
+    asked = []
+    inner = search.hits
+    monkeypatch.setattr(search, "hits", lambda queries, index, *a, **o: asked.append((queries.count(), spark.table(index.letters).count())) or inner(queries, index, *a, **o))
+    found = search.best_in(reads, targets, 0.95, 8)
+    assert {r["query"]: (r.target, r.target_start) for r in found.collect()} == {f"r{i}{c}": (f"t{i}a", 3) for i in range(3) for c in "xyz"}
+    assert asked == [(4, 3)]
+
+
+def test_clusters_store_few_words(spark, monkeypatch):
+    draw = random.Random(23)
+    rows = [(f"c{i}", _letters(draw, 100), 9) for i in range(6)]
+    stored = []
+    inner = search.store
+    monkeypatch.setattr(search, "store", lambda *a, **o: stored.append(inner(*a, **o)) or stored[-1])
+    assert search.clustered(spark.createDataFrame(rows, "name string, seq string, size long"), 0.97).count() == 6
+    assert spark.table(stored[0].words).count() < 6 * 93 / 4

@@ -42,6 +42,8 @@ class Rules:
     exact: bool = False
 
 
+#: Parents that are laid beside their sequences at a time, and sequences that are decided at a time.
+_PATHS, _QUERIES = 4096, 256
 _COLUMNS = "name string, left_parent string, right_parent string, break_at int, score double, divergence double, left_differences int, right_differences int"
 
 
@@ -51,67 +53,84 @@ def beside(sequence: str, others: list[str], reach: int = 16, switch: int = 4) -
     Each lies at a shift of at most *reach* that may change from place to place, so that most letters agree, where a change
     costs *switch* of them: the best path over shifts, all others at a time.  Those of the same length with at most one letter in fifty different lie as they are.
     """
-    own = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
-    n = len(own)
-    out = np.zeros((len(others), n), np.uint8)
-    padded, hard = [], []
-    for row, other in enumerate(others):
-        found = np.frombuffer(other.encode("ascii", "replace"), np.uint8)
-        if len(found) == n and (found != own).mean() <= 0.02:
-            out[row] = found
-        else:
-            letters = np.zeros(n + 2 * reach, np.uint8)
-            letters[reach : reach + min(len(found), n + reach)] = found[: n + reach]
-            padded.append(letters)
-            hard.append(row)
-    if not hard:
-        return out
-    moved = np.lib.stride_tricks.sliding_window_view(np.stack(padded), n, axis=1)  # other, shift, place
-    equal = moved == own
-    score = np.full(equal.shape[:2], -switch)
+    return beside_all([sequence], [others], reach, switch)[0]
+
+
+def beside_all(sequences: list[str], groups: list[list[str]], reach: int = 16, switch: int = 4) -> list[np.ndarray]:
+    """:func:`beside` of each of *sequences* with its group, the paths of all those of one length at a time."""
+    out, hard = [], {}
+    for which, (sequence, others) in enumerate(zip(sequences, groups)):
+        own = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
+        n = len(own)
+        out.append(np.zeros((len(others), n), np.uint8))
+        for row, other in enumerate(others):
+            found = np.frombuffer(other.encode("ascii", "replace"), np.uint8)
+            if len(found) == n and (found != own).mean() <= 0.02:
+                out[-1][row] = found
+            else:
+                letters = np.zeros(n + 2 * reach, np.uint8)
+                letters[reach : reach + min(len(found), n + reach)] = found[: n + reach]
+                hard.setdefault(n, []).append((which, row, own, letters))
+    for n, rows in hard.items():
+        for lo in range(0, len(rows), _PATHS):
+            some = rows[lo : lo + _PATHS]
+            laid = _paths(np.stack([r[2] for r in some]), np.stack([r[3] for r in some]), n, reach, switch)
+            for (which, row, _, _), letters in zip(some, laid):
+                out[which][row] = letters
+    return out
+
+
+def _paths(own: np.ndarray, padded: np.ndarray, n: int, reach: int, switch: int) -> np.ndarray:
+    moved = np.lib.stride_tricks.sliding_window_view(padded, n, axis=1)  # other, shift, place
+    equal = np.ascontiguousarray(np.moveaxis(moved == own[:, None, :], 2, 0))
+    score = np.full(equal.shape[1:], -switch, np.int32)
     score[:, reach] = 0  # no shift to begin with
     came = np.empty((n, *score.shape), np.int8)
-    rows, stay = np.arange(len(hard)), np.arange(2 * reach + 1)
+    rows, stay = np.arange(len(own)), np.arange(2 * reach + 1, dtype=np.int8)
     for i in range(n):
         top = score.argmax(axis=1)
-        jump = score[rows, top] - switch
-        came[i] = np.where(jump[:, None] > score, top[:, None], stay)
-        score = np.maximum(score, jump[:, None]) + equal[:, :, i]
+        jump = (score[rows, top] - switch)[:, None]
+        came[i] = np.where(jump > score, top[:, None].astype(np.int8), stay)
+        np.maximum(score, jump, out=score)
+        score += equal[i]
     at = score.argmax(axis=1)
+    out = np.zeros((len(own), n), np.uint8)
     for i in range(n - 1, -1, -1):
-        out[hard, i] = moved[rows, at, i]
-        at = came[i][rows, at]
+        out[:, i] = padded[rows, at + i]
+        at = came[i][rows, at].astype(np.int64)
     return out
 
 
-def best_model(sequence: str, others: list[str], rules: Rules) -> tuple | None:
+def best_model(sequence: str, others: list[str], rules: Rules, laid: np.ndarray | None = None) -> tuple | None:
     """``(left, right, break, score, divergence, left differences, right differences)`` of the best model, None if no two parents make one.
 
-    Breaks are places from 1 to the last; of equal scores the first parents and break are taken.
+    Breaks are places from 1 to the last; of equal scores the first parents and break are taken.  *laid* is :func:`beside` where it is known.
     """
     own = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
     if len(others) < 2 or len(own) < 2:
         return None
-    agrees = beside(sequence, others) == own
-    best = None
+    agrees = (beside(sequence, others) if laid is None else laid) == own
     total = agrees.sum(axis=1)
-    for a in range(len(others)):
-        # All right parents at once: counts of places up to each break.
-        yes = np.cumsum(agrees[a] & ~agrees, axis=1)
-        no = np.cumsum(~agrees[a] & agrees, axis=1)
-        neither = np.cumsum(~agrees[a] & ~agrees, axis=1)
-        left = yes / (rules.no_weight * (no + rules.prior) + neither)
-        y, n, z = no[:, -1:] - no, yes[:, -1:] - yes, neither[:, -1:] - neither  # on the right the roles are swapped
-        right = y / (rules.no_weight * (n + rules.prior) + z)
-        score = (left * right)[:, :-1]
-        score[a] = 0
-        b, at = np.unravel_index(int(score.argmax()), score.shape)
-        if score[b, at] > 0 and (best is None or score[b, at] > best[3] + 1e-12):
-            model = int(agrees[a][: at + 1].sum() + agrees[b][at + 1 :].sum())
-            closer = int(max(total[a], total[b]))
-            divergence = 100.0 * (model - closer) / closer if closer else 0.0
-            sides = int(yes[b, at] + no[b, at] + neither[b, at]), int(y[b, at] + n[b, at] + z[b, at])
-            best = (a, int(b), int(at) + 1, float(score[b, at]), divergence, *sides, model, int(total.max()))
+    # All pairs of parents at once: counts of places up to each break.
+    a, b = agrees[:, None], agrees[None]
+    yes, no, neither = (np.cumsum(x, axis=2, dtype=np.int32) for x in (a & ~b, ~a & b, ~a & ~b))
+    y, n, z = no[:, :, -1:] - no, yes[:, :, -1:] - yes, neither[:, :, -1:] - neither  # on the right the roles are swapped
+    scores = ((yes / (rules.no_weight * (no + rules.prior) + neither)) * (y / (rules.no_weight * (n + rules.prior) + z)))[:, :, :-1]
+    scores[np.arange(len(others)), np.arange(len(others))] = 0
+    flat = scores.reshape(len(others), -1)
+    tops = flat.argmax(axis=1)
+    best = None
+    for first, top in enumerate(tops.tolist()):
+        score = float(flat[first, top])
+        if score > 0 and (best is None or score > best[3] + 1e-12):
+            best = (first, *divmod(top, len(own) - 1), score)
+    if best is not None:
+        left, right, at, score = best
+        model = int(agrees[left][: at + 1].sum() + agrees[right][at + 1 :].sum())
+        closer = int(max(total[left], total[right]))
+        divergence = 100.0 * (model - closer) / closer if closer else 0.0
+        sides = (int(x[left, right, at] + v[left, right, at] + w[left, right, at]) for x, v, w in ((yes, no, neither), (y, n, z)))
+        best = (left, right, at + 1, score, divergence, *sides, model, int(total.max()))
     if best is None:
         return None
     *found, model, closest = best
@@ -170,21 +189,40 @@ def best_shared(queries: list[str], sizes: np.ndarray, parents: list[str], paren
     segment, at = both // len(known), both % len(known)
     amount = (after - first)[at]
     allowed = np.full(len(queries), len(parents)) if skew is None else np.searchsorted(-parent_sizes, -skew * sizes, side="right")
-    lot = (np.cumsum(amount) - 1) // _POSTINGS
+    # Lots end with a segment, and their segments times parents fit a small table.
+    lot, row = (np.cumsum(amount) - 1) // _POSTINGS, segment // max(1, _CELLS // len(parents))
     found = []
-    # Lots end with a segment.
-    borders = np.unique(np.append(np.searchsorted(segment, segment[np.flatnonzero(np.diff(lot)) + 1]), [0, len(segment)]))
+    borders = np.unique(np.concatenate([np.searchsorted(segment, segment[np.flatnonzero(np.diff(lot)) + 1]), np.flatnonzero(np.diff(row)) + 1, [0, len(segment)]]))
+    last = np.zeros(0, np.int32)
     for lo, hi in zip(borders[:-1], borders[1:]):
         n, base = amount[lo:hi], segment[lo]
         rows = np.repeat(first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        whose, parent = np.repeat(segment[lo:hi], n), of[rows]
-        fit = parent < allowed[whose // chunks]
-        key = np.sort((whose[fit] - base) * len(parents) + parent[fit])
+        key = np.repeat((segment[lo:hi] - base) * len(parents), n) + of[rows]
+        most_parents = allowed[segment[lo:hi] // chunks]
+        if (most_parents < len(parents)).any():
+            key = key[of[rows] < np.repeat(most_parents, n)]
         if not len(key):
             continue
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        shared = np.diff(np.append(start, len(key)))
-        whose, parent = key[start] // len(parents), key[start] % len(parents)
+        cells = int(segment[hi - 1] - base + 1) * len(parents)
+        if cells > len(last):
+            last = np.zeros(cells, np.int32)
+        # Most pairs share one word. One number of each pair stays in the table, what else has the pair is counted.
+        number = np.arange(len(key), dtype=np.int32)
+        last[key] = number
+        one = last[key] == number
+        pair, shared = np.unique(key[~one], return_counts=True)
+        shared += 1
+        # Segments with too few of them are filled up with pairs of one word.
+        enough = np.bincount(pair // len(parents), minlength=cells // len(parents)) >= most
+        if not enough.all():
+            single = key[one]
+            single = np.setdiff1d(single[~enough[single // len(parents)]], pair, assume_unique=True)
+            pair, shared = np.append(pair, single), np.append(shared, np.ones(len(single), shared.dtype))
+            order = np.argsort(pair)
+            pair, shared = pair[order], shared[order]
+        if not len(pair):
+            continue
+        whose, parent = pair // len(parents), pair % len(parents)
         # The least number that the best of a segment have.
         top = int(shared.max()) + 1
         above = np.bincount(whose * top + shared, minlength=(int(whose[-1]) + 1) * top).reshape(-1, top)[:, ::-1].cumsum(axis=1)
@@ -204,8 +242,8 @@ def best_shared(queries: list[str], sizes: np.ndarray, parents: list[str], paren
     return whose // chunks, whose % chunks, parent, shared
 
 
-#: Places of words that are counted at a time, and sequences of a block.
-_POSTINGS, _BLOCK = 2_000_000, 8_192
+#: Places of words that are counted at a time, chunks times parents of their table, and sequences of a block.
+_POSTINGS, _CELLS, _BLOCK = 2_000_000, 1 << 20, 8_192
 
 
 def _packed(sequences: DataFrame, columns: list[str], most: int) -> DataFrame:
@@ -263,10 +301,14 @@ def _decided(queries: DataFrame, parents: DataFrame, chosen: DataFrame, rules: R
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for name, seq, around in zip(frame["query"], frame["seq"], frame["parents"]):
-                found = best_model(seq, [p["parent_seq"] for p in around], rules)
-                if found:
-                    out.append((name, around[found[0]]["parent"], around[found[1]]["parent"], *found[2:]))
+            for lo in range(0, len(frame), _QUERIES):
+                some = frame.iloc[lo : lo + _QUERIES]
+                letters = [[p["parent_seq"] for p in around] for around in some["parents"]]
+                laid = beside_all(some["seq"].tolist(), letters)
+                for name, seq, around, others, lies in zip(some["query"], some["seq"], some["parents"], letters, laid):
+                    found = best_model(seq, others, rules, lies)
+                    if found:
+                        out.append((name, around[found[0]]["parent"], around[found[1]]["parent"], *found[2:]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _COLUMNS.split(", ")])
 
     return sides.select("query", "seq", "parents").mapInPandas(run, _COLUMNS)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from cubeloom.llm import positional_index
-from cubeloom.operators import decontam, search
+from cubeloom.operators import chimeras, decontam, search
 from cubeloom.plans import catalogue
 from tests.conftest import SMALL, rows_of
 
@@ -113,3 +114,46 @@ def test_clusters_store_few_words(spark, monkeypatch):
     monkeypatch.setattr(search, "store", lambda *a, **o: stored.append(inner(*a, **o)) or stored[-1])
     assert search.clustered(spark.createDataFrame(rows, "name string, seq string, size long"), 0.97).count() == 6
     assert spark.table(stored[0].words).count() < 6 * 93 / 4
+
+
+def test_many_sequences_are_laid_at_a_time(spark, monkeypatch):
+    draw = random.Random(24)
+    whole = [_letters(draw, 200) for _ in range(4)]
+    # Ten letters less in front, and three more in the middle: places behind 127 keep their shifts.
+    moved = [x[10:90] + "ACG" + x[90:] for x in whole]
+    groups = [[moved[i], whole[i], whole[i - 1]] for i in range(4)]
+    together = chimeras.beside_all(whole, groups)
+    for x, around, laid in zip(whole, groups, together):
+        own = np.frombuffer(x.encode(), np.uint8)
+        assert (laid == chimeras.beside(x, around)).all()
+        assert (laid[0] == own)[20:].mean() > 0.95 and (laid[1] == own).all() and (laid[2] == own).mean() < 0.6
+    calls = []
+    inner = chimeras._paths
+    monkeypatch.setattr(chimeras, "_paths", lambda *a: calls.append(len(a[0])) or inner(*a))
+    chimeras.beside_all(whole, groups)
+    assert calls == [8]
+    monkeypatch.setattr(chimeras, "_PATHS", 3)
+    assert all((x == y).all() for x, y in zip(together, chimeras.beside_all(whole, groups)))
+
+
+def test_counting_table_of_any_size_gives_the_same(monkeypatch):
+    draw = random.Random(25)
+    parents = [_letters(draw, draw.randint(0, 60)) for _ in range(90)]
+    queries = [draw.choice(parents)[:30] + _letters(draw, 20) for _ in range(25)]
+    sizes, parent_sizes = np.array([draw.randint(1, 9) for _ in queries]), np.sort(np.array([draw.randint(1, 30) for _ in parents]))[::-1]
+
+    def words(x, k):
+        return [x[i : i + k] for i in range(len(x) - k + 1)]
+
+    for k, most in ((3, 4), (8, 2)):
+        expected = []
+        for q, x in enumerate(queries):
+            for chunk in range(4):
+                own = words(x, k)
+                own = {w for i, w in enumerate(own) if i * 4 // len(own) == chunk}
+                shared = [(len(own & set(words(p, k))), i) for i, p in enumerate(parents) if parent_sizes[i] >= 2 * sizes[q]]
+                expected += [(q, chunk, i, n) for n, i in sorted(shared, key=lambda y: (-y[0], y[1]))[:most] if n]
+        for cells in (1, 500, 1 << 20):
+            monkeypatch.setattr(chimeras, "_CELLS", cells)
+            found = chimeras.best_shared(queries, sizes, parents, parent_sizes, k, 4, 2.0, most)
+            assert sorted(zip(*(x.tolist() for x in found))) == sorted(expected)
